@@ -82,3 +82,31 @@ def bound_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` hinted for broadcast if counting shows at most ``most_rows`` rows, else unhinted, so
     that Spark shuffles and splits skewed partitions."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Equal-width bins from which ``range_shards`` composes its shards; as many rows reach the driver.
+RANGE_BINS = 4096
+#: Stands for a null id in range sharding: before all others.
+FIRST_ID = -(1 << 63)
+
+
+def range_shards(rows: DataFrame, key: str, weight: Column, target: int) -> tuple[DataFrame, Column]:
+    """Deterministic ranges of a long key without nulls (see ``FIRST_ID``).
+
+    A histogram of ``RANGE_BINS`` equal bins over the key's range is summed by ``weight``, and
+    neighbouring bins make a shard up to ``target``.  Gives the bins' table (bin, shard; at most
+    ``RANGE_BINS + 1`` rows, so it may be broadcast) and the expression of a row's bin."""
+    spark = rows.sparkSession
+    real = F.when(F.col(key) != FIRST_ID, F.col(key))
+    low, high = rows.agg(F.min(real), F.max(real)).first()
+    low, high = (0, 0) if low is None else (low, high)
+    width = (high - low) // RANGE_BINS + 1
+    bin_ = F.when(F.col(key) == FIRST_ID, F.lit(-1)).otherwise(F.floor((F.col(key) - F.lit(low)) / F.lit(width))).cast("long")
+    found = sorted((r[0], r[1] or 0) for r in rows.groupBy(bin_.alias("bin")).agg(F.sum(weight)).collect())
+    table, shard, held = [], 0, 0
+    for at, size in found:
+        if held and held + size > target:
+            shard, held = shard + 1, 0
+        held += size
+        table.append((at, shard))
+    return spark.createDataFrame(table, "bin long, shard int"), bin_

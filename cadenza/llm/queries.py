@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, simhash
+from . import bpe, lines, mixing, quality, simhash, sketch, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages as the archives give them back."""
+    return warc.archived(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text."""
+    return sketch.edited_neighbours(_read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to, as digests."""
     import public_tokenizers
@@ -44,11 +54,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.judged(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op7_warc": op7_warc,
+    "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -94,4 +114,43 @@ f AS (SELECT k.*, o.owner IS NOT NULL AND o.owner <> k.doc_id AS gone FROM k LEF
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN f.first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON n >= 100 AND p.html = f.html""",
+    "op10_quality": rf"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, regexp_extract_all(text, '{_WORD}') AS words FROM t),
+g AS (
+  SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+h AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM g),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM h) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM r, range(0, 5) x(k) GROUP BY doc_id),
+raw AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM t),
+l AS (SELECT * FROM raw WHERE trim(line, {_SPACES}) <> ''),
+d AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l GROUP BY doc_id),
+k AS (SELECT doc_id, source, text, pos, lower(trim(line, {_SPACES})) AS key, len(regexp_extract_all(line, '{_WORD}')) AS words FROM l),
+m AS (SELECT source, greatest(20, count(*) * 0.02::DOUBLE) AS lim FROM t GROUP BY source),
+f AS (
+  SELECT k.source, key, min(doc_id) AS keeper FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source
+  GROUP BY k.source, key, lim HAVING count(DISTINCT text) > lim),
+x AS (
+  SELECT doc_id, sum(words) AS lost FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source AND k.key = f.key
+  WHERE doc_id <> keeper GROUP BY doc_id),
+b AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words - lost >= 0.5 * n_words AS kept
+FROM v""",
 }

@@ -35,7 +35,11 @@ BITS, SEGMENTS, DISTANCE = 64, 2, 3
 def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
     """XXH64 of each ``size``-word shingle, repeats included, A-Z lower-cased, one space between
     words.  Fewer words: the whole sequence; no word: nothing."""
-    words = text.translate(LOWER).split()
+    return word_hashes(text.translate(LOWER).split(), size, seed)
+
+
+def word_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
+    """The same for a list of words."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
