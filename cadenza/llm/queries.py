@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, simhash, sketch, warc
+from . import bpe, lines, mixing, quality, simhash, sketch, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.filtered(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages as the archives give them back."""
     return warc.archived(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op5_urls": op5_urls,
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
