@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, simhash, sketch, urls, warc
+from . import bpe, lines, lm, mixing, quality, simhash, sketch, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return lm.scored(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages as the archives give them back."""
     return warc.archived(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_urls": op5_urls,
+    "op6_lm": op6_lm,
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
