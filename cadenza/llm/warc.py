@@ -106,20 +106,31 @@ class _Shard:
             self.out, self.seq = None, self.seq + 1
 
 
-def with_references(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers (is a revisit) and refers_to.
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, digest and first (the page it revisits) of each page that is a revisit.
 
     Of equal payloads of ``LEAST_BYTES`` or more, rows with the smallest page_id are responses
     (several, if rows share that id) and the others revisit it; a null id is no smallest."""
-    full = pages.select(
-        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload")
-    ).withColumn("digest", F.sha2("payload", 256))
-    large = full.where(F.octet_length("payload") >= LEAST_BYTES)
+    payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
+    large = pages.where(F.octet_length(payload) >= LEAST_BYTES).select(F.col("page_id").cast("long"), F.sha2(payload, 256).alias("digest"))
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    both = full.join(first, "digest", "left")
-    return both.withColumn("refers", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select(
-        "page_id", "url", "payload", "digest", "refers", F.when(F.col("refers"), F.col("first")).alias("refers_to")
-    )
+    return large.join(first.drop("n"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+
+
+def _write_shard(root: str, roll_bytes: int):
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        first = dict(zip(zip(known["page_id"].to_pylist(), known["digest"].to_pylist(), strict=True), known["first"].to_pylist(), strict=True))
+        pages = [(r["id"], hashlib.sha256(r["payload"]).hexdigest(), r["url"] or "", r) for r in rows.to_pylist()]
+        pages.sort(key=lambda p: p[:3])
+        writer = _Shard(root, rows["shard"][0].as_py() if len(rows) else -1, roll_bytes)
+        for _, digest, _, r in pages:
+            key = (r["page_id"], digest)
+            writer.add(record(r["page_id"], r["url"], r["payload"], digest, first.get(key), key in first))
+        writer.close()
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.table([pa.array([r[i] for r in writer.rows], k) for i, k in enumerate(kinds)], ["shard", "file", "n_records", "n_bytes", "sha256"])
+
+    return run
 
 
 def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -129,34 +140,24 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
     size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 512
     ids = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(FIRST_ID)).alias("id"), size.alias("size"))
     table, bin_ = range_shards(ids, "id", F.col("size"), shard_bytes)
-    dealt = with_references(pages).withColumn("id", F.coalesce("page_id", F.lit(FIRST_ID))).withColumn("bin", bin_)
-    dealt = dealt.join(F.broadcast(table), "bin").drop("bin")  # RANGE_BINS + 1 rows at most
+    small = F.broadcast(table)  # RANGE_BINS + 1 rows at most
+
+    def dealt(rows: DataFrame, shard: str):
+        keyed = rows.withColumn("id", F.coalesce("page_id", F.lit(FIRST_ID))).withColumn("bin", bin_)
+        return keyed.join(small.withColumnRenamed("shard", shard), "bin").drop("bin").groupBy(shard)
+
+    full = pages.select(
+        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload")
+    )
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     home = fs.Path(root)
     disk = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     disk.mkdirs(home)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer: _Shard | None = None
-        rows: list[tuple] = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if writer is None or writer.shard != r["shard"]:
-                    if writer:
-                        writer.close()
-                        rows += writer.rows
-                    writer = _Shard(root, r["shard"], roll_bytes)
-                writer.add(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["refers"]))
-        if writer:
-            writer.close()
-            rows += writer.rows
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "file", "n_records", "n_bytes", "sha256"])
-
-    order = ["shard", "id", "digest", "url"]
-    sorted_ = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions(*order)
-    done = sorted_.select("shard", "page_id", "url", "payload", "digest", "refers", "refers_to").mapInArrow(
-        run, "shard int, file string, n_records long, n_bytes long, sha256 string"
+    done = (
+        dealt(full, "shard")
+        .cogroup(dealt(revisits(pages), "of_shard"))
+        .applyInArrow(_write_shard(root, roll_bytes), "shard int, file string, n_records long, n_bytes long, sha256 string")
     )
     done.write.parquet(f"{root}/_manifest.tmp")
     disk.rename(fs.Path(f"{root}/_manifest.tmp"), fs.Path(f"{root}/_manifest"))
