@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after),
     )
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    return level.withColumn("level", F.min(fits).over(whole)).select(
+    return level.withColumn("level", F.max(fits).over(whole)).select(
         "source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target")
     )
 

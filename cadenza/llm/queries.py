@@ -110,7 +110,7 @@ l AS (
             / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, source IS NULL, source)),
 t AS (
-  SELECT source, source_size, least(cap::DOUBLE, weight * min(CASE WHEN level <= cap::DOUBLE / weight THEN level END) OVER ()) AS target
+  SELECT source, source_size, least(cap::DOUBLE, weight * max(CASE WHEN level <= cap::DOUBLE / weight THEN level END) OVER ()) AS target
   FROM l),
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM t),
