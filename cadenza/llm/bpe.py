@@ -265,6 +265,31 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     return docs.withColumn(out, raw(F.col(ids)))
 
 
+def tokens(docs: DataFrame, ranks_path: str, pattern: str | None) -> DataFrame:
+    """Per row: doc_id, lang, source, n_tokens, ids (array<int>) and decoded_chars, the code points
+    of the text that the ids decode to; an id sequence that does not decode to its text fails the
+    job.  A null text counts as empty."""
+    name = send_ranks(docs.sparkSession, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _loaded(name, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                texts = [t or "" for t in part.column(3).to_pylist()]
+                ids = coder.encode_batch(texts)
+                back = [coder.decode(x).decode("utf-8", "surrogatepass") for x in ids]
+                if back != texts:
+                    raise ValueError("token ids do not decode to their text")
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, back), pa.int64())],
+                    ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_chars"],
+                )
+
+    part = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return part.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_chars long")
+
+
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str | None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 

@@ -103,8 +103,11 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     both = based.join(bound_broadcast(lost, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (digest == F.col("__of")), "left")
     left = F.col("n_words") - F.coalesce("__lost", F.lit(0))
+    # always true; it keeps a filter on ``kept`` from being pushed down, where the optimizer would
+    # write the counting expressions out anew at each of their uses
+    guard = F.monotonically_increasing_id() >= 0
     return (
         both.withColumn("n_left_words", left)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= KEEP_SHARE * F.col("n_words")))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= KEEP_SHARE * F.col("n_words")) & guard)
         .drop("__id", "__of", "__lost")
     )

@@ -132,28 +132,26 @@ def variants(fps: DataFrame, names: list[str], segments: int) -> DataFrame:
 def _forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Spanning forest (pairs of row numbers) of the links within one group of (n, words) rows."""
     n = len(fp)
-    root = np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = int(root[x])
-        return x
-
     links: list[tuple[int, int]] = []
 
     def compare(rows: np.ndarray) -> None:
-        for a in range(0, len(rows), 256):
-            left = rows[a : a + 256]
-            right = rows[a:]
-            apart = np.zeros((len(left), len(right)), np.int16)
-            for w in range(fp.shape[1]):
-                apart += np.bitwise_count(fp[left, w][:, None] ^ fp[right, w])
-            for i, j in zip(*np.nonzero(apart <= distance), strict=True):
-                x, y = find(int(left[i])), find(int(right[j]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    links.append((int(left[i]), int(right[j])))
+        """Prim's walk: always the nearest fingerprint next, so close pairs become links first."""
+        part = fp[rows]
+        near = np.full(len(rows), 1 << 14, np.int16)
+        source = np.zeros(len(rows), np.int64)
+        out = np.ones(len(rows), bool)
+        at = 0
+        for _ in range(len(rows)):
+            out[at] = False
+            near[at] = 1 << 14
+            apart = np.bitwise_count(part ^ part[at]).sum(axis=1, dtype=np.int16)
+            closer = out & (apart < near)
+            near[closer], source[closer] = apart[closer], at
+            at = int(near.argmin())
+            if near[at] <= distance:
+                links.append((int(rows[source[at]]), int(rows[at])))
+            elif near[at] == 1 << 14:
+                break
 
     if n <= BLOCK:
         compare(np.arange(n))
@@ -217,6 +215,79 @@ def links(fps: DataFrame, names: list[str], segments: int, distance: int) -> Dat
     return dealt.mapInArrow(run, ", ".join(f"{side}{i} long" for side in "ab" for i in range(k)))
 
 
+def word_fingerprints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit SimHash over the distinct words of each text (high and low 64 bits)."""
+    high, low = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    for i, t in enumerate(texts):
+        words = set((t or b"").translate(LOWER).split())
+        if words:
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
+            ones = np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int32)
+            high[i], low[i] = np.packbits(ones * 2 > len(h)).view(">u8").astype(np.uint64)
+    return high, low
+
+
+#: The near-duplicate filter: bits of its fingerprints, cut, candidates' distance; then the
+#: shingles and similarity that decide.
+WIDE_SEGMENTS, WIDE_DISTANCE = 5, 18
+VERIFY_WORDS, VERIFY_SIMILARITY = 5, 0.8
+LAST_ID = (1 << 63) - 1
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, without near-duplicates: of each group linked by a word-shingle
+    similarity of ``VERIFY_SIMILARITY`` the smallest doc_id stays.
+
+    Candidates are found by 128-bit fingerprints of the distinct words, which a few edits move
+    little; ``2 * WIDE_SEGMENTS - 1`` bits are always found, further ones often.  Links form a
+    minimum spanning forest of each variant group and are verified on whole texts.  Equal texts
+    need no verification.  Rows that repeat a doc_id are one document, of which one row stays; a
+    null doc_id comes after all others; null and empty texts are equal."""
+    content = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            high, low = word_fingerprints(texts)
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
+            columns = [batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in (high.view(np.int64), low.view(np.int64), digest[:, 0], digest[:, 1]))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "f0", "f1", "t0", "t1"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, VERIFY_WORDS)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    narrow = kept(docs.select(number.alias("id"), content).mapInArrow(prints, "id long, f0 long, f1 long, t0 long, t1 long"), "near-rows")
+    texts = narrow.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    texts = texts.groupBy("id").agg(F.min(F.struct("t0", "t1", "f0", "f1")).alias("of")).select("id", "of.*")
+    texts = kept(texts, "near-texts")
+    prints_ = kept(texts.groupBy("f0", "f1").agg(F.min("id").alias("rep")), "near-prints")
+    found = links(prints_, ["f0", "f1"], WIDE_SEGMENTS, WIDE_DISTANCE).distinct()
+    a = prints_.select(F.col("f0").alias("a0"), F.col("f1").alias("a1"), F.col("rep").alias("u"))
+    b = prints_.select(F.col("f0").alias("b0"), F.col("f1").alias("b1"), F.col("rep").alias("v"))
+    across = found.join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).select("u", "v")
+    same = texts.join(prints_, ["f0", "f1"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    edges = kept(across.unionByName(same), "near-edges")
+    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+    chosen = ends.join(texts, "id").select(F.col("id").alias("of"), "t0", "t1")
+    keyed = docs.select(number.alias("id"), content.alias("text"))
+    sets = keyed.join(chosen, keyed.id == chosen.of, "left_semi").mapInArrow(shingles, "id long, set array<long>")
+    sets = kept(sets.dropDuplicates(["id"]), "near-sets")
+    both = edges.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
+    roots = components(both.where(alike).select("u", "v"))
+    gone = roots.where("node <> root").select(F.col("node").alias("id"))
+    stay = kept(texts.join(gone, "id", "left_anti").select(F.col("id").alias("__id"), F.col("t0").alias("__t0"), F.col("t1").alias("__t1")), "near-stay")
+    packed = docs.select(F.struct("*").alias("__row"), number.alias("__id"))
+    out = packed.join(stay.select("__id"), "__id", "left_semi")
+    if narrow.join(stay, narrow.id == stay["__id"]).count() != stay.count():  # rows repeat a doc_id
+        out = out.groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row.text")).alias("__row"))
+    return out.select("__row.*")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fp (long) and component_id.
 
