@@ -3,7 +3,7 @@
 A byte goes when a ``LEAST``-byte string that covers it also starts in a document with a smaller
 doc_id.  The work is done in shards of whole documents:
 
-1. Every ``LEAST``-byte window has a *mark*, the smallest hash among its 16-byte pieces.  Equal
+1. Every ``LEAST``-byte window has a *mark*, the smallest hash among its 24-byte pieces.  Equal
    windows have equal marks, so a window whose mark no other document has is no repeat.  Shards
    send their distinct marks to buckets and learn which are shared.
 2. A shard builds a suffix array over the text under shared marks (Larsson-Sadakane refinement:
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import shard_count, shard_of, text_bytes
 
 #: Length of a string whose repeats go; bytes of the hashed pieces of a mark.
-LEAST, PIECE = 50, 16
+LEAST, PIECE = 50, 24
 SHARD_BYTES = 4 << 20
 #: Positions of one suffix array.
 ARRAY_CELLS = 4 << 20
@@ -152,6 +152,9 @@ def marks(text: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h += word[8 : n - PIECE + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
+    h *= np.uint64(0xA24BAED4963EE407)
+    h += word[16 : n - PIECE + 17] * np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     wide = 1
@@ -207,22 +210,26 @@ def _send_marks(n_buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         shard = Shard(rows)
         _, part, mark = shard.windows()
-        turn = np.flatnonzero(np.concatenate(([True], (mark[1:] != mark[:-1]) | (part[1:] != part[:-1])))) if len(mark) else np.empty(0, np.int64)
-        pairs = np.unique(np.rec.fromarrays([mark[turn], part[turn]])) if len(turn) else np.empty(0, [("f0", "u8"), ("f1", "i8")])
-        del turn
-        keys, n = np.unique(pairs["f0"], return_counts=True)
+        keys, n = np.empty(0, np.uint64), np.empty(0, bool)
+        if len(mark):
+            turn = np.flatnonzero(np.concatenate(([True], (mark[1:] != mark[:-1]) | (part[1:] != part[:-1]))))
+            by = np.argsort(mark[turn])
+            key, of = mark[turn][by], part[turn][by]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            keys, n = key[first], np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
         at = np.searchsorted(keys, _bucket_cuts(n_buckets))
         number = rows["shard"][0].as_py()
         return _rows(
             range(n_buckets), [number] * n_buckets, [0] * n_buckets,
-            [k.tobytes() for k in np.split(keys, at)], [np.packbits(x > 1).tobytes() for x in np.split(n, at)],
+            [k.tobytes() for k in np.split(keys, at)], [np.packbits(x).tobytes() for x in np.split(n, at)],
         )
 
     return run
 
 
 def _answer_marks(rows: pa.Table) -> pa.Table:
-    """For each shard's marks: which of them several documents have, and which several shards."""
+    """For each shard's marks, in order: which of them several documents have, and which several
+    shards."""
     keys = [np.frombuffer(k.as_py(), np.uint64) for k in rows["a"]]
     flat = np.concatenate(keys)
     flat.sort()
@@ -235,7 +242,7 @@ def _answer_marks(rows: pa.Table) -> pa.Table:
         cross[ok] = twice[at[ok]] == key[ok]
         wide.append(np.packbits(cross).tobytes())
         several.append(np.packbits(cross | np.unpackbits(np.frombuffer(own.as_py(), np.uint8), count=len(key)).astype(bool)).tobytes())
-    return _rows(rows["bucket"].to_pylist(), rows["shard"].to_pylist(), [0] * len(keys), rows["a"].to_pylist(), several, wide)
+    return _rows(rows["bucket"].to_pylist(), rows["shard"].to_pylist(), [0] * len(keys), [len(k).to_bytes(4, "little") for k in keys], several, wide)
 
 
 def _spans(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,14 +260,22 @@ def _find_within(n_buckets: int):
         number = rows["shard"][0].as_py()
         at, part, mark = shard.windows()
         replies = sorted(zip(told["bucket"].to_pylist(), *(told[c].to_pylist() for c in "abc"), strict=True))
-        keys = [np.frombuffer(k, np.uint64) for _, k, _, _ in replies]
-        bits = [[np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for k, x in zip(keys, y, strict=True)] for y in zip(*((s, w) for _, _, s, w in replies), strict=True)]
-        key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        shared, cross = (np.concatenate(b) for b in bits) if bits else (np.empty(0, bool),) * 2
-        turn = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1]))) if len(mark) else np.empty(0, np.int64)
-        place = np.repeat(np.searchsorted(key, mark[turn]), np.diff(np.append(turn, len(mark))))
-        use = shared[place] if len(mark) else np.empty(0, bool)
-        at, part, mark, cross = at[use], part[use], mark[use], cross[place][use] if len(mark) else np.empty(0, bool)
+        shared, cross = (
+            np.concatenate([np.unpackbits(np.frombuffer(r[k], np.uint8), count=int.from_bytes(r[1], "little")).astype(bool) for r in replies] or [np.empty(0, bool)])
+            for k in (2, 3)
+        )
+        several = np.empty(0, bool)
+        if len(mark):
+            # windows under one mark without a break are a run; a mark of one run has no repeat here
+            turn = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (mark[1:] != mark[:-1]) | (np.diff(part) != 0))))
+            _, place = np.unique(mark[turn], return_inverse=True)
+            place = np.repeat(place, np.diff(np.append(turn, len(mark))))
+            many = np.bincount(place[turn]) > 1
+            use = shared[place]
+            at, part, mark, place = at[use], part[use], mark[use], place[use]
+            cross, several = cross[place], many[place]
+        every = (at, part)
+        at, part = at[several], part[several]
         found = np.zeros(len(at), bool)
         # stretches of text under shared marks, in arrays of at most ARRAY_CELLS or one stretch
         cut = np.flatnonzero((np.diff(at) > LEAST) | (np.diff(part) != 0)) + 1
@@ -286,6 +301,9 @@ def _find_within(n_buckets: int):
             least = least_by_window(piece, valid, doc)
             found[inside] = least[here] < doc[here]
             a, arrays = z, arrays + 1
+        repeat = np.zeros(len(every[0]), bool)
+        repeat[np.flatnonzero(several)[found]] = True
+        (at, part), found = every, repeat
         out_part, first, end = _spans(part[found], at[found])
         base = shard.start[out_part] if len(out_part) else out_part
         tables = [_rows([number % n_buckets], [number], [1], [out_part.astype(np.int64).tobytes()], [(first - base).astype(np.int64).tobytes()], [(end - base).astype(np.int64).tobytes()])]
@@ -339,13 +357,20 @@ def _merge(rows: pa.Table) -> pa.Table:
     order = np.argsort(mark, kind="stable")
     mark = mark[order]
     cuts = np.append(np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1]))), len(order))
+    sizes = np.diff(cuts)
+    alone = order[cuts[:-1][sizes == 1]]  # the only run under its mark: its owner is the smallest
+    for i in alone.tolist():
+        least[start[i] : start[i] + size[i]] = owner[i]
+    pairs = np.flatnonzero(sizes > 1)
     group = 0
-    while group < len(cuts) - 1:  # whole groups of one mark, in arrays of some ARRAY_CELLS
-        until, cells = group, 0
-        while until < len(cuts) - 1 and (until == group or cells < ARRAY_CELLS):
-            cells += int(size[order[cuts[until] : cuts[until + 1]]].sum()) + int(cuts[until + 1] - cuts[until])
+    while group < len(pairs):  # whole groups of one mark, in arrays of some ARRAY_CELLS
+        until, cells, chosen_groups = group, 0, []
+        while until < len(pairs) and (until == group or cells < ARRAY_CELLS):
+            members = order[cuts[pairs[until]] : cuts[pairs[until] + 1]]
+            chosen_groups.append(members)
+            cells += int(size[members].sum()) + len(members)
             until += 1
-        chosen = order[cuts[group] : cuts[until]]
+        chosen = np.concatenate(chosen_groups)
         text = np.frombuffer(b"".join(pieces[i] + b"\0" for i in chosen.tolist()), np.uint8)
         doc = np.repeat(owner[chosen], size[chosen] + 1)
         edge = np.concatenate(([0], np.cumsum(size[chosen] + 1)))
