@@ -116,7 +116,10 @@ def measures(samples: np.ndarray, rate: int) -> dict[str, float | None]:
         spectrum = np.fft.rfft(frame, 2 * size)
         auto = np.fft.irfft(spectrum * np.conj(spectrum))[:size] / energy
         auto = auto / np.maximum(1 - np.arange(size) / size, 0.1)
-        best = lags.start + int(np.argmax(auto[lags]))
+        part = auto[lags]
+        top = (part[1:-1] >= part[:-2]) & (part[1:-1] >= part[2:]) & (part[1:-1] > 0.9 * part.max())
+        # the shortest of about equal periods, not a multiple of it
+        best = lags.start + (int(np.argmax(top)) + 1 if top.any() else int(np.argmax(part)))
         if auto[best] > 0.45:
             periods.append(best / rate)
             peaks.append(float(np.abs(frame).max()))
