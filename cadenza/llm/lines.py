@@ -155,7 +155,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     spark = docs.sparkSession
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     n = shard_count(text_bytes(docs), 8 << 20)
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("long").alias("id")).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)))
+    shares = [k / batches for k in range(1, batches)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000)).first()[0] if shares else None
+    cuts = sorted(set(found or ()))
     per = shard_count(n, max(1, len(cuts) + 1))
     batch = F.lit(0)
     for cut in cuts:
