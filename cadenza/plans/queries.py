@@ -693,3 +693,62 @@ def contour_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split.hashed_split(learning.contour_features(entries, "doc_id", "truth"), "doc_id")
     model = learning.train(rows.where("split = 'train'"), "pitch_contour")
     return metrics.class_report(learning.evaluated(model, rows.where("split <> 'train'")))
+
+
+@query
+def text_prosody_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text", "role")
+    rows = text.word_features(talk.select("doc_id", "text")).join(talk.select("doc_id", F.col("role").alias("label")), "doc_id")
+    rows = rows.withColumn("key", F.concat_ws("#", "doc_id", "pos"))
+    parts = split.hashed_split(rows, "key")
+    model = learning.train(parts.where("split = 'train'"), "text_prosody")
+    return metrics.class_report(learning.evaluated(model, parts.where("split <> 'train'")))
+
+
+@query
+def prosody_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir)
+    return rows.select("doc_id", learning.looked_up(F.col("truth"), learning.PROSODY_LABELS, "mid_normal_normal").alias("prosody"), learning.looked_up(F.col("truth"), learning.CONTOUR_LABELS, "flat").alias("contour"))
+
+
+def _case(table: dict[str, str], default: str) -> str:
+    return "CASE truth " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
+
+
+ORACLE_SQL["prosody_labels"] = f"WITH {_PRED} SELECT doc_id, {_case(learning.PROSODY_LABELS, 'mid_normal_normal')} AS prosody, {_case(learning.CONTOUR_LABELS, 'flat')} AS contour FROM p"
+
+
+@query
+def cue_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = shred.shredded(text.predicted(_cued(spark, sf_dir)))
+    pauses = nodes.pauses(made).groupBy("doc_id").agg(F.count("*").alias("n_pauses"), F.sum("ms").alias("pause_ms"))
+    rises = nodes.contours(made).groupBy("doc_id").agg(F.count("*").alias("n_rises"))
+    return pauses.join(rises, "doc_id", "full")
+
+
+_TIMES = lambda part: f"((length(markup) - length(replace(markup, '{part}', ''))) // {len(part)})"
+ORACLE_SQL["cue_nodes"] = f"""WITH m AS ({ORACLE_SQL["text_to_markup"]}),
+k AS (SELECT doc_id, {_TIMES('<pause duration="500"/>')}::BIGINT AS p, {_TIMES('<prosody pitch_contour="rise">')}::BIGINT AS r FROM m)
+SELECT doc_id, nullif(p, 0) AS n_pauses, nullif(p, 0) * 500 AS pause_ms, nullif(r, 0) AS n_rises FROM k WHERE p + r > 0"""
+
+
+@query
+def pause_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.pauses(_nodes(spark, sf_dir)).select("doc_id", "pre", "ms")
+
+
+ORACLE_SQL["pause_durations"] = """SELECT o_orderkey AS doc_id, pre::INT AS pre, ms::BIGINT AS ms FROM orders JOIN
+(VALUES (1, 3, 500), (4, 1, 0), (4, 3, -5), (4, 4, 0), (5, 1, 10)) v(variant, pre, ms) ON o_orderkey % 16 = variant"""
+
+
+@query
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows over the batch table: the streaming operator on a static frame."""
+    rows = _phonemes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streaming.windowed(rows, "2 days", "1 day")
+    return out.select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("start"), "n_events", F.round("mean_volume", 6).alias("mean_volume"))
+
+
+ORACLE_SQL["session_windows"] = f"""WITH {_SESSION},
+w AS (SELECT user_id, volume, date_trunc('day', ts)::DATE AS d FROM p), x AS (SELECT user_id, volume, d AS s FROM w UNION ALL SELECT user_id, volume, d - 1 FROM w)
+SELECT user_id, strftime(s, '%Y-%m-%d') AS start, count(*) AS n_events, round(avg(volume), 6) AS mean_volume FROM x GROUP BY user_id, s"""
