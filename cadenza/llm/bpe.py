@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bytes from which a piece is merged with a heap.
 LONG_PIECE = 256
+#: Texts that are encoded together.
+BATCH_ROWS = 4096
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 20
 
@@ -234,6 +236,18 @@ def _loaded(name: str, pattern: str | None) -> Bpe:
     return _CACHE[name, pattern]
 
 
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``BATCH_ROWS`` rows or more, so that pieces in common are encoded once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BATCH_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def send_ranks(spark: SparkSession, path: str) -> str:
     """Hand the rank file (some 1 MB, fixed) to all executors; gives its name there."""
     spark.sparkContext.addFile(path)
@@ -273,9 +287,9 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(name, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+        for batch in _batched(batches):
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 texts = [t or "" for t in part.column(3).to_pylist()]
                 ids = coder.encode_batch(texts)
                 back = [coder.decode(x).decode("utf-8", "surrogatepass") for x in ids]
@@ -300,9 +314,9 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str | None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(name, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+        for batch in _batched(batches):
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 n, ids_sha, text_sha = [], [], []
                 for ids in coder.encode_batch([t or "" for t in part.column(1).to_pylist()]):
                     n.append(len(ids))
