@@ -20,7 +20,7 @@ from .common import SPACE, bound_broadcast, kept
 #: A line is frequent in more than this many distinct texts, and this share of its host's documents.
 LEAST_DOCS, DOC_SHARE = 20, 0.02
 #: A document must keep this share of its words.
-KEEP_SHARE = 0.5
+KEEP_SHARE = 0.3
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 #: Rows of frequent lines, or of depleted documents, that are broadcast (some 50 bytes a row).

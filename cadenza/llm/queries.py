@@ -170,6 +170,6 @@ b AS (
   FROM w LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words - lost >= 0.5 * n_words AS kept
+       NOT base_failed AND n_words - lost >= 0.3 * n_words AS kept
 FROM v""",
 }
