@@ -65,6 +65,12 @@ class Runs:
             out = out.unionByName(more)
         return out
 
+    def forget(self) -> None:
+        """Take the runs' names out of the catalog; their files stay for plans that read them."""
+        for level in self.levels:
+            for name, _ in level:
+                self.spark.sql(f"DROP TABLE {name}")
+
     def add(self, batch: DataFrame) -> None:
         """Add the keys of ``batch`` (hi, lo, owner; each key once) that no run has."""
         for level in self.levels:
@@ -175,7 +181,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for b in range(len(cuts) + 1):
         own = keys.where(F.col("batch") == b)
         runs.add(own.groupBy(*_KEY).agg(F.min("doc").alias("owner")))
-    told = keys.join(runs.rows().hint("merge"), _KEY).where(F.col("several") | (F.col("owner") < F.col("doc"))).select("shard", "hi", "lo", F.col("owner").alias("doc"))
+    owners = runs.rows()
+    runs.forget()
+    told = keys.join(owners.hint("merge"), _KEY).where(F.col("several") | (F.col("owner") < F.col("doc"))).select("shard", "hi", "lo", F.col("owner").alias("doc"))
     row = base.schema["row"].dataType.simpleString()
     return (
         base.select("id", "text", "row", "shard")

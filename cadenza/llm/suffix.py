@@ -34,6 +34,8 @@ from .common import shard_count, shard_of, text_bytes
 #: Length of a string whose repeats go; bytes of the hashed pieces of a mark.
 LEAST, PIECE = 50, 24
 SHARD_BYTES = 4 << 20
+#: Shards whose marks, and whose runs of text, one bucket gathers on average.
+MARKS_OF, RUNS_OF = 8, 2
 #: Positions of one suffix array.
 ARRAY_CELLS = 4 << 20
 #: Stands for a null doc_id: after all others.
@@ -454,8 +456,9 @@ def dedup_strings(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
         F.struct(*rest).alias("row"),
     ).withColumn("shard", shard_of("id", n))
     by_shard = base.groupBy("shard")
-    answers = by_shard.applyInArrow(_send_marks(n), _KINDS).groupBy("bucket").applyInArrow(_answer_marks, _KINDS)
-    within = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_find_within(n), _KINDS)
+    buckets = shard_count(n, MARKS_OF), shard_count(n, RUNS_OF)
+    answers = by_shard.applyInArrow(_send_marks(buckets[0]), _KINDS).groupBy("bucket").applyInArrow(_answer_marks, _KINDS)
+    within = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_find_within(buckets[1]), _KINDS)
     spans = within.groupBy("bucket").applyInArrow(_merge, _KINDS)
     row = base.schema["row"].dataType.simpleString()
     kinds = f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
