@@ -252,3 +252,46 @@ def test_rate_limit_counts_accepted_only():
 def test_pages_never_crash_the_shredder(spark, small_dir):
     pages = spark.read.parquet(f"{small_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("markup"))
     assert shred.shredded(pages).select("doc_id").distinct().count() == pages.count()
+
+
+def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    made = [("a", start + dt.timedelta(seconds=s)) for s in (0, 10, 20, 65, 66, 130)] + [("b", start)]
+    rows = spark.createDataFrame(made, "client string, ts timestamp")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = streaming.rate_limited_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 2)
+    got = streaming.collected(stream, "limited_test", "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streaming.rate_limited(rows, 2).collect()))
+
+
+def test_exact_words_of_a_stub(spark):
+    rows = spark.createDataFrame([("a.wav", 1200)], "path string, duration_ms long")
+    assert tuple(tables.stub_words(rows).first()) == ("a.wav", 0, "[speech]", 0, 1200)
+
+
+def test_markup_files(spark, tmp_path):
+    (tmp_path / "one.xml").write_text("<utterance>\nhi</utterance>")
+    assert tables.read_markup(spark, str(tmp_path)).first()["markup"] == "<utterance>\nhi</utterance>"
+
+
+def test_models_save_and_load(spark, tmp_path):
+    entries = spark.range(80).select("id", F.element_at(F.lit(["angry", "calm"]), (F.col("id") % 2 + 1).cast("int")).alias("e"))
+    rows = learning.contour_features(entries, "id", "e")
+    model = learning.train(rows, "pitch_contour")
+    learning.save(model, f"{tmp_path}/m")
+    again = learning.load(f"{tmp_path}/m")
+    assert learning.evaluated(again, rows).collect() == learning.evaluated(model, rows).collect()
+    (tmp_path / "c.yaml").write_text("task: ser\nmodel: {}\ndata: {}\ntraining: {}\nevaluation: {}\noutput: {}\n")
+    assert learning.load_config(str(tmp_path / "c.yaml"))["task"] == "ser"
+    (tmp_path / "d.yaml").write_text("task: ser\n")
+    with pytest.raises(ValueError):
+        learning.load_config(str(tmp_path / "d.yaml"))
+
+
+def test_profile_files(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"profile_version": "1.0.0", "user_id": "", "prosody_mappings": [{"pattern": {"pitch": "high"}, "interpretation": {"emotion": "calm"}}]}')
+    rows = profiles.read_profiles(spark, str(tmp_path))
+    assert [r["rule"] for r in profiles.profile_issues(rows).collect()] == ["P2"]
+    assert profiles.mappings(rows).first()["boost"] == 0.0
