@@ -45,11 +45,17 @@ def quotes(sentence: Column) -> tuple[Column, Column]:
     return spans, rest
 
 
-def emotion_of(sentence: Column) -> tuple[Column, Column]:
+def with_cues(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with cues, the numbers of positive, negative and uncertain words in ``column``.  Words
+    are cut and lower-cased once, in a step of their own."""
+    lowered = rows.withColumn("__lower", F.transform(_words(F.col(column)), lambda w: F.lower(stripped(w))))
+    count = lambda lexicon: F.size(F.filter("__lower", lambda w: w.isin(*lexicon)))
+    return lowered.withColumn("cues", F.struct(count(POSITIVE).alias("pos"), count(NEGATIVE).alias("neg"), count(UNCERTAIN).alias("unc"))).drop("__lower")
+
+
+def emotion_of(sentence: Column, cues: Column) -> tuple[Column, Column]:
     """Emotion and rule confidence from final punctuation and cue words (null without cues)."""
-    lowered = F.transform(_words(sentence), lambda w: F.lower(stripped(w)))
-    count = lambda lexicon: F.size(F.filter(lowered, lambda w: w.isin(*lexicon)))
-    pos, neg, unc = count(POSITIVE), count(NEGATIVE), count(UNCERTAIN)
+    pos, neg, unc = cues["pos"], cues["neg"], cues["unc"]
     loud = F.rtrim(sentence).endswith("!")
     frustrated, joyful = (neg > pos) & (neg > unc), (pos > neg) & (pos > unc)
     uncertain = (unc > 0) & (unc >= pos) & (unc >= neg)
@@ -84,16 +90,16 @@ def inner_markup(sentence: Column) -> Column:
     return F.array_join(F.transform(parts, piece), "")
 
 
-def utterance_markup(sentence: Column, default_confidence: float = 0.6) -> Column:
+def utterance_markup(sentence: Column, inner: Column, cues: Column, default_confidence: float = 0.6) -> Column:
     """A sentence as an utterance: questions rise, exclamations are higher, cues give an emotion."""
-    inner, ask, loud = inner_markup(sentence), is_question(sentence), F.rtrim(sentence).endswith("!")
+    ask, loud = is_question(sentence), F.rtrim(sentence).endswith("!")
     body = (
         F.when(inner == "", "")
         .when(ask, F.concat(F.lit('<prosody pitch_contour="rise">'), inner, F.lit("</prosody>")))
         .when(loud, F.concat(F.lit('<prosody pitch="+5%">'), inner, F.lit("</prosody>")))
         .otherwise(inner)
     )
-    emotion, sure = emotion_of(sentence)
+    emotion, sure = emotion_of(sentence, cues)
     shown = F.regexp_replace(F.format_string("%.2f", F.greatest(sure, F.lit(default_confidence))), "0$", "")
     head = F.coalesce(F.concat(F.lit('<utterance emotion="'), emotion, F.lit('" confidence="'), shown, F.lit('">')), F.lit("<utterance>"))
     return F.concat(head, body, F.lit("</utterance>"))
@@ -114,7 +120,8 @@ def predicted(docs: DataFrame, key: str = "doc_id", column: str = "text", model:
     """(key, markup) of every row; blank and null texts give one empty utterance."""
     if model != "rule-based":
         raise NotImplementedError(f"model {model!r} is not supported, only 'rule-based'")
-    parts = spoken_parts(docs.select(key, column), column).withColumn("u", utterance_markup(F.col("spoken"), default_confidence))
+    parts = with_cues(spoken_parts(docs.select(key, column), column), "spoken").withColumn("inner", inner_markup(F.col("spoken")))
+    parts = parts.withColumn("u", utterance_markup(F.col("spoken"), F.col("inner"), F.col("cues"), default_confidence))
     bodies = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent_idx", "part_idx", "u"))).alias("us"))
     body = F.array_join(F.transform("us", lambda x: x["u"]), "")
     out = docs.select(key).join(bodies, key, "left")

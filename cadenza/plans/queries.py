@@ -405,8 +405,8 @@ SELECT doc_id, sent_idx, array_to_string(list_transform(regexp_extract_all(sente
 
 @query
 def sentence_emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emotion, sure = text.emotion_of(F.col("sentence"))
-    rows = text.sentences(_cued(spark, sf_dir))
+    emotion, sure = text.emotion_of(F.col("sentence"), F.col("cues"))
+    rows = text.with_cues(text.sentences(_cued(spark, sf_dir)), "sentence")
     return rows.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), emotion.alias("emotion"), sure.cast("double").alias("rule_confidence"))
 
 
