@@ -10,7 +10,7 @@ An adaptive table, learned along, refines the mixed probability.  Scores are tot
 probabilities of the whole text.
 
 Counts come from all training texts; the tables have a fixed number of slots and are kept as
-logarithmic bytes, so they may be broadcast.  The mixer's few hundred weights are learned from at
+logarithms of two bytes that hold any 64-bit sum, so they may be broadcast.  The mixer's few hundred weights are learned from at
 most ``MIX_DOCS`` training documents (those with the smallest hashed ids).
 
 Word counts for the base score travel as hashed blobs between shards (see ``common``).
@@ -46,6 +46,8 @@ COUNT_CHUNK, SCORE_CHUNK = 6 << 20, 1 << 20
 HELD_GRAMS = 3_000_000
 #: Entries of the scorer's cache, as a power of two.
 CACHE_BITS = 21
+#: Where a task's 32-bit sums are given on.
+FULL = 1 << 31
 #: Ranges into which a table is cut to be summed; salts of the first summing step.
 RANGES, SALTS = 24, 16
 MIX_DOCS, MIX_STEP, MIX_BATCH = 400, 0.003, 128
@@ -56,8 +58,9 @@ BUCKET_BYTES = 64 << 20
 APM = 33
 _EDGES = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 _BACK = max(ORDERS)
-_LEVELS = 12.0
-_COUNT_OF = np.exp2(np.arange(256) / _LEVELS).astype(np.float32) - 1
+#: Steps to a doubling of a count: two bytes reach beyond 2 ** 64.
+_LEVELS = 1000.0
+_COUNT_OF = (np.exp2(np.arange(1 << 16) / _LEVELS) - 1).astype(np.float32)
 
 
 def trains(doc_id: Column) -> Column:
@@ -154,8 +157,8 @@ def count_grams(table: np.ndarray, gram: np.ndarray, n: np.ndarray, code: Code)
 
 
 def packed(n: np.ndarray) -> np.ndarray:
-    """Counts as bytes on a logarithmic scale."""
-    return np.minimum(255, np.round(np.log2(n.astype(np.float64) + 1) * _LEVELS)).astype(np.uint8)
+    """Counts as two bytes on a logarithmic scale."""
+    return np.round(np.log2(n.astype(np.float64) + 1) * _LEVELS).astype(np.uint16)
 
 
 @dataclass
@@ -211,7 +214,7 @@ def learn(mixer: Mixer, odds: np.ndarray, gate: np.ndarray, bit: np.ndarray) ->
 
 
 def train_mixer(table: np.ndarray, texts: list[bytes], code: Code) -> Mixer:
-    """Mixer learned over ``texts``, which ``table`` (log bytes, a column for each bit) counts."""
+    """Mixer learned over ``texts``, which ``table`` (logarithms, a column for each bit) counts."""
     mixer = Mixer.new()
     for text in texts:
         gram, _ = grams([text])
@@ -316,15 +319,17 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
 
 
 def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
-    """The joint table (slots, 2) of log bytes over all rows of ``docs`` (text).
+    """The joint table (slots, 2) of logarithms of counts over all rows of ``docs`` (text).
 
-    A task sums its texts and gives its table in ``RANGES`` compressed parts; parts of a range are
-    summed in salted groups and then once more."""
+    A task sums its texts and gives its table in ``RANGES`` compressed parts, and begins anew before
+    a 32-bit sum could be full; parts of a range are summed to 64 bits in salted groups and then
+    once more."""
     bounds = np.linspace(0, _EDGES[-1], RANGES + 1).astype(np.int64)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((_EDGES[-1], 2), np.uint32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        pack = zstandard.ZstdCompressor(1).compress
 
         def settle() -> None:
             """Count what chunks have in common once."""
@@ -335,38 +340,48 @@ def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
             count_grams(table, gram[at], np.add.reduceat(n, at), code)
             held.clear()
 
+        def summed() -> pa.RecordBatch:
+            blobs = [pack(table[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            salt = zlib.crc32(blobs[0]) % SALTS
+            return pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([salt] * RANGES, pa.int32()), pa.array(blobs)], ["range", "salt", "data"])
+
+        since = 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for rows in _chunks(texts, COUNT_CHUNK):
                 held.append(np.unique(grams([texts[i] for i in rows])[0], return_counts=True))
-                if len(held) > 1 and sum(len(g) for g, _ in held) > HELD_GRAMS:
+                since += int(held[-1][1].sum())
+                full = since * len(code.node) >= FULL  # a byte adds at most its depth to one slot
+                if full or (len(held) > 1 and sum(len(g) for g, _ in held) > HELD_GRAMS):
                     settle()
+                if full:
+                    since = 0
+                    if table.max() >= FULL:
+                        yield summed()
+                        table[:] = 0
         if held:
             settle()
-        pack = zstandard.ZstdCompressor(1).compress
-        blobs = [pack(table[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        salt = zlib.crc32(blobs[0]) % SALTS
-        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([salt] * RANGES, pa.int32()), pa.array(blobs)], ["range", "salt", "data"])
+        yield summed()
 
-    def total(blobs: pa.ChunkedArray) -> np.ndarray:
+    def total(blobs: pa.ChunkedArray, kind: type) -> np.ndarray:
         out = None
         for blob in blobs:
-            more = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32)
+            more = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), kind)
             out = more.astype(np.uint64) if out is None else out + more
         return out
 
     def once(t: pa.Table) -> pa.Table:
-        data = zstandard.ZstdCompressor(1).compress(np.minimum(total(t["data"]), (1 << 32) - 1).astype(np.uint32).tobytes())
+        data = zstandard.ZstdCompressor(1).compress(total(t["data"], np.uint32).tobytes())
         return pa.table({"range": t["range"][:1], "data": pa.array([data])})
 
     def last(t: pa.Table) -> pa.Table:
-        return pa.table({"range": t["range"][:1], "data": pa.array([packed(total(t["data"])).tobytes()])})
+        return pa.table({"range": t["range"][:1], "data": pa.array([packed(total(t["data"], np.uint64)).tobytes()])})
 
     parts = docs.select("text").mapInArrow(part, "range int, salt int, data binary")
     summed = parts.groupBy("range", "salt").applyInArrow(once, "range int, data binary").groupBy("range").applyInArrow(last, "range int, data binary")
-    out = np.zeros((_EDGES[-1], 2), np.uint8)
-    for r in summed.toLocalIterator():  # 27 MB in all, whatever the corpus
-        out[bounds[r["range"]] : bounds[r["range"] + 1]] = np.frombuffer(r["data"], np.uint8).reshape(-1, 2)
+    out = np.zeros((_EDGES[-1], 2), np.uint16)
+    for r in summed.toLocalIterator():  # 54 MB in all, whatever the corpus
+        out[bounds[r["range"]] : bounds[r["range"] + 1]] = np.frombuffer(r["data"], np.uint16).reshape(-1, 2)
     return out
 
 

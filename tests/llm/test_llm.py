@@ -331,6 +331,27 @@ def test_lm_probabilities_sum_to_one():
     assert int(gram[7]) == 0 and int(gram[8]) == text[0]
 
 
+def test_lm_keeps_the_ratio_of_large_counts():
+    n = np.array([[3_000_000, 60_000_000], [10**11, 4 * 10**12], [2**63, 2**62]], np.uint64)
+    zero, one = lm._COUNT_OF[lm.packed(n)].T
+    assert np.allclose(np.log(one / zero), np.log(n[:, 1] / n[:, 0]), atol=0.002)
+    small = np.arange(1000)
+    assert np.allclose(lm._COUNT_OF[lm.packed(small)], small, rtol=0.001)
+
+
+def test_lm_sums_of_a_task_are_given_on_before_they_are_full(spark, monkeypatch):
+    texts = [b"the cat sat on the mat %d" % (k % 7) for k in range(300)]
+    counts = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
+    counts[0] = len(texts)
+    code = lm.Code.of(counts)
+    want = np.zeros((lm._EDGES[-1], 2), np.uint32)
+    lm.count(want, texts, code)
+    frame = spark.createDataFrame([(t,) for t in texts], "text binary").coalesce(1)
+    monkeypatch.setattr(lm, "FULL", 100)
+    monkeypatch.setattr(lm, "COUNT_CHUNK", 500)
+    assert (lm.count_tables(frame, code) == lm.packed(want)).all()
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<html>" + "x" * 200 + "é</html>", "tiny"
     seen = [(5, "http://a/ü\r\nX: y", big), (2, "http://b", big), (9, None, big), (1, "u", small), (3, "u", small), (4, "u", None), (None, "n", big), (2, "http://b", big), (7, "z", "other " * 40)]
