@@ -10,6 +10,9 @@ Groups of equal variants are compared inside the task in blocks; a group leaves
 of its links, never its pairs.  A group above ``BLOCK`` members is first cut by the bytes of the
 rest of the fingerprint: two fingerprints within ``distance`` bits agree in one of
 ``distance + 1`` parts, so equal parts are compared instead of the whole group; nothing is lost.
+
+``near_duplicates`` decides by the similarity of shingle sets, which a fingerprint's distance bounds
+too loosely, and finds its candidates by bands of least hashes with a stated recall.
 """
 
 from __future__ import annotations
@@ -215,76 +218,160 @@ def links(fps: DataFrame, names: list[str], segments: int, distance: int) -> Dat
     return dealt.mapInArrow(run, ", ".join(f"{side}{i} long" for side in "ab" for i in range(k)))
 
 
-def word_fingerprints(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit SimHash over the distinct words of each text (high and low 64 bits)."""
-    high, low = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-    for i, t in enumerate(texts):
-        words = set((t or b"").translate(LOWER).split())
-        if words:
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
-            ones = np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int32)
-            high[i], low[i] = np.packbits(ones * 2 > len(h)).view(">u8").astype(np.uint64)
-    return high, low
-
-
-#: The near-duplicate filter: bits of its fingerprints, cut, candidates' distance; then the
-#: shingles and similarity that decide.
-WIDE_SEGMENTS, WIDE_DISTANCE = 5, 18
+#: The near-duplicate filter: shingles and similarity that decide.
 VERIFY_WORDS, VERIFY_SIMILARITY = 5, 0.8
+#: Candidates: texts whose least shingle hashes agree in all ``BAND_ROWS`` of one of ``BANDS``
+#: bands.  A pair of similarity s is missed with (1 - s ** BAND_ROWS) ** BANDS, 1.8e-5 at 0.8 ...
+BANDS, BAND_ROWS = 36, 6
+#: ... or if its sketches, a bit of each of 192 least hashes, differ in more bits (they differ in
+#: (1 - s) / 2 of them on average; the chance at 0.8 is under 1e-6).
+SKETCH_WORDS, SKETCH_DISTANCE = 3, 42
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Candidate groups up to this size give all their pairs.
+SMALL_GROUP = 64
 LAST_ID = (1 << 63) - 1
 
 
+def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """The least of each set's hashes under each of the ``_FACTORS``: (factors, sets); 0 if empty."""
+    out = np.zeros((len(_FACTORS), len(sets)), np.uint64)
+    rows = [i for i, x in enumerate(sets) if len(x)]
+    while rows:
+        part, total = [], 0
+        while len(part) < len(rows) and total < 1 << 15:
+            total += len(sets[rows[len(part)]])
+            part.append(rows[len(part)])
+        rows = rows[len(part) :]
+        flat = np.concatenate([sets[i] for i in part])
+        flat = flat ^ flat >> np.uint64(29)
+        starts = np.cumsum([0, *(len(sets[i]) for i in part[:-1])])
+        for k, factor in enumerate(_FACTORS):
+            out[k, part] = np.minimum.reduceat(flat * factor, starts)
+    return out
+
+
+def bands(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each band (sets, BANDS) and sketch (sets, SKETCH_WORDS) of least hashes."""
+    n = least.shape[1]
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], n, axis=1)
+    for value in least.reshape(BANDS, BAND_ROWS, n).swapaxes(0, 1):
+        keys = (keys ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    bit = (least[: 64 * SKETCH_WORDS] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)
+    sketch = np.packbits(np.ascontiguousarray(bit.T), axis=1).view(np.uint64)
+    return np.ascontiguousarray(keys.T), sketch
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Runs of whole groups, by the first of ``width`` long columns, of rows that come sorted by it."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.column_stack([batch.column(i).to_numpy() for i in range(width)])
+        if not len(rows):
+            continue
+        last = rows[-1, 0]
+        tail = rows[:, 0] == last
+        if held and held[0][0, 0] == last:  # the whole batch is of this group
+            held.append(rows)
+            continue
+        done = np.vstack([*held, rows[~tail]]) if held else rows[~tail]
+        held = [rows[tail]]
+        if len(done):
+            yield done
+    if held:
+        yield np.vstack(held)
+
+
+_MARKS = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of sketches are near enough."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= SKETCH_DISTANCE
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of rows (key, node, s0..) with equal keys.
+
+    Groups up to ``SMALL_GROUP`` give all pairs whose sketches are near; a larger one links its
+    members to its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2 + SKETCH_WORDS):
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
+            sizes = np.diff(edge)
+            found = []
+            for size in np.unique(sizes[sizes > 1]):
+                at = edge[:-1][sizes == size]
+                i, j = np.triu_indices(size, 1) if size <= SMALL_GROUP else (np.zeros(size - 1, np.int64), np.arange(1, size))
+                step = max(1, (1 << 18) // len(i))
+                for k in range(0, len(at), step):
+                    a, b = ((at[k : k + step, None] + x).ravel() for x in (i, j))
+                    near = _near(rows[a, 2:], rows[b, 2:])
+                    found.append(np.column_stack([rows[a[near], 1], rows[b[near], 1]]))
+            if found and len(both := np.unique(np.sort(np.vstack(found), axis=1), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], ["u", "v"])
+
+    return _by_key(keyed.select("key", "node", *_MARKS)).mapInArrow(run, "u long, v long").distinct()
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return rows.repartition(int(n), "key").sortWithinPartitions("key", "node")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, without near-duplicates: of each group linked by a word-shingle
     similarity of ``VERIFY_SIMILARITY`` the smallest doc_id stays.
 
-    Candidates are found by 128-bit fingerprints of the distinct words, which a few edits move
-    little; ``2 * WIDE_SEGMENTS - 1`` bits are always found, further ones often.  Links form a
-    minimum spanning forest of each variant group and are verified on whole texts.  Equal texts
-    need no verification.  Rows that repeat a doc_id are one document, of which one row stays; a
-    null doc_id comes after all others; null and empty texts are equal."""
+    Texts with the same set of shingles are one node and need no verification (null texts and those
+    without a word have the empty set).  Candidates share a band of least hashes, see ``BANDS``, and
+    are verified on whole texts.  A doc_id may stand for several texts, each judged as its own; of
+    rows with equal doc_id and text one stays; a null doc_id comes after all others."""
     content = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    keys = [number.alias("id"), F.xxhash64(content).alias("t"), content.alias("text")]
+
+    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.unique(shingle_hashes(t, VERIFY_WORDS)) for t in batch.column(2).to_pylist()]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            high, low = word_fingerprints(texts)
-            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
-            columns = [batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in (high.view(np.int64), low.view(np.int64), digest[:, 0], digest[:, 1]))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "f0", "f1", "t0", "t1"])
+            sets = sets_of(batch)
+            node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
+            key, sketch = bands(least_hashes(sets))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            marks = [pa.array(np.ascontiguousarray(x)) for x in sketch.view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *marks, lists], ["id", "t", "node", *_MARKS, "bands"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, VERIFY_WORDS)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
-
-    narrow = kept(docs.select(number.alias("id"), content).mapInArrow(prints, "id long, f0 long, f1 long, t0 long, t1 long"), "near-rows")
-    texts = narrow.groupBy("t0", "t1").agg(F.min("id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
-    texts = texts.groupBy("id").agg(F.min(F.struct("t0", "t1", "f0", "f1")).alias("of")).select("id", "of.*")
-    texts = kept(texts, "near-texts")
-    prints_ = kept(texts.groupBy("f0", "f1").agg(F.min("id").alias("rep")), "near-prints")
-    found = links(prints_, ["f0", "f1"], WIDE_SEGMENTS, WIDE_DISTANCE).distinct()
-    a = prints_.select(F.col("f0").alias("a0"), F.col("f1").alias("a1"), F.col("rep").alias("u"))
-    b = prints_.select(F.col("f0").alias("b0"), F.col("f1").alias("b1"), F.col("rep").alias("v"))
-    across = found.join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).select("u", "v")
-    same = texts.join(prints_, ["f0", "f1"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    edges = kept(across.unionByName(same), "near-edges")
-    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
-    chosen = ends.join(texts, "id").select(F.col("id").alias("of"), "t0", "t1")
-    keyed = docs.select(number.alias("id"), content.alias("text"))
-    sets = keyed.join(chosen, keyed.id == chosen.of, "left_semi").mapInArrow(shingles, "id long, set array<long>")
-    sets = kept(sets.dropDuplicates(["id"]), "near-sets")
-    both = edges.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
-    roots = components(both.where(alike).select("u", "v"))
-    gone = roots.where("node <> root").select(F.col("node").alias("id"))
-    stay = kept(texts.join(gone, "id", "left_anti").select(F.col("id").alias("__id"), F.col("t0").alias("__t0"), F.col("t1").alias("__t1")), "near-stay")
-    packed = docs.select(F.struct("*").alias("__row"), number.alias("__id"))
-    out = packed.join(stay.select("__id"), "__id", "left_semi")
-    if narrow.join(stay, narrow.id == stay["__id"]).count() != stay.count():  # rows repeat a doc_id
-        out = out.groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row.text")).alias("__row"))
+            sets = [x.view(np.int64) for x in sets_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    kinds = "id long, t long, node long, " + ", ".join(f"{m} long" for m in _MARKS) + ", bands array<long>"
+    rows = docs.select(*keys).mapInArrow(prints, kinds)
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "t")).alias("of"), *(F.first(c).alias(c) for c in [*_MARKS, "bands"]))
+    nodes = kept(nodes, "near-nodes")
+    keyed = nodes.select("node", *_MARKS, F.explode("bands").alias("key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        chosen = ends.join(nodes, "node").select("of.*", "node")
+        sets = docs.select(*keys).join(chosen, ["id", "t"]).select("id", "t", "text", "node")
+        sets = kept(sets.mapInArrow(shingles, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+        shared = F.size(F.array_intersect("x", "y"))
+        alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
+        return kept(both.where(alike).select("u", "v"), "near-links")
+
+    roots = components(verified(kept(candidates(keyed), "near-pairs")))
+    rooted = nodes.join(roots, "node", "left").select("of", F.coalesce("root", "node").alias("root"))
+    stay = kept(rooted.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__id"), F.col("of.t").alias("__t")), "near-stay")
+    packed = docs.select(F.struct("*").alias("__row"), number.alias("__id"), F.xxhash64(content).alias("__t"))
+    out = packed.join(stay, ["__id", "__t"], "left_semi")
+    if docs.select(*keys[:2]).join(stay, (F.col("id") == F.col("__id")) & (F.col("t") == F.col("__t"))).count() != stay.count():  # rows repeat
+        out = out.groupBy("__id", "__t").agg(F.first("__row").alias("__row"))
     return out.select("__row.*")
 
 

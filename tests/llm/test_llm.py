@@ -241,6 +241,53 @@ def test_near_duplicates(spark, docs, empty):
     assert simhash.near_duplicates(clean).count() == 50
 
 
+def edited_corpus():
+    """Texts of several lengths with copies edited at one end or here and there."""
+    rng = np.random.default_rng(11)
+    out = []
+    for length in (12, 40, 120, 400, 1500):
+        for _ in range(40):
+            words = [f"w{x}" for x in rng.integers(0, 30000, length)]
+            out.append(words)
+            out.append(words[: length - int(length * rng.uniform(0.05, 0.25))])  # cut short
+            more = list(words)
+            for at in rng.choice(length, max(1, int(length * rng.uniform(0.005, 0.03))), replace=False):
+                more[at] = f"x{rng.integers(0, 30000)}"
+            out.append(more)
+            out.append([*more, *(f"y{x}" for x in rng.integers(0, 30000, int(length * rng.uniform(0.02, 0.2))))])
+    return [(k, " ".join(w)) for k, w in enumerate(out)]
+
+
+def brute_alike(rows):
+    """Pairs of row numbers at a shingle similarity of 0.8 or more."""
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").translate(LOW).split()) else set() for _, t in rows]
+    return [
+        (a, b) for a in range(len(sets)) for b in range(a)
+        if 4 * max(len(sets[a]), len(sets[b])) <= 5 * min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+
+
+def brute_stay(rows):
+    """Row numbers that stay: the smallest doc_id (null last) of each component."""
+    root = list(range(len(rows)))
+    for a, b in brute_alike(rows):
+        old, new = root[a], root[b]
+        root = [new if r == old else r for r in root]
+    best = {}
+    for k in range(len(rows)):
+        if (at := best.get(root[k])) is None or (rows[k][0] is None, rows[k][0]) < (rows[at][0] is None, rows[at][0]):
+            best[root[k]] = k
+    return best.values()
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = edited_corpus()
+    left = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted(rows[k][0] for k in brute_stay(rows))
+    assert len(want) < len(rows) * 0.7
+    assert sorted(r["doc_id"] for r in left.collect()) == want
+
+
 def brute_parts(url):
     at = (url or "").find("://")
     if at < 0:
