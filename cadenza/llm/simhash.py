@@ -227,8 +227,9 @@ BANDS, BAND_ROWS = 36, 6
 #: (1 - s) / 2 of them on average; the chance at 0.8 is under 1e-6).
 SKETCH_WORDS, SKETCH_DISTANCE = 3, 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Candidate groups up to this size give all their pairs.
-SMALL_GROUP = 64
+#: Candidate groups up to this size give all their pairs at once; members of larger ones that
+#: their first links have not joined are compared in blocks of some so many.
+SMALL_GROUP, VERIFY_BLOCK = 64, 512
 LAST_ID = (1 << 63) - 1
 
 
@@ -291,16 +292,21 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of rows (key, node, s0..) with equal keys.
+    """Candidate pairs (u, v) of rows (key, node, s0..) with equal keys, with null key and sketch.
 
-    Groups up to ``SMALL_GROUP`` give all pairs whose sketches are near; a larger one links its
-    members to its first."""
+    Groups up to ``SMALL_GROUP`` give all pairs whose sketches are near.  A larger one pairs its
+    members with its first, and its rows are given as (key, node as u, first node as v, s0..)."""
+    names = ["key", "u", "v", *_MARKS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 2 + SKETCH_WORDS):
             edge = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
             sizes = np.diff(edge)
             found = []
+            for g in np.flatnonzero(sizes > SMALL_GROUP):
+                group = rows[edge[g] : edge[g + 1]]
+                columns = [group[:, 0], group[:, 1], np.full(len(group), group[0, 1]), *group[:, 2:].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names)
             for size in np.unique(sizes[sizes > 1]):
                 at = edge[:-1][sizes == size]
                 i, j = np.triu_indices(size, 1) if size <= SMALL_GROUP else (np.zeros(size - 1, np.int64), np.arange(1, size))
@@ -310,9 +316,72 @@ def candidates(keyed: DataFrame) -> DataFrame:
                     near = _near(rows[a, 2:], rows[b, 2:])
                     found.append(np.column_stack([rows[a[near], 1], rows[b[near], 1]]))
             if found and len(both := np.unique(np.sort(np.vstack(found), axis=1), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both.T], ["u", "v"])
+                none = pa.nulls(len(both), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *(pa.array(np.ascontiguousarray(x)) for x in both.T), *[none] * SKETCH_WORDS], names)
 
-    return _by_key(keyed.select("key", "node", *_MARKS)).mapInArrow(run, "u long, v long").distinct()
+    return _by_key(keyed.select("key", "node", *_MARKS)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def unjoined(members: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of rows (key, node, root, s0..) with equal keys, near sketches and
+    different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3 + SKETCH_WORDS):
+            for group in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                roots, of, sizes = np.unique(group[:, 2], return_inverse=True, return_counts=True)
+                rank = np.argsort(np.argsort(-sizes, kind="stable"))[of]  # 0: the largest component
+                group = group[np.argsort(rank, kind="stable")]
+                rank = np.sort(rank)
+                for at in np.flatnonzero(rank):  # each with all members of larger components
+                    before = group[: np.searchsorted(rank, rank[at])]
+                    near = before[_near(before[:, 3:], group[at, 3:]), 1]
+                    if len(near):
+                        own = np.full(len(near), group[at, 1])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, near)), pa.array(np.maximum(own, near))], ["u", "v"])
+
+    return _by_key(members.select("key", "node", "root", *_MARKS)).mapInArrow(run, "u long, v long").distinct()
+
+
+def blocks_of(stars: DataFrame) -> DataFrame:
+    """(node, home, block): the component of each node of ``stars`` (u, v), and its block there."""
+    home = kept(components(stars).select("node", F.col("root").alias("home")), "near-homes")
+    count = home.groupBy("home").agg(F.ceil(F.count("*") / VERIFY_BLOCK).alias("n"))
+    return kept(home.join(count, "home").select("node", "home", F.pmod(F.xxhash64("node"), "n").alias("block")), "near-blocks")
+
+
+def verified_blocks(pairs: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v; within a home) whose ``sets`` (node, set) are similar.  A set travels
+    once for each block that its block is compared with, not once for each pair."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        u, v, node = (x.to_numpy() for x in (asked["u"], asked["v"], held["node"]))
+        place = {int(n): i for i, n in enumerate(node)}
+        lists = held["set"].combine_chunks()
+        flat, edge = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        codes = np.unique(flat, return_inverse=True)[1].ravel()
+        mark = np.zeros(len(codes) + 1, np.int32)
+        good = np.zeros(len(u), bool)
+        order = np.argsort(u, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(u[order])) + 1):
+            at = place[int(u[rows[0]])]
+            own = codes[edge[at] : edge[at + 1]]
+            mark[own] = 1
+            for k, i in zip(rows.tolist(), (place[x] for x in v[rows].tolist()), strict=True):
+                other = codes[edge[i] : edge[i + 1]]
+                shared = int(mark[other].sum())
+                good[k] = shared >= VERIFY_SIMILARITY * (len(own) + len(other) - shared)
+            mark[own] = 0
+        return pa.table({"u": pa.array(u[good]), "v": pa.array(v[good])})
+
+    a = blocks.select(F.col("node").alias("u"), "home", F.col("block").alias("bu"))
+    b = blocks.select(F.col("node").alias("v"), F.col("block").alias("bv"))
+    cell = F.struct("home", F.least("bu", "bv").alias("low"), F.greatest("bu", "bv").alias("high"))
+    asked = kept(pairs.join(a, "u").join(b, "v").select("u", "v", cell.alias("cell")).select("u", "v", "cell.*"), "near-asked")
+    cells = asked.select(F.col("home").alias("of"), F.col("low").alias("l"), F.col("high").alias("h")).distinct()
+    cells = cells.select("*", F.explode(F.array_distinct(F.array("l", "h"))).alias("b"))
+    held = cells.join(blocks, (F.col("of") == F.col("home")) & (F.col("b") == F.col("block"))).select("of", "l", "h", "node").join(sets, "node")
+    return asked.groupBy("home", "low", "high").cogroup(held.groupBy("of", "l", "h")).applyInArrow(run, "u long, v long")
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
@@ -326,7 +395,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with the same set of shingles are one node and need no verification (null texts and those
     without a word have the empty set).  Candidates share a band of least hashes, see ``BANDS``, and
-    are verified on whole texts.  A doc_id may stand for several texts, each judged as its own; of
+    are verified on whole texts: every pair of a band's group is either verified or lies in one
+    component by links that were.  A doc_id may stand for several texts, each judged as its own; of
     rows with equal doc_id and text one stays; a null doc_id comes after all others."""
     content = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
@@ -355,17 +425,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = kept(nodes, "near-nodes")
     keyed = nodes.select("node", *_MARKS, F.explode("bands").alias("key"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def sets_for(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         chosen = ends.join(nodes, "node").select("of.*", "node")
-        sets = docs.select(*keys).join(chosen, ["id", "t"]).select("id", "t", "text", "node")
-        sets = kept(sets.mapInArrow(shingles, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+        found = docs.select(*keys).join(chosen, ["id", "t"]).select("id", "t", "text", "node")
+        return kept(found.mapInArrow(shingles, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_for(pairs)
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
         shared = F.size(F.array_intersect("x", "y"))
         alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
         return kept(both.where(alike).select("u", "v"), "near-links")
 
-    roots = components(verified(kept(candidates(keyed), "near-pairs")))
+    found = kept(candidates(keyed), "near-found")
+    links_ = verified(kept(found.where("key IS NULL").select("u", "v").distinct(), "near-pairs"))
+    roots = components(links_)
+    large = found.where("key IS NOT NULL")
+    if large.limit(1).count():
+        members = large.select("key", F.col("u").alias("node"), *_MARKS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = kept(unjoined(members), "near-rest")
+        more = verified_blocks(rest, blocks_of(large.select("u", "v")), sets_for(rest))
+        roots = components(kept(links_.unionByName(more), "near-links"))
     rooted = nodes.join(roots, "node", "left").select("of", F.coalesce("root", "node").alias("root"))
     stay = kept(rooted.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__id"), F.col("of.t").alias("__t")), "near-stay")
     packed = docs.select(F.struct("*").alias("__row"), number.alias("__id"), F.xxhash64(content).alias("__t"))

@@ -288,6 +288,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == want
 
 
+@pytest.mark.parametrize(("small", "block"), [(64, 512), (2, 7)])
+def test_near_duplicates_of_large_groups_equal_brute_force(spark, monkeypatch, small, block):
+    rng = np.random.default_rng(6)
+    rows = []
+    for text in range(3):  # near-copies of one text, of which many pairs lie on either side of 0.8
+        base = [f"t{text}w{k}" for k in range(150)]
+        for k in range(400):
+            words = list(base)
+            for at in rng.choice(150, rng.integers(0, 10), replace=False):
+                words[at] = f"x{text}y{k}z{at}"
+            rows.append((len(rows), " ".join(words)))
+    # a chain of neighbours whose ends have nothing in common
+    chain = [f"c{k}" for k in range(300)]
+    rows += [(len(rows) + k, " ".join(chain[k * 12 : k * 12 + 150])) for k in range(12)]
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    monkeypatch.setattr(simhash, "VERIFY_BLOCK", block)
+    left = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(rows[k][0] for k in brute_stay(rows))
+
+
 def brute_parts(url):
     at = (url or "").find("://")
     if at < 0:
