@@ -10,8 +10,9 @@ An adaptive table, learned along, refines the mixed probability.  Scores are tot
 probabilities of the whole text.
 
 Counts come from all training texts; the tables have a fixed number of slots and are kept as
-logarithms of two bytes that hold any 64-bit sum, so they may be broadcast.  The mixer's few hundred weights are learned from at
-most ``MIX_DOCS`` training documents (those with the smallest hashed ids).
+logarithms of two bytes that hold any 64-bit sum, so they may be broadcast.  The mixer's few hundred
+weights are learned from all training texts where they lie: each task learns a mixer over its texts,
+and the tasks' mixers are averaged by how many decisions each gate had there.
 
 Word counts for the base score travel as hashed blobs between shards (see ``common``).
 """
@@ -23,7 +24,7 @@ import heapq
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -50,7 +51,11 @@ CACHE_BITS = 21
 FULL = 1 << 31
 #: Ranges into which a table is cut to be summed; salts of the first summing step.
 RANGES, SALTS = 24, 16
-MIX_DOCS, MIX_STEP, MIX_BATCH = 400, 0.003, 128
+#: Step of the weights; text of which equal grams are learned from at once, and the batches into
+#: which they are dealt.
+MIX_STEP, MIX_CHUNK, MIX_BATCHES = 0.5, 6 << 20, 128
+#: Decisions that a refinement bucket remembers, at first and at most.
+MIX_FIRST, MIX_MEMORY = 50, 1_000_000
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 #: Text whose word hashes meet in one bucket.
 BUCKET_BYTES = 64 << 20
@@ -187,47 +192,108 @@ def inputs(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.vstack([odds, np.full((1, odds.shape[1]), 0.3, np.float32)]), gate
 
 
-def _refined(mixer: Mixer, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Final probability of a one, the lower refinement bucket, and the share of the upper one."""
+def _bucket(gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower refinement bucket and the share of the upper one."""
     at = np.clip(mixed * 2 + APM // 2, 0, APM - 1.001)
     low = at.astype(np.int64)
-    high = at - low
+    return gate * APM + low, at - low
+
+
+def _refined(mixer: Mixer, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Final probability of a one, the lower refinement bucket, and the share of the upper one."""
+    base, high = _bucket(gate, mixed)
     table = mixer.refine.reshape(-1)
-    base = gate * APM + low
     p = (table[base] * (1 - high) + table[base + 1] * high + 1 / (1 + np.exp(-mixed))) / 2
     return np.clip(p, 1e-6, 1 - 1e-6), base, high
 
 
-def learn(mixer: Mixer, odds: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
-    """Go through the decisions in order, ``MIX_BATCH`` at a time: predict, then move the gate's
-    weights along the cost's gradient and the refinement towards the bit."""
-    for a in range(0, len(bit), MIX_BATCH):
-        x, g, y = odds[:, a : a + MIX_BATCH], gate[a : a + MIX_BATCH], bit[a : a + MIX_BATCH]
-        mixed = np.clip((mixer.weights[g].T * x).sum(axis=0), -12, 12)
-        _, base, high = _refined(mixer, g, mixed)
-        error = y - 1 / (1 + np.exp(-mixed))
-        np.add.at(mixer.weights, g, MIX_STEP * (error * x).T)
-        table = mixer.refine.reshape(-1)
-        near = base + (high > 0.5)
-        np.add.at(table, near, 0.02 * (y - table[near]))
+def learn(mixer: Mixer, seen: np.ndarray, odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, n: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """One batch of decisions that occur ``n`` times: predict, then move each gate's weights along
+    the mean gradient of the cost and the refinement towards the bits.  A gate with less than its
+    ``least`` occurrences moves in proportion; ``seen`` counts what each bucket remembers.  Gives
+    how many decisions each bucket had."""
+    sets = len(mixer.weights)
+    mixed = np.clip(np.einsum("in,ni->n", odds, mixer.weights.astype(np.float32)[gate]), -12, 12)
+    base, high = _bucket(gate, mixed)
+    error = n * (bit - 1 / (1 + np.exp(-mixed)))
+    total = np.maximum(np.maximum(np.bincount(gate, n, sets), least), 1)
+    for i in range(len(odds)):
+        mixer.weights[:, i] += MIX_STEP * np.bincount(gate, error * odds[i], sets) / total
+    near = base + (high > 0.5)
+    count, ones = (np.bincount(near, w, seen.size) for w in (n, n * bit))
+    table, kept_ = mixer.refine.reshape(-1), seen.reshape(-1)
+    table += (ones - count * table) / (kept_ + count)
     np.clip(mixer.refine, 1e-4, 1 - 1e-4, out=mixer.refine)
+    np.minimum(kept_ + count, MIX_MEMORY, out=kept_)
+    return count.reshape(seen.shape)
 
 
 def train_mixer(table: np.ndarray, texts: list[bytes], code: Code) -> Mixer:
     """Mixer learned over ``texts``, which ``table`` (logarithms, a column for each bit) counts."""
+    return learned(table, ([texts[i] for i in rows] for rows in _chunks(texts, MIX_CHUNK)), code)[0]
+
+
+def learned(table: np.ndarray, chunks: Iterable[list[bytes]], code: Code) -> tuple[Mixer, np.ndarray, np.ndarray]:
+    """A mixer learned over chunks of texts, and how many decisions each gate and each refinement
+    bucket had.  Equal grams of a chunk are one, with their number."""
     mixer = Mixer.new()
-    for text in texts:
-        gram, _ = grams([text])
-        row, node, bit = decisions(gram, code)
-        order = np.argsort(row, kind="stable")
-        row, node, bit = row[order], node[order], bit[order]
-        both = _COUNT_OF[table[np.array(slots(gram[row], node))]]
-        zero, one = both[..., 0], both[..., 1]
-        # a decision's own occurrence is not evidence for it
-        own = bit.astype(np.float32)
-        odds, gate = inputs(np.maximum(0, zero - (1 - own)), np.maximum(0, one - own))
-        learn(mixer, odds, gate, own)
-    return mixer
+    seen = np.full(mixer.refine.shape, float(MIX_FIRST))
+    gates, buckets = np.zeros(len(mixer.weights)), np.zeros(mixer.refine.shape)
+    for texts in chunks:
+        gram, n = np.unique(grams(texts)[0], return_counts=True)
+        # dealt by a hash, so that a batch is a fair sample of the chunk
+        order = np.argsort((gram ^ gram >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15))
+        gram, n = gram[order], n[order].astype(np.float64)
+        least, done = np.zeros(len(gates)), 0
+        for part in np.array_split(np.arange(len(gram)), min(MIX_BATCHES, -(-len(gram) // 64))):
+            row, node, bit = decisions(gram[part], code)
+            both = _COUNT_OF[table[np.array(slots(gram[part][row], node))]]
+            # a decision's own occurrence is not evidence for it
+            own = bit.astype(np.float32)
+            odds, gate = inputs(np.maximum(0, both[..., 0] - (1 - own)), np.maximum(0, both[..., 1] - own))
+            weight = n[part][row]
+            buckets += learn(mixer, seen, odds, gate, own, weight, least / max(1, done))
+            had = np.bincount(gate, weight, len(gates))
+            least, done, gates = least + had, done + 1, gates + had
+    return mixer, gates, buckets
+
+
+def trained_mixer(training: DataFrame, model: Broadcast) -> Mixer:
+    """The mixer over all rows of ``training`` (text): every task learns one over its texts; they are
+    summed in salted groups, weighted by their decisions, and these few sums once more."""
+    start = Mixer.new()
+    sets, shape = len(start.weights), start.refine.shape
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= MIX_CHUNK:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, code = model.value
+        mixer, gates, buckets = learned(table, chunks(batches), code)
+        data = np.concatenate([x.ravel() for x in (mixer.weights * gates[:, None], gates, mixer.refine * buckets, buckets)]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(data) % SALTS], pa.int32()), pa.array([data])], ["salt", "data"])
+
+    def total(t: pa.Table) -> pa.Table:
+        data = np.sum([np.frombuffer(d, np.float64) for d in sorted(t["data"].to_pylist())], axis=0)
+        return pa.table({"salt": t["salt"][:1], "data": pa.array([data.tobytes()])})
+
+    parts = training.select("text").mapInArrow(run, "salt int, data binary")
+    rows = parts.groupBy("salt").applyInArrow(total, "salt int, data binary").collect()  # at most SALTS rows
+    if not rows:
+        return start
+    data = np.sum([np.frombuffer(r["data"], np.float64) for r in sorted(rows)], axis=0)
+    weights, gates, refine, buckets = np.split(data, np.cumsum([start.weights.size, sets, start.refine.size]))
+    weights, gates, refine, buckets = weights.reshape(start.weights.shape), gates[:, None], refine.reshape(shape), buckets.reshape(shape)
+    return Mixer(np.where(gates > 0, weights / np.maximum(gates, 1), start.weights), np.where(buckets > 0, refine / np.maximum(buckets, 1), start.refine))
 
 
 class Scorer:
@@ -279,11 +345,12 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(name: str, model: Broadcast) -> Scorer:
+def _scorer(name: str, model: Broadcast, mixer: Mixer) -> Scorer:
     """The scorer of a model; a Python worker keeps the last one and what it has worked out."""
     if name not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[name] = Scorer(*model.value)
+        table, code = model.value
+        _SCORERS[name] = Scorer(table, mixer, code)
     return _SCORERS[name]
 
 
@@ -452,17 +519,15 @@ def scored(docs: DataFrame) -> DataFrame:
     n_bytes = int(histogram[1:].sum())
     code = Code.of(histogram)
     training = base.where("train")
-    table = count_tables(training, code)
-    first = training.select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), "text").orderBy("h").limit(MIX_DOCS)
-    mixer = train_mixer(table, [r["text"] for r in first.orderBy("h", "text").collect()], code)
+    model = spark.sparkContext.broadcast((count_tables(training, code), code))
     n = shard_count(n_bytes, SHARD_BYTES)
+    mixer = trained_mixer(training, model)
     base = base.withColumn("shard", shard_of("doc_id", n))
     words = kept(word_table(base, shard_count(n_bytes, BUCKET_BYTES)), "lm-words")
     sums = words.where("shard = -1").select("counts").toLocalIterator()  # two numbers a bucket
     n_tokens, n_distinct = (int(x) for x in sum((np.frombuffer(r[0], np.uint64) for r in sums), np.zeros(2, np.uint64)))
     ends = training.count()
     n_tokens, n_distinct = n_tokens + ends, n_distinct + (ends > 0)
-    model = spark.sparkContext.broadcast((table, mixer, code))
     name = uuid.uuid4().hex
     below = np.log10(n_tokens + n_distinct + 1)
 
@@ -482,7 +547,7 @@ def scored(docs: DataFrame) -> DataFrame:
         known = np.bincount(of, logs > 0, len(size)).astype(np.int64) + (ends > 0)
         base_score = np.bincount(of, logs, len(size)) + np.log10(ends + 1.0) - (size + 1) * below
         del lists, every, log_of, logs, of
-        score, scorer = np.zeros(len(texts)), _scorer(name, model)
+        score, scorer = np.zeros(len(texts)), _scorer(name, model, mixer)
         for chunk in _chunks(texts, SCORE_CHUNK):
             score[chunk] = scorer.score([texts[i] for i in chunk])
         return pa.table(

@@ -419,6 +419,29 @@ def test_lm_sums_of_a_task_are_given_on_before_they_are_full(spark, monkeypatch)
     assert (lm.count_tables(frame, code) == lm.packed(want)).all()
 
 
+def test_lm_mixer_learns_from_every_training_text(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, b" ".join(b"w%d" % x for x in rng.integers(0, 40, 12))) for k in range(900)]
+    code = lm.Code.of(np.bincount(np.frombuffer(b" ".join(t for _, t in rows), np.uint8), minlength=256))
+    raw = np.zeros((lm._EDGES[-1], 2), np.uint32)
+    lm.count(raw, [t for _, t in rows], code)
+    table = lm.packed(raw)
+    model = spark.sparkContext.broadcast((table, code))
+    frame = spark.createDataFrame(rows, "doc_id long, text binary").repartition(5).cache()
+    tasks = {}
+    for r in frame.withColumn("task", F.spark_partition_id()).collect():
+        tasks.setdefault(r["task"], []).append(bytes(r["text"]))
+    parts = [lm.learned(table, [texts], code) for texts in tasks.values()]
+    n_decisions = len(lm.decisions(lm.grams([t for _, t in rows])[0], code)[0])
+    assert sum(g.sum() for _, g, _ in parts) == sum(b.sum() for _, _, b in parts) == n_decisions
+    gates, buckets = sum(g for _, g, _ in parts)[:, None], sum(b for _, _, b in parts)
+    weights, refine = sum(m.weights * g[:, None] for m, g, _ in parts), sum(m.refine * b for m, _, b in parts)
+    got, new = lm.trained_mixer(frame, model), lm.Mixer.new()
+    assert np.allclose(got.weights, np.where(gates > 0, weights / np.maximum(gates, 1), new.weights))
+    assert np.allclose(got.refine, np.where(buckets > 0, refine / np.maximum(buckets, 1), new.refine))
+    assert not np.allclose(got.weights, lm.Mixer.new().weights)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<html>" + "x" * 200 + "é</html>", "tiny"
     seen = [(5, "http://a/ü\r\nX: y", big), (2, "http://b", big), (9, None, big), (1, "u", small), (3, "u", small), (4, "u", None), (None, "n", big), (2, "http://b", big), (7, "z", "other " * 40)]
