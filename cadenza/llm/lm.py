@@ -1,20 +1,27 @@
 """Language-model scoring by online logistic context mixing.
 
-Bytes are coded as binary decisions along a prefix code made from the corpus' byte counts, and an
-end mark (byte 0) closes each text.  For each decision several predictors look up, by a hash of the
-last ``ORDERS[i]`` bytes and the place in the code, how often either bit followed in the
-training texts.  Their log-odds are summed with weights; the weight set is chosen by a gate (how
-long a context is known and how well), and the weights are learned online, decision by decision,
-by the gradient of the coding cost, with each sample's own occurrence taken out of its counts.
-An adaptive table, learned along, refines the mixed probability.  Scores are total log
-probabilities of the whole text.
-
-Counts come from all training texts; the tables have a fixed number of slots and are kept as
-logarithms of two bytes that hold any 64-bit sum, so they may be broadcast.  The mixer's few hundred
+Texts are read as bytes with A-Z lower-cased.  Bytes are coded as binary decisions along a prefix
+code made from the training texts' byte counts, and an end mark (byte 0) closes each text.  For each
+decision several predictors look up, by a hash of the last two to five bytes, or of the word so far,
+and the place in the code, how often either bit followed in the training texts.  Their log-odds are
+summed with weights; the weight set is chosen by a gate (how long a context is known, how well, and
+how well the word is), and the weights are learned online, decision by decision, by the gradient of
+the coding cost.  An adaptive table, learned along, refines the mixed probability.
+
+One more binary decision stands before a *stretch*, some eight words cut where a word's hash says:
+whether it is the stretch that always followed the one before it.  Its probability is kept by how
+often that was seen, learned from all training texts; if it says yes, the stretch costs no more.
+
+Scores are total log probabilities of whole texts.  A training text is scored as the other training
+texts teach: its own occurrence is taken out of every count, in learning the mixer as in scoring, so
+that scores of training and held-out texts compare.  No held-out text teaches anything.
+
+Counts come from all training texts; tables grow with their bytes up to ``MOST_BITS`` and hold two
+bytes a slot that keep the ratio of any two 64-bit sums, so they may be broadcast.  The mixer's
 weights are learned from all training texts where they lie: each task learns a mixer over its texts,
-and the tasks' mixers are averaged by how many decisions each gate had there.
-
-Word counts for the base score travel as hashed blobs between shards (see ``common``).
+and the tasks' mixers are averaged by how many decisions each gate had there.  What words and
+stretches are followed by is looked up exactly: their hashes travel as blobs between shards (see
+``common``) and are never cut.
 """
 
 from __future__ import annotations
@@ -36,36 +43,44 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SHARD_BYTES, kept, shard_count, shard_of
+from .common import LOWER, SHARD_BYTES, kept, shard_count, shard_of, text_bytes
 from .suffix import words_at
 
-#: Context lengths in bytes, and hashed slots of each.
-ORDERS, SLOT_BITS = (2, 3, 4, 5), (20, 22, 22, 22)
-#: Bytes of text that are counted, or scored, at once.
-COUNT_CHUNK, SCORE_CHUNK = 6 << 20, 1 << 20
+#: Context lengths in bytes; the last predictor looks at the word so far.
+ORDERS = (2, 3, 4, 5)
+PREDICTORS = len(ORDERS) + 1
+#: Slots of each predictor, as powers of two: of the training bytes, but within these bounds.
+LEAST_BITS, MOST_BITS = 16, (20, 22, 22, 22, 23)
+#: Bytes of text that are counted, learned from or scored at once.
+COUNT_CHUNK, MIX_CHUNK, SCORE_CHUNK = 3 << 20, 3 << 20, 1 << 20
 #: Distinct grams of several chunks that are held before they are counted.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 2_000_000
 #: Entries of the scorer's cache, as a power of two.
 CACHE_BITS = 21
 #: Where a task's 32-bit sums are given on.
 FULL = 1 << 31
 #: Ranges into which a table is cut to be summed; salts of the first summing step.
 RANGES, SALTS = 24, 16
-#: Step of the weights; text of which equal grams are learned from at once, and the batches into
-#: which they are dealt.
-MIX_STEP, MIX_CHUNK, MIX_BATCHES = 0.5, 6 << 20, 128
+#: Step of the weights, and the batches into which a chunk's distinct grams are dealt.
+MIX_STEP, MIX_BATCHES = 0.5, 128
 #: Decisions that a refinement bucket remembers, at first and at most.
 MIX_FIRST, MIX_MEMORY = 50, 1_000_000
 HELD_MODULUS, HELD_REMAINDER = 7, 2
-#: Text whose word hashes meet in one bucket.
+#: Text whose hashes of words and stretches meet in one bucket.
 BUCKET_BYTES = 64 << 20
 #: Buckets of the refinement over the mixed log-odds, in steps of half.
 APM = 33
-_EDGES = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
+#: Words of a stretch on average; how often a stretch was seen: once, twice, up to four times, more.
+STRETCH_WORDS, SEEN_LEVELS = 8, 4
 _BACK = max(ORDERS)
-#: Steps to a doubling of a count: two bytes reach beyond 2 ** 64.
-_LEVELS = 1000.0
-_COUNT_OF = (np.exp2(np.arange(1 << 16) / _LEVELS) - 1).astype(np.float32)
+_MIX, _ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_UNROLL = np.uint64(pow(int(_ROLL), -1, 1 << 64))
+_LOW32 = np.uint64(0xFFFFFFFF)
+#: Marks the keys of training texts in the scorer's cache.
+_OWN = np.uint64(0x5851F42D4C957F2D)
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b"\0 \t\n\x0b\x0c\r", np.uint8))
+#: The counts that a byte stands for: exact to 16, then in steps of 6 % up to 18 million.
+_LEVELS = np.concatenate((np.arange(17.0), 16 * 1.06 ** np.arange(1, 240)))
 
 
 def trains(doc_id: Column) -> Column:
@@ -75,10 +90,12 @@ def trains(doc_id: Column) -> Column:
 
 @dataclass
 class Code:
-    """Prefix code of the 256 bytes: for each depth, a byte's inner node (-1: none) and bit."""
+    """Prefix code of the 256 bytes: for each depth, a byte's inner node (-1: none) and bit; and the
+    slot bits of each predictor."""
 
     node: np.ndarray
     bit: np.ndarray
+    slot_bits: tuple[int, ...]
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Code:
@@ -103,36 +120,107 @@ class Code:
         for symbol, path in enumerate(paths):
             for k, (n, b) in enumerate(path):
                 node[k, symbol], bit[k, symbol] = n, b
-        return cls(node, bit)
+        fit = max(LEAST_BITS, int(counts.sum()).bit_length())
+        return cls(node, bit, tuple(min(fit, most) for most in MOST_BITS))
+
+    @property
+    def edges(self) -> np.ndarray:
+        """Where each predictor's slots begin in the joint table, and its length."""
+        return np.concatenate(([0], np.cumsum([1 << b for b in self.slot_bits])))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX
+    return x ^ x >> np.uint64(32)
+
+
+_POWERS = [np.ones(1, np.uint64)] * 2
+
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``_ROLL`` and of its inverse; the longest are kept."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_ROLL, _UNROLL)):
+            _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of each text and its end mark with the five bytes before it, as 48 bits; and where
-    each text starts."""
+
+@dataclass
+class Symbols:
+    """Each byte of some texts and their end marks, in order.
+
+    ``gram``: the byte with the five before it, as 48 bits.  ``word``: a hash of the word so far,
+    0 at its start.  ``start``: where each text begins.  ``cut`` and ``stretch``: where each stretch
+    begins, and its hash."""
+
+    gram: np.ndarray
+    word: np.ndarray
+    start: np.ndarray
+    cut: np.ndarray | None = None
+    stretch: np.ndarray | None = None
+
+    def key(self) -> np.ndarray:
+        """One number for each byte with all that its predictors look at."""
+        return self.gram * _MIX ^ self.word * _ROLL
+
+    def distinct(self) -> tuple[Symbols, np.ndarray]:
+        """One of each kind of byte and context, and how often it occurs."""
+        key = self.key()
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        at = order[first]
+        return Symbols(self.gram[at], self.word[at], self.start[:0]), np.diff(np.append(first, len(key)))
+
+    def take(self, at: np.ndarray | slice) -> Symbols:
+        return Symbols(self.gram[at], self.word[at], self.start[:0])
+
+
+def symbols(texts: list[bytes], stretches: bool = False) -> Symbols:
+    """The bytes of ``texts``, each closed by its end mark."""
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     # five zeros stand before each text; the first of those behind it is its end mark
     gap = b"\0" * _BACK
     flat = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
-    gram = words_at(flat) >> np.uint64(64 - 8 * (_BACK + 1))
-    own = np.ones(len(flat) - _BACK, bool)
+    n = len(flat) - _BACK
+    own = np.ones(n, bool)
     ends = np.cumsum(lengths + _BACK - 1)
     for k in range(1, _BACK):
         own[ends - k] = False
-    return gram[: len(own)][own], np.concatenate(([0], np.cumsum(lengths)[:-1]))
-
-
-def slots(gram: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-    """Slot of each predictor in the joint table, for decisions at ``node`` after ``gram``'s context."""
-    out = []
-    for i, (order, bits) in enumerate(zip(ORDERS, SLOT_BITS, strict=True)):
-        context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-        key = context << np.uint64(8) | node.astype(np.uint64)
-        if bits < 8 * (order + 1):
-            key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        out.append(key.astype(np.int64) + _EDGES[i])
+    gram = (words_at(flat) >> np.uint64(64 - 8 * (_BACK + 1)))[:n][own]
+    up, down = _powers(len(flat))
+    # sums from which the rolling hash of any run of bytes follows
+    total = np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * down)
+    last = np.maximum.accumulate(np.where(_IS_SPACE[flat], np.arange(len(flat)), 0))
+    before = slice(_BACK - 1, len(flat) - 1)
+    word = _mixed(((total[before] - total[last[before]]) * up[before])[own])
+    start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    out = Symbols(gram, word, start)
+    if stretches:
+        space = _IS_SPACE[(gram & np.uint64(255)).astype(np.int64)]
+        ends_here = space & (word != 0) & (_mixed(word ^ _OWN) % np.uint64(STRETCH_WORDS) == 0)
+        is_cut = np.zeros(len(gram) + 1, bool)
+        is_cut[1:] = ends_here
+        is_cut[start] = True
+        is_cut[-1] = False
+        out.cut = np.flatnonzero(is_cut)
+        place = np.flatnonzero(own) + _BACK  # of each byte in ``flat``
+        a, z = place[out.cut], place[np.append(out.cut[1:], len(gram)) - 1]
+        out.stretch = _mixed((total[z] - total[a - 1]) * up[z])
     return out
 
 
+def slots(part: Symbols, row: np.ndarray, node: np.ndarray, code: Code) -> Iterator[np.ndarray]:
+    """Slot of each predictor in the joint table, for decisions at ``node`` about ``row`` of ``part``."""
+    place = (node.astype(np.uint64) + np.uint64(1)) * _ROLL
+    for i, (bits, edge) in enumerate(zip(code.slot_bits, code.edges.tolist(), strict=False)):
+        if i < len(ORDERS):
+            context = _mixed((part.gram >> np.uint64(8)) & np.uint64((1 << 8 * ORDERS[i]) - 1))
+        else:
+            context = part.word
+        yield (((context[row] + place) * _MIX) >> np.uint64(64 - bits)).astype(np.int64) + edge
+
+
 def decisions(gram: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``gram``, node, bit) of every binary decision, by depth."""
     symbol = (gram & np.uint64(255)).astype(np.int64)
@@ -149,21 +237,40 @@ def decisions(gram: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.
 
 def count(table: np.ndarray, texts: list[bytes], code: Code) -> None:
     """Add the decisions of ``texts`` to ``table``, one column for each bit."""
-    count_grams(table, *np.unique(grams(texts)[0], return_counts=True), code)
+    count_distinct(table, *symbols(texts).distinct(), code)
 
 
-def count_grams(table: np.ndarray, gram: np.ndarray, n: np.ndarray, code: Code) -> None:
-    """The same for distinct grams and how often each occurs."""
-    row, node, bit = decisions(gram, code)
+def count_distinct(table: np.ndarray, part: Symbols, n: np.ndarray, code: Code) -> None:
+    """The same for distinct bytes with their contexts and how often each occurs."""
+    row, node, bit = decisions(part.gram, code)
     weight = n[row].astype(np.uint32)
     flat = table.reshape(-1)
-    for slot in slots(gram[row], node):
+    for slot in slots(part, row, node, code):
         np.add.at(flat, slot * 2 + bit, weight)
 
 
 def packed(n: np.ndarray) -> np.ndarray:
-    """Counts as two bytes on a logarithmic scale."""
-    return np.round(np.log2(n.astype(np.float64) + 1) * _LEVELS).astype(np.uint16)
+    """Pairs of counts (rows, 2) as two bytes in one number.  A pair beyond the largest level is
+    scaled down as a whole, so that its ratio stays."""
+    n = n.astype(np.float64)
+    n *= np.minimum(1, _LEVELS[-1] / np.maximum(n.max(axis=1, keepdims=True), 1))
+    level = np.where(n <= 16, np.ceil(n), 16 + np.round(np.log(np.maximum(n, 16) / 16) / np.log(1.06))).astype(np.uint16)
+    return level[:, 0] | level[:, 1] << np.uint16(8)
+
+
+def _known(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of a one after these counts, and how well the context is known (0 to 4)."""
+    total = zero + one
+    level = (total > 0.5).astype(np.uint8) + (total > 1.5) + (total > 3.5) + (total > 15.5)
+    return np.log((one + 0.3) / (zero + 0.3)).astype(np.float32), level.astype(np.uint8)
+
+
+_ZERO, _ONE = np.tile(_LEVELS, 256), np.repeat(_LEVELS, 256)
+#: The same for every pair of bytes; then without one zero, and without one one.
+_ODDS, _KNOWN = (
+    np.concatenate(x) for x in zip(_known(_ZERO, _ONE), _known(np.maximum(0, _ZERO - 1), _ONE), _known(_ZERO, np.maximum(0, _ONE - 1)), strict=True)
+)
+_GATES = (len(ORDERS) + 1) * 5 * 5
 
 
 @dataclass
@@ -175,21 +282,26 @@ class Mixer:
 
     @classmethod
     def new(cls) -> Mixer:
-        sets = 1 + 4 * len(ORDERS)
         middle = 1 / (1 + np.exp(-(np.arange(APM) - APM // 2) / 2))
-        return cls(np.full((sets, len(ORDERS) + 1), 0.4, np.float64), np.tile(middle, (sets, 1)))
-
-
-def inputs(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each predictor (and a constant), and the gate, from counts (predictors, n)."""
-    odds = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
-    total = one + zero
-    gate = np.zeros(total.shape[1], np.int64)
-    for i in range(len(ORDERS)):
-        n = total[i]
-        known = 1 + 4 * i + (n > 1.5).astype(np.int64) + (n > 3.5) + (n > 15.5)
-        gate = np.where(n > 0.5, known, gate)
-    return np.vstack([odds, np.full((1, odds.shape[1]), 0.3, np.float32)]), gate
+        return cls(np.full((_GATES, PREDICTORS + 1), 0.35, np.float64), np.tile(middle, (_GATES, 1)))
+
+
+def inputs(table: np.ndarray, part: Symbols, row: np.ndarray, node: np.ndarray, bit: np.ndarray | None, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each predictor (and a constant), and the gate.  With ``bit``, each decision's own
+    occurrence is taken out of the counts first."""
+    odds = np.empty((PREDICTORS + 1, len(row)), np.float32)
+    odds[-1] = 0.3
+    gate = np.zeros(len(row), np.int64)
+    shift = 0 if bit is None else (bit.astype(np.int64) + 1) << 16
+    for i, slot in enumerate(slots(part, row, node, code)):
+        at = table[slot] + shift
+        odds[i] = _ODDS[at]
+        known = _KNOWN[at]
+        if i < len(ORDERS):
+            gate = np.where(known > 0, (i + 1) * 25 + known * 5, gate)
+        else:
+            gate += known
+    return odds, gate
 
 
 def _bucket(gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,12 +311,16 @@ def _bucket(gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return gate * APM + low, at - low
 
 
-def _refined(mixer: Mixer, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Final probability of a one, the lower refinement bucket, and the share of the upper one."""
+def _mixture(odds: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return np.clip(np.einsum("in,ni->n", odds, weights.astype(np.float32)[gate]), -12, 12)
+
+
+def _refined(mixer: Mixer, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Final probability of a one."""
     base, high = _bucket(gate, mixed)
     table = mixer.refine.reshape(-1)
     p = (table[base] * (1 - high) + table[base + 1] * high + 1 / (1 + np.exp(-mixed))) / 2
-    return np.clip(p, 1e-6, 1 - 1e-6), base, high
+    return np.clip(p, 1e-6, 1 - 1e-6)
 
 
 def learn(mixer: Mixer, seen: np.ndarray, odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, n: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -213,7 +329,7 @@ def learn(mixer: Mixer, seen: np.ndarray, odds: np.ndarray, gate: np.ndarray, bi
     ``least`` occurrences moves in proportion; ``seen`` counts what each bucket remembers.  Gives
     how many decisions each bucket had."""
     sets = len(mixer.weights)
-    mixed = np.clip(np.einsum("in,ni->n", odds, mixer.weights.astype(np.float32)[gate]), -12, 12)
+    mixed = _mixture(odds, mixer.weights, gate)
     base, high = _bucket(gate, mixed)
     error = n * (bit - 1 / (1 + np.exp(-mixed)))
     total = np.maximum(np.maximum(np.bincount(gate, n, sets), least), 1)
@@ -229,30 +345,28 @@ def learn(mixer: Mixer, seen: np.ndarray, odds: np.ndarray, gate: np.ndarray, bi
 
 
 def train_mixer(table: np.ndarray, texts: list[bytes], code: Code) -> Mixer:
-    """Mixer learned over ``texts``, which ``table`` (logarithms, a column for each bit) counts."""
+    """Mixer learned over ``texts``, which ``table`` (see ``packed``) counts."""
     return learned(table, ([texts[i] for i in rows] for rows in _chunks(texts, MIX_CHUNK)), code)[0]
 
 
 def learned(table: np.ndarray, chunks: Iterable[list[bytes]], code: Code) -> tuple[Mixer, np.ndarray, np.ndarray]:
     """A mixer learned over chunks of texts, and how many decisions each gate and each refinement
-    bucket had.  Equal grams of a chunk are one, with their number."""
+    bucket had.  Equal bytes with equal contexts of a chunk are one, with their number."""
     mixer = Mixer.new()
     seen = np.full(mixer.refine.shape, float(MIX_FIRST))
     gates, buckets = np.zeros(len(mixer.weights)), np.zeros(mixer.refine.shape)
     for texts in chunks:
-        gram, n = np.unique(grams(texts)[0], return_counts=True)
+        part, n = symbols(texts).distinct()
         # dealt by a hash, so that a batch is a fair sample of the chunk
-        order = np.argsort((gram ^ gram >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15))
-        gram, n = gram[order], n[order].astype(np.float64)
+        order = np.argsort(_mixed(part.gram ^ part.gram >> np.uint64(23) ^ part.word))
+        part, n = part.take(order), n[order].astype(np.float64)
         least, done = np.zeros(len(gates)), 0
-        for part in np.array_split(np.arange(len(gram)), min(MIX_BATCHES, -(-len(gram) // 64))):
-            row, node, bit = decisions(gram[part], code)
-            both = _COUNT_OF[table[np.array(slots(gram[part][row], node))]]
-            # a decision's own occurrence is not evidence for it
-            own = bit.astype(np.float32)
-            odds, gate = inputs(np.maximum(0, both[..., 0] - (1 - own)), np.maximum(0, both[..., 1] - own))
-            weight = n[part][row]
-            buckets += learn(mixer, seen, odds, gate, own, weight, least / max(1, done))
+        for rows in np.array_split(np.arange(len(n)), min(MIX_BATCHES, -(-len(n) // 64))):
+            few = part.take(slice(rows[0], rows[-1] + 1))
+            row, node, bit = decisions(few.gram, code)
+            odds, gate = inputs(table, few, row, node, bit, code)
+            weight = n[rows][row]
+            buckets += learn(mixer, seen, odds, gate, bit.astype(np.float32), weight, least / max(1, done))
             had = np.bincount(gate, weight, len(gates))
             least, done, gates = least + had, done + 1, gates + had
     return mixer, gates, buckets
@@ -268,7 +382,7 @@ def trained_mixer(training: DataFrame, model: Broadcast) -> Mixer:
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(text)
+                held.append(text.translate(LOWER))
                 size += len(text)
                 if size >= MIX_CHUNK:
                     yield held
@@ -297,49 +411,52 @@ def trained_mixer(training: DataFrame, model: Broadcast) -> Mixer:
 
 
 class Scorer:
-    """Total log10 probabilities under a trained model.
+    """Log10 probabilities of bytes under a trained model.
 
     The model stands still, so a byte's cost depends on it and its context alone: costs are kept in
     a direct-mapped table of ``2 ** CACHE_BITS`` entries, and only what is not there is worked out."""
 
     def __init__(self, table: np.ndarray, mixer: Mixer, code: Code):
         self.table, self.mixer, self.code = table, mixer, code
-        self.weights = mixer.weights.astype(np.float32)
-        self.gram = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, np.uint64)
+        self.key = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, np.uint64)
         self.cost = np.zeros(1 << CACHE_BITS, np.float64)
 
     @staticmethod
-    def _slots(gram: np.ndarray) -> np.ndarray:
-        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-
-    def costs(self, distinct: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its context."""
-        cost = np.zeros(len(distinct))
-        row, node, bit = decisions(distinct, self.code)
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return ((key * _MIX) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+
+    def costs(self, part: Symbols, trained: bool = False) -> np.ndarray:
+        """log10 probability of each byte of ``part`` after its context; if ``trained``, with its own
+        occurrence taken out of the counts."""
+        cost = np.zeros(len(part.gram))
+        row, node, bit = decisions(part.gram, self.code)
         for a in range(0, len(row), 1 << 17):
-            r, b = row[a : a + (1 << 17)], bit[a : a + (1 << 17)]
-            both = _COUNT_OF[self.table[np.array(slots(distinct[r], node[a : a + (1 << 17)]))]]
-            odds, gate = inputs(both[..., 0], both[..., 1])
-            mixed = np.clip(np.einsum("in,ni->n", odds, self.weights[gate]), -12, 12)
-            p, _, _ = _refined(self.mixer, gate, mixed)
-            cost += np.bincount(r, np.log10(np.where(b, p, 1 - p)), len(distinct))
+            r, k, b = (x[a : a + (1 << 17)] for x in (row, node, bit))
+            odds, gate = inputs(self.table, part, r, k, b if trained else None, self.code)
+            p = _refined(self.mixer, gate, _mixture(odds, self.mixer.weights, gate))
+            cost += np.bincount(r, np.log10(np.where(b, p, 1 - p)), len(cost))
         return cost
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Each text with its end mark."""
-        gram, starts = grams(texts)
-        slot = self._slots(gram)
+    def each(self, part: Symbols, trained: bool = False) -> np.ndarray:
+        """The same for all bytes of texts, by way of the cache."""
+        key = part.key() ^ (_OWN if trained else np.uint64(0))
+        slot = self._slots(key)
         cost = self.cost[slot]
-        miss = np.flatnonzero(self.gram[slot] != gram)
+        miss = np.flatnonzero(self.key[slot] != key)
         if len(miss):
-            distinct, back = np.unique(gram[miss], return_inverse=True)
-            new = self.costs(distinct)
+            distinct, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            new = self.costs(part.take(miss[first]), trained)
             cost[miss] = new[back]
             at = self._slots(distinct)
-            self.gram[at] = distinct
-            held = self.gram[at] == distinct  # of several that share an entry one stays
+            self.key[at] = distinct
+            held = self.key[at] == distinct  # of several that share an entry one stays
             self.cost[at[held]] = new[held]
-        return np.add.reduceat(cost, starts)
+        return cost
+
+    def score(self, texts: list[bytes], trained: bool = False) -> np.ndarray:
+        """Each text with its end mark, by its bytes alone."""
+        part = symbols(texts)
+        return np.add.reduceat(self.each(part, trained), part.start)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -382,30 +499,37 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
     out = np.zeros(256, np.int64)
     for b, n in rows:
         out[b] = n
+    out[65:91], out[97:123] = 0, out[97:123] + out[65:91]  # as if lower-cased
     return out
 
 
 def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
-    """The joint table (slots, 2) of logarithms of counts over all rows of ``docs`` (text).
+    """The joint table of counts (see ``packed``) over all rows of ``docs`` (text).
 
     A task sums its texts and gives its table in ``RANGES`` compressed parts, and begins anew before
     a 32-bit sum could be full; parts of a range are summed to 64 bits in salted groups and then
     once more."""
-    bounds = np.linspace(0, _EDGES[-1], RANGES + 1).astype(np.int64)
+    size = int(code.edges[-1])
+    bounds = np.linspace(0, size, RANGES + 1).astype(np.int64)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((_EDGES[-1], 2), np.uint32)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        table = np.zeros((size, 2), np.uint32)
+        held: list[tuple[Symbols, np.ndarray]] = []
         pack = zstandard.ZstdCompressor(1).compress
 
         def settle() -> None:
             """Count what chunks have in common once."""
-            gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(gram)
-            gram, n = gram[order], n[order]
-            at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            count_grams(table, gram[at], np.add.reduceat(n, at), code)
+            every = Symbols(np.concatenate([p.gram for p, _ in held]), np.concatenate([p.word for p, _ in held]), np.empty(0, np.int64))
+            n = np.concatenate([n for _, n in held])
             held.clear()
+            key = every.key()
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.add.reduceat(n[order], first)
+            every = every.take(order[first])
+            for a in range(0, len(n), 1 << 18):
+                count_distinct(table, every.take(slice(a, a + (1 << 18))), n[a : a + (1 << 18)], code)
 
         def summed() -> pa.RecordBatch:
             blobs = [pack(table[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -414,12 +538,12 @@ def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
 
         since = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = [t.translate(LOWER) for t in batch.column(0).to_pylist()]
             for rows in _chunks(texts, COUNT_CHUNK):
-                held.append(np.unique(grams([texts[i] for i in rows])[0], return_counts=True))
+                held.append(symbols([texts[i] for i in rows]).distinct())
                 since += int(held[-1][1].sum())
                 full = since * len(code.node) >= FULL  # a byte adds at most its depth to one slot
-                if full or (len(held) > 1 and sum(len(g) for g, _ in held) > HELD_GRAMS):
+                if full or sum(len(n) for _, n in held) > HELD_GRAMS:
                     settle()
                 if full:
                     since = 0
@@ -442,13 +566,13 @@ def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
         return pa.table({"range": t["range"][:1], "data": pa.array([data])})
 
     def last(t: pa.Table) -> pa.Table:
-        return pa.table({"range": t["range"][:1], "data": pa.array([packed(total(t["data"], np.uint64)).tobytes()])})
+        return pa.table({"range": t["range"][:1], "data": pa.array([packed(total(t["data"], np.uint64).reshape(-1, 2)).tobytes()])})
 
     parts = docs.select("text").mapInArrow(part, "range int, salt int, data binary")
     summed = parts.groupBy("range", "salt").applyInArrow(once, "range int, data binary").groupBy("range").applyInArrow(last, "range int, data binary")
-    out = np.zeros((_EDGES[-1], 2), np.uint16)
-    for r in summed.toLocalIterator():  # 54 MB in all, whatever the corpus
-        out[bounds[r["range"]] : bounds[r["range"] + 1]] = np.frombuffer(r["data"], np.uint16).reshape(-1, 2)
+    out = np.zeros(size, np.uint16)
+    for r in summed.toLocalIterator():  # two bytes a slot, 44 MB at most, whatever the corpus
+        out[bounds[r["range"]] : bounds[r["range"] + 1]] = np.frombuffer(r["data"], np.uint16)
     return out
 
 
@@ -457,87 +581,191 @@ def _token_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(digest, words)), ">u8").astype(np.uint64)
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Which of ``SEEN_LEVELS`` stands for having been seen ``n`` times (1 or more)."""
+    return (n > 1).astype(np.int64) + (n > 2) + (n > 4)
+
+
+def followers(part: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the stretch before, short hash of its own) of each stretch; before a text's first
+    stands 0."""
+    before = np.concatenate(([np.uint64(0)], part.stretch[:-1]))
+    before[np.searchsorted(part.cut, part.start)] = 0
+    return before, part.stretch & _LOW32
+
+
+def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (stretch before, stretch), sorted, and how often they occur; texts' first stretches
+    left out."""
+    befores, owns = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for rows in _chunks(texts, SCORE_CHUNK):
+        before, own = followers(symbols([texts[i] for i in rows], True))
+        befores.append(before[before != 0])
+        owns.append(own[before != 0])
+    return _summed(np.concatenate(befores), np.concatenate(owns), None)
+
+
+def _summed(key: np.ndarray, own: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (own[1:] != own[:-1]))))
+    if n is None:
+        n = np.diff(np.append(first, len(key)))
+    else:
+        n = np.add.reduceat(n[order], first) if len(first) else n
+    return key[first], own[first], n
+
+
+def judged_followers(key: np.ndarray, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the training texts say about each distinct ``key``, from distinct (key, own) with
+    counts: (key, always, but, guess) and the table (``SEEN_LEVELS``, 2) of misses and hits.
+
+    ``guess`` followed the key ``always`` times (0: not always).  Where it always did but once,
+    ``but`` says how often, so that the one exception can be told that it was expected elsewhere.
+    The table counts, for each training occurrence, what the others foretold."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    kinds = np.diff(np.append(first, len(key)))
+    total = np.add.reduceat(n, first) if len(first) else n
+    least = np.minimum.reduceat(n, first) if len(first) else n
+    guess = own[first]
+    # of two followers the more frequent
+    two = np.flatnonzero(kinds == 2)
+    second = two[n[first[two] + 1] > n[first[two]]]
+    guess[second] = own[first[second] + 1]
+    always = np.where(kinds == 1, total, 0)
+    but = np.where((kinds == 2) & (least == 1), total - 1, 0)
+    table = np.zeros((SEEN_LEVELS, 2), np.int64)
+    again = always[always > 1]
+    table[:, 1] += np.bincount(_level(again - 1), again, SEEN_LEVELS).astype(np.int64)
+    odd = but[but > 0]
+    table[:, 0] += np.bincount(_level(odd), np.where(odd == 1, 2, 1), SEEN_LEVELS).astype(np.int64)
+    return key[first], always, but, guess, table
+
+
+def foretold(own: np.ndarray, always: np.ndarray, but: np.ndarray, guess: np.ndarray, trained: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch, how often what stood before it was seen with one follower (0: no flag is
+    coded), and whether it is that follower.  A training text's own occurrence does not count."""
+    if not trained:
+        return always, own == guess
+    exception = (but == 1) | ((but > 1) & (own != guess))
+    return np.where(always > 0, always - 1, np.where(exception, but, 0)), always > 0
+
+
+_SHARED = "bucket int, shard int, keys binary, counts binary, befores binary, always binary, but binary, guesses binary"
+
+
 def word_table(base: DataFrame, buckets: int) -> DataFrame:
-    """(shard, bucket, keys, counts): for the words of each shard, their counts in all training
-    texts, as parallel blobs of hashes and uint64; and, in rows of shard -1, each bucket's sums
-    (n_tokens, n_distinct)."""
+    """What all training texts say about the words and stretches of each shard, by (shard, bucket),
+    as parallel blobs: ``keys`` and ``counts`` of words; ``befores``, ``always``, ``but`` and
+    ``guesses`` of stretches (see ``judged_followers``).  Rows of shard -1 hold a bucket's sums:
+    n_tokens, n_distinct and the table of misses and hits."""
+    cuts = np.array([b * (2**64 // buckets) for b in range(1, buckets)], np.uint64)
 
     def ask(t: pa.Table) -> pa.Table:
         gc.disable()  # millions of words, no cycles
         texts: tuple[list[bytes], list[bytes]] = ([], [])
         for text, train in zip(t["text"].to_pylist(), t["train"].to_pylist(), strict=True):
-            texts[train].append(text)
-        held, trained = (b"\n".join(x).translate(LOWER).split() for x in texts)
+            texts[train].append(text.translate(LOWER))
+        held, trained = (b"\n".join(x).split() for x in texts)
         trained = Counter(trained)
         words = list(trained.keys() | set(held))
         keys = _token_hashes(words)
         counts = np.fromiter((trained[w] for w in words), np.uint64, len(words))
+        del words, held, trained
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        at = np.searchsorted(keys, [np.uint64(b * (2**64 // buckets)) for b in range(1, buckets)])
-        parts = list(zip(np.split(keys, at), np.split(counts, at), strict=True))
+        at = np.searchsorted(keys, cuts)
+        # a held-out text's stretches are asked about, but teach nothing
+        asked, own, n = _pairs(texts[True])
+        other = np.setdiff1d(_pairs(texts[False])[0], asked)
+        place = np.searchsorted(asked, other)
+        asked, own, n = np.insert(asked, place, other), np.insert(own, place, np.uint64(0)), np.insert(n, place, 0)
+        far = np.searchsorted(asked, cuts)
+        cut = lambda x, kind, at: [p.astype(kind).tobytes() for p in np.split(x, at)]
         return pa.table(
             {
                 "bucket": pa.array(range(buckets), pa.int32()),
                 "shard": pa.repeat(pa.scalar(t["shard"][0].as_py(), pa.int32()), buckets),
-                "keys": pa.array([k.tobytes() for k, _ in parts]),
-                "counts": pa.array([c.tobytes() for _, c in parts]),
+                "keys": cut(keys, np.uint64, at),
+                "counts": cut(counts, np.uint64, at),
+                "befores": cut(asked, np.uint64, far),
+                "always": cut(n, np.uint32, far),
+                "but": pa.array([b""] * buckets, pa.binary()),
+                "guesses": cut(own, np.uint32, far),
             }
         )
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in t["keys"]]
-        counts = [np.frombuffer(c.as_py(), np.uint64) for c in t["counts"]]
+        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t[c]]
+        keys = read("keys", np.uint64)
         every, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(every), np.uint64)
-        np.add.at(total, back, np.concatenate(counts))
+        np.add.at(total, back, np.concatenate(read("counts", np.uint64)))
         replies = [total[np.searchsorted(every, k)].tobytes() for k in keys]
-        sums = np.array([total.sum(), (total > 0).sum()], np.uint64).tobytes()
+        del back
+        asked, own, n = read("befores", np.uint64), read("guesses", np.uint32), read("always", np.uint32)
+        flat = [np.concatenate(x) for x in (asked, own, n)]
+        real = flat[2] > 0
+        known, *told, table = judged_followers(*_summed(flat[0][real], flat[1][real], flat[2][real].astype(np.int64)))
+        del flat, real
+        kinds = [np.uint16, np.uint16, np.uint32]
+        most = [np.iinfo(k).max for k in kinds]
+        wanted = [np.unique(a) for a in asked]
+        at = [np.searchsorted(known, w) for w in wanted]
+        hit = [np.append(known, np.uint64(0))[a] == w for a, w in zip(at, wanted, strict=True)]
+        wanted, at = [w[h] for w, h in zip(wanted, hit, strict=True)], [a[h] for a, h in zip(at, hit, strict=True)]
+        # neither always nor but: nothing to tell
+        useful = [(told[0][a] > 0) | (told[1][a] > 0) for a in at]
+        sums = np.concatenate(([total.sum(), (total > 0).sum()], table.ravel())).astype(np.uint64).tobytes()
+        out = [[np.minimum(x[a[u]], m).astype(k).tobytes() for a, u in zip(at, useful, strict=True)] for x, k, m in zip(told, kinds, most, strict=True)]
+        none = pa.array([b""], pa.binary()).to_pylist()
         return pa.table(
             {
                 "bucket": pa.repeat(t["bucket"][0], len(keys) + 1),
                 "shard": pa.array([*t["shard"].to_pylist(), -1], pa.int32()),
                 "keys": pa.array([*t["keys"].to_pylist(), b""], pa.binary()),
                 "counts": pa.array([*replies, sums]),
+                "befores": pa.array([w[u].tobytes() for w, u in zip(wanted, useful, strict=True)] + none),
+                **{c: pa.array(x + none) for c, x in zip(("always", "but", "guesses"), out, strict=True)},
             }
         )
 
-    kinds = "bucket int, shard int, keys binary, counts binary"
-    asked = base.groupBy("shard").applyInArrow(ask, kinds)
-    return asked.groupBy("bucket").applyInArrow(answer, kinds)
+    asked = base.groupBy("shard").applyInArrow(ask, _SHARED)
+    return asked.groupBy("bucket").applyInArrow(answer, _SHARED)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null text is empty: one end token.  Without training texts every count is 0.  Rows that repeat
-    a doc_id are rows of their own; an empty table gives no rows."""
+    Both scores are of the text with A-Z lower-cased.  A null text is empty: one end token.  Without
+    training texts every count is 0.  Rows that repeat a doc_id are rows of their own; an empty
+    table gives no rows."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), trains(F.col("doc_id")).alias("train"))
-    histogram = byte_counts(base)
-    n_bytes = int(histogram[1:].sum())
-    code = Code.of(histogram)
     training = base.where("train")
+    histogram = byte_counts(training)
+    n_bytes, ends = text_bytes(base), int(histogram[0])
+    code = Code.of(histogram)
     model = spark.sparkContext.broadcast((count_tables(training, code), code))
-    n = shard_count(n_bytes, SHARD_BYTES)
     mixer = trained_mixer(training, model)
-    base = base.withColumn("shard", shard_of("doc_id", n))
+    base = base.withColumn("shard", shard_of("doc_id", shard_count(n_bytes, SHARD_BYTES)))
     words = kept(word_table(base, shard_count(n_bytes, BUCKET_BYTES)), "lm-words")
-    sums = words.where("shard = -1").select("counts").toLocalIterator()  # two numbers a bucket
-    n_tokens, n_distinct = (int(x) for x in sum((np.frombuffer(r[0], np.uint64) for r in sums), np.zeros(2, np.uint64)))
-    ends = training.count()
-    n_tokens, n_distinct = n_tokens + ends, n_distinct + (ends > 0)
+    sums = words.where("shard = -1").select("counts").toLocalIterator()  # ten numbers a bucket
+    sums = sum((np.frombuffer(r[0], np.uint64) for r in sums), np.zeros(2 + 2 * SEEN_LEVELS, np.uint64))
+    n_tokens, n_distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
+    table = sums[2:].reshape(SEEN_LEVELS, 2).astype(np.float64) + 1
+    flag = np.log10(table / table.sum(axis=1, keepdims=True))
     name = uuid.uuid4().hex
     below = np.log10(n_tokens + n_distinct + 1)
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         gc.disable()  # millions of words, no cycles
-        texts = rows["text"].to_pylist()
-        parts = sorted(zip(told["bucket"].to_pylist(), told["keys"].to_pylist(), told["counts"].to_pylist(), strict=True))
-        keys = np.frombuffer(b"".join(k for _, k, _ in parts), np.uint64)
-        counts = np.frombuffer(b"".join(c for _, _, c in parts), np.uint64)
-        lists = [t.translate(LOWER).split() for t in texts]
+        texts = [t.translate(LOWER) for t in rows["text"].to_pylist()]
+        order = np.argsort(told["bucket"].to_numpy(), kind="stable")
+        joined = lambda c, kind: np.frombuffer(b"".join(told[c][i].as_py() for i in order.tolist()), kind)
+        keys, counts = joined("keys", np.uint64), joined("counts", np.uint64)
+        lists = [t.split() for t in texts]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         every = list(set(chain.from_iterable(lists)))
         c = counts[np.searchsorted(keys, _token_hashes(every))] if every else np.empty(0, np.uint64)
@@ -546,14 +774,28 @@ def scored(docs: DataFrame) -> DataFrame:
         of = np.repeat(np.arange(len(size)), size)
         known = np.bincount(of, logs > 0, len(size)).astype(np.int64) + (ends > 0)
         base_score = np.bincount(of, logs, len(size)) + np.log10(ends + 1.0) - (size + 1) * below
-        del lists, every, log_of, logs, of
+        del lists, every, log_of, logs, of, keys, counts
+        befores = np.append(joined("befores", np.uint64), np.uint64(0))
+        told = [np.append(joined(c, k), k(0)) for c, k in (("always", np.uint16), ("but", np.uint16), ("guesses", np.uint32))]
         score, scorer = np.zeros(len(texts)), _scorer(name, model, mixer)
-        for chunk in _chunks(texts, SCORE_CHUNK):
-            score[chunk] = scorer.score([texts[i] for i in chunk])
+        train = np.array(rows["train"].to_pylist(), bool)
+        for trained in (False, True):
+            chosen = np.flatnonzero(train == trained)
+            for chunk in _chunks([texts[i] for i in chosen], SCORE_CHUNK):
+                part = symbols([texts[i] for i in chosen[chunk]], True)
+                cost = np.add.reduceat(scorer.each(part, trained), part.cut)
+                before, own = followers(part)
+                at = np.searchsorted(befores[:-1], before)
+                at = np.where(befores[at] == before, at, len(befores) - 1)
+                seen, hit = foretold(own, *(x[at].astype(np.int64) for x in told[:2]), told[2][at], trained)
+                seen = np.where(before == 0, 0, seen)
+                level = _level(seen)
+                cost = np.where(seen > 0, np.where(hit, flag[level, 1], flag[level, 0] + cost), cost)
+                score[chosen[chunk]] = np.add.reduceat(cost, np.searchsorted(part.cut, part.start))
         return pa.table(
             {
                 "doc_id": rows["doc_id"],
-                "held_out": pa.array([not x for x in rows["train"].to_pylist()], pa.bool_()),
+                "held_out": pa.array(~train, pa.bool_()),
                 "n_tokens": pa.array(size + 1, pa.int64()),
                 "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.repeat(pa.scalar(n_tokens, pa.int64()), len(texts)),

@@ -288,7 +288,7 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == want
 
 
-@pytest.mark.parametrize(("small", "block"), [(64, 512), (2, 7)])
+@pytest.mark.parametrize(("small", "block"), [(6, 512), (2, 7), (64, 100)])
 def test_near_duplicates_of_large_groups_equal_brute_force(spark, monkeypatch, small, block):
     rng = np.random.default_rng(6)
     rows = []
@@ -303,7 +303,7 @@ def test_near_duplicates_of_large_groups_equal_brute_force(spark, monkeypatch, s
     chain = [f"c{k}" for k in range(300)]
     rows += [(len(rows) + k, " ".join(chain[k * 12 : k * 12 + 150])) for k in range(12)]
     monkeypatch.setattr(simhash, "SMALL_GROUP", small)
-    monkeypatch.setattr(simhash, "VERIFY_BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
     left = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(rows[k][0] for k in brute_stay(rows))
 
@@ -378,41 +378,186 @@ def test_lm_base_and_score(docs, empty):
     assert lm.scored(empty).count() == 0
 
 
+def counted(texts, slot_bits=None):
+    """Code and counts of some texts, all of which train."""
+    counts = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
+    counts[0] = len(texts)
+    code = lm.Code.of(counts)
+    code.slot_bits = (slot_bits,) * lm.PREDICTORS if slot_bits else code.slot_bits
+    table = np.zeros((code.edges[-1], 2), np.uint32)
+    lm.count(table, texts, code)
+    return code, table
+
+
+def test_lm_held_out_texts_teach_nothing(spark, docs):
+    import zlib
+
+    some = docs.where("text is not null").select("doc_id", "text")
+    held = F.udf(lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2, "boolean")
+    marked = some.withColumn("h", held("doc_id")).cache()
+    assert marked.where("h").count() > 1
+    other = marked.withColumn("text", F.when(F.col("h"), F.concat(F.lit("§§ zzz qqq "), F.reverse("text"))).otherwise(F.col("text"))).drop("h")
+    scores = lambda df: Counter((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in lm.scored(df).where("not held_out").collect())
+    assert scores(some) == scores(other)
+
+
 def test_lm_probabilities_sum_to_one():
     train = [b"the cat sat on the mat", b"a dog sat on a log"] * 20
-    counts = np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256)
-    counts[0] = len(train)
-    code = lm.Code.of(counts)
-    table = np.zeros((lm._EDGES[-1], 2), np.uint32)
-    lm.count(table, train, code)
-    table = lm.packed(table.reshape(-1)).reshape(-1, 2)
+    code, table = counted(train)
+    table = lm.packed(table)
     scorer = lm.Scorer(table, lm.train_mixer(table, train[:20], code), code)
-    context = lm.grams([b"the c"])[0][-1] >> np.uint64(8) << np.uint64(8)
-    assert (10.0 ** scorer.costs(context | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1.0)
+    one = lm.symbols([b"the c"])
+    context = one.gram[-1] >> np.uint64(8) << np.uint64(8)
+    every = lm.Symbols(context | np.arange(256, dtype=np.uint64), np.repeat(one.word[-1:], 256), one.start)
+    assert (10.0 ** scorer.costs(every)).sum() == pytest.approx(1.0)
     assert scorer.score([b"the cat sat"])[0] > scorer.score([b"xqj zzv kkw"])[0]
     assert np.allclose(scorer.score([b"the", b"", b"the"]), np.concatenate([scorer.score([t]) for t in (b"the", b"", b"the")]))
+    # a training text is scored without itself
+    assert scorer.score([b"the cat sat"])[0] > scorer.score([b"the cat sat"], trained=True)[0]
+
+
+def brute_symbols(text):
+    """(last five bytes, word so far, symbol) of each byte and the end mark."""
+    out = []
+    for i in range(len(text) + 1):
+        word = re.split(rb"[\x00\x20\x09-\x0D]", text[:i])[-1]
+        out.append(((b"\0" * 5 + text[:i])[-5:], word, text[i] if i < len(text) else 0))
+    return out
+
+
+def test_lm_equals_a_plain_mixer():
+    """Counts, inputs, gates and mixture of every decision, one at a time over dictionaries."""
+    import math
+
+    train = [b"the cat sat on the mat", b"a dog sat on a log\nthe end", b"", b"cats and dogs"] * 3
+    code, raw = counted(train, 22)  # so many slots that none is shared
+    counts = Counter()
+
+    def contexts(last5, word):
+        return [last5[-k:] for k in lm.ORDERS] + [(word,)]
+
+    def kept_count(n):
+        return n if n <= 16 else 16 * 1.06 ** round(math.log(n / 16, 1.06))
+
+    def path(symbol):
+        return [(int(code.node[k, symbol]), int(code.bit[k, symbol])) for k in range(len(code.node)) if code.node[k, symbol] >= 0]
+
+    for t in train:
+        for last5, word, symbol in brute_symbols(t):
+            for node, bit in path(symbol):
+                for k, c in enumerate(contexts(last5, word)):
+                    counts[k, c, node, bit] += 1
+    mixer = lm.train_mixer(lm.packed(raw), train, code)
+
+    def cost(text, own):
+        total = 0.0
+        for last5, word, symbol in brute_symbols(text):
+            for node, bit in path(symbol):
+                mixed, gate, odds = 0.0, 0, []
+                for k, c in enumerate(contexts(last5, word)):
+                    n = [kept_count(counts[k, c, node, b]) - (own and b == bit) for b in (0, 1)]
+                    level = sum(sum(n) > x for x in (0.5, 1.5, 3.5, 15.5))
+                    odds.append(math.log((max(0, n[1]) + 0.3) / (max(0, n[0]) + 0.3)))
+                    if k < len(lm.ORDERS):
+                        gate = (k + 1) * 25 + level * 5 if level else gate
+                    else:
+                        gate += level
+                mixed = sum(w * x for w, x in zip(mixer.weights[gate], [*odds, 0.3]))
+                mixed = max(-12.0, min(12.0, mixed))
+                at = max(0.0, min(lm.APM - 1.001, mixed * 2 + lm.APM // 2))
+                low = int(at)
+                refined = mixer.refine[gate, low] * (1 - at + low) + mixer.refine[gate, low + 1] * (at - low)
+                p = max(1e-6, min(1 - 1e-6, (refined + 1 / (1 + math.exp(-mixed))) / 2))
+                total += math.log10(p if bit else 1 - p)
+        return total
+
+    scorer = lm.Scorer(lm.packed(raw), mixer, code)
+    for text in (b"the cat", b"a new\tdog sat", b"", b"cats"):
+        assert scorer.score([text])[0] == pytest.approx(cost(text, False), rel=1e-4)
+    assert scorer.score([train[1]], trained=True)[0] == pytest.approx(cost(train[1], True), rel=1e-4)
+
+
+def test_lm_symbols():
     text = b"the\xff\x00a"
-    gram, start = lm.grams([text, b"", text])
-    assert start.tolist() == [0, 7, 8]
-    assert [int(g) & 255 for g in gram] == [*text, 0, 0, *text, 0]
-    assert int(gram[7]) == 0 and int(gram[8]) == text[0]
+    part = lm.symbols([text, b"", text])
+    assert part.start.tolist() == [0, 7, 8]
+    assert [int(g) & 255 for g in part.gram] == [*text, 0, 0, *text, 0]
+    assert int(part.gram[7]) == 0 and int(part.gram[8]) == text[0]
+    assert (part.word[:7] == part.word[8:]).all() and part.word[7] == 0 and part.word[5] == 0
+    assert lm.symbols([b"ab cd"]).word[2] == lm.symbols([b"xy ab"]).word[5]
+    rng = np.random.default_rng(2)
+    texts_ = [b" ".join(b"w%d" % x for x in rng.integers(0, 5000, n)) for n in (0, 1, 30, 400)]
+    part = lm.symbols(texts_, True)
+    flat = b"".join(t + b"\0" for t in texts_)
+    ends = np.append(part.cut[1:], len(flat))
+    pieces = [flat[a:z] for a, z in zip(part.cut, ends)]
+    assert set(part.start) <= set(part.cut) and b"".join(pieces) == flat
+    # a cut stands behind a white space or a text's end, where the word before it says so
+    assert all(p[-1:] in b" \0" for p in pieces) and 20 < len(pieces) < 120
+    assert len(set(zip(pieces, part.stretch.tolist()))) == len(set(pieces)) == len(set(part.stretch.tolist()))
+
+
+def test_lm_followers_equal_brute_force():
+    rng = np.random.default_rng(5)
+    pairs = [(int(k), int(v)) for k, v in zip(rng.integers(1, 60, 300), rng.integers(0, 3, 300) ** 2)]
+    pairs += [(100, 5)] * 4 + [(101, 5)] * 3 + [(101, 6)] + [(102, 1), (102, 2)] + [(103, 9)]
+    key, own = (np.array(x, np.uint64) for x in zip(*pairs))
+    known, always, but, guess, table = lm.judged_followers(*lm._summed(key, own, None))
+    place = {int(k): i for i, k in enumerate(known)}
+    want = np.zeros((lm.SEEN_LEVELS, 2), np.int64)
+    for at, (k, v) in enumerate(pairs):
+        others = [y for j, (x, y) in enumerate(pairs) if x == k and j != at]
+        i = place[k]
+        seen, hit = lm.foretold(np.array([v], np.uint64), always[[i]], but[[i]], guess[[i]], True)
+        if others and len(set(others)) == 1:
+            assert seen[0] == len(others) and bool(hit[0]) == (others[0] == v)
+            want[sum(len(others) > x for x in (1, 2, 4)), int(others[0] == v)] += 1
+        else:
+            assert seen[0] == 0
+        every = [y for x, y in pairs if x == k]
+        seen, hit = lm.foretold(np.array([v], np.uint64), always[[i]], but[[i]], guess[[i]], False)
+        assert seen[0] == (len(every) if len(set(every)) == 1 else 0) and (not seen[0] or bool(hit[0]))
+    assert (table == want).all()
+
+
+def test_lm_tells_copies_from_single_texts_and_beats_the_base(spark):
+    rng = np.random.default_rng(9)
+    syllables = ["ba", "ko", "ri", "ten", "mul", "sa", "vor", "li"]
+    vocabulary = ["".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(600)]
+    share = 1 / np.arange(1, 601)
+    once = [" ".join(rng.choice(vocabulary, 150, p=share / share.sum())) for _ in range(300)]
+    rows_ = list(enumerate(once + once[:30]))
+    got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()}
+    rate = {k: r["score"] / r["n_tokens"] for k, r in got.items()}
+    twice = [rate[k] for k in rate if k < 30 or k >= 300]
+    single = sorted(rate[k] for k in rate if 30 <= k < 300)
+    # but for the few of whom both copies are held out
+    assert sum(r > single[int(0.9 * len(single))] for r in twice) >= 0.8 * len(twice)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_long_texts_and_clashing_columns(spark):
+    long_text = " ".join(f"w{k % 977}" for k in range(300_000))
+    rows_ = [(1, long_text, 1.0, True, 3), (2, "", 0.0, None, None), (3, "X" * 1_500_000, None, None, None)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, score double, train boolean, shard int")
+    got = {r["doc_id"]: r for r in lm.scored(frame).collect()}
+    assert got[1]["n_tokens"] == 300_001 and got[2]["n_tokens"] == 1 and got[3]["n_tokens"] == 2
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
 
 
 def test_lm_keeps_the_ratio_of_large_counts():
     n = np.array([[3_000_000, 60_000_000], [10**11, 4 * 10**12], [2**63, 2**62]], np.uint64)
-    zero, one = lm._COUNT_OF[lm.packed(n)].T
-    assert np.allclose(np.log(one / zero), np.log(n[:, 1] / n[:, 0]), atol=0.002)
-    small = np.arange(1000)
-    assert np.allclose(lm._COUNT_OF[lm.packed(small)], small, rtol=0.001)
+    pairs = lm.packed(n)
+    assert np.allclose(lm._ODDS[pairs], np.log(n[:, 1] / n[:, 0]), atol=0.06)
+    small = np.arange(17)
+    for both in (np.column_stack([small, small[::-1]]), np.column_stack([small, 0 * small])):
+        assert (lm._ZERO[lm.packed(both)] == both[:, 0]).all() and (lm._ONE[lm.packed(both)] == both[:, 1]).all()
 
 
 def test_lm_sums_of_a_task_are_given_on_before_they_are_full(spark, monkeypatch):
     texts = [b"the cat sat on the mat %d" % (k % 7) for k in range(300)]
-    counts = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    counts[0] = len(texts)
-    code = lm.Code.of(counts)
-    want = np.zeros((lm._EDGES[-1], 2), np.uint32)
-    lm.count(want, texts, code)
+    code, want = counted(texts)
     frame = spark.createDataFrame([(t,) for t in texts], "text binary").coalesce(1)
     monkeypatch.setattr(lm, "FULL", 100)
     monkeypatch.setattr(lm, "COUNT_CHUNK", 500)
@@ -422,9 +567,7 @@ def test_lm_sums_of_a_task_are_given_on_before_they_are_full(spark, monkeypatch)
 def test_lm_mixer_learns_from_every_training_text(spark):
     rng = np.random.default_rng(8)
     rows = [(k, b" ".join(b"w%d" % x for x in rng.integers(0, 40, 12))) for k in range(900)]
-    code = lm.Code.of(np.bincount(np.frombuffer(b" ".join(t for _, t in rows), np.uint8), minlength=256))
-    raw = np.zeros((lm._EDGES[-1], 2), np.uint32)
-    lm.count(raw, [t for _, t in rows], code)
+    code, raw = counted([t for _, t in rows])
     table = lm.packed(raw)
     model = spark.sparkContext.broadcast((table, code))
     frame = spark.createDataFrame(rows, "doc_id long, text binary").repartition(5).cache()
@@ -432,7 +575,7 @@ def test_lm_mixer_learns_from_every_training_text(spark):
     for r in frame.withColumn("task", F.spark_partition_id()).collect():
         tasks.setdefault(r["task"], []).append(bytes(r["text"]))
     parts = [lm.learned(table, [texts], code) for texts in tasks.values()]
-    n_decisions = len(lm.decisions(lm.grams([t for _, t in rows])[0], code)[0])
+    n_decisions = len(lm.decisions(lm.symbols([t for _, t in rows]).gram, code)[0])
     assert sum(g.sum() for _, g, _ in parts) == sum(b.sum() for _, _, b in parts) == n_decisions
     gates, buckets = sum(g for _, g, _ in parts)[:, None], sum(b for _, _, b in parts)
     weights, refine = sum(m.weights * g[:, None] for m, g, _ in parts), sum(m.refine * b for m, _, b in parts)
