@@ -6,8 +6,9 @@ compressed size reaches ``roll_bytes``.  Headers and digests are made anew from
 a fixed date, so a rerun or a retried task writes the same bytes.
 
 A file is written under a temporary name and renamed when complete; the table of files is
-written last, under a temporary name too, and renamed: that is the commit.  Readers take the
-archives that the manifest counts.
+written last, under a temporary name too, and renamed: that is the commit.  A folder is committed
+once.  Readers open the archives that the manifest names, no others, and hold each against its
+size, digest and number of records there.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIRST_ID, fresh_path, range_shards
+from .common import fresh_path, range_shards
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
 #: Payload bytes of a shard; compressed bytes at which a file is full.
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
+#: The table of a folder's archives; its presence is the commit.
+MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -98,10 +101,24 @@ class _Shard:
         if self.size >= self.roll:
             self.close()
 
+    def _rename(self, target: str) -> None:
+        """Give the complete file its name.  Where a former attempt at this task did so, its file
+        has the same bytes and stays."""
+        from pyarrow.fs import FileType
+
+        there = lambda: self.fs.get_file_info(target).type == FileType.File
+        if not there():
+            try:
+                return self.fs.move(self.temporary, target)
+            except OSError:
+                if not there():
+                    raise
+        self.fs.delete_file(self.temporary)
+
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.root}/{self.name}")
+            self._rename(f"{self.root}/{self.name}")
             self.rows.append((self.shard, self.name, self.n, self.size, self.digest.hexdigest()))
             self.out, self.seq = None, self.seq + 1
 
@@ -120,10 +137,10 @@ def revisits(pages: DataFrame) -> DataFrame:
 def _write_shard(root: str, roll_bytes: int):
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         first = dict(zip(zip(known["page_id"].to_pylist(), known["digest"].to_pylist(), strict=True), known["first"].to_pylist(), strict=True))
-        pages = [(r["id"], hashlib.sha256(r["payload"]).hexdigest(), r["url"] or "", r) for r in rows.to_pylist()]
-        pages.sort(key=lambda p: p[:3])
+        pages = [(r["page_id"] is not None, r["page_id"] or 0, hashlib.sha256(r["payload"]).hexdigest(), r["url"] or "", r) for r in rows.to_pylist()]
+        pages.sort(key=lambda p: p[:4])
         writer = _Shard(root, rows["shard"][0].as_py() if len(rows) else -1, roll_bytes)
-        for _, digest, _, r in pages:
+        for _, _, digest, _, r in pages:
             key = (r["page_id"], digest)
             writer.add(record(r["page_id"], r["url"], r["payload"], digest, first.get(key), key in first))
         writer.close()
@@ -135,64 +152,82 @@ def _write_shard(root: str, roll_bytes: int):
 
 def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write ``pages`` under the shared folder ``root`` and give its manifest: shard, file, n_records,
-    n_bytes, sha256 of each archive.  An empty table writes an empty manifest."""
-    spark = pages.sparkSession
-    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 512
-    ids = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(FIRST_ID)).alias("id"), size.alias("size"))
-    table, bin_ = range_shards(ids, "id", F.col("size"), shard_bytes)
-    small = F.broadcast(table)  # RANGE_BINS + 1 rows at most
+    n_bytes, sha256 of each archive.
 
-    def dealt(rows: DataFrame, shard: str):
-        keyed = rows.withColumn("id", F.coalesce("page_id", F.lit(FIRST_ID))).withColumn("bin", bin_)
-        return keyed.join(small.withColumnRenamed("shard", shard), "bin").drop("bin").groupBy(shard)
-
-    full = pages.select(
-        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload")
-    )
+    Shards are ranges of page_id; rows without one come first, dealt by their payload.  Repeated
+    rows are records of their own; extra columns stay behind.  An empty table writes an empty
+    manifest.  A committed folder is refused; what an unfinished write left there does no harm."""
+    spark = pages.sparkSession
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    home = fs.Path(root)
-    disk = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    disk.mkdirs(home)
-
+    disk = fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    manifest = fs.Path(f"{root}/{MANIFEST}")
+    if disk.exists(manifest):
+        raise FileExistsError(f"{root} holds committed archives")
+    disk.mkdirs(fs.Path(root))
+
+    html = F.col("html").cast("string")
+    sized = pages.select(F.col("page_id").cast("long"), (F.coalesce(F.octet_length(html), F.lit(0)) + 512).alias("size"))
+    place, _ = range_shards(sized, "page_id", "size", shard_bytes)
+    without = int(sized.where("page_id IS NULL").agg(F.sum("size")).first()[0] or 0)
+    n = -(-without // shard_bytes)
+
+    def dealt(rows: DataFrame, digest: Column):
+        by_payload = F.pmod(F.xxhash64(digest), F.lit(max(1, n))).cast("int")
+        return rows.withColumn("shard", F.when(F.col("page_id").isNull(), by_payload).otherwise(place(F.col("page_id")) + n)).groupBy("shard")
+
+    full = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(html.cast("binary"), F.lit(b"")).alias("payload"))
     done = (
-        dealt(full, "shard")
-        .cogroup(dealt(revisits(pages), "of_shard"))
+        dealt(full, F.sha2("payload", 256))
+        .cogroup(dealt(revisits(pages), F.col("digest")))
         .applyInArrow(_write_shard(root, roll_bytes), "shard int, file string, n_records long, n_bytes long, sha256 string")
     )
-    done.write.parquet(f"{root}/_manifest.tmp")
-    disk.rename(fs.Path(f"{root}/_manifest.tmp"), fs.Path(f"{root}/_manifest"))
-    return spark.read.parquet(f"{root}/_manifest")
+    held = fs.Path(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.tmp")
+    done.write.parquet(held.toString())
+    if disk.exists(manifest) or not disk.rename(held, manifest):
+        raise FileExistsError(f"{root} was committed meanwhile")
+    return spark.read.parquet(manifest.toString())
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
     """Per record of a committed folder: page_id, url, payload (null for a revisit), payload_bytes,
     payload_digest, record_type, refers_to.
 
-    A response's length and digest come from its bytes, and its digest must equal the header."""
-    spark.read.parquet(f"{root}/_manifest").schema  # fails before the commit
+    Only files that the manifest names are opened; a missing or different one fails the job, and so
+    does a payload that does not match its digest.  A folder without a manifest cannot be read."""
+    manifest = spark.read.parquet(f"{root}/{MANIFEST}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                rows = []
-                for head, block in records(data.as_py()):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    said = head["warc-payload-digest"].removeprefix("sha256:")
-                    revisit = head["warc-type"] == "revisit"
-                    size = int(http.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)
-                    digest = said if revisit else hashlib.sha256(payload).hexdigest()
-                    if digest != said:
-                        raise ValueError(f"payload of page {head.get('page-id')} does not match its digest")
-                    ids = [int(head[k]) if k in head else None for k in ("page-id", "refers-to-page-id")]
-                    rows.append((ids[0], head.get("warc-target-uri"), None if revisit else payload, size, digest, head["warc-type"], ids[1]))
-                kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    # _metadata and the manifest's own files do not match the pattern
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.warc.gz").load(root)
-    return files.select("content").mapInArrow(
-        run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+        from pyarrow.fs import FileSystem
+
+        disk, home = FileSystem.from_uri(root)
+        for file in (r for batch in batches for r in batch.to_pylist()):
+            with disk.open_input_stream(f"{home}/{file['file']}", compression=None) as opened:
+                data = opened.read()
+            if len(data) != file["n_bytes"] or hashlib.sha256(data).hexdigest() != file["sha256"]:
+                raise ValueError(f"{file['file']} is not the file of the manifest")
+            rows = []
+            for head, block in records(data):
+                http, _, payload = block.partition(b"\r\n\r\n")
+                said = head["warc-payload-digest"].removeprefix("sha256:")
+                revisit = head["warc-type"] == "revisit"
+                size = int(http.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)
+                digest = said if revisit else hashlib.sha256(payload).hexdigest()
+                if digest != said:
+                    raise ValueError(f"payload of page {head.get('page-id')} does not match its digest")
+                ids = [int(head[k]) if k in head else None for k in ("page-id", "refers-to-page-id")]
+                rows.append((ids[0], head.get("warc-target-uri"), None if revisit else payload, size, digest, head["warc-type"], ids[1]))
+            if len(rows) != file["n_records"]:
+                raise ValueError(f"{file['file']} has {len(rows)} records, not {file['n_records']}")
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+            for at in range(0, len(rows), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 1024]], k) for i, k in enumerate(kinds)], names)
+
+    tasks = max(1, min(manifest.count(), 100_000))
+    return (
+        manifest.select("file", "n_records", "n_bytes", "sha256")
+        .repartition(tasks, "file")
+        .mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
     )
 
 
