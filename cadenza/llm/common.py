@@ -9,7 +9,10 @@ the shard.  Shards hold about ``SHARD_BYTES`` of text, so their number follows t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,39 +77,53 @@ def shard_count(n_bytes: int, target: int = SHARD_BYTES) -> int:
     return max(1, -(-n_bytes // target))
 
 
-def shard_of(key: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(n)).cast("int")
+def shard_of(n: int, *columns: str) -> Column:
+    """A row's shard of ``n`` by a hash of ``columns``.  With the text among them, rows of one id, or
+    without any, are spread."""
+    return F.pmod(F.xxhash64(F.lit(7), *columns), F.lit(n)).cast("int")
 
 
-def bound_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` hinted for broadcast if counting shows at most ``most_rows`` rows, else unhinted, so
-    that Spark shuffles and splits skewed partitions."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def bound_broadcast(df: DataFrame, most_rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` hinted for broadcast if counting shows at most ``most_rows`` rows with at most
+    ``most_bytes`` in strings, else unhinted, so that Spark shuffles and splits skewed partitions."""
+    strings = [F.octet_length(name) for name, kind in df.dtypes if kind in ("string", "binary")]
+    held = F.sum(sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(0)))
+    n, size = df.limit(most_rows + 1).agg(F.count("*"), held).first()
+    return F.broadcast(df) if n <= most_rows and (size or 0) <= most_bytes else df
 
 
-#: Equal-width bins from which ``range_shards`` composes its shards; as many rows reach the driver.
-RANGE_BINS = 4096
-#: Stands for a null id in range sharding: before all others.
-FIRST_ID = -(1 << 63)
+#: Ranges at most (16 bytes each reach every task), and the share of a range that one sampled id
+#: stands for: ranges differ in weight by about the root of it.
+MOST_RANGES, SAMPLES = 1 << 20, 64
 
 
-def range_shards(rows: DataFrame, key: str, weight: Column, target: int) -> tuple[DataFrame, Column]:
-    """Deterministic ranges of a long key without nulls (see ``FIRST_ID``).
+def range_shards(rows: DataFrame, key: str, weight: str, target: int) -> tuple[Callable[[Column], Column], int]:
+    """Deterministic ranges of a long key that weigh ``target`` on average, for keys of any
+    distribution: gives an expression of a key's range number (null for null), and the number.
 
-    A histogram of ``RANGE_BINS`` equal bins over the key's range is summed by ``weight``, and
-    neighbouring bins make a shard up to ``target``.  Gives the bins' table (bin, shard; at most
-    ``RANGE_BINS + 1`` rows, so it may be broadcast) and the expression of a row's bin."""
+    Ids enter a sample by a hash of the id, with a chance in proportion to their weight, and bounds
+    lie where the sample's running weight passes the next share.  The sample only places the bounds:
+    all rows get their range by binary search.  Equal keys share a range; the order of rows and partitions has
+    no influence."""
     spark = rows.sparkSession
-    real = F.when(F.col(key) != FIRST_ID, F.col(key))
-    low, high = rows.agg(F.min(real), F.max(real)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // RANGE_BINS + 1
-    bin_ = F.when(F.col(key) == FIRST_ID, F.lit(-1)).otherwise(F.floor((F.col(key) - F.lit(low)) / F.lit(width))).cast("long")
-    found = sorted((r[0], r[1] or 0) for r in rows.groupBy(bin_.alias("bin")).agg(F.sum(weight)).collect())
-    table, shard, held = [], 0, 0
-    for at, size in found:
-        if held and held + size > target:
-            shard, held = shard + 1, 0
-        held += size
-        table.append((at, shard))
-    return spark.createDataFrame(table, "bin long, shard int"), bin_
+    total = int(rows.where(F.col(key).isNotNull()).agg(F.sum(weight)).first()[0] or 0)
+    n = min(MOST_RANGES, max(1, -(-total // target)))
+    bounds = np.empty(0, np.int64)
+    if n > 1:
+        each = total / (n * SAMPLES)
+        chance = (F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 11) / F.lit(float(1 << 53))).cast("double")
+        taken = rows.where(F.col(key).isNotNull() & (chance < F.col(weight) / F.lit(each))).select(key, F.greatest(F.col(weight).cast("double"), F.lit(each)))
+        found = np.array([tuple(r) for r in taken.toLocalIterator()], [("id", np.int64), ("w", np.float64)])  # some n * SAMPLES rows
+        found = np.sort(found)
+        ids, first = np.unique(found["id"], return_index=True)
+        before = (np.cumsum(found["w"]) - found["w"])[first]
+        at = (before * n / max(total, 1)).astype(np.int64)
+        bounds = ids[1:][at[1:] != at[:-1]]
+    sent = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        found = np.searchsorted(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(found.astype(np.int32), pa.int32(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+
+    return place, len(bounds) + 1

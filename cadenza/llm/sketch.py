@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FIRST_ID, LOWER, SHARD_BYTES, bound_broadcast, range_shards
+from .common import LOWER, SHARD_BYTES, bound_broadcast, range_shards
 from .simhash import word_hashes
 
 K, SHINGLE, SEED = 128, 5, 7
@@ -68,7 +68,8 @@ def from_text(s: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, sketch (array<long>), n_distinct (estimate) of every row's whole text (null: empty)."""
+    """doc_id, sketch (array<long>), n_distinct (estimate) of every row's whole text (null: empty).
+    Repeated rows stay; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +85,8 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 def merged(parts: DataFrame, by: str, k: int = K, fan: int = 64) -> DataFrame:
     """(by, sketch) over all parts with a ``sketch`` column.  Parts merge in ``fan`` salted groups
-    first, so a key that holds most of the parts never meets in one task."""
+    first, so a key that holds most of the parts never meets in one task.  Null sketches are empty,
+    repeated parts change nothing, a null key is a key of its own; no parts give no rows."""
 
     def join(table: pa.Table) -> pa.Table:
         s = merge((np.array(x or [], np.int64).view(np.uint64) for x in table["sketch"].to_pylist()), k)
@@ -98,9 +100,9 @@ def merged(parts: DataFrame, by: str, k: int = K, fan: int = 64) -> DataFrame:
 
 def _edited(table: pa.Table) -> pa.Table:
     """One range of documents, with the document that follows its last."""
-    ids, texts, halo = (table[c].to_pylist() for c in ("id", "text", "halo"))
+    ids, texts, halo, at = (table[c].to_pylist() for c in ("id", "text", "halo", "at"))
     texts = [t or "" for t in texts]
-    order = sorted(range(len(ids)), key=lambda i: (halo[i], -ids[i], texts[i]))
+    order = sorted(range(len(ids)), key=lambda i: (halo[i], ids[i] is None, -at[i], texts[i]))
     own = [i for i in order if not halo[i]]
     row = own + [i for i in order if halo[i]][:1]
     words = {i: texts[i].encode("utf-8", "surrogatepass").translate(LOWER).split() for i in row}
@@ -133,18 +135,27 @@ def edited_neighbours(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFr
     descending doc_id (after the last: the first).
 
     Ranges of doc_id are cut by size; each also gets the first row of the range below, so the
-    texts move once.  Null texts are empty, null ids come last, rows with equal ids follow each
-    other by text.  A single row is its own next; an empty table gives no rows."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    table, bin_ = range_shards(rows, "id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, shard_bytes)
-    table = F.broadcast(table)  # RANGE_BINS + 1 rows at most
-    dealt = rows.withColumn("bin", bin_).join(table, "bin")
-    heads = rows.select("id").withColumn("bin", bin_).join(table, "bin").groupBy("shard").agg(F.max("id").alias("id"))
+    texts move once.  Null texts are empty, null ids come last, by a hash of their texts; rows with
+    equal ids follow each other by text.  A single row is its own next; an empty table gives no
+    rows."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+    sized = rows.select("id", (F.octet_length("text") + 64).alias("size"))
+    place, n = range_shards(sized, "id", "size", shard_bytes)
+    without = int(sized.where("id IS NULL").agg(F.sum("size")).first()[0] or 0)
+    n_without = max(1, -(-without // shard_bytes))
+    # rows run by shard, then by ``at``, both falling; rows without id have the shards below 0
+    hashed = F.xxhash64("text")
+    share = F.floor((hashed / 2.0**64 + 0.5) * n_without)
+    rows = rows.withColumn("shard", F.when(F.col("id").isNull(), -1 - F.least(share, F.lit(n_without - 1))).otherwise(place(F.col("id"))).cast("int"))
+    rows = rows.withColumn("at", F.when(F.col("id").isNull(), F.bitwise_not(hashed)).otherwise(F.col("id")))
+    heads = rows.groupBy("shard").agg(F.max("at").alias("at"))
     down = Window.orderBy(F.col("shard").desc())  # a row for each shard
-    first = F.first("id").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = heads.select("shard", F.coalesce(F.lead("id").over(down), first).alias("id"))
-    halo = rows.join(bound_broadcast(after, 100_000), "id").select("id", "text", "shard", F.lit(True).alias("halo"))
-    both = dealt.select("id", "text", "shard", F.lit(False).alias("halo")).unionByName(halo)
+    every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    below = [F.coalesce(F.lead(c).over(down), F.first(c).over(every)).alias(c) for c in ("shard", "at")]
+    after = heads.select(*below, F.col("shard").alias("of"))
+    halo = rows.join(bound_broadcast(after, 100_000), ["shard", "at"]).select("id", "text", F.col("of").alias("shard"), "at", F.lit(True).alias("halo"))
+    both = rows.select("id", "text", "shard", "at", F.lit(False).alias("halo")).unionByName(halo)
     kinds = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     done = both.groupBy("shard").applyInArrow(_edited, kinds)
-    return done.select(F.when(F.col("id") != FIRST_ID, F.col("id")).alias("doc_id"), *done.columns[1:])
+    return done.withColumnRenamed("id", "doc_id")

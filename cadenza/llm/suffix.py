@@ -454,7 +454,7 @@ def dedup_strings(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
         F.struct(*rest).alias("row"),
-    ).withColumn("shard", shard_of("id", n))
+    ).withColumn("shard", shard_of(n, "id", "text"))
     by_shard = base.groupBy("shard")
     buckets = shard_count(n, MARKS_OF), shard_count(n, RUNS_OF)
     answers = by_shard.applyInArrow(_send_marks(buckets[0]), _KINDS).groupBy("bucket").applyInArrow(_answer_marks, _KINDS)
