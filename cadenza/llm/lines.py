@@ -24,6 +24,8 @@ from .common import LOWER, drop_path, fresh_path, kept, shard_count, shard_of, s
 LEAST_CHARS = 10
 #: Batches of a bulk load, and runs of a level that are merged.
 BATCHES, FAN_IN = 4, 2
+#: Buckets of a run at most; Spark refuses more than 100,000.
+MOST_BUCKETS = 16_384
 #: Stands for a null doc_id: after all others.
 LAST_ID = (1 << 63) - 1
 _KEY = ["hi", "lo"]
@@ -170,14 +172,14 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         batch = batch + (F.col("id") >= F.lit(int(cut))).cast("int")
     rest = [c for c in docs.columns if c != "text"]
     base = docs.select(ids.alias("id"), F.col("text").cast("string").cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
-    base = base.withColumn("batch", batch.cast("int")).withColumn("shard", F.col("batch") * per + shard_of("id", per))
+    base = base.withColumn("batch", batch.cast("int")).withColumn("shard", F.col("batch") * per + shard_of(per, "id", "text"))
     keys = kept(
         base.select("id", "text", "batch", "shard")
         .groupBy("shard")
         .applyInArrow(_shard_keys, "batch int, shard int, hi long, lo long, doc long, several boolean"),
         "line-keys",
     )
-    runs = Runs(spark, max(8, n))
+    runs = Runs(spark, min(max(8, n), MOST_BUCKETS))
     for b in range(len(cuts) + 1):
         own = keys.where(F.col("batch") == b)
         runs.add(own.groupBy(*_KEY).agg(F.min("doc").alias("owner")))
