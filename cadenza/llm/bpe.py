@@ -21,14 +21,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes from which a piece is merged with a heap.
 LONG_PIECE = 256
-#: Texts that are encoded together.
-BATCH_ROWS = 4096
+#: Texts that are encoded together, and their bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 24 << 20
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 20
 
@@ -236,14 +237,19 @@ def _loaded(name: str, pattern: str | None) -> Bpe:
     return _CACHE[name, pattern]
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``BATCH_ROWS`` rows or more, so that pieces in common are encoded once."""
+def _batched(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``BATCH_ROWS`` rows, so that pieces in common are encoded once, or less where
+    their texts (column ``text``) come to ``BATCH_BYTES``."""
     held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= BATCH_ROWS:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            held.append(part)
+            rows, size = rows + part.num_rows, size + (pc.sum(pc.binary_length(part.column(text))).as_py() or 0)
+            if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows, size = [], 0, 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -256,7 +262,8 @@ def send_ranks(spark: SparkSession, path: str) -> str:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str | None, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with an array<int> column of token ids.  A null text has no ids; other columns,
-    whatever their names, stay (a column named ``out`` is replaced)."""
+    whatever their names, stay (a column named ``out`` is replaced), as do repeated rows; an empty
+    table gives no rows."""
     name = send_ranks(docs.sparkSession, ranks_path)
 
     @F.arrow_udf("array<int>")
@@ -282,23 +289,21 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
 def tokens(docs: DataFrame, ranks_path: str, pattern: str | None) -> DataFrame:
     """Per row: doc_id, lang, source, n_tokens, ids (array<int>) and decoded_chars, the code points
     of the text that the ids decode to; an id sequence that does not decode to its text fails the
-    job.  A null text counts as empty."""
+    job.  A null text counts as empty, repeated rows stay, an empty table gives no rows."""
     name = send_ranks(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(name, pattern)
-        for batch in _batched(batches):
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                texts = [t or "" for t in part.column(3).to_pylist()]
-                ids = coder.encode_batch(texts)
-                back = [coder.decode(x).decode("utf-8", "surrogatepass") for x in ids]
-                if back != texts:
-                    raise ValueError("token ids do not decode to their text")
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, back), pa.int64())],
-                    ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_chars"],
-                )
+        for part in _batched(batches, 3):
+            texts = [t or "" for t in part.column(3).to_pylist()]
+            ids = coder.encode_batch(texts)
+            back = [coder.decode(x).decode("utf-8", "surrogatepass") for x in ids]
+            if back != texts:
+                raise ValueError("token ids do not decode to their text")
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, back), pa.int64())],
+                ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_chars"],
+            )
 
     part = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     return part.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_chars long")
@@ -309,23 +314,21 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str | None) -> Data
 
     Encodes each whole text, decodes the ids again, and digests both inside one Arrow pass, so
     neither ids nor bytes travel back to the JVM.  A null text counts as empty; a repeated doc_id
-    keeps its rows."""
+    keeps its rows; an empty table gives no rows."""
     name = send_ranks(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(name, pattern)
-        for batch in _batched(batches):
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                n, ids_sha, text_sha = [], [], []
-                for ids in coder.encode_batch([t or "" for t in part.column(1).to_pylist()]):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(coder.strings.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in _batched(batches, 1):
+            n, ids_sha, text_sha = [], [], []
+            for ids in coder.encode_batch([t or "" for t in part.column(1).to_pylist()]):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(",".join(map(coder.strings.__getitem__, ids)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
