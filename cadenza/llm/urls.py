@@ -2,12 +2,14 @@
 
 URLs that an allow or a block rule decides train two smoothed Markov models over characters.  A
 character's probability mixes the counts of contexts of ``ORDER`` characters down to none, each
-leaning on the shorter one; a context never seen leaves the shorter one's estimate, so the order
-varies with what is known.  Counts live in a table of ``SLOTS`` hashed entries, a fixed size
-whatever the number of URLs.  A URL's score is the difference of its two log-likelihoods per
-character; the threshold is the one that best tells held-out accepted from rejected URLs.
-
-Only DataFrame functions: the tables enter the scoring expression as scalar subqueries.
+leaning on the shorter one and the shortest on equal shares of all code points; a context never seen
+leaves the shorter one's estimate, so the order varies with what is known.  The probabilities after
+any context sum to one.  A URL's score is the difference of its two log-likelihoods per character;
+the threshold is the one that best tells held-out accepted from rejected URLs.
+
+Only DataFrame functions.  Counts are exact, one row for each gram, however many; the grams that
+occur in the URLs to be scored are looked up once each by equality joins, order by order, and a
+URL's characters then join the finished log-ratios.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import bound_broadcast, kept
 
 #: (rule, verdict); a rule is a host and a path prefix.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-ORDER, SLOTS, LEAN = 4, 1 << 17, 4.0
+ORDER, LEAN = 4, 4.0
+#: Code points that a character may be.
+ALPHABET = 0x110000
+#: Grams whose log-ratios are broadcast (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_GRAMS = 200_000
 #: One labelled URL in so many calibrates the threshold instead of training.
 HELD_OUT = 5
 #: Width and limit of the score bins of the calibration; their number reaches the driver.
@@ -45,44 +51,41 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*found)
 
 
-def _slot(kind: int, gram: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(kind), gram), F.lit(SLOTS)).cast("int")
-
-
-def _characters(urls: DataFrame) -> DataFrame:
-    """``urls`` (with ``s``) with a row for each character: g0.. (slots of the character after its
-    contexts) and c0.. (slots of the contexts)."""
+def _grams(urls: DataFrame) -> DataFrame:
+    """``urls`` (with ``s``) with a row for each character and the end mark: ``gram``, the character
+    after the ``ORDER`` before it."""
     line = urls.withColumn("line", F.concat(F.lit(_START * ORDER), "s", F.lit(_END)))
-    row = line.withColumn("i", F.explode(F.sequence(F.lit(ORDER + 1), F.length("line"))))
-    grams = [_slot(k, F.substring("line", F.col("i") - k, F.lit(k + 1))).alias(f"g{k}") for k in range(ORDER + 1)]
-    contexts = [_slot(100 + k, F.substring("line", F.col("i") - k, F.lit(k))).alias(f"c{k}") for k in range(ORDER + 1)]
-    return row.select(*urls.columns, *grams, *contexts)
+    grams = F.transform(F.sequence(F.lit(1), F.length("line") - ORDER), lambda i: F.substring(F.col("line"), i, F.lit(ORDER + 1)))
+    return line.select(*urls.columns, F.explode(grams).alias("gram"))
 
 
 def train(labelled: DataFrame) -> DataFrame:
-    """One row with two arrays of ``SLOTS`` counts, ``accepted`` and ``rejected``, over all rows of
-    ``labelled`` (s, ok)."""
-    names = [f"{x}{k}" for x in "gc" for k in range(ORDER + 1)]
-    each = _characters(labelled.select("s", "ok")).select("ok", F.explode(F.array(*names)).alias("slot"))
-    counts = each.groupBy("slot").agg(F.count_if("ok").alias("a"), F.count_if(~F.col("ok")).alias("r"))
-    every = labelled.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
-    listed = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("r", F.lit(0)).alias("r")))).alias("t"))
-    return listed.select(F.col("t.a").cast("array<double>").alias("accepted"), F.col("t.r").cast("array<double>").alias("rejected"))
-
-
-def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, accepted, rejected): how often each character followed its ``ORDER`` predecessors in
+    the URLs (s, ok) of either kind."""
+    return _grams(labelled.select("s", "ok")).groupBy("gram").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, accepted, rejected): the two models' probabilities of each distinct gram's last
+    character after the others.  Counts of shorter grams are sums of ``counts``."""
+    sides = ["accepted", "rejected"]
+    out = grams.select("gram").distinct().select("gram", *(F.lit(1.0 / ALPHABET).alias(x) for x in sides))
+    for k in range(ORDER + 1):
+        suffix = F.substring("gram", ORDER + 1 - k, k + 1)
+        seen = counts.groupBy(suffix.alias("own")).agg(*(F.sum(x).alias(f"n_{x}") for x in sides))
+        after = seen.groupBy(F.substring("own", 1, k).alias("context")).agg(*(F.sum(f"n_{x}").alias(f"c_{x}") for x in sides))
+        out = out.withColumn("own", suffix).withColumn("context", F.substring("own", 1, k)).join(seen, "own", "left").join(after, "context", "left")
+        mixed = [((F.coalesce(f"n_{x}", F.lit(0)) + LEAN * F.col(x)) / (F.coalesce(f"c_{x}", F.lit(0)) + LEAN)).alias(x) for x in sides]
+        out = out.select("gram", *mixed)
+    return out
+
+
+def scores(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """(s, score) for the distinct ``s`` of ``urls``; an empty s scores its end mark alone."""
-    chars = _characters(urls.select("s").distinct())
-
-    def log_likelihood(which: str) -> Column:
-        table = model.select(which).scalar()
-        p = F.lit(1 / 256)
-        for k in range(ORDER + 1):
-            p = (F.get(table, F.col(f"g{k}")) + LEAN * p) / (F.get(table, F.col(f"c{k}")) + LEAN)
-        return F.log(p)
-
-    each = chars.select("s", (log_likelihood("accepted") - log_likelihood("rejected")).alias("d"))
-    return each.groupBy("s").agg(F.avg("d").alias("score"))
+    each = _grams(urls.select("s").distinct())
+    found = probabilities(each, counts)
+    ratio = kept(found.select(F.col("gram").alias("of"), (F.log("accepted") - F.log("rejected")).alias("d")), "url-grams")
+    return each.join(bound_broadcast(ratio, BROADCAST_GRAMS), F.col("gram") == F.col("of")).groupBy("s").agg(F.avg("d").alias("score"))
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -127,3 +130,20 @@ def filtered(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFram
     verdict = F.coalesce("said", F.when(score >= F.lit(edge), "allow").otherwise("block"))
     own = [F.col(f"__row.`{c}`").alias(c) for c in pages.columns if c not in made]
     return both.select(*own, "host", "path", "rule", score.alias("score"), verdict.alias("verdict"))
+
+
+def held_out_rates(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> dict[str, float]:
+    """Hit rates of the method alone on the labelled URLs that do not train it: share of accepted
+    ones that it allows (``allow``), of rejected ones that it blocks (``block``).  The threshold is
+    fitted on half of them and judged on the other half, by a hash of the URL."""
+    host, path = host_path(F.col("url").cast("string"))
+    said = F.create_map(*[F.lit(x) for rule in rules for x in rule])
+    row = pages.select(F.concat(host, path).alias("s"), F.try_element_at(said, rule_of(host, path, rules)).alias("said")).where("said IS NOT NULL")
+    row = row.select("s", (F.col("said") == "allow").alias("ok")).distinct()
+    held = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
+    aside = row.where(held)
+    scored = aside.join(scores(aside, kept(train(row.where(~held)), "url-model")), "s").withColumn("half", F.pmod(F.xxhash64(F.lit(3), "s"), F.lit(2)))
+    edge = calibrated(scored.where("half = 0"))
+    good = F.avg(F.when(F.col("ok"), (F.col("score") >= edge).cast("double")))
+    bad = F.avg(F.when(~F.col("ok"), (F.col("score") < edge).cast("double")))
+    return dict(zip(("allow", "block"), scored.where("half = 1").agg(good, bad).first(), strict=True))
