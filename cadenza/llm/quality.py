@@ -3,7 +3,7 @@
 All in DataFrame functions.  Base rules look at one text.  The method looks across documents: lines
 are normalised and hashed, and a line that more distinct texts of a host hold than the host's limit
 allows is boilerplate there.  It is removed from all documents but the one with the smallest
-doc_id, and a document left with too small a share of its words is rejected.
+doc_id (``cleaned``), and a document left with too small a share of its words is rejected.
 
 Counting takes two steps, so that only frequent lines are counted by distinct text: lines are first
 counted by host with partial sums (a line of a third of the corpus costs one row per task), and
@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, bound_broadcast, kept
 
-#: A line is frequent in more than this many distinct texts, and this share of its host's documents.
-LEAST_DOCS, DOC_SHARE = 20, 0.02
-#: A document must keep this share of its words.
-KEEP_SHARE = 0.3
+#: A line is frequent in a host if more than this many distinct texts hold it, and more than this
+#: per cent of the host's documents.
+LEAST_TEXTS, MOST_PER_CENT = 5, 1
+#: A document must keep two of three words.
+KEEP_OF = (2, 3)
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
-#: Rows of frequent lines, or of depleted documents, that are broadcast (some 50 bytes a row).
-BROADCAST_ROWS = 200_000
+#: Rows of frequent lines, or of documents that lose some, that are broadcast (some 50 bytes a row).
+BROADCAST_ROWS = 50_000
 
 _WS = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -77,37 +78,42 @@ def _lines(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, digest and words of every occurrence of a line that is boilerplate in its host,
+    """doc_id, digest, pos and words of every occurrence of a line that is boilerplate in its host,
     outside the document that keeps it."""
-    limits = docs.groupBy(F.col(host).cast("string").alias("of")).agg(F.greatest(F.lit(float(LEAST_DOCS)), F.count("*") * DOC_SHARE).alias("limit"))
-    counted = _lines(docs, host).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
-    often = counted.join(limits, F.col("host").eqNullSafe(F.col("of"))).where("n > limit").select(F.col("host").alias("of"), F.col("line").alias("found"), "limit")
+    sizes = docs.groupBy(F.col(host).cast("string").alias("of")).agg(F.count("*").alias("n_docs"))
+    above = lambda n: (F.col(n) > LEAST_TEXTS) & (100 * F.col(n) > MOST_PER_CENT * F.col("n_docs"))
+    counted = _lines(docs, host).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_TEXTS)
+    often = counted.join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(above("n")).select(F.col("host").alias("of"), F.col("line").alias("found"), "n_docs")
     often = kept(often, "lines-often")
     held = _lines(docs, host).join(bound_broadcast(often, BROADCAST_ROWS), F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("found")))
-    held = kept(held.select("doc_id", "host", "digest", "pos", "line", "words", "limit"), "lines-held")
-    texts = held.groupBy("host", "line", "limit", "digest").agg(F.min("doc_id").alias("least"))
-    over = texts.groupBy("host", "line", "limit").agg(F.count("*").alias("n"), F.min("least").alias("keeper")).where("n > limit")
+    held = kept(held.select("doc_id", "host", "digest", "pos", "line", "words", "n_docs"), "lines-held")
+    texts = held.groupBy("host", "line", "n_docs", "digest").agg(F.min("doc_id").alias("least"))
+    over = texts.groupBy("host", "line", "n_docs").agg(F.count("*").alias("n"), F.min("least").alias("keeper")).where(above("n"))
     over = over.select(F.col("host").alias("of"), F.col("line").alias("found"), "keeper")
     gone = held.join(over, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("found")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.select("doc_id", "digest", "pos", "words").distinct()
 
 
-def judged(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``docs`` with the columns of ``base_rules``, n_left_words (words outside removed lines) and kept.
+def judged(docs: DataFrame, host: str = "source", texts: bool = True) -> DataFrame:
+    """``docs`` with the columns of ``base_rules``, n_left_words (words outside removed lines), kept
+    and cleaned (the text without removed lines); without ``texts``, both ``text`` and ``cleaned``
+    stay behind.
 
-    A null host is a host of its own.  Rows with equal doc_id and text are judged alike; several
-    null doc_ids count as one document.  An empty table gives no rows."""
-    lost = frequent_lines(docs, host).groupBy("doc_id", "digest").agg(F.sum("words").alias("__lost"))
-    lost = kept(lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "__lost"), "lines-lost")
-    based = base_rules(docs)
+    The base counts are written out first: they are costly, and no filter on the result can make
+    the optimizer work them out anew.  A null host is a host of its own.  Rows with equal doc_id and
+    text are judged alike; several null doc_ids count as one document.  A null text stays null.  An
+    empty table gives no rows; columns of the names made here are replaced."""
+    gone = frequent_lines(docs, host).groupBy("doc_id", "digest")
+    lost = gone.agg(F.sum("words").alias("__lost"), F.collect_set("pos").alias("__pos") if texts else F.lit(None).alias("__pos"))
+    lost = kept(lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "__lost", "__pos"), "lines-lost")
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = based.join(bound_broadcast(lost, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (digest == F.col("__of")), "left")
+    based = base_rules(docs.drop("cleaned", "kept", "n_left_words")).withColumn("__digest", digest)
+    based = kept(based if texts else based.drop("text"), "quality-counts")
+    both = based.join(bound_broadcast(lost.drop("__pos"), BROADCAST_ROWS) if not texts else lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
     left = F.col("n_words") - F.coalesce("__lost", F.lit(0))
-    # always true; it keeps a filter on ``kept`` from being pushed down, where the optimizer would
-    # write the counting expressions out anew at each of their uses
-    guard = F.monotonically_increasing_id() >= 0
-    return (
-        both.withColumn("n_left_words", left)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= KEEP_SHARE * F.col("n_words")) & guard)
-        .drop("__id", "__of", "__lost")
-    )
+    few, of = KEEP_OF
+    out = both.withColumn("n_left_words", left).withColumn("kept", ~F.col("base_failed") & (of * F.col("n_left_words") >= few * F.col("n_words")))
+    if texts:
+        lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda _, i: ~F.array_contains("__pos", i))
+        out = out.withColumn("cleaned", F.when(F.col("__pos").isNull(), F.col("text").cast("string")).otherwise(F.array_join(lines, "\n")))
+    return out.drop("__id", "__of", "__lost", "__pos", "__digest")

@@ -72,7 +72,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return quality.judged(_read(spark, sf_dir, "documents")).select(
+    return quality.judged(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), texts=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -155,7 +155,7 @@ raw AS (
 l AS (SELECT * FROM raw WHERE trim(line, {_SPACES}) <> ''),
 d AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l GROUP BY doc_id),
 k AS (SELECT doc_id, source, text, pos, lower(trim(line, {_SPACES})) AS key, len(regexp_extract_all(line, '{_WORD}')) AS words FROM l),
-m AS (SELECT source, greatest(20, count(*) * 0.02::DOUBLE) AS lim FROM t GROUP BY source),
+m AS (SELECT source, greatest(5, count(*) / 100.0::DOUBLE) AS lim FROM t GROUP BY source),
 f AS (
   SELECT k.source, key, min(doc_id) AS keeper FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source
   GROUP BY k.source, key, lim HAVING count(DISTINCT text) > lim),
@@ -170,6 +170,6 @@ b AS (
   FROM w LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words - lost >= 0.3 * n_words AS kept
+       NOT base_failed AND 3 * (n_words - lost) >= 2 * n_words AS kept
 FROM v""",
 }
