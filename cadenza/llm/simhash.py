@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, kept
@@ -227,9 +227,9 @@ BANDS, BAND_ROWS = 36, 6
 #: (1 - s) / 2 of them on average; the chance at 0.8 is under 1e-6).
 SKETCH_WORDS, SKETCH_DISTANCE = 3, 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Candidate groups up to this size give all their pairs at once; members of larger ones that
-#: their first links have not joined are compared in blocks of some so many.
-SMALL_GROUP, VERIFY_BLOCK = 64, 512
+#: Candidate groups up to this size give all their pairs; of larger ones each member is paired with
+#: the first, and what that leaves apart is compared in blocks of some so many texts, or shingles.
+SMALL_GROUP, BLOCK_TEXTS, BLOCK_SHINGLES = 6, 512, 1 << 20
 LAST_ID = (1 << 63) - 1
 
 
@@ -263,130 +263,97 @@ def bands(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(keys.T), sketch
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
-    """Runs of whole groups, by the first of ``width`` long columns, of rows that come sorted by it."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.column_stack([batch.column(i).to_numpy() for i in range(width)])
-        if not len(rows):
-            continue
-        last = rows[-1, 0]
-        tail = rows[:, 0] == last
-        if held and held[0][0, 0] == last:  # the whole batch is of this group
-            held.append(rows)
-            continue
-        done = np.vstack([*held, rows[~tail]]) if held else rows[~tail]
-        held = [rows[tail]]
-        if len(done):
-            yield done
-    if held:
-        yield np.vstack(held)
-
-
 _MARKS = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of sketches are near enough."""
-    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= SKETCH_DISTANCE
-
-
-def candidates(keyed: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of rows (key, node, s0..) with equal keys, with null key and sketch.
-
-    Groups up to ``SMALL_GROUP`` give all pairs whose sketches are near.  A larger one pairs its
-    members with its first, and its rows are given as (key, node as u, first node as v, s0..)."""
-    names = ["key", "u", "v", *_MARKS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 2 + SKETCH_WORDS):
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
-            sizes = np.diff(edge)
-            found = []
-            for g in np.flatnonzero(sizes > SMALL_GROUP):
-                group = rows[edge[g] : edge[g + 1]]
-                columns = [group[:, 0], group[:, 1], np.full(len(group), group[0, 1]), *group[:, 2:].T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names)
-            for size in np.unique(sizes[sizes > 1]):
-                at = edge[:-1][sizes == size]
-                i, j = np.triu_indices(size, 1) if size <= SMALL_GROUP else (np.zeros(size - 1, np.int64), np.arange(1, size))
-                step = max(1, (1 << 18) // len(i))
-                for k in range(0, len(at), step):
-                    a, b = ((at[k : k + step, None] + x).ravel() for x in (i, j))
-                    near = _near(rows[a, 2:], rows[b, 2:])
-                    found.append(np.column_stack([rows[a[near], 1], rows[b[near], 1]]))
-            if found and len(both := np.unique(np.sort(np.vstack(found), axis=1), axis=0)):
-                none = pa.nulls(len(both), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, *(pa.array(np.ascontiguousarray(x)) for x in both.T), *[none] * SKETCH_WORDS], names)
-
-    return _by_key(keyed.select("key", "node", *_MARKS)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def unjoined(members: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of rows (key, node, root, s0..) with equal keys, near sketches and
-    different roots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3 + SKETCH_WORDS):
-            for group in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
-                roots, of, sizes = np.unique(group[:, 2], return_inverse=True, return_counts=True)
-                rank = np.argsort(np.argsort(-sizes, kind="stable"))[of]  # 0: the largest component
-                group = group[np.argsort(rank, kind="stable")]
-                rank = np.sort(rank)
-                for at in np.flatnonzero(rank):  # each with all members of larger components
-                    before = group[: np.searchsorted(rank, rank[at])]
-                    near = before[_near(before[:, 3:], group[at, 3:]), 1]
-                    if len(near):
-                        own = np.full(len(near), group[at, 1])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, near)), pa.array(np.maximum(own, near))], ["u", "v"])
-
-    return _by_key(members.select("key", "node", "root", *_MARKS)).mapInArrow(run, "u long, v long").distinct()
-
-
-def blocks_of(stars: DataFrame) -> DataFrame:
-    """(node, home, block): the component of each node of ``stars`` (u, v), and its block there."""
-    home = kept(components(stars).select("node", F.col("root").alias("home")), "near-homes")
-    count = home.groupBy("home").agg(F.ceil(F.count("*") / VERIFY_BLOCK).alias("n"))
-    return kept(home.join(count, "home").select("node", "home", F.pmod(F.xxhash64("node"), "n").alias("block")), "near-blocks")
-
-
-def verified_blocks(pairs: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v; within a home) whose ``sets`` (node, set) are similar.  A set travels
-    once for each block that its block is compared with, not once for each pair."""
-
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        u, v, node = (x.to_numpy() for x in (asked["u"], asked["v"], held["node"]))
-        place = {int(n): i for i, n in enumerate(node)}
-        lists = held["set"].combine_chunks()
-        flat, edge = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-        codes = np.unique(flat, return_inverse=True)[1].ravel()
-        mark = np.zeros(len(codes) + 1, np.int32)
-        good = np.zeros(len(u), bool)
-        order = np.argsort(u, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(u[order])) + 1):
-            at = place[int(u[rows[0]])]
-            own = codes[edge[at] : edge[at + 1]]
-            mark[own] = 1
-            for k, i in zip(rows.tolist(), (place[x] for x in v[rows].tolist()), strict=True):
-                other = codes[edge[i] : edge[i + 1]]
-                shared = int(mark[other].sum())
-                good[k] = shared >= VERIFY_SIMILARITY * (len(own) + len(other) - shared)
-            mark[own] = 0
-        return pa.table({"u": pa.array(u[good]), "v": pa.array(v[good])})
-
-    a = blocks.select(F.col("node").alias("u"), "home", F.col("block").alias("bu"))
-    b = blocks.select(F.col("node").alias("v"), F.col("block").alias("bv"))
-    cell = F.struct("home", F.least("bu", "bv").alias("low"), F.greatest("bu", "bv").alias("high"))
-    asked = kept(pairs.join(a, "u").join(b, "v").select("u", "v", cell.alias("cell")).select("u", "v", "cell.*"), "near-asked")
-    cells = asked.select(F.col("home").alias("of"), F.col("low").alias("l"), F.col("high").alias("h")).distinct()
-    cells = cells.select("*", F.explode(F.array_distinct(F.array("l", "h"))).alias("b"))
-    held = cells.join(blocks, (F.col("of") == F.col("home")) & (F.col("b") == F.col("block"))).select("of", "l", "h", "node").join(sets, "node")
-    return asked.groupBy("home", "low", "high").cogroup(held.groupBy("of", "l", "h")).applyInArrow(run, "u long, v long")
-
-
-def _by_key(rows: DataFrame) -> DataFrame:
-    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return rows.repartition(int(n), "key").sortWithinPartitions("key", "node")
+def _near(a: Column, b: Column) -> Column:
+    """Whether two sketches (structs of ``_MARKS``) are near enough."""
+    return sum((F.bit_count(a[m].bitwiseXOR(b[m])) for m in _MARKS[1:]), F.bit_count(a[_MARKS[0]].bitwiseXOR(b[_MARKS[0]]))) <= SKETCH_DISTANCE
+
+
+def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (key, node, s0..): pairs (u, v) to verify, and stars (u, v), which join all members
+    of each larger group to its first, near or not.
+
+    A key's first member and size come from partial sums, so that a key of very many rows costs a
+    row a task; no group is ever held."""
+    own = F.struct("node", *_MARKS)
+    each = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1")
+    found = kept(keyed.join(each, "key").select("key", own.alias("own"), "n", "first"), "near-found")
+    large = found.where((F.col("n") > SMALL_GROUP) & (F.col("own.node") != F.col("first.node")))
+    ends = [F.col("own.node").alias("u"), F.col("first.node").alias("v")]
+    small = found.where(F.col("n") <= SMALL_GROUP).groupBy("key").agg(F.sort_array(F.collect_list("own")).alias("g"))
+    both = F.expr("explode(flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(a AS a, b AS b)))))")
+    small = small.select(both.alias("p")).where(_near(F.col("p.a"), F.col("p.b"))).select(F.col("p.a.node").alias("u"), F.col("p.b.node").alias("v"))
+    stars = large.where(_near(F.col("own"), F.col("first"))).select(*ends)
+    return stars.unionByName(small).distinct(), large.select(*ends).distinct()
+
+
+def left_apart(stars: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Cells (home, cell) of members (node, root, low) of larger groups that the first links left in
+    several components.  Members that stars join have one ``home``.  Its largest component needs no
+    comparison within; the others are cut in blocks, each compared with every block (``low`` tells
+    the two apart), so that every pair of different roots meets in a cell."""
+    home = components(stars).select("node", F.col("root").alias("home"))
+    rows = home.join(roots, "node", "left").join(sizes, "node").select("node", "home", F.coalesce("root", "node").alias("root"), "n_shingles")
+    rows = kept(rows, "near-homes")
+    weight = F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)
+    parts = rows.groupBy("home", "root").agg(F.count("*").alias("n"))
+    apart = parts.groupBy("home").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("k")).where("k > 1")
+    rows = rows.join(apart.select("home", "major"), "home").withColumn("minor", F.col("root") != F.col("major"))
+    blocks = rows.groupBy("home", "minor").agg(F.ceil(weight).cast("int").alias("b"))
+    blocks = blocks.groupBy("home").agg(F.sum(F.when(F.col("minor"), F.col("b"))).cast("int").alias("few"), F.sum("b").cast("int").alias("all"))
+    rows = rows.join(blocks, "home")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("all") - F.col("few"))).cast("int")
+    rows = rows.withColumn("own", own + F.when(F.col("minor"), 0).otherwise(F.col("few")))
+    # minor blocks 0 .. few - 1 meet all blocks, the others meet the minor ones
+    others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("all")).otherwise(F.col("few")) - 1)
+    met = rows.select("home", "node", "root", "own", F.explode(others).alias("other"))
+    cell = F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select("home", cell.alias("cell"), "node", "root", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") == F.col("other")).alias("same"))
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """Links of one cell: a forest of the similar pairs of different roots, found by exact shingle
+    sets; a text is compared with all texts of the other side at once."""
+    node, root = t["node"].to_numpy(), t["root"].to_numpy()
+    low = np.array(t["low"].to_pylist(), bool)
+    lists = t["set"].combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1].ravel()
+    edge = np.concatenate(([0], np.cumsum(size)))
+    same = bool(t["same"][0].as_py())
+    left = np.flatnonzero(low)
+    right = left if same else np.flatnonzero(~low)
+    flat = np.concatenate([codes[edge[i] : edge[i + 1]] for i in right] or [codes[:0]])
+    start = np.concatenate(([0], np.cumsum(size[right])[:-1])).astype(np.int64)
+    full = size[right] > 0
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    mark = np.zeros(len(codes) + 1, np.int32)
+    u, v = [], []
+    for i in left.tolist():
+        if not len(right) or not size[i]:
+            continue
+        own = codes[edge[i] : edge[i + 1]]
+        mark[own] = 1
+        shared = np.zeros(len(right), np.int64)
+        shared[full] = np.add.reduceat(mark[flat], start[full]) if full.any() else 0
+        mark[own] = 0
+        alike = (shared >= VERIFY_SIMILARITY * (size[i] + size[right] - shared)) & (root[right] != root[i])
+        for k in right[alike].tolist():
+            a, b = find(int(root[i])), find(int(root[k]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                u.append(node[i])
+                v.append(node[k])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -396,7 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with the same set of shingles are one node and need no verification (null texts and those
     without a word have the empty set).  Candidates share a band of least hashes, see ``BANDS``, and
     are verified on whole texts: every pair of a band's group is either verified or lies in one
-    component by links that were.  A doc_id may stand for several texts, each judged as its own; of
+    component by links that were; pairs of a large group are compared inside tasks, never listed.  A doc_id may stand for several texts, each judged as its own; of
     rows with equal doc_id and text one stays; a null doc_id comes after all others."""
     content = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
@@ -412,40 +379,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             key, sketch = bands(least_hashes(sets))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             marks = [pa.array(np.ascontiguousarray(x)) for x in sketch.view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *marks, lists], ["id", "t", "node", *_MARKS, "bands"])
+            counts = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *marks, lists, counts], ["id", "t", "node", *_MARKS, "bands", "n_shingles"]
+            )
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [x.view(np.int64) for x in sets_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    kinds = "id long, t long, node long, " + ", ".join(f"{m} long" for m in _MARKS) + ", bands array<long>"
+    kinds = "id long, t long, node long, " + ", ".join(f"{m} long" for m in _MARKS) + ", bands array<long>, n_shingles int"
     rows = docs.select(*keys).mapInArrow(prints, kinds)
-    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "t")).alias("of"), *(F.first(c).alias(c) for c in [*_MARKS, "bands"]))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "t")).alias("of"), *(F.first(c).alias(c) for c in [*_MARKS, "bands", "n_shingles"]))
     nodes = kept(nodes, "near-nodes")
     keyed = nodes.select("node", *_MARKS, F.explode("bands").alias("key"))
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        chosen = ends.join(nodes, "node").select("of.*", "node")
+    def sets_of_nodes(wanted: DataFrame) -> DataFrame:
+        chosen = wanted.select("node").distinct().join(nodes, "node").select("of.*", "node")
         found = docs.select(*keys).join(chosen, ["id", "t"]).select("id", "t", "text", "node")
         return kept(found.mapInArrow(shingles, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sets = sets_for(pairs)
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-        shared = F.size(F.array_intersect("x", "y"))
-        alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
-        return kept(both.where(alike).select("u", "v"), "near-links")
-
-    found = kept(candidates(keyed), "near-found")
-    links_ = verified(kept(found.where("key IS NULL").select("u", "v").distinct(), "near-pairs"))
+    pairs, stars = candidates(keyed)
+    pairs, stars = kept(pairs, "near-pairs"), kept(stars, "near-stars")
+    sets = sets_of_nodes(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
+    links_ = kept(both.where(alike).select("u", "v"), "near-links")
     roots = components(links_)
-    large = found.where("key IS NOT NULL")
-    if large.limit(1).count():
-        members = large.select("key", F.col("u").alias("node"), *_MARKS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = kept(unjoined(members), "near-rest")
-        more = verified_blocks(rest, blocks_of(large.select("u", "v")), sets_for(rest))
+    if stars.limit(1).count():
+        cells = kept(left_apart(stars, roots, nodes.select("node", "n_shingles")), "near-cells")
+        more = cells.join(sets_of_nodes(cells), "node").groupBy("home", "cell").applyInArrow(_compared, "u long, v long")
         roots = components(kept(links_.unionByName(more), "near-links"))
     rooted = nodes.join(roots, "node", "left").select("of", F.coalesce("root", "node").alias("root"))
     stay = kept(rooted.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__id"), F.col("of.t").alias("__t")), "near-stay")
