@@ -4,7 +4,7 @@ All work on the output of ``sources.shred``; a document's nodes meet once, by do
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
@@ -40,54 +40,45 @@ def _written(*names: str) -> Column:
     return F.array_join(F.transform(F.array(*map(F.lit, names)), one), "")
 
 
-def _content(nodes: DataFrame, comments: str) -> DataFrame:
-    """Nodes that belong to utterances; text under unknown elements counts as their parent's."""
+def _content(comments: str) -> Column:
+    """Whether a node belongs to an utterance; text under unknown elements counts as their parent's."""
     kinds = ["utterance", "prosody", "emphasis", "segment", "pause", "text"] + (["comment"] if comments == "text" else [])
-    return nodes.where(F.col("inside") & F.col("kind").isin(kinds))
+    return F.col("inside") & F.col("kind").isin(kinds)
 
 
-def _under_unknown(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with hidden: whether an unknown element is among the ancestors (intervals that hold
-    the node), by one running maximum over the document."""
-    order = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when((F.col("kind") == "unknown") & (F.col("depth") > 0), F.col("post"))).over(order)
-    return nodes.withColumn("hidden", F.coalesce(last >= F.col("pre"), F.lit(False)))
-
-
-def _assembled(nodes: DataFrame, opening: Column, closing: Column, leaf: Column) -> DataFrame:
-    """(doc_id, utt_idx, body): each node's opening at pre and closing after its last descendant."""
+def _documents(nodes: DataFrame, opening: Column, closing: Column, leaf: Column, told: Column) -> DataFrame:
+    """(doc_id, kind, attrs, body, n): each document's root, its parts in order and the number of its
+    utterances, of documents that parse.  Of each node that ``told`` holds for, its opening stands
+    at pre and its closing after its last descendant.  A document's nodes meet once."""
     parts = F.array(
-        F.struct(F.col("pre").alias("at"), F.lit(1).alias("side"), F.lit(0).alias("order"), F.coalesce(opening, leaf).alias("text")),
-        F.struct(F.col("post").alias("at"), F.lit(2).alias("side"), (-F.col("pre")).alias("order"), F.coalesce(closing, F.lit("")).alias("text")),
+        F.struct(F.col("utt_idx").alias("utt"), F.col("pre").alias("at"), F.lit(1).alias("side"), F.lit(0).alias("order"), F.coalesce(opening, leaf, F.lit("")).alias("text")),
+        F.struct(F.col("utt_idx").alias("utt"), F.col("post").alias("at"), F.lit(2).alias("side"), (-F.col("pre")).alias("order"), F.coalesce(closing, F.lit("")).alias("text")),
+    )
+    root = F.when((F.col("depth") == 0) & F.col("kind").isin("iml", "utterance"), F.struct("kind", "attrs"))
+    first = (F.col("kind") == "utterance") & F.col("inside") & ~F.col("hidden") & told
+    return (
+        nodes.groupBy("doc_id")
+        .agg(F.max_by(root, root.isNotNull().cast("int")).alias("root"), F.flatten(F.collect_list(F.when(told, parts))).alias("ts"), F.count_distinct(F.when(first, F.col("utt_idx"))).alias("n"))
+        .where("root IS NOT NULL")
+        .select("doc_id", "root.*", F.array_join(F.transform(F.array_sort("ts"), lambda t: t["text"]), "").alias("body"), "n")
     )
-    tokens = nodes.select("doc_id", "utt_idx", F.explode(parts).alias("t"))
-    return tokens.groupBy("doc_id", "utt_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "").alias("body"))
-
-
-def _documents(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(doc_id, root attributes, bodies joined, number of utterances) of documents that parse."""
-    roots = nodes.where((F.col("depth") == 0) & F.col("kind").isin("iml", "utterance")).select("doc_id", "kind", "attrs")
-    joined = bodies.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("utt_idx", "body"))), lambda u: u["body"]), "").alias("body"), F.count("*").alias("n"))
-    return roots.join(joined, "doc_id", "left")
 
 
 def plain_text(nodes: DataFrame, comments: str = "drop") -> DataFrame:
     """(doc_id, plain): all text of the utterances in order, a blank for each pause."""
-    rows = _under_unknown(nodes).where("inside")
-    own = F.when(F.col("kind") == "text", F.col("text")).when((F.col("kind") == "pause") & ~F.col("hidden"), " ")
+    kind = F.col("kind")
+    own = F.when(kind == "text", F.col("text")).when((kind == "pause") & ~F.col("hidden"), " ")
     if comments == "text":
-        own = F.coalesce(own, F.when(F.col("kind") == "comment", F.col("text")))
-    said = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(own.isNotNull(), F.struct("pre", own.alias("t"))))).alias("ts"))
-    return _documents(nodes, rows.select("doc_id", F.lit(0).alias("utt_idx"), F.lit("").alias("body")).distinct()).join(said, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.array_join(F.transform("ts", lambda x: x["t"]), ""), F.lit("")).alias("plain")
-    )
+        own = F.coalesce(own, F.when(kind == "comment", F.col("text")))
+    none = F.lit(None).cast("string")
+    return _documents(nodes, none, none, own, F.col("inside") & own.isNotNull()).select("doc_id", F.col("body").alias("plain"))
 
 
 def serialised(nodes: DataFrame, comments: str = "drop") -> DataFrame:
     """(doc_id, markup) in the one form of the format: attributes in order, unknown elements and what
     cannot be read left out; a single utterance without version and language stands alone."""
     kind = F.col("kind")
-    rows = _content(_under_unknown(nodes), comments).where(~F.col("hidden") | kind.isin("text", "comment"))
+    told = _content(comments) & (~F.col("hidden") | kind.isin("text", "comment"))
     attrs = (
         F.when(kind == "prosody", _written(*PROSODY))
         .when(kind == "emphasis", M.attribute("level", F.coalesce(_attr("level"), F.lit(""))))
@@ -97,17 +88,17 @@ def serialised(nodes: DataFrame, comments: str = "drop") -> DataFrame:
     opening = F.concat(F.lit("<"), kind, attrs, F.lit(">"))
     closing = F.when(attrs.isNotNull(), F.concat(F.lit("</"), kind, F.lit(">")))
     leaf = F.when(kind == "pause", F.concat(F.lit('<pause duration="'), _pause_ms().cast("string"), F.lit('"/>'))).otherwise(M.escape(F.col("text")))
-    docs = _documents(nodes, _assembled(rows, opening, closing, leaf))
-    bare = (F.coalesce("n", F.lit(0)) == 1) & ((F.col("kind") == "utterance") | (_attr("version").isNull() & _attr("language").isNull()))
+    docs = _documents(nodes, opening, closing, leaf, told)
+    bare = (F.col("n") == 1) & ((F.col("kind") == "utterance") | (_attr("version").isNull() & _attr("language").isNull()))
     head = F.concat(*(M.attribute(a, _attr(a)) for a in ("version", "language", "consent", "processing")))
-    return docs.select("doc_id", F.when(bare, F.col("body")).otherwise(F.concat(F.lit("<iml"), head, F.lit(">"), F.coalesce("body", F.lit("")), F.lit("</iml>"))).alias("markup"))
+    return docs.select("doc_id", F.when(bare, F.col("body")).otherwise(F.concat(F.lit("<iml"), head, F.lit(">"), "body", F.lit("</iml>"))).alias("markup"))
 
 
 def to_ssml(nodes: DataFrame) -> DataFrame:
     """(doc_id, ssml): utterances as <s>, pauses as breaks, prosody with pitch, volume and rate only
     (left out without them), segments left out."""
     kind = F.col("kind")
-    rows = _content(_under_unknown(nodes), "drop").where(~F.col("hidden") | (kind == "text"))
+    told = _content("drop") & (~F.col("hidden") | (kind == "text"))
     kept = F.concat(M.attribute("pitch", _attr("pitch")), M.attribute("volume", M.volume_to_ssml(_attr("volume"))), M.attribute("rate", _attr("rate")))
     tagged = (kind == "prosody") & (kept != "")
     level = F.when(_attr("level") != "", M.attribute("level", _attr("level"))).otherwise("")
@@ -116,31 +107,26 @@ def to_ssml(nodes: DataFrame) -> DataFrame:
     )
     closing = F.when(kind == "utterance", "</s>").when(tagged, "</prosody>").when(kind == "emphasis", "</emphasis>")
     leaf = F.when(kind == "pause", F.concat(F.lit('<break time="'), _pause_ms().cast("string"), F.lit('ms"/>'))).otherwise(M.escape(F.col("text")))
-    docs = _documents(nodes, _assembled(rows, opening, closing, leaf))
+    docs = _documents(nodes, opening, closing, leaf, told)
     language = F.when((F.col("kind") == "iml") & (_attr("language") != ""), M.attribute("xml:lang", _attr("language"))).otherwise("")
-    return docs.select("doc_id", F.concat(F.lit(SPEAK), language, F.lit(">"), F.coalesce("body", F.lit("")), F.lit("</speak>")).alias("ssml"))
+    return docs.select("doc_id", F.concat(F.lit(SPEAK), language, F.lit(">"), "body", F.lit("</speak>")).alias("ssml"))
 
 
 def pauses(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, ms) of every pause in utterances."""
-    return _under_unknown(nodes).where("inside AND kind = 'pause' AND NOT hidden").select("doc_id", "pre", _pause_ms().alias("ms"))
+    return nodes.where("inside AND kind = 'pause' AND NOT hidden").select("doc_id", "pre", _pause_ms().alias("ms"))
 
 
 def contours(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, label) of every pitch contour that is not empty."""
-    rows = _under_unknown(nodes).where("inside AND kind = 'prosody' AND NOT hidden")
+    rows = nodes.where("inside AND kind = 'prosody' AND NOT hidden")
     return rows.select("doc_id", "pre", _attr("pitch_contour").alias("label")).where("label <> ''")
 
 
 def voices(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, utt_idx, text, frequency, amplitude) of every text: pitch, volume and emphasis
     of its ancestors applied from the outside in."""
-    rows = _under_unknown(nodes).where("inside")
-    texts = rows.where("kind = 'text'").select("doc_id", "pre", "utt_idx", "text")
-    style = F.struct(F.col("pre").alias("at"), "kind", _attr("pitch").alias("pitch"), _attr("volume").alias("volume"), _attr("level").alias("level"))
-    around = rows.where("kind IN ('prosody', 'emphasis') AND NOT hidden").select("doc_id", F.col("pre").alias("lo"), F.col("post").alias("hi"), style.alias("s"))
-    held = texts.join(around, "doc_id").where("lo < pre AND pre <= hi").groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list("s")).alias("around"))
-    out = texts.join(held, ["doc_id", "pre"], "left")
+    texts = nodes.where("inside AND kind = 'text'").select("doc_id", "pre", "utt_idx", "text", "styles")
 
     def step(v: Column, s: Column) -> Column:
         up = F.when(s["level"] == "strong", 1.15).when(s["level"] == "reduced", 1.05).otherwise(1.10)
@@ -152,19 +138,23 @@ def voices(nodes: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit(M.BASE_FREQUENCY).alias("f"), F.lit(M.BASE_AMPLITUDE).alias("a"))
-    voice = F.aggregate(F.coalesce("around", F.array().cast(held.schema["around"].dataType)), start, step)
-    return out.withColumn("v", voice).select("doc_id", "pre", "utt_idx", "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"))
+    return texts.withColumn("v", F.aggregate("styles", start, step)).select("doc_id", "pre", "utt_idx", "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"))
 
 
 def rendered_samples(nodes: DataFrame) -> DataFrame:
     """(doc_id, n_samples) of the rendered document: a tone for each word with gaps between, pauses,
     gaps between utterances; an empty document has a short silence."""
+    kind = F.col("kind")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    rows = _under_unknown(nodes).where("inside AND (kind = 'text' OR (kind = 'pause' AND NOT hidden))")
-    spoken = F.when(F.col("kind") == "pause", F.floor(SAMPLE_RATE * (_pause_ms() / 1000.0))).otherwise(words * WORD_SAMPLES + F.greatest(words - 1, F.lit(0)) * GAP_SAMPLES)
-    own = rows.groupBy("doc_id").agg(F.sum(spoken.cast("long")).alias("own"))
-    many = nodes.where("kind = 'utterance' AND inside AND (parent_pre = -1 OR (parent_tag = 'iml' AND depth = 1))").groupBy("doc_id").agg(F.count("*").alias("n"))
-    roots = nodes.where("depth = 0 AND kind IN ('iml', 'utterance')").select("doc_id")
-    total = F.coalesce("own", F.lit(0)) + F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)) * UTTERANCE_SAMPLES
+    spoken = F.when((kind == "pause") & ~F.col("hidden"), F.floor(SAMPLE_RATE * (_pause_ms() / 1000.0))).when(
+        kind == "text", words * WORD_SAMPLES + F.greatest(words - 1, F.lit(0)) * GAP_SAMPLES
+    )
+    many = (kind == "utterance") & F.col("inside") & ((F.col("parent_pre") == -1) | ((F.col("parent_tag") == "iml") & (F.col("depth") == 1)))
+    docs = nodes.groupBy("doc_id").agg(
+        F.bool_or((F.col("depth") == 0) & kind.isin("iml", "utterance")).alias("parses"),
+        F.coalesce(F.sum(F.when(F.col("inside"), spoken).cast("long")), F.lit(0)).alias("own"),
+        F.count_if(many).alias("n"),
+    )
+    total = F.col("own") + F.greatest(F.col("n") - 1, F.lit(0)) * UTTERANCE_SAMPLES
     # a document none of whose parts sounds, pauses between utterances included, is a short silence
-    return roots.join(own, "doc_id", "left").join(many, "doc_id", "left").select("doc_id", F.when(total == 0, EMPTY_SAMPLES).otherwise(total).cast("long").alias("n_samples"))
+    return docs.where("parses").select("doc_id", F.when(total == 0, EMPTY_SAMPLES).otherwise(total).cast("long").alias("n_samples"))

@@ -29,12 +29,8 @@ def _issue(rule: str, severity: str, bad: Column, *message: str | Column) -> Col
     return F.when(F.coalesce(bad, F.lit(False)), found)
 
 
-def markup_issues(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, seq, rule, severity, message, line) of every broken rule, over shredded nodes.
-
-    Markup that does not parse breaks V1 and nothing else.  Only nodes that a walk from the root
-    reaches count: neither what lies under unknown elements and pauses, nor what stands directly in
-    the document beside its utterances."""
+def _rules() -> list[Column]:
+    """What a node breaks, rule by rule (null: nothing)."""
     a = lambda name: F.try_element_at("attrs", F.lit(name))
     kind = F.col("kind")
     of = lambda *tags: F.col("live") & kind.isin(*tags)
@@ -42,12 +38,12 @@ def markup_issues(nodes: DataFrame) -> DataFrame:
     given = a("confidence").isNotNull()
     tag = F.coalesce(F.col("tag"), F.lit(""))
     root = F.col("depth") == 0
-    rules = [
+    return [
         _issue("V1", "error", kind == "error", "malformed markup: ", F.coalesce("error", F.lit(""))),
         _issue("V2", "error", root & kind.isin("prosody", "emphasis", "segment", "pause", "unknown"), "unexpected root element <", tag, ">"),
         _issue("V17", "warning", root & (kind == "iml") & ~a("consent").isin(CONSENT), 'consent="', a("consent"), '" is not a recognized value'),
         _issue("V18", "warning", root & (kind == "iml") & ~a("processing").isin(PROCESSING), 'processing="', a("processing"), '" is not a recognized value'),
-        _issue("V2", "error", root & (kind == "iml") & (F.coalesce(F.col("n_utterances"), F.lit(0)) == 0), "<iml> contains no <utterance> elements"),
+        _issue("V2", "error", root & (kind == "iml") & (F.col("n_utterances") == 0), "<iml> contains no <utterance> elements"),
         _issue("V3", "error", of("utterance") & a("emotion").isNotNull() & ~given, "<utterance> has an emotion but no confidence"),
         _issue("V4", "error", of("utterance") & given & confidence.isNull(), 'confidence="', a("confidence"), '" is not a valid float'),
         _issue("V4", "error", of("utterance") & ~F.isnan(confidence) & ((confidence < 0) | (confidence > 1)), "confidence=", a("confidence"), " is outside [0.0, 1.0]"),
@@ -65,24 +61,22 @@ def markup_issues(nodes: DataFrame) -> DataFrame:
         _issue("V11", "error", of("segment") & F.col("in_segment"), "<segment> inside another <segment>"),
         _issue("V16", "info", F.col("live") & (kind == "unknown") & ~root, "unknown element <", tag, ">"),
     ]
-    # what a rule needs of a node's children: utterances of the root, content of pauses
-    up = nodes.where("parent_pre >= 0 AND (parent_tag = 'pause' OR (parent_pre = 0 AND kind = 'utterance'))")
-    own = F.col("kind").isin("text")
-    children = up.groupBy("doc_id", F.col("parent_pre").alias("pre")).agg(
-        F.count_if(F.col("kind") == "utterance").alias("n_utterances"),
-        # leading text only: what stands before the first child node
-        F.max(F.when(own & (F.col("pre") == F.col("parent_pre") + 1), F.btrim("text") != "")).alias("pause_text"),
-        F.max(~own).alias("pause_nodes"),
-    )
-    rows = nodes.join(children, ["doc_id", "pre"], "left")
-    found = rows.select("doc_id", "pre", "line", F.posexplode(F.array(*rules)).alias("seq", "i")).where("i IS NOT NULL")
+
+
+def markup_issues(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, seq, rule, severity, message, line) of every broken rule, over shredded nodes.
+
+    Markup that does not parse breaks V1 and nothing else.  Only nodes that a walk from the root
+    reaches count: neither what lies under unknown elements and pauses, nor what stands directly in
+    the document beside its utterances."""
+    found = nodes.select("doc_id", "pre", "line", F.posexplode(F.array(*_rules())).alias("seq", "i")).where("i IS NOT NULL")
     return found.select("doc_id", "pre", "seq", "i.*", "line")
 
 
 def markup_valid(nodes: DataFrame) -> DataFrame:
     """(doc_id, valid): no rule of severity error is broken."""
-    bad = markup_issues(nodes).where("severity = 'error'").select("doc_id").distinct().withColumn("bad", F.lit(True))
-    return nodes.select("doc_id").distinct().join(bad, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("valid"))
+    broken = F.exists(F.array(*_rules()), lambda i: i["severity"] == "error")
+    return nodes.groupBy("doc_id").agg((~F.bool_or(F.coalesce(broken, F.lit(False)))).alias("valid"))
 
 
 ENTRY = T.StructType([T.StructField(c, T.StringType()) for c in [*REQUIRED, "speaker_id"]] + [T.StructField("consent", T.BooleanType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])

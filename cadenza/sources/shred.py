@@ -1,8 +1,9 @@
 """Markup to nodes: an event parser inside Arrow batches.
 
 One pass over a document gives a row for each element, text, comment and processing instruction, with
-its interval (pre, post), its depth and the flags that validation needs, so that no later step
-recurses.  Entity declarations are refused: nothing is expanded or fetched."""
+its interval (pre, post), its depth, what validation needs of its children and rendering of its
+ancestors, so that no later step recurses or joins nodes with nodes.  Entity declarations are
+refused: nothing is expanded or fetched."""
 
 from __future__ import annotations
 
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 KNOWN = {"iml", "utterance", "prosody", "emphasis", "segment", "pause"}
 NODES = (
     "doc_id long, pre int, post int, parent_pre int, depth int, utt_idx int, kind string, tag string, parent_tag string, text string, "
-    "attrs map<string,string>, line int, fmt_depth int, in_segment boolean, live boolean, inside boolean, error string"
+    "attrs map<string,string>, line int, fmt_depth int, in_segment boolean, live boolean, inside boolean, error string, "
+    # under an unknown element; utterances of a root; leading text, and child nodes, of a pause
+    "hidden boolean, n_utterances int, pause_text boolean, pause_nodes boolean, "
+    # prosody and emphasis around a text, from the outside in
+    "styles array<struct<kind:string,pitch:string,volume:string,level:string>>"
 )
-_FIELDS = [x.strip().split(" ", 1)[0] for x in NODES.replace("map<string,string>", "map").split(",")]
+_STYLES = pa.list_(pa.struct([(x, pa.string()) for x in ("kind", "pitch", "volume", "level")]))
 
 
 class _Refused(Exception):
@@ -61,7 +66,15 @@ class _Parser:
             "doc_id": self.doc, "pre": self.clock, "post": self.clock, "parent_pre": up["pre"] if up else -1, "depth": len(self.stack),
             "utt_idx": self.utterance if up else -1, "kind": kind, "tag": tag, "parent_tag": up["tag"] if up else None, "text": text, "attrs": attrs,
             "line": self.p.CurrentLineNumber, "fmt_depth": 0, "in_segment": False, "live": False, "inside": False, "error": None,
+            "hidden": bool(up) and (up["hidden"] or (up["kind"] == "unknown" and up["depth"] > 0)),
+            "n_utterances": 0, "pause_text": False, "pause_nodes": False, "styles": None,
         }
+        if up:
+            up["n_utterances"] += kind == "utterance"
+            if up["kind"] == "pause":
+                # leading text only: what stands before the first child node
+                up["pause_text"] |= kind == "text" and row["pre"] == up["pre"] + 1 and text.strip(" ") != ""
+                up["pause_nodes"] |= kind != "text"
         self.clock += 1
         self.rows.append(row)
         return row
@@ -103,6 +116,10 @@ class _Parser:
             text, self.held = "".join(self.held), []
             row = self.node("text", None, text, None)
             row["line"], row["inside"] = self.held_line, self.stack[-1]["inside"] and self.stack[-1]["kind"] != "pause"
+            row["styles"] = [
+                {"kind": x["kind"], **{a: x["attrs"].get(a) for a in ("pitch", "volume", "level")}}
+                for x in self.stack if x["inside"] and not x["hidden"] and x["kind"] in ("prosody", "emphasis")
+            ]
         self.held = []
 
     def leaf(self, kind: str, text: str) -> None:
@@ -133,4 +150,9 @@ def shredded(docs: DataFrame, key: str = "doc_id", column: str = "markup") -> Da
 _KINDS = [
     pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(),
     pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(),
+    pa.bool_(), pa.int32(), pa.bool_(), pa.bool_(), _STYLES,
+]
+_FIELDS = [
+    "doc_id", "pre", "post", "parent_pre", "depth", "utt_idx", "kind", "tag", "parent_tag", "text", "attrs", "line", "fmt_depth", "in_segment", "live", "inside",
+    "error", "hidden", "n_utterances", "pause_text", "pause_nodes", "styles",
 ]
