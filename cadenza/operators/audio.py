@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nodes import SAMPLE_RATE, voices, pauses
+from .nodes import SAMPLE_RATE, pause_ms, voice
 
 #: Frames, floors and limits of the acoustic measures.
 FRAME_MS, SILENCE_DB, LEAST_PAUSE_MS, PEAK_DROP_DB = 10, -40.0, 200, 5.0
@@ -42,18 +42,22 @@ def wav_bytes(samples: np.ndarray) -> bytes:
 
 
 def rendered(nodes: DataFrame) -> DataFrame:
-    """(doc_id, wav): each document as sound; its parts meet in one task, as they must in its file."""
-    said = voices(nodes).select("doc_id", "utt_idx", "pre", "text", "frequency", "amplitude", F.lit(None).cast("long").alias("ms"))
-    still = pauses(nodes).join(nodes.select("doc_id", "pre", "utt_idx"), ["doc_id", "pre"]).select(
-        "doc_id", "utt_idx", "pre", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("frequency"), F.lit(None).cast("double").alias("amplitude"), "ms"
-    )
-    ends = nodes.where("kind = 'utterance' AND inside").select(
-        "doc_id", "utt_idx", F.col("pre"), F.lit("").alias("text"), F.lit(0.0).alias("frequency"), F.lit(0.0).alias("amplitude"), F.lit(None).cast("long").alias("ms")
-    )
+    """(doc_id, wav): each document that parses as sound; its parts meet in one task, as they must in
+    its file.  A pause of negative length is none."""
+    still = F.when((F.col("kind") == "pause") & ~F.col("hidden"), F.greatest(pause_ms(), F.lit(0)))
+    root = (F.col("depth") == 0) & F.col("kind").isin("iml", "utterance")
+    heard = F.col("inside") & (F.col("kind").isin("text", "utterance") | still.isNotNull())
+    rows = nodes.where(root | heard).withColumn("v", F.when(F.col("kind") == "text", voice()))
+    rows = rows.select("doc_id", "utt_idx", "pre", root.alias("root"), heard.alias("heard"), "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"), still.alias("ms"))
 
     def run(t: pa.Table) -> pa.Table:
         out, last = [], None
-        for r in sorted(t.to_pylist(), key=lambda r: (r["utt_idx"], r["pre"])):
+        parts = sorted(t.to_pylist(), key=lambda r: (r["utt_idx"], r["pre"]))
+        if not any(r["root"] for r in parts):
+            return pa.table({"doc_id": t["doc_id"][:0], "wav": pa.array([], pa.binary())})
+        for r in parts:
+            if not r["heard"]:
+                continue
             if last is not None and r["utt_idx"] != last:
                 out.append(np.zeros(int(SAMPLE_RATE * UTTERANCE_S)))
             last = r["utt_idx"]
@@ -66,7 +70,7 @@ def rendered(nodes: DataFrame) -> DataFrame:
         samples = np.concatenate(out) if out and sum(map(len, out)) else np.zeros(int(SAMPLE_RATE * EMPTY_S))
         return pa.table({"doc_id": t["doc_id"][:1], "wav": pa.array([wav_bytes(samples)], pa.binary())})
 
-    return said.unionByName(still).unionByName(ends).groupBy("doc_id").applyInArrow(run, "doc_id long, wav binary")
+    return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, wav binary")
 
 
 def write_wavs(sounds: DataFrame, folder: str) -> None:

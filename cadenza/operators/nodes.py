@@ -24,7 +24,8 @@ def _attr(name: str) -> Column:
     return F.try_element_at("attrs", F.lit(name))
 
 
-def _pause_ms() -> Column:
+def pause_ms() -> Column:
+    """Length of a pause node; 0 where it is no number."""
     return F.coalesce(M.int_or_null(_attr("duration")), F.lit(0))
 
 
@@ -87,7 +88,7 @@ def serialised(nodes: DataFrame, comments: str = "drop") -> DataFrame:
     )
     opening = F.concat(F.lit("<"), kind, attrs, F.lit(">"))
     closing = F.when(attrs.isNotNull(), F.concat(F.lit("</"), kind, F.lit(">")))
-    leaf = F.when(kind == "pause", F.concat(F.lit('<pause duration="'), _pause_ms().cast("string"), F.lit('"/>'))).otherwise(M.escape(F.col("text")))
+    leaf = F.when(kind == "pause", F.concat(F.lit('<pause duration="'), pause_ms().cast("string"), F.lit('"/>'))).otherwise(M.escape(F.col("text")))
     docs = _documents(nodes, opening, closing, leaf, told)
     bare = (F.col("n") == 1) & ((F.col("kind") == "utterance") | (_attr("version").isNull() & _attr("language").isNull()))
     head = F.concat(*(M.attribute(a, _attr(a)) for a in ("version", "language", "consent", "processing")))
@@ -106,7 +107,7 @@ def to_ssml(nodes: DataFrame) -> DataFrame:
         F.when(kind == "utterance", "<s>").when(tagged, F.concat(F.lit("<prosody"), kept, F.lit(">"))).when(kind == "emphasis", F.concat(F.lit("<emphasis"), level, F.lit(">"))).when(kind.isin("prosody", "segment"), "")
     )
     closing = F.when(kind == "utterance", "</s>").when(tagged, "</prosody>").when(kind == "emphasis", "</emphasis>")
-    leaf = F.when(kind == "pause", F.concat(F.lit('<break time="'), _pause_ms().cast("string"), F.lit('ms"/>'))).otherwise(M.escape(F.col("text")))
+    leaf = F.when(kind == "pause", F.concat(F.lit('<break time="'), pause_ms().cast("string"), F.lit('ms"/>'))).otherwise(M.escape(F.col("text")))
     docs = _documents(nodes, opening, closing, leaf, told)
     language = F.when((F.col("kind") == "iml") & (_attr("language") != ""), M.attribute("xml:lang", _attr("language"))).otherwise("")
     return docs.select("doc_id", F.concat(F.lit(SPEAK), language, F.lit(">"), "body", F.lit("</speak>")).alias("ssml"))
@@ -114,7 +115,7 @@ def to_ssml(nodes: DataFrame) -> DataFrame:
 
 def pauses(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, ms) of every pause in utterances."""
-    return nodes.where("inside AND kind = 'pause' AND NOT hidden").select("doc_id", "pre", _pause_ms().alias("ms"))
+    return nodes.where("inside AND kind = 'pause' AND NOT hidden").select("doc_id", "pre", pause_ms().alias("ms"))
 
 
 def contours(nodes: DataFrame) -> DataFrame:
@@ -126,7 +127,12 @@ def contours(nodes: DataFrame) -> DataFrame:
 def voices(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, utt_idx, text, frequency, amplitude) of every text: pitch, volume and emphasis
     of its ancestors applied from the outside in."""
-    texts = nodes.where("inside AND kind = 'text'").select("doc_id", "pre", "utt_idx", "text", "styles")
+    voiced = nodes.where("inside AND kind = 'text'").withColumn("v", voice())
+    return voiced.select("doc_id", "pre", "utt_idx", "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"))
+
+
+def voice() -> Column:
+    """Frequency and amplitude (f, a) of a text node."""
 
     def step(v: Column, s: Column) -> Column:
         up = F.when(s["level"] == "strong", 1.15).when(s["level"] == "reduced", 1.05).otherwise(1.10)
@@ -138,7 +144,7 @@ def voices(nodes: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit(M.BASE_FREQUENCY).alias("f"), F.lit(M.BASE_AMPLITUDE).alias("a"))
-    return texts.withColumn("v", F.aggregate("styles", start, step)).select("doc_id", "pre", "utt_idx", "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"))
+    return F.aggregate("styles", start, step)
 
 
 def rendered_samples(nodes: DataFrame) -> DataFrame:
@@ -146,7 +152,7 @@ def rendered_samples(nodes: DataFrame) -> DataFrame:
     gaps between utterances; an empty document has a short silence."""
     kind = F.col("kind")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    spoken = F.when((kind == "pause") & ~F.col("hidden"), F.floor(SAMPLE_RATE * (_pause_ms() / 1000.0))).when(
+    spoken = F.when((kind == "pause") & ~F.col("hidden"), F.floor(SAMPLE_RATE * (pause_ms() / 1000.0))).when(
         kind == "text", words * WORD_SAMPLES + F.greatest(words - 1, F.lit(0)) * GAP_SAMPLES
     )
     many = (kind == "utterance") & F.col("inside") & ((F.col("parent_pre") == -1) | ((F.col("parent_tag") == "iml") & (F.col("depth") == 1)))

@@ -68,8 +68,9 @@ def word_prosody(events: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def session_markup(events: DataFrame, transcripts: DataFrame, compat: bool = False) -> DataFrame:
-    """(session_id, markup) of sessions with a transcript (session_id, transcript).  ``compat``
-    leaves words unescaped."""
+    """(session_id, emotion, markup) of sessions with a transcript (session_id, transcript).  Where
+    transcripts have an emotion_label, it stands for the inferred emotion.  ``compat`` leaves words
+    unescaped."""
     tokens = transcripts.select("session_id", F.filter(F.split("transcript", r"\s+"), lambda w: w != "").alias("ws"))
     words = tokens.select("session_id", F.size("ws").alias("n_words"), F.posexplode("ws").alias("word_idx", "word"))
     text = F.col("word") if compat else M.escape(F.col("word"))
@@ -78,9 +79,34 @@ def session_markup(events: DataFrame, transcripts: DataFrame, compat: bool = Fal
     )
     rows = word_prosody(events, words).withColumn("piece", piece)
     inner = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "piece"))).alias("p"))
-    marked = features(events).withColumn("emotion", emotion()).withColumn("confidence", F.format_string("%.2f", confidence()))
-    both = marked.join(transcripts.select("session_id"), "session_id").join(inner, "session_id", "left")
+    given = F.col("emotion_label") if "emotion_label" in transcripts.columns else F.lit(None).cast("string")
+    marked = features(events).withColumn("inferred", emotion()).withColumn("confidence", F.format_string("%.2f", confidence()))
+    both = marked.join(transcripts.select("session_id", given.alias("given")), "session_id").join(inner, "session_id", "left")
+    both = both.withColumn("emotion", F.coalesce("given", "inferred"))
     body = F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), " "), F.lit(""))
     return both.select(
-        "session_id", F.concat(F.lit('<utterance emotion="'), "emotion", F.lit('" confidence="'), "confidence", F.lit('">'), body, F.lit("</utterance>")).alias("markup")
+        "session_id", "emotion", F.concat(F.lit('<utterance emotion="'), "emotion", F.lit('" confidence="'), "confidence", F.lit('">'), body, F.lit("</utterance>")).alias("markup")
+    )
+
+
+def entries(events: DataFrame, transcripts: DataFrame, language: str = "en-US", compat: bool = False) -> DataFrame:
+    """Dataset entries of sessions with events and a transcript (session_id, transcript, and if there
+    are such columns emotion_label and speaker_id): id and audio_file from the session's name, the
+    time of the run, markup, the given or inferred label, and the number of events as metadata."""
+    speaker = F.col("speaker_id") if "speaker_id" in transcripts.columns else F.lit(None).cast("string")
+    rows = session_markup(events, transcripts, compat).join(transcripts.select("session_id", "transcript", speaker.alias("speaker_id")), "session_id")
+    rows = rows.join(events.groupBy("session_id").agg(F.count("*").cast("string").alias("n_events")), "session_id")
+    return rows.select(
+        F.concat(F.lit("mavis_"), "session_id").alias("id"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
+        F.lit("mavis").alias("source"),
+        F.lit(language).alias("language"),
+        F.concat(F.lit("audio/"), "session_id", F.lit(".wav")).alias("audio_file"),
+        "transcript",
+        F.col("markup").alias("iml"),
+        F.col("emotion").alias("emotion_label"),
+        F.lit("model").alias("annotator"),
+        F.lit(True).alias("consent"),
+        "speaker_id",
+        F.create_map(F.lit("mavis_events"), "n_events").alias("metadata"),
     )

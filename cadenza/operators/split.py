@@ -14,10 +14,17 @@ def _sizes(n: int, train: float, val: float, test: float) -> tuple[int, int]:
     return int(n * train), int(n * val)
 
 
+#: Rows that ``exact_split`` takes at most.
+MOST_ROWS = 5_000_000
+
+
 def exact_split(rows: DataFrame, order: str, train: float = 0.8, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
     """``rows`` with ``split``, by a Mersenne shuffle of their positions under ``order``.  The
-    permutation is made on the driver, so this is for tables of bounded size (labelled entries)."""
+    permutation is made on the driver, so tables above ``MOST_ROWS`` are refused; ``hashed_split``
+    takes those."""
     n = rows.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} rows are too many for an exact split, use hashed_split")
     a, b = _sizes(n, train, val, test)
     places = list(range(n))
     random.Random(seed).shuffle(places)

@@ -45,12 +45,26 @@ def quotes(sentence: Column) -> tuple[Column, Column]:
     return spans, rest
 
 
+def _spaced(text: Column) -> Column:
+    """The words of a text with single blanks between."""
+    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+
+
+def _token(words: str, punctuation: str) -> str:
+    """Pattern of a whole token that is one of ``words`` in ``punctuation``, where single blanks part
+    tokens."""
+    return f"(?<![^ ]){punctuation}(?:{words}){punctuation}(?![^ ])"
+
+
+_PUNCTUATED = "[" + PUNCTUATION + "]*"
+
+
 def with_cues(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with cues, the numbers of positive, negative and uncertain words in ``column``.  Words
-    are cut and lower-cased once, in a step of their own."""
-    lowered = rows.withColumn("__lower", F.transform(_words(F.col(column)), lambda w: F.lower(stripped(w))))
-    count = lambda lexicon: F.size(F.filter("__lower", lambda w: w.isin(*lexicon)))
-    return lowered.withColumn("cues", F.struct(count(POSITIVE).alias("pos"), count(NEGATIVE).alias("neg"), count(UNCERTAIN).alias("unc"))).drop("__lower")
+    """``rows`` with cues, the numbers of positive, negative and uncertain words in ``column``.  Each
+    lexicon is one pattern over the lower-cased text."""
+    lowered = _spaced(F.lower(F.col(column)))
+    count = lambda lexicon: F.regexp_count(lowered, F.lit(_token("|".join(lexicon), _PUNCTUATED)))
+    return rows.withColumn("cues", F.struct(count(POSITIVE).alias("pos"), count(NEGATIVE).alias("neg"), count(UNCERTAIN).alias("unc")))
 
 
 def emotion_of(sentence: Column, cues: Column) -> tuple[Column, Column]:
@@ -69,10 +83,14 @@ def is_question(sentence: Column) -> Column:
     return s.endswith("?") | (s.rlike(ELLIPSIS) & s.contains("?"))
 
 
-def token_markup(word: Column) -> Column:
-    """A word, emphasised if it is ALL CAPS."""
-    caps = stripped(word).rlike("^[A-Z]{2,}$")
-    return F.when(caps, F.concat(F.lit('<emphasis level="strong">'), escape(word), F.lit("</emphasis>"))).otherwise(escape(word))
+#: ALL CAPS in escaped text, where a double quote is an entity.
+_CAPITALS = "(?<![^ ])((?:[" + PUNCTUATION.replace('"', "") + "]|&quot;)*[A-Z]{2,}(?:[" + PUNCTUATION.replace('"', "") + "]|&quot;)*)(?![^ ])"
+
+
+def words_markup(text: Column) -> Column:
+    """A text's words, parted by single blanks, those in ALL CAPS emphasised."""
+    plain = escape(_spaced(text))
+    return F.when(text.rlike("[A-Z]{2}"), F.regexp_replace(plain, _CAPITALS, '<emphasis level="strong">$1</emphasis>')).otherwise(plain)
 
 
 def inner_markup(sentence: Column) -> Column:
@@ -80,14 +98,15 @@ def inner_markup(sentence: Column) -> Column:
     any word leaves no pause."""
     parts = F.transform(F.split(sentence, ELLIPSIS), lambda p: F.btrim(p))
     n = F.size(parts)
+    broken = sentence.rlike(ELLIPSIS)
 
     def piece(p: Column, k: Column) -> Column:
         said = F.exists(F.slice(parts, F.lit(1), k), lambda q: q != "")
-        body = F.when(p == "", "").otherwise(F.concat(F.when(said, " ").otherwise(""), F.array_join(F.transform(_words(p), token_markup), " ")))
+        body = F.when(p == "", "").otherwise(F.concat(F.when(said, " ").otherwise(""), words_markup(p)))
         pause = F.when((k < n - 1) & ((p != "") | said), '<pause duration="500"/>').otherwise("")
         return F.concat(body, pause)
 
-    return F.array_join(F.transform(parts, piece), "")
+    return F.when(broken, F.array_join(F.transform(parts, piece), "")).otherwise(words_markup(F.btrim(sentence)))
 
 
 def utterance_markup(sentence: Column, inner: Column, cues: Column, default_confidence: float = 0.6) -> Column:

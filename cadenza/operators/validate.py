@@ -79,6 +79,17 @@ def markup_valid(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg((~F.bool_or(F.coalesce(broken, F.lit(False)))).alias("valid"))
 
 
+def located(message: Column, path: Column, line: Column) -> Column:
+    """A message with where it arose, as far as that is known: message (file, line n)."""
+    place = F.array_compact(F.array(path, F.concat(F.lit("line "), line.cast("string"))))
+    return F.concat(message, F.when(F.size(place) > 0, F.concat(F.lit(" ("), F.array_join(place, ", "), F.lit(")"))).otherwise(""))
+
+
+def low_confidence(utterances: DataFrame, below: float = 0.5) -> DataFrame:
+    """Utterances whose confidence is given and too low to act on."""
+    return utterances.where(F.col("confidence") < below)
+
+
 ENTRY = T.StructType([T.StructField(c, T.StringType()) for c in [*REQUIRED, "speaker_id"]] + [T.StructField("consent", T.BooleanType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
 
@@ -89,28 +100,28 @@ def entry_issues(entries: DataFrame, keys: list[str], issues: DataFrame | None =
     c = F.col
     said = lambda name: F.coalesce(c(name), F.lit("")) != ""
     rules = [
-        *(_issue("D1", "error", F.btrim(F.coalesce(c(f), F.lit(""))) == "", f"Missing or empty required field '{f}'") for f in REQUIRED),
-        _issue("D2", "error", ~c("consent").eqNullSafe(F.lit(True)), "'consent' must be true"),
-        _issue("D3", "error", said("source") & ~c("source").isin(SOURCES), "'source' must be one of the known sources, got '", c("source"), "'"),
-        _issue("D4", "error", said("annotator") & ~c("annotator").isin(ANNOTATORS), "'annotator' must be one of the known annotators, got '", c("annotator"), "'"),
-        _issue("D5", "warning", said("timestamp") & ~c("timestamp").rlike(ISO_8601), "'timestamp' does not look like ISO-8601: '", c("timestamp"), "'"),
-        _issue("D6", "warning", said("language") & ~c("language").rlike(BCP_47), "'language' does not match BCP-47 pattern: '", c("language"), "'"),
+        *(_issue("D1", "error", F.btrim(F.coalesce(c(f), F.lit(""))) == "", f"{f} is missing or blank") for f in REQUIRED),
+        _issue("D2", "error", ~c("consent").eqNullSafe(F.lit(True)), "consent was not given"),
+        _issue("D3", "error", said("source") & ~c("source").isin(SOURCES), "unknown source: ", c("source")),
+        _issue("D4", "error", said("annotator") & ~c("annotator").isin(ANNOTATORS), "unknown annotator: ", c("annotator")),
+        _issue("D5", "warning", said("timestamp") & ~c("timestamp").rlike(ISO_8601), "timestamp is not in ISO 8601 form: ", c("timestamp")),
+        _issue("D6", "warning", said("language") & ~c("language").rlike(BCP_47), "language is no BCP 47 tag: ", c("language")),
     ]
     out = entries.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("i")).select(*keys, "i.*")
     if issues is not None:
-        bad = issues.where("severity = 'error'").select(*keys, F.lit("D7").alias("rule"), F.lit("error").alias("severity"), F.concat(F.lit("IML validation: "), "message").alias("message"))
+        bad = issues.where("severity = 'error'").select(*keys, F.lit("D7").alias("rule"), F.lit("error").alias("severity"), F.concat(F.lit("markup: "), "message").alias("message"))
         out = out.unionByName(bad)
     if audio is not None:
         gone = entries.where(said("audio_file")).join(audio, "audio_file", "left_anti")
-        out = out.unionByName(gone.select(*keys, F.lit("D8").alias("rule"), F.lit("error").alias("severity"), F.concat(F.lit("Audio file not found: "), "audio_file").alias("message")))
+        out = out.unionByName(gone.select(*keys, F.lit("D8").alias("rule"), F.lit("error").alias("severity"), F.concat(F.lit("no such sound: "), "audio_file").alias("message")))
     return out
 
 
-def read_entries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Entries of a dataset folder (entries/*.json) with their file names; a file of another shape
-    fails the read.  ``strict`` also fails on entries without id, audio_file, transcript, iml or
+def read_entries(spark: SparkSession, path: str, strict: bool = True, lines: bool = False) -> DataFrame:
+    """Entries of a dataset folder (entries/*.json, one a file or with ``lines`` one a line) with
+    their file names, by which they are ordered on demand; a file of another shape fails the read.  ``strict`` also fails on entries without id, audio_file, transcript, iml or
     emotion_label; otherwise those stay for ``entry_issues``."""
-    rows = spark.read.schema(ENTRY).option("multiLine", True).option("mode", "FAILFAST").json(f"{path}/entries").select("*", F.col("_metadata.file_name").alias("file_name"))
+    rows = spark.read.schema(ENTRY).option("multiLine", not lines).option("mode", "FAILFAST").json(f"{path}/entries").select("*", F.col("_metadata.file_name").alias("file_name"))
     filled = rows.select("file_name", *(F.coalesce(f, F.lit("")).alias(f) for f in REQUIRED), "speaker_id", F.coalesce("consent", F.lit(False)).alias("consent"), "metadata")
     if not strict:
         return filled

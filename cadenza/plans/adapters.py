@@ -77,7 +77,7 @@ SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE concat('e', CAST(doc_id AS
        CASE WHEN doc_id % 7 = 0 THEN 'yesterday' ELSE '2024-01-02T03:04:05Z' END AS timestamp,
        CASE doc_id % 5 WHEN 0 THEN 'mavis' WHEN 1 THEN 'recorded' WHEN 2 THEN 'synthetic' WHEN 3 THEN 'other' ELSE '' END AS source,
        CASE WHEN doc_id % 11 = 0 THEN 'english' ELSE lang END AS language, concat('audio/', CAST(doc_id % 50 AS VARCHAR(20)), '.wav') AS audio_file,
-       substr(text, 1, 20) AS transcript, '<utterance>x</utterance>' AS iml, 'neutral' AS emotion_label,
+       text AS transcript, CASE WHEN doc_id % 13 = 0 THEN '<utterance emotion="sad">x</utterance>' ELSE '<utterance>x</utterance>' END AS iml, 'neutral' AS emotion_label,
        CASE doc_id % 4 WHEN 0 THEN 'human' WHEN 1 THEN 'model' WHEN 2 THEN 'hybrid' ELSE 'cat' END AS annotator,
        doc_id % 3 > 0 AS consent
 FROM {documents}"""

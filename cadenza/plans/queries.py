@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
-from ..operators import learning, metrics, nodes, profiles, sessions, speech, split, text, validate
-from ..sources import shred
+from ..operators import audio, benchmark, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
+from ..sources import shred, tables
 from ..streaming import sessions as streaming
 from . import adapters as A
 
@@ -163,6 +163,22 @@ z AS (
 SELECT doc_id, CASE WHEN count(*) = 1 THEN max(one) ELSE '<iml>' || string_agg(one, '' ORDER BY utt_idx) || '</iml>' END AS markup FROM z GROUP BY doc_id"""
 
 
+@query
+def assembled_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speech.assembled(_words(spark, sf_dir), extended=True)
+
+
+_MORE = " || ".join(
+    f"coalesce(' {name}=\"' || {value} || '\"', '')"
+    for name, value in {
+        "f0_mean": "round_even(f0_mean::DOUBLE, 1)::VARCHAR", "f0_range": f"({_WHOLE('f0_low::DOUBLE')} || '-' || {_WHOLE('f0_high::DOUBLE')})",
+        "intensity_mean": "round_even(intensity_mean::DOUBLE, 1)::VARCHAR", "speech_rate": "round_even(speech_rate::DOUBLE, 1)::VARCHAR",
+        "jitter": "round_even(jitter::DOUBLE, 4)::VARCHAR", "shimmer": "round_even(shimmer::DOUBLE, 4)::VARCHAR", "hnr": "round_even(hnr::DOUBLE, 1)::VARCHAR",
+    }.items()
+)
+ORACLE_SQL["assembled_extended"] = ORACLE_SQL["assembled_markup"].replace("""coalesce(' volume="' || volume || '"', '') || '>'""", f"""coalesce(' volume="' || volume || '"', '') || {_MORE} || '>'""")
+
+
 @query
 def span_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(spark, sf_dir)
@@ -221,14 +237,14 @@ def profile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = F.when(c % 3 == 0, F.create_map().cast("map<string,string>")).when(c % 3 == 1, F.create_map(F.lit("pitch"), F.lit("high"))).otherwise(F.create_map(F.lit("pitch"), F.lit("odd"), F.lit("mood"), F.lit("x")))
     mapping = F.struct(pattern.alias("pattern"), F.struct(F.when(c % 7 == 0, "").otherwise("calm").alias("emotion"), ((c % 4) / 2.0).alias("confidence_boost")).alias("interpretation"))
     table = rows.select(
-        F.when(c % 5 == 0, "1.0").otherwise("1.0.0").alias("profile_version"), c.cast("string").alias("user_id"), F.lit(None).cast("string").alias("description"),
+        F.when(c % 5 == 0, "1.0").otherwise("1.0.0").alias("profile_version"), F.when(c % 13 == 0, "").otherwise(c.cast("string")).alias("user_id"), F.lit(None).cast("string").alias("description"),
         F.when(c % 11 == 0, F.array().cast("array<struct<pattern:map<string,string>,interpretation:struct<emotion:string,confidence_boost:double>>>")).otherwise(F.array(mapping)).alias("prosody_mappings"),
     )
     return profiles.profile_issues(table).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 ORACLE_SQL["profile_rules"] = """WITH c AS (SELECT c_custkey AS k FROM customer), r AS (
-SELECT 'P1' AS rule, 'error' AS severity FROM c WHERE k % 5 = 0 UNION ALL SELECT 'P3', 'error' FROM c WHERE k % 11 = 0
+SELECT 'P1' AS rule, 'error' AS severity FROM c WHERE k % 5 = 0 UNION ALL SELECT 'P2', 'error' FROM c WHERE k % 13 = 0 UNION ALL SELECT 'P3', 'error' FROM c WHERE k % 11 = 0
 UNION ALL SELECT 'P4', 'error' FROM c WHERE k % 3 = 0 AND k % 11 <> 0 UNION ALL SELECT 'P5', 'warning' FROM c WHERE k % 3 = 2 AND k % 11 <> 0
 UNION ALL SELECT 'P6', 'warning' FROM c WHERE k % 3 = 2 AND k % 11 <> 0 UNION ALL SELECT 'P7', 'error' FROM c WHERE k % 7 = 0 AND k % 11 <> 0
 UNION ALL SELECT 'P8', 'error' FROM c WHERE k % 4 = 3 AND k % 11 <> 0)
@@ -282,8 +298,32 @@ FROM w LEFT JOIN h USING (session_id, word_idx)"""
 @query
 def session_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _phonemes(spark, sf_dir)
-    return sessions.session_markup(events, events.select("session_id").distinct().withColumn("transcript", F.lit("one & two")))
+    return sessions.session_markup(events, events.select("session_id").distinct().withColumn("transcript", F.lit("one & two"))).select("session_id", "markup")
+
+
+def _session_markup(emotion: str) -> str:
+    tagged = f"""'<prosody pitch="' || CASE WHEN dev > 0 THEN '+' ELSE '' END || {_WHOLE('dev')} || '%" volume="' || CASE WHEN db >= 0 THEN '+' ELSE '' END || {_WHOLE('db')} || 'dB">' || word || '</prosody>'"""
+    own, feeling, sure = ORACLE_SQL["session_word_prosody"].split("w AS (")[0], ORACLE_SQL["session_emotion"].split("session_id,")[-1].split(" AS emotion")[0], ORACLE_SQL["session_emotion"].split("round(")[1].split(", 6)")[0]
+    return f"""{own}w AS (SELECT session_id, unnest([0, 1, 2]) AS word_idx, unnest(['one', '&amp;', 'two']) AS word FROM f),
+i AS (SELECT session_id, string_agg(CASE WHEN tagged THEN {tagged} ELSE word END, ' ' ORDER BY word_idx) AS inner_ FROM w LEFT JOIN h USING (session_id, word_idx) GROUP BY session_id),
+z AS (SELECT session_id, n_events, {emotion.replace('EMOTION', feeling)} AS emotion, {sure} AS confidence, inner_ FROM f JOIN i USING (session_id)),
+sm AS (SELECT session_id, n_events, emotion, '<utterance emotion="' || emotion || '" confidence="' || printf('%.2f', round(confidence, 2)) || '">' || inner_ || '</utterance>' AS markup FROM z)"""
+
+
+ORACLE_SQL["session_markup"] = f"{_session_markup('EMOTION')} SELECT session_id, markup FROM sm"
+
+
+@query
+def session_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _phonemes(spark, sf_dir)
+    given = F.when(F.length("session_id") % 2 == 0, "surprised")
+    made = sessions.entries(events, events.select("session_id").distinct().select("session_id", F.lit("one & two").alias("transcript"), given.alias("emotion_label")))
+    return made.drop("timestamp").withColumn("metadata", F.element_at("metadata", "mavis_events"))
+
 
+ORACLE_SQL["session_entries"] = f"""{_session_markup("CASE WHEN length(session_id) % 2 = 0 THEN 'surprised' ELSE EMOTION END")}
+SELECT 'mavis_' || session_id AS id, 'mavis' AS source, 'en-US' AS language, 'audio/' || session_id || '.wav' AS audio_file, 'one & two' AS transcript, markup AS iml,
+       emotion AS emotion_label, 'model' AS annotator, true AS consent, NULL::VARCHAR AS speaker_id, n_events::VARCHAR AS metadata FROM sm"""
 
 _PRED = f"p AS (SELECT truth, predicted, confidence::DOUBLE AS confidence, truth = predicted AS correct, doc_id FROM ({A.duck(A.PREDICTION)}))"
 
@@ -378,6 +418,17 @@ def pause_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pause_scores(truth.unionByName(guess), "doc_id").select("doc_id", "tp", "n_predicted", "n_truth", F.round("f1", 6).alias("f1"))
 
 
+ORACLE_SQL["pause_f1"] = f"""WITH RECURSIVE {_DEVIATED},
+n AS (SELECT doc_id, word_idx, pause_ms FROM d WHERE pause_ms IS NOT NULL),
+t AS (SELECT doc_id, list(pause_ms::BIGINT ORDER BY word_idx) AS ts, coalesce(list(pause_ms::BIGINT + doc_id % 300 ORDER BY word_idx) FILTER (WHERE word_idx % 4 > 0), []) AS ps FROM n GROUP BY doc_id),
+m AS (
+  SELECT doc_id, ps, len(ts) AS n_truth, ts AS free, 0 AS k, 0 AS tp FROM t
+  UNION ALL
+  SELECT doc_id, ps, n_truth, CASE WHEN best <= 200 THEN list_concat(free[1:place - 1], free[place + 1:]) ELSE free END, k + 1, tp + CASE WHEN best <= 200 THEN 1 ELSE 0 END
+  FROM (SELECT *, list_min(diffs) AS best, list_position(diffs, list_min(diffs)) AS place FROM (SELECT *, list_transform(free, lambda x: abs(x - ps[k + 1])) AS diffs FROM m WHERE k < len(ps))))
+SELECT doc_id, tp::BIGINT AS tp, len(ps)::BIGINT AS n_predicted, n_truth::BIGINT AS n_truth, round(2.0::DOUBLE * tp / (len(ps) + n_truth), 6) AS f1 FROM m WHERE k = len(ps)"""
+
+
 @query
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.sentences(_cued(spark, sf_dir)).select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), "sentence")
@@ -601,7 +652,8 @@ SELECT volume, CASE WHEN db IS NULL THEN volume WHEN db <= -20 THEN 'x-soft' WHE
 def entry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.view(spark, A.ENTRY, sf_dir, "documents")
     audio = spark.range(40).select(F.concat(F.lit("audio/"), F.col("id").cast("string"), F.lit(".wav")).alias("audio_file"))
-    return validate.entry_issues(rows, ["doc_id"], audio=audio).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+    issues = validate.markup_issues(shred.shredded(rows.select("doc_id", "iml"), "doc_id", "iml"))
+    return validate.entry_issues(rows, ["doc_id"], issues, audio).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
 
 
 ORACLE_SQL["entry_rules"] = f"""WITH e AS ({A.duck(A.ENTRY)}),
@@ -613,6 +665,7 @@ r AS (
   UNION ALL SELECT doc_id, 'D4', 'error' FROM e WHERE annotator = 'cat'
   UNION ALL SELECT doc_id, 'D5', 'warning' FROM e WHERE timestamp = 'yesterday'
   UNION ALL SELECT doc_id, 'D6', 'warning' FROM e WHERE language = 'english'
+  UNION ALL SELECT doc_id, 'D7', 'error' FROM e WHERE doc_id % 13 = 0
   UNION ALL SELECT doc_id, 'D8', 'error' FROM e WHERE doc_id % 50 >= 40)
 SELECT doc_id, rule, severity, count(*) AS n FROM r GROUP BY ALL"""
 
@@ -651,9 +704,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    rows = streaming.collected(streaming.windowed(_stream(spark, sf_dir), "1 day"), f"tumbling_{uuid.uuid4().hex}")
+    rows = streaming.collected(streaming.windowed(_stream(spark, sf_dir), "1 day"), tables.shared_path(spark, "tumbling"))
     return rows.select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_events", F.round("mean_pitch", 6).alias("mean_pitch"))
 
 
@@ -662,9 +713,7 @@ ORACLE_SQL["stream_tumbling"] = "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day
 
 @query
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    rows = streaming.collected(streaming.gap_sessions(_stream(spark, sf_dir), "8 hours"), f"gaps_{uuid.uuid4().hex}")
+    rows = streaming.collected(streaming.gap_sessions(_stream(spark, sf_dir), "8 hours"), tables.shared_path(spark, "gaps"))
     return rows.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n_events", F.round("mean_pitch", 6).alias("mean_pitch"))
 
 
@@ -679,6 +728,15 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.rate_limited(rows, 2, 86_400.0).groupBy("client").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
+ORACLE_SQL["rate_limit"] = """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+r AS (
+  SELECT user_id, rn, [ts] AS held, 1 AS n, 1 AS n_ok FROM e WHERE rn = 1
+  UNION ALL
+  SELECT user_id, rn, CASE WHEN len(kept) < 2 THEN list_append(kept, ts) ELSE kept END, n + 1, n_ok + CASE WHEN len(kept) < 2 THEN 1 ELSE 0 END
+  FROM (SELECT e.user_id, e.rn, e.ts, r.n, r.n_ok, list_filter(r.held, lambda x: x > e.ts - INTERVAL 1 DAY) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id AS client, max(n)::BIGINT AS n, max(n_ok)::BIGINT AS n_ok FROM r GROUP BY user_id"""
+
+
 @query
 def ser_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _predictions(spark, sf_dir)
@@ -752,3 +810,115 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["session_windows"] = f"""WITH {_SESSION},
 w AS (SELECT user_id, volume, date_trunc('day', ts)::DATE AS d FROM p), x AS (SELECT user_id, volume, d AS s FROM w UNION ALL SELECT user_id, volume, d - 1 FROM w)
 SELECT user_id, strftime(s, '%Y-%m-%d') AS start, count(*) AS n_events, round(avg(volume), 6) AS mean_volume FROM x GROUP BY user_id, s"""
+
+
+_SAID = """CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '<utterance>never closed' WHEN 2 THEN replace(markup, 'duration="500"', 'duration="900"')
+WHEN 3 THEN replace(markup, '"rise"', '"fall"') WHEN 4 THEN replace(markup, 'frustrated', 'sad') ELSE markup END"""
+_FELT = "CASE doc_id % 3 WHEN 0 THEN 'frustrated' WHEN 1 THEN 'neutral' ELSE 'joyful' END"
+_FILE = "concat('e', lpad(CAST(doc_id AS STRING), 12, '0'), '.json')"
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries whose markup comes from the text operator, and predictions that differ from it."""
+    rows = text.predicted(_cued(spark, sf_dir))
+    entries = rows.select(F.col("doc_id").alias("entry_id"), F.expr(_FILE).alias("file_name"), "markup", F.expr(_FELT).alias("emotion_label"))
+    return entries, rows.select(F.col("doc_id").alias("entry_id"), F.expr(_SAID).alias("markup"))
+
+
+def _scores(report: DataFrame) -> DataFrame:
+    rounded = _six("emotion_accuracy", "confidence_ece", "pitch_accuracy", "pause_f1", "validity_rate")
+    macro = F.aggregate(F.map_values("emotion_f1"), F.lit(0.0), lambda a, b: a + b) / F.size("emotion_f1")
+    return report.select(*rounded, F.round(macro, 6).alias("emotion_macro_f1"), F.size("emotion_f1").alias("n_labels"), "num_samples", "num_failures")
+
+
+@query
+def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(benchmark.run(*_benchmark(spark, sf_dir)))
+
+
+@query
+def benchmark_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix of entries is the operator's own feature (``max_samples``)."""
+    return _scores(benchmark.run(*_benchmark(spark, sf_dir), max_samples=100))
+
+
+def _benchmark_sql(limit: str) -> str:
+    return f"""WITH m0 AS ({ORACLE_SQL["text_to_markup"]}),
+e AS (SELECT doc_id, markup, {_SAID} AS said, {_FELT} AS truth FROM m0 ORDER BY {_FILE.replace("STRING", "VARCHAR")} {limit}),
+ok AS (SELECT * FROM e WHERE said IS NOT NULL AND doc_id % 10 <> 1),
+u AS (SELECT doc_id, truth, unnest(regexp_extract_all(said, '<utterance[^>]*>')) AS tag FROM ok),
+p AS (SELECT truth, CASE WHEN tag LIKE '%emotion=%' THEN regexp_extract(tag, 'emotion="([^"]*)"', 1) ELSE 'neutral' END AS predicted,
+      CASE WHEN tag LIKE '%confidence=%' THEN regexp_extract(tag, 'confidence="([^"]*)"', 1)::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM u),
+q AS (SELECT *, truth = predicted AS correct FROM p),
+l AS (SELECT truth AS label FROM q UNION SELECT predicted FROM q),
+f AS (SELECT label, 2.0::DOUBLE * count(*) FILTER (WHERE truth = label AND correct) / (count(*) FILTER (WHERE truth = label) + count(*) FILTER (WHERE predicted = label)) AS f1 FROM l, q GROUP BY label),
+g AS (SELECT k, count(*) AS n, avg(confidence) AS c, avg(correct::INT) AS a FROM q JOIN (SELECT k, k * 0.1::DOUBLE AS lo, (k + 1) * 0.1::DOUBLE AS hi FROM range(10) x(k)) ON confidence >= lo AND (confidence < hi OR (k = 9 AND confidence <= hi)) GROUP BY k),
+c AS (SELECT doc_id, {_TIMES('<prosody pitch_contour="rise">').replace("markup", "said")} AS same, {_TIMES('<prosody pitch_contour="rise">')} AS n FROM ok),
+b AS (SELECT {_TIMES('<pause duration="500"/>').replace("markup", "said")} AS near, {_TIMES('<pause duration="900"/>').replace("markup", "said")} AS far, {_TIMES('<pause duration="500"/>')} AS real FROM ok)
+SELECT (SELECT round(avg(correct::INT), 6) FROM q) AS emotion_accuracy, (SELECT round(sum(n * abs(a - c)) / (SELECT count(*) FROM q), 6) FROM g) AS confidence_ece,
+  (SELECT round(coalesce(sum(same) / sum(n), 0), 6) FROM c) AS pitch_accuracy,
+  (SELECT round(2.0::DOUBLE * least(sum(near), sum(real)) / (sum(near) + sum(far) + sum(real)), 6) FROM b) AS pause_f1,
+  (SELECT round(avg((doc_id % 10 <> 1)::INT), 6) FROM e WHERE said IS NOT NULL) AS validity_rate,
+  (SELECT round(avg(f1), 6) FROM f) AS emotion_macro_f1, (SELECT count(*)::INT FROM f) AS n_labels,
+  (SELECT count(said) FROM e) AS num_samples, (SELECT count(*) - count(said) FROM e) AS num_failures"""
+
+
+ORACLE_SQL["benchmark_report"] = _benchmark_sql("")
+ORACLE_SQL["benchmark_first"] = _benchmark_sql("LIMIT 100")
+
+
+@query
+def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries written as a dataset and read back."""
+    path = tables.shared_path(spark, "dataset")
+    rows = A.view(spark, A.ENTRY, sf_dir, "documents")
+    tables.write_dataset(rows.drop("doc_id"), path, "scan")
+    read = validate.read_entries(spark, path, strict=False, lines=True)
+    size = tables.read_metadata(spark, path).select("size").scalar()
+    return read.groupBy("source", "annotator").agg(F.count("*").alias("n"), F.sum(F.length("transcript")).alias("n_chars"), F.count_if("consent").alias("n_consent")).withColumn("size", size)
+
+
+ORACLE_SQL["dataset_scan"] = f"""WITH e AS ({A.duck(A.ENTRY)})
+SELECT source, annotator, count(*) AS n, sum(length(transcript))::BIGINT AS n_chars, count(*) FILTER (WHERE consent) AS n_consent, (SELECT count(*) FROM e) AS size FROM e GROUP BY source, annotator"""
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").cast("string").alias("path"), F.posexplode("embedding").alias("frame", "v")).select("path", "frame", (F.col("v").cast("double") * 100 - 40).alias("db"))
+
+
+_FRAMES = "fr AS (SELECT vec_id::VARCHAR AS path, unnest(range(len(embedding))) AS frame, unnest(embedding)::DOUBLE * 100 - 40 AS db FROM embeddings)"
+
+
+@query
+def silent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    length = frames.groupBy("path").agg((F.count("*") * 10 - 3).alias("duration_ms"))
+    return audio.silent_runs(frames, length, least_ms=30).select("path", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+
+
+ORACLE_SQL["silent_runs"] = f"""WITH {_FRAMES},
+a AS (SELECT *, max(frame) OVER (PARTITION BY path) AS last FROM fr),
+s AS (SELECT *, frame - row_number() OVER (PARTITION BY path ORDER BY frame) AS g FROM a WHERE db < -40),
+r AS (SELECT path, min(frame) * 10 AS start_ms, CASE WHEN max(frame) = any_value(last) THEN (any_value(last) + 1) * 10 - 3 ELSE (max(frame) + 1) * 10 END AS end_ms FROM s GROUP BY path, g)
+SELECT path, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms FROM r WHERE end_ms - start_ms >= 30"""
+
+
+@query
+def loudness_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.peaks(_frames(spark, sf_dir), ["path"])
+
+
+ORACLE_SQL["loudness_peaks"] = f"""WITH {_FRAMES},
+w AS (SELECT *, lag(db) OVER o AS a, lead(db) OVER o AS b, avg(db) OVER (PARTITION BY path) AS m FROM fr WINDOW o AS (PARTITION BY path ORDER BY frame))
+SELECT path, count(*) FILTER (WHERE db > a AND db > b AND db > m - 5) AS n_peaks, count(*) AS n_frames FROM w GROUP BY path"""
+
+
+@query
+def rendered_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document's sound; markup with a negative pause is left to ``render_samples``."""
+    made = shred.shredded(A.view(spark, A.MARKUP, sf_dir, "orders").where("variant NOT IN (4, 12, 13)"))
+    return audio.rendered(made).select("doc_id", F.octet_length("wav").cast("long").alias("n_bytes"))
+
+
+ORACLE_SQL["rendered_wav"] = f"""SELECT doc_id, 44 + 2 * n_samples AS n_bytes FROM ({ORACLE_SQL["render_samples"].replace("v NOT IN (12, 13)", "v NOT IN (4, 12, 13)")})"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import markup as M
-from cadenza.operators import audio, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
+from cadenza.operators import audio, benchmark, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
 from cadenza.plans import adapters
 from cadenza.sources import shred, tables
 from cadenza.streaming import sessions as streaming
@@ -159,7 +159,7 @@ def test_sessions(spark):
     got = {r["session_id"]: r for r in sessions.features(rows).withColumn("e", sessions.emotion()).withColumn("c", sessions.confidence()).collect()}
     assert (got["a"]["e"], got["a"]["speech_rate"], got["a"]["vibrato_ratio"]) == ("angry", 2.0, 0.5)
     assert (got["b"]["e"], got["b"]["c"], got["b"]["speech_rate"]) == ("calm", 0.5, 1000.0)
-    markup = dict(sessions.session_markup(rows, spark.createDataFrame([("a", "x & y"), ("b", "")], "session_id string, transcript string")).collect())
+    markup = {r["session_id"]: r["markup"] for r in sessions.session_markup(rows, spark.createDataFrame([("a", "x & y"), ("b", "")], "session_id string, transcript string")).collect()}
     assert markup["a"].endswith(">x &amp; y</utterance>")
     assert markup["b"] == '<utterance emotion="calm" confidence="0.50"></utterance>'
 
@@ -262,7 +262,7 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame(made, "client string, ts timestamp")
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = streaming.rate_limited_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 2)
-    got = streaming.collected(stream, "limited_test", "append")
+    got = streaming.collected(stream, f"{tmp_path}/out", "append")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streaming.rate_limited(rows, 2).collect()))
 
 
@@ -295,3 +295,64 @@ def test_profile_files(spark, tmp_path):
     rows = profiles.read_profiles(spark, str(tmp_path))
     assert [r["rule"] for r in profiles.profile_issues(rows).collect()] == ["P2"]
     assert profiles.mappings(rows).first()["boost"] == 0.0
+
+
+def test_whole_pause_match_equals_a_walk(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        p, t = (rng.integers(0, 1500, rng.integers(0, 12)).tolist() for _ in range(2))
+        assert benchmark.matched_in_order(p, t) == metrics.matched(p, t)
+    rows = [("t", "b.json", 2, 1, 500), ("t", "a.json", 1, 1, 900), ("p", "a.json", 1, 2, 600), ("p", "b.json", 2, 3, 2000)]
+    frame = spark.createDataFrame(rows, "side string, file_name string, entry_id long, pre int, ms long")
+    assert tuple(benchmark.whole_pause_f1(frame).first()) == (1, 2, 2, 0.5)
+    assert tuple(benchmark.whole_pause_f1(frame.where("false")).first()) == (0, 0, 0, 1.0)
+
+
+def test_benchmark_of_itself(spark):
+    markup = '<iml version="1.0"><utterance emotion="sad" confidence="1.0">a<pause duration="300"/><prosody pitch_contour="rise">b</prosody></utterance></iml>'
+    entries = spark.createDataFrame([(k, f"{k}.json", markup, "sad") for k in range(4)], "entry_id long, file_name string, markup string, emotion_label string")
+    got = benchmark.run(entries, entries.select("entry_id", "markup")).first()
+    assert (got["emotion_accuracy"], got["confidence_ece"], got["pitch_accuracy"], got["pause_f1"], got["validity_rate"], got["num_samples"], got["num_failures"]) == (1.0, 0.0, 1.0, 1.0, 1.0, 4, 0)
+    assert got["emotion_f1"] == {"sad": 1.0}
+    few = benchmark.run(entries, entries.where("entry_id = 0").select("entry_id", F.lit("<utterance>").alias("markup")), max_samples=2).first()
+    assert (few["num_samples"], few["num_failures"], few["validity_rate"], few["emotion_accuracy"], few["pause_f1"], few["emotion_f1"]) == (1, 1, 0.0, 0.0, 1.0, {})
+
+
+def test_entries_of_sessions(spark):
+    kinds = "session_id string, seq long, duration_ms long, volume double, pitch_hz double, vibrato boolean, breathiness double"
+    rows = spark.createDataFrame([("a", 0, 500, 0.9, 320.0, True, 0.1), ("b", 0, 0, 0.1, 100.0, False, 0.1)], kinds)
+    said = spark.createDataFrame([("a", "x & y", None, "s1"), ("b", "z", "sad", None), ("c", "no events", None, None)], "session_id string, transcript string, emotion_label string, speaker_id string")
+    got = {r["id"]: r for r in sessions.entries(rows, said, "de").collect()}
+    assert set(got) == {"mavis_a", "mavis_b"}
+    assert (got["mavis_a"]["emotion_label"], got["mavis_a"]["speaker_id"], got["mavis_a"]["metadata"], got["mavis_a"]["language"]) == ("angry", "s1", {"mavis_events": "1"}, "de")
+    assert got["mavis_b"]["emotion_label"] == "sad" and 'emotion="sad"' in got["mavis_b"]["iml"]
+
+
+def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    kinds = "user_id long, ts timestamp, pitch_hz double, volume double, duration_ms long, vibrato boolean, breathiness double"
+    for k, days in enumerate(((0, 9), (10,), (0, 11), (30,), (40,))):  # the third file's first row comes ten days late
+        rows = spark.createDataFrame([(1, start + dt.timedelta(days=d), 100.0, 0.5, 10, False, 0.1) for d in days], kinds)
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            f.rename(tmp_path / "in" / f"{k}.parquet")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = streaming.collected(streaming.windowed(stream, "1 day"), f"{tmp_path}/out", "append")
+    assert {r["window"]["start"].day: r["n_events"] for r in got.collect()}[1] == 1
+
+
+def test_located_messages_and_low_confidence(spark):
+    said = validate.located(F.lit("bad"), F.lit("a.xml"), F.lit(3))
+    assert one(spark, said) == "bad (a.xml, line 3)"
+    assert one(spark, validate.located(F.lit("bad"), F.lit(None).cast("string"), F.lit(None).cast("int"))) == "bad"
+    rows = spark.createDataFrame([(0.4,), (0.5,), (None,)], "confidence double")
+    assert [r[0] for r in validate.low_confidence(rows).collect()] == [0.4]
+
+
+def test_exact_split_refuses_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(split, "MOST_ROWS", 10)
+    with pytest.raises(ValueError):
+        split.exact_split(spark.range(11), "id")
