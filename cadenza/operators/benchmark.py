@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
-from ..sources import shred
+from ..sources import shred, tables
 from . import metrics, nodes, validate
 
 #: What an utterance without emotion or confidence stands for.
@@ -80,23 +80,25 @@ def run(entries: DataFrame, predictions: DataFrame, max_samples: int | None = No
 
     ``entries``: entry_id (long), file_name, markup and emotion_label; ``predictions``: entry_id and
     markup.  An entry without predicted markup is a failure and counts nowhere else.  Markup that
-    does not parse is invalid and has no utterances; neither its pauses nor its entry's are scored."""
+    does not parse is invalid and has no utterances; neither its pauses nor its entry's are scored.
+    What several scores read, predictions and nodes, is written once to the shared folder."""
     chosen = first_entries(entries, max_samples)
-    both = chosen.join(predictions.select("entry_id", F.col("markup").alias("said")), "entry_id", "left")
+    both = tables.written(chosen.join(predictions.select("entry_id", F.col("markup").alias("said")), "entry_id", "left"), "benchmark")
+    labelled = both.select("entry_id", "file_name", "emotion_label")
     counts = both.agg(F.count("said").alias("num_samples"), F.count_if(F.col("said").isNull()).alias("num_failures"))
     done = both.where("said IS NOT NULL")
-    said = shred.shredded(done.select("entry_id", "said"), "entry_id", "said")
+    said = tables.written(shred.shredded(done.select("entry_id", "said"), "entry_id", "said"), "benchmark-nodes")
     parsed = said.where("kind <> 'error' AND depth = 0").select(F.col("doc_id").alias("entry_id")).distinct()
-    real = shred.shredded(done.join(parsed, "entry_id", "left_semi").select("entry_id", "markup"), "entry_id")
+    real = tables.written(shred.shredded(done.join(parsed, "entry_id", "left_semi").select("entry_id", "markup"), "entry_id").where("kind IN ('prosody', 'pause')"), "benchmark-truth")
 
-    utterances = predicted_utterances(chosen, said)
+    utterances = predicted_utterances(labelled, said)
     emotion = utterances.agg(metrics.accuracy(F.col("correct")).alias("emotion_accuracy"))
     report = metrics.class_report(utterances).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "f1")))).alias("emotion_f1"))
     ece = metrics.calibration_error(utterances).select(F.col("ece").alias("confidence_ece"))
     labels = lambda x: nodes.contours(x).select(F.col("doc_id").alias("entry_id"), F.col("pre").alias("pos"), "label")
     pitch = metrics.contour_pairs(labels(real), labels(said)).agg(metrics.accuracy(F.col("truth") == F.col("predicted")).alias("pitch_accuracy"))
     still = lambda x, side: nodes.pauses(x).select(F.lit(side).alias("side"), F.col("doc_id").alias("entry_id"), "pre", "ms")
-    pauses = still(said, "p").unionByName(still(real, "t")).join(chosen.select("entry_id", "file_name"), "entry_id")
+    pauses = still(said, "p").unionByName(still(real, "t")).join(labelled.select("entry_id", "file_name"), "entry_id")
     pause = whole_pause_f1(pauses).select(F.col("f1").alias("pause_f1"))
     valid = validate.markup_valid(said).agg(metrics.accuracy(F.col("valid")).alias("validity_rate"))
     out = emotion
