@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,3 +106,9 @@ def run(entries: DataFrame, predictions: DataFrame, max_samples: int | None = No
     for one in (report, ece, pitch, pause, valid, counts):
         out = out.join(F.broadcast(one))  # one row each
     return out
+
+
+def of(converter: Callable[[DataFrame], DataFrame], entries: DataFrame, max_samples: int | None = None) -> DataFrame:
+    """``run`` for a converter, any function from entries to (entry_id, markup)."""
+    chosen = first_entries(entries, max_samples)
+    return run(chosen, converter(chosen))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,6 +12,9 @@ from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup as M
+from . import metrics
+
 #: Training features of the three tasks, and the labels that an emotion stands for.
 SER = ["f0_mean", "f0_range", "intensity_mean", "speech_rate", "jitter", "shimmer", "hnr"]
 TEXT = ["word_length", "position_ratio", "is_capitalized", "has_punctuation", "sentence_position", "prev_word_length", "next_word_length"]
@@ -33,7 +37,13 @@ CONTOUR_LABELS = {
     "angry": "rise", "frustrated": "rise-fall", "joyful": "rise", "sad": "fall", "fearful": "rise-fall", "sarcastic": "fall-rise",
     "calm": "flat", "neutral": "flat",
 }
-#: Required keys of a training configuration.
+#: A contour's rise over its length, the height of its arch, and its noise, by emotion.
+CONTOUR_SHAPES = {
+    "angry": [50.0, 0.0, 5.0], "frustrated": [0.0, 40.0, 5.0], "joyful": [60.0, 0.0, 5.0], "sad": [-40.0, 0.0, 5.0], "fearful": [0.0, 50.0, 5.0],
+    "sarcastic": [0.0, -30.0, 5.0], "calm": [0.0, 0.0, 3.0], "neutral": [0.0, 0.0, 3.0],
+}
+CONTOUR_BASE, CONTOUR_POINTS = 180.0, 30
+#: Required keys of a training configuration.
 CONFIG = {"task", "model", "data", "training", "evaluation", "output"}
 
 
@@ -67,11 +77,28 @@ def emotion_features(entries: DataFrame, key: str, emotion: str) -> DataFrame:
 
 
 def contour_features(entries: DataFrame, key: str, emotion: str) -> DataFrame:
-    """(key, label, CONTOUR): a synthetic contour of the emotion's shape."""
+    """(key, label, CONTOUR): a synthetic contour of the emotion's shape, drawn on
+    ``CONTOUR_POINTS`` and resampled; an unknown emotion is flat and without noise."""
     label = looked_up(F.col(emotion), CONTOUR_LABELS, "flat")
-    shape = {"rise": lambda t: 55 * t, "fall": lambda t: -40 * t, "flat": lambda t: 0 * t, "rise-fall": lambda t: 45 * (1 - (2 * t - 1) ** 2), "fall-rise": lambda t: -30 * (1 - (2 * t - 1) ** 2)}
-    point = lambda k: F.coalesce(*(F.when(F.col("label") == n, F.lit(180.0 + f(k / 19))) for n, f in shape.items())) + _noise(F.col(key), k, 4.0)
-    return entries.select(key, label.alias("label")).select(key, "label", *(point(k).alias(n) for k, n in enumerate(CONTOUR)))
+    table = F.create_map(*[x for e, v in CONTOUR_SHAPES.items() for x in (F.lit(e), F.array(*map(F.lit, v)))])
+    shape = F.coalesce(F.try_element_at(table, F.col(emotion)), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    rows = entries.select(key, label.alias("label"), shape.alias("__s"))
+
+    def point(k: int) -> Column:
+        t = k / (CONTOUR_POINTS - 1)
+        return CONTOUR_BASE + F.col("__s")[0] * t + F.col("__s")[1] * math.sin(math.pi * t) + F.col("__s")[2] * _noise(F.col(key), k, 1.0)
+
+    drawn = rows.select(key, "label", F.array(*map(point, range(CONTOUR_POINTS))).alias("__c"))
+    drawn = drawn.select(key, "label", M.resampled(F.col("__c"), len(CONTOUR)).alias("__f"))
+    return drawn.select(key, "label", *(F.col("__f")[k].alias(n) for k, n in enumerate(CONTOUR)))
+
+
+#: What makes a task's features of entries; more may be registered.
+PREPARERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {"ser": emotion_features, "pitch_contour": contour_features}
+
+
+def register_preparer(task: str, prepare: Callable[[DataFrame, str, str], DataFrame]) -> None:
+    PREPARERS[task] = prepare
 
 
 def _logistic(n_rows: int, c: float = 1.0, **options: object) -> Estimator:
@@ -108,6 +135,29 @@ def evaluated(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(F.col("label").alias("truth"), "predicted")
 
 
+def training_report(model: PipelineModel, task: str, train: DataFrame, val: DataFrame | None = None) -> DataFrame:
+    """One row: task, n_features, n_train, n_val, and accuracy and macro scores on both (null
+    without ``val``), as ``tables.save_report`` writes them."""
+
+    def scores(rows: DataFrame | None, name: str) -> DataFrame:
+        none = ["accuracy", "macro_precision", "macro_recall", "macro_f1"]
+        if rows is None:
+            return train.sparkSession.range(1).select(F.lit(0).cast("long").alias(f"n_{name}"), *(F.lit(None).cast("double").alias(f"{name}_{c}") for c in none))
+        found = evaluated(model, rows)
+        one = found.agg(F.count("*").alias(f"n_{name}"), metrics.accuracy(F.col("truth") == F.col("predicted")).alias(f"{name}_accuracy"))
+        whole = metrics.macro(metrics.class_report(found))
+        return one.join(F.broadcast(whole.select(*(F.col(c).alias(f"{name}_{c}") for c in none[1:]))))
+
+    both = scores(train, "train").join(F.broadcast(scores(val, "val")))
+    return both.select(F.lit(task).alias("task"), F.lit(len(REGISTRY[task][0])).alias("n_features"), "*")
+
+
+def export(model: PipelineModel, report: DataFrame, path: str) -> None:
+    """The model under ``model`` and its report under ``metadata``."""
+    save(model, f"{path}/model")
+    report.write.mode("overwrite").json(f"{path}/metadata")
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

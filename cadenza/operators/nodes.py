@@ -4,6 +4,8 @@ All work on the output of ``sources.shred``; a document's nodes meet once, by do
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,20 @@ def _documents(nodes: DataFrame, opening: Column, closing: Column, leaf: Column,
     )
 
 
+def settled(nodes: DataFrame, result: DataFrame, failures: str = "null") -> DataFrame:
+    """``result`` of a conversion with the documents that do not parse: as rows of nulls (``null``),
+    not at all (``drop``), or as an error of the job (``fail``)."""
+    if failures == "drop":
+        return result
+    if failures not in ("null", "fail"):
+        raise ValueError(f"failures must be null, drop or fail, not {failures!r}")
+    docs = nodes.groupBy("doc_id").agg(F.max("error").alias("error"))
+    if failures == "fail":
+        said = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(": "), "error")
+        docs = docs.where(F.when(F.col("error").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
+    return docs.select("doc_id").join(result, "doc_id", "left")
+
+
 def plain_text(nodes: DataFrame, comments: str = "drop") -> DataFrame:
     """(doc_id, plain): all text of the utterances in order, a blank for each pause."""
     kind = F.col("kind")
@@ -95,9 +111,12 @@ def serialised(nodes: DataFrame, comments: str = "drop") -> DataFrame:
     return docs.select("doc_id", F.when(bare, F.col("body")).otherwise(F.concat(F.lit("<iml"), head, F.lit(">"), "body", F.lit("</iml>"))).alias("markup"))
 
 
-def to_ssml(nodes: DataFrame) -> DataFrame:
+def to_ssml(nodes: DataFrame, vendor: str | None = None) -> DataFrame:
     """(doc_id, ssml): utterances as <s>, pauses as breaks, prosody with pitch, volume and rate only
-    (left out without them), segments left out."""
+    (left out without them), segments left out.  ``vendor`` is reserved: it gives a warning and plain
+    SSML."""
+    if vendor is not None:
+        warnings.warn(f"no adaptation for {vendor!r}: plain SSML is made", UserWarning, stacklevel=2)
     kind = F.col("kind")
     told = _content("drop") & (~F.col("hidden") | (kind == "text"))
     kept = F.concat(M.attribute("pitch", _attr("pitch")), M.attribute("volume", M.volume_to_ssml(_attr("volume"))), M.attribute("rate", _attr("rate")))

@@ -128,3 +128,8 @@ def read_entries(spark: SparkSession, path: str, strict: bool = True, lines: boo
     for f in ("id", "audio_file", "transcript", "iml", "emotion_label"):
         filled = filled.withColumn(f, F.when(F.col(f) != "", F.col(f)).otherwise(F.raise_error(F.concat(F.lit(f"entry without {f}: "), "file_name")).cast("string")))
     return filled
+
+
+def entry_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream over a dataset folder: each file that appears is read once."""
+    return spark.readStream.schema(ENTRY).option("multiLine", True).json(f"{path}/entries")

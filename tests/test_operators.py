@@ -356,3 +356,59 @@ def test_exact_split_refuses_large_tables(spark, monkeypatch):
     monkeypatch.setattr(split, "MOST_ROWS", 10)
     with pytest.raises(ValueError):
         split.exact_split(spark.range(11), "id")
+
+
+def test_failures_policy(spark):
+    made = parsed(spark, "<utterance>a</utterance>", "<utterance>")
+    plain = nodes.plain_text(made)
+    assert {r["doc_id"]: r["plain"] for r in nodes.settled(made, plain).collect()} == {0: "a", 1: None}
+    assert nodes.settled(made, plain, "drop").count() == 1
+    with pytest.raises(Exception, match="document 1"):
+        nodes.settled(made, plain, "fail").collect()
+    with pytest.raises(ValueError):
+        nodes.settled(made, plain, "maybe")
+
+
+def test_training_report_and_export(spark, tmp_path):
+    entries = spark.range(120).select("id", F.element_at(F.lit(["angry", "calm", "sad"]), (F.col("id") % 3 + 1).cast("int")).alias("e"))
+    rows = learning.PREPARERS["pitch_contour"](entries, "id", "e").cache()
+    first = rows.where("id = 0").first()
+    assert len([c for c in rows.columns if c.startswith("f0_")]) == 20 and first["f0_19"] - first["f0_0"] > 20  # anger rises
+    model = learning.train(rows.where("id < 90"), "pitch_contour")
+    report = learning.training_report(model, "pitch_contour", rows.where("id < 90"), rows.where("id >= 90"))
+    got = report.first()
+    assert (got["n_train"], got["n_val"], got["n_features"]) == (90, 30, 20) and got["val_accuracy"] > 0.9
+    assert learning.training_report(model, "pitch_contour", rows).first()["val_accuracy"] is None
+    learning.export(model, report, f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out/metadata").first()["task"] == "pitch_contour"
+    assert learning.evaluated(learning.load(f"{tmp_path}/out/model"), rows).count() == 120
+
+
+def test_own_classifier_and_converter(spark):
+    w = spark.createDataFrame([(1, 0, "hi", 0, 10, 100.0, *[None] * 8)], "doc_id long, word_idx long, word string, start_ms long, end_ms long, f0_mean double, f0_span double, f0_low double, f0_high double, intensity_mean double, speech_rate double, jitter double, shimmer double, hnr double")
+    sure = lambda rows: rows.withColumn("emotion", F.lit("calm")).withColumn("confidence", F.lit(0.9))
+    assert speech.assembled(w, classify=sure).first()["markup"] == '<utterance emotion="calm" confidence="0.9">hi</utterance>'
+    entries = spark.createDataFrame([(1, "a", '<utterance emotion="calm" confidence="1.0">x</utterance>', "calm")], "entry_id long, file_name string, markup string, emotion_label string")
+    assert benchmark.of(lambda e: e.select("entry_id", "markup"), entries).first()["emotion_accuracy"] == 1.0
+
+
+def test_entries_as_a_stream_and_metadata(spark, tmp_path):
+    import json
+
+    (tmp_path / "d" / "entries").mkdir(parents=True)
+    for k in (2, 1):
+        (tmp_path / "d" / "entries" / f"{k}.json").write_text(json.dumps({"id": f"e{k}", "audio_file": "a", "transcript": "t", "iml": "<utterance/>", "emotion_label": "calm", "consent": True}, indent=1))
+    (tmp_path / "d" / "metadata.json").write_text('{"name": "d", "size": 2}')
+    rows = validate.read_entries(spark, f"{tmp_path}/d")
+    assert [r["id"] for r in rows.orderBy("file_name").collect()] == ["e1", "e2"]
+    assert tables.read_metadata(spark, f"{tmp_path}/d").first()["size"] == 2
+    got = streaming.collected(validate.entry_stream(spark, f"{tmp_path}/d").select("id"), f"{tmp_path}/s", "append")
+    assert sorted(r["id"] for r in got.collect()) == ["e1", "e2"]
+    split_rows = spark.createDataFrame([(1, "train"), (2, "test")], "id long, split string")
+    tables.write_splits(split_rows, f"{tmp_path}/p")
+    assert [tables.prepared(spark, f"{tmp_path}/p", x).count() for x in ("train", "val", "test")] == [1, 0, 1]
+
+
+def test_vendor_is_reserved(spark):
+    with pytest.warns(UserWarning, match="acme"):
+        assert nodes.to_ssml(parsed(spark, "<utterance>a</utterance>"), vendor="acme").first()["ssml"].endswith("<s>a</s></speak>")
