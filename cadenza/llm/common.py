@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,16 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A temporary folder of this machine is used only where the setting is absent (tests).
+    Without that setting a local session gets a temporary folder, as in tests; a cluster is refused,
+    since its executors could not read one of this machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import atexit
         import shutil
         import tempfile
@@ -127,3 +131,69 @@ def range_shards(rows: DataFrame, key: str, weight: str, target: int) -> tuple[C
         return pa.array(found.astype(np.int32), pa.int32(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return place, len(bounds) + 1
+
+
+#: Rows that a shard sends to buckets, or a bucket to shards, at most.  More buckets, or shards, are
+#: reached in two hops.
+FAN = 1024
+
+
+def _nested(flat: pa.Table, key: np.ndarray, name: str, **more: np.ndarray) -> pa.Table:
+    """Rows of ``flat`` with equal ``key`` as one row: ``name``, ``more`` (of each key's first row)
+    and ``parts``, a list of structs."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), np.diff(key[order]) != 0)))
+    rows = flat.take(pa.array(order)).combine_chunks()
+    parts = pa.StructArray.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns], rows.column_names)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), parts)
+    heads = {c: pa.array(v[order][first], pa.int32()) for c, v in {name: key, **more}.items()}
+    return pa.table({**heads, "parts": lists})
+
+
+def flattened(table: pa.Table) -> pa.Table:
+    """Rows of ``through_buckets`` as its functions know them, however they travelled."""
+    if "parts" not in table.column_names:
+        return table
+    parts = table["parts"].combine_chunks().flatten()
+    return pa.table(dict(zip([f.name for f in parts.type], parts.flatten(), strict=True)))
+
+
+def through_buckets(asking: Callable, ask: Callable, answer: Callable, kinds: str, buckets: int) -> DataFrame:
+    """Replies to shards by way of buckets.
+
+    ``ask`` gives a shard's rows (bucket, shard, more columns as in ``kinds``), ``answer`` those of a
+    bucket, with the shards they are for; ``asking(function, kinds)`` applies a function to all
+    shards.  Up to ``FAN`` buckets a shard sends a row to each.  Beyond, rows would grow with the
+    square of the input: then a shard sends one row to each group of buckets, ``FAN`` shards' rows
+    meet there and go on as one to each bucket, and replies return the same way; a consumer unpacks
+    them by ``flattened``."""
+    if buckets <= FAN:
+        return asking(ask, kinds).groupBy("bucket").applyInArrow(answer, kinds)
+    per = -(-buckets // FAN)
+    struct = "array<struct<" + ", ".join(f"{n}:{k}" for n, k in (x.split() for x in kinds.split(", "))) + ">>"
+    number = lambda t, c: t[c].to_numpy().astype(np.int64)
+
+    def grouped(flat: pa.Table) -> pa.Table:
+        return _nested(flat, number(flat, "bucket") // per, "top", shard=number(flat, "shard"))
+
+    def ask_one(rows: pa.Table) -> pa.Table:
+        return grouped(ask(rows))
+
+    def ask_both(rows: pa.Table, told: pa.Table) -> pa.Table:
+        return grouped(ask(rows, told))
+
+    ask_groups = ask_one if len(signature(ask).parameters) == 1 else ask_both
+
+    def answer_teams(table: pa.Table) -> pa.Table:
+        flat = answer(flattened(table))
+        bucket = number(flat, "bucket")
+        return _nested(flat, number(flat, "shard") // FAN, "team", top=bucket // per)
+
+    def regrouped(rows: DataFrame, by: str) -> DataFrame:
+        # grouping by more than what rows are dealt by needs no further exchange
+        each = rows.repartition("top", "team").select("top", "team", F.explode("parts").alias("p"))
+        return each.groupBy("top", "team", F.col(f"p.{by}").alias(by)).agg(F.collect_list("p").alias("parts"))
+
+    asked = asking(ask_groups, f"top int, shard int, parts {struct}").withColumn("team", F.floor(F.col("shard") / FAN).cast("int"))
+    replies = regrouped(asked, "bucket").groupBy("bucket").applyInArrow(answer_teams, f"team int, top int, parts {struct}")
+    return regrouped(replies, "shard").select("shard", "parts")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shard_count, shard_of, text_bytes
+from .common import flattened, shard_count, shard_of, text_bytes, through_buckets
 
 #: Length of a string whose repeats go; bytes of the hashed pieces of a mark.
 LEAST, PIECE = 50, 24
@@ -272,6 +272,7 @@ def _find_within(n_buckets: int):
         shard = Shard(rows)
         number = rows["shard"][0].as_py()
         at, part, mark = shard.windows()
+        told = flattened(told)
         replies = sorted(zip(told["bucket"].to_pylist(), *(told[c].to_pylist() for c in "abc"), strict=True))
         shared, cross = (
             np.concatenate([np.unpackbits(np.frombuffer(r[k], np.uint8), count=int.from_bytes(r[1], "little")).astype(bool) for r in replies] or [np.empty(0, bool)])
@@ -409,6 +410,7 @@ def _merge(rows: pa.Table) -> pa.Table:
 
 def _cut_out(rows: pa.Table, told: pa.Table) -> pa.Table:
     """Each row with what is left of its text."""
+    told = flattened(told)
     shard = Shard(rows)
     part, begin, end = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in told[c]] or [np.empty(0, np.int64)]) for c in "abc")
     by = np.lexsort((begin, part))
@@ -457,9 +459,9 @@ def dedup_strings(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     ).withColumn("shard", shard_of(n, "id", "text"))
     by_shard = base.groupBy("shard")
     buckets = shard_count(n, MARKS_OF), shard_count(n, RUNS_OF)
-    answers = by_shard.applyInArrow(_send_marks(buckets[0]), _KINDS).groupBy("bucket").applyInArrow(_answer_marks, _KINDS)
-    within = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_find_within(buckets[1]), _KINDS)
-    spans = within.groupBy("bucket").applyInArrow(_merge, _KINDS)
+    answers = through_buckets(by_shard.applyInArrow, _send_marks(buckets[0]), _answer_marks, _KINDS, buckets[0])
+    within = by_shard.cogroup(answers.groupBy("shard"))
+    spans = through_buckets(within.applyInArrow, _find_within(buckets[1]), _merge, _KINDS, buckets[1])
     row = base.schema["row"].dataType.simpleString()
     kinds = f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
