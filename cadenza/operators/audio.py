@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,16 @@ F0_LOW, F0_HIGH = 75.0, 600.0
 WORD_S, GAP_S, FADE_S, UTTERANCE_S, EMPTY_S = 0.25, 0.05, 0.005, 0.3, 0.1
 
 
+@lru_cache(256)
 def tone(frequency: float, seconds: float, amplitude: float) -> np.ndarray:
-    """A sine with short fades at both ends."""
+    """A sine with short fades at both ends.  Words of one voice share one array."""
     n = int(SAMPLE_RATE * seconds)
     out = amplitude * np.sin(2 * np.pi * frequency * np.arange(n) / SAMPLE_RATE)
     fade = min(int(SAMPLE_RATE * FADE_S), n // 2)
     if fade:
         out[:fade] *= np.linspace(0, 1, fade)
         out[-fade:] *= np.linspace(1, 0, fade)
+    out.flags.writeable = False
     return out
 
 
