@@ -25,7 +25,7 @@ ORDER, LEAN = 4, 4.0
 #: Code points that a character may be.
 ALPHABET = 0x110000
 #: Grams whose log-ratios are broadcast (some 60 bytes each); more are joined by a shuffle.
-BROADCAST_GRAMS = 200_000
+BROADCAST_GRAMS = 50_000
 #: One labelled URL in so many calibrates the threshold instead of training.
 HELD_OUT = 5
 #: Width and limit of the score bins of the calibration; their number reaches the driver.

@@ -76,6 +76,21 @@ def test_suffix_dedup(docs, empty, monkeypatch, shard_bytes, cells):
     assert suffix.dedup_strings(empty).count() == 0
 
 
+def test_two_hops_between_shards_and_buckets_change_nothing(spark, docs, monkeypatch):
+    from cadenza.llm import common
+
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(suffix, "MARKS_OF", 1)
+    monkeypatch.setattr(suffix, "RUNS_OF", 1)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 3_000)
+    kept_text = lambda: Counter((r["row"]["doc_id"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup_strings(docs).collect())
+    scores = lambda: Counter((r["doc_id"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.scored(docs).collect())
+    one = kept_text(), scores()
+    monkeypatch.setattr(common, "FAN", 3)
+    assert (kept_text(), scores()) == one
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for text in (rng.integers(97, 99, 500), np.full(300, 97), np.tile(rng.integers(97, 110, 40), 9), np.array([5])):
