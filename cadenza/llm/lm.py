@@ -26,42 +26,39 @@ stretches are followed by is looked up exactly: their hashes travel as blobs bet
 
 from __future__ import annotations
 
-import gc
 import heapq
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SHARD_BYTES, kept, shard_count, shard_of, text_bytes
+from .common import LOWER, flattened, kept, shard_count, shard_of, text_bytes, through_buckets
 from .suffix import words_at
 
 #: Context lengths in bytes; the last predictor looks at the word so far.
 ORDERS = (2, 3, 4, 5)
 PREDICTORS = len(ORDERS) + 1
 #: Slots of each predictor, as powers of two: of the training bytes, but within these bounds.
-LEAST_BITS, MOST_BITS = 16, (20, 22, 22, 22, 23)
-#: Bytes of text that are counted, learned from or scored at once.
-COUNT_CHUNK, MIX_CHUNK, SCORE_CHUNK = 3 << 20, 3 << 20, 1 << 20
-#: Distinct grams of several chunks that are held before they are counted.
-HELD_GRAMS = 2_000_000
+LEAST_BITS, MOST_BITS = 16, (19, 21, 21, 22, 22)
+#: Bytes of text whose symbols are made, or scored, at once; distinct symbols of several such chunks
+#: that are counted, or learned from, together.
+CHUNK, SCORE_CHUNK, HELD_SYMBOLS = 2 << 20, 1 << 20, 1_500_000
+#: Text in one shard, on average.
+SHARD_BYTES = 8 << 20
 #: Entries of the scorer's cache, as a power of two.
 CACHE_BITS = 21
-#: Where a task's 32-bit sums are given on.
-FULL = 1 << 31
+#: What a task's 32-bit sums may come to before they are given on.
+FULL = (1 << 32) - 1
 #: Ranges into which a table is cut to be summed; salts of the first summing step.
 RANGES, SALTS = 24, 16
-#: Step of the weights, and the batches into which a chunk's distinct grams are dealt.
+#: Step of the weights, and the batches into which distinct symbols are dealt.
 MIX_STEP, MIX_BATCHES = 0.5, 128
 #: Decisions that a refinement bucket remembers, at first and at most.
 MIX_FIRST, MIX_MEMORY = 50, 1_000_000
@@ -78,7 +75,7 @@ _UNROLL = np.uint64(pow(int(_ROLL), -1, 1 << 64))
 _LOW32 = np.uint64(0xFFFFFFFF)
 #: Marks the keys of training texts in the scorer's cache.
 _OWN = np.uint64(0x5851F42D4C957F2D)
-_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b"\0 \t\n\x0b\x0c\r", np.uint8))
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 #: The counts that a byte stands for: exact to 16, then in steps of 6 % up to 18 million.
 _LEVELS = np.concatenate((np.arange(17.0), 16 * 1.06 ** np.arange(1, 240)))
 
@@ -145,17 +142,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where in it each kind begins.
+
+    One sort of numbers that hold the place of a key below as many bits of its hash as fit (41 for
+    eight million keys, of which some hundred thousandth part may meet another kind)."""
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits = np.uint64(max(1, (len(key) - 1).bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    held = _mixed(key) & ~mask | np.arange(len(key), dtype=np.uint64)
+    held.sort()
+    order = (held & mask).astype(np.int64)
+    held >>= bits
+    return order, np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
+
+
 @dataclass
 class Symbols:
     """Each byte of some texts and their end marks, in order.
 
     ``gram``: the byte with the five before it, as 48 bits.  ``word``: a hash of the word so far,
-    0 at its start.  ``start``: where each text begins.  ``cut`` and ``stretch``: where each stretch
-    begins, and its hash."""
+    0 at its start.  ``start``: where each text begins.  ``end``: whether a byte, white space or an
+    end mark, ends a word.  ``cut`` and ``stretch``: where each stretch begins, and its hash."""
 
     gram: np.ndarray
     word: np.ndarray
     start: np.ndarray
+    end: np.ndarray | None = None
     cut: np.ndarray | None = None
     stretch: np.ndarray | None = None
 
@@ -163,14 +177,11 @@ class Symbols:
         """One number for each byte with all that its predictors look at."""
         return self.gram * _MIX ^ self.word * _ROLL
 
-    def distinct(self) -> tuple[Symbols, np.ndarray]:
-        """One of each kind of byte and context, and how often it occurs."""
-        key = self.key()
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        at = order[first]
-        return Symbols(self.gram[at], self.word[at], self.start[:0]), np.diff(np.append(first, len(key)))
+    def distinct(self, n: np.ndarray | None = None) -> tuple[Symbols, np.ndarray]:
+        """One of each kind of byte and context, and how often it occurs (the sum of ``n``)."""
+        order, first = _grouped(self.key())
+        n = np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first)
+        return self.take(order[first]), n
 
     def take(self, at: np.ndarray | slice) -> Symbols:
         return Symbols(self.gram[at], self.word[at], self.start[:0])
@@ -191,16 +202,18 @@ def symbols(texts: list[bytes], stretches: bool = False) -> Symbols:
     up, down = _powers(len(flat))
     # sums from which the rolling hash of any run of bytes follows
     total = np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * down)
-    last = np.maximum.accumulate(np.where(_IS_SPACE[flat], np.arange(len(flat)), 0))
+    space = _IS_SPACE[flat]
+    space[:_BACK] = True
+    space[ends[:, None] + np.arange(_BACK)] = True  # a zero inside a text is no space
+    last = np.maximum.accumulate(np.where(space, np.arange(len(flat)), 0))
     before = slice(_BACK - 1, len(flat) - 1)
     word = _mixed(((total[before] - total[last[before]]) * up[before])[own])
     start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     out = Symbols(gram, word, start)
     if stretches:
-        space = _IS_SPACE[(gram & np.uint64(255)).astype(np.int64)]
-        ends_here = space & (word != 0) & (_mixed(word ^ _OWN) % np.uint64(STRETCH_WORDS) == 0)
+        out.end = space[_BACK:][own] & (word != 0)
         is_cut = np.zeros(len(gram) + 1, bool)
-        is_cut[1:] = ends_here
+        is_cut[1:] = out.end & (_mixed(word ^ _OWN) % np.uint64(STRETCH_WORDS) == 0)
         is_cut[start] = True
         is_cut[-1] = False
         out.cut = np.flatnonzero(is_cut)
@@ -235,18 +248,40 @@ def decisions(gram: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(rows), np.concatenate(nodes), np.concatenate(bits)
 
 
+def merged(texts: Iterable[bytes]) -> Iterator[tuple[Symbols, np.ndarray]]:
+    """Distinct symbols of many texts and how often each occurs, by some ``HELD_SYMBOLS`` and no more
+    than a 32-bit sum can take of one slot."""
+    held: list[tuple[Symbols, np.ndarray]] = []
+
+    def together() -> tuple[Symbols, np.ndarray]:
+        parts = Symbols(np.concatenate([p.gram for p, _ in held]), np.concatenate([p.word for p, _ in held]), np.empty(0, np.int64))
+        n = np.concatenate([n for _, n in held])
+        held.clear()
+        return parts.distinct(n)
+
+    for chunk in _chunks(texts, CHUNK):
+        held.append(symbols(chunk).distinct())
+        if sum(len(n) for _, n in held) > HELD_SYMBOLS or sum(int(n.sum()) for _, n in held) > FULL >> 9:
+            yield together()
+    if held:
+        yield together()
+
+
 def count(table: np.ndarray, texts: list[bytes], code: Code) -> None:
     """Add the decisions of ``texts`` to ``table``, one column for each bit."""
-    count_distinct(table, *symbols(texts).distinct(), code)
+    for part, n in merged(texts):
+        count_distinct(table, part, n, code)
 
 
 def count_distinct(table: np.ndarray, part: Symbols, n: np.ndarray, code: Code) -> None:
-    """The same for distinct bytes with their contexts and how often each occurs."""
-    row, node, bit = decisions(part.gram, code)
-    weight = n[row].astype(np.uint32)
+    """The same for distinct symbols and how often each occurs."""
     flat = table.reshape(-1)
-    for slot in slots(part, row, node, code):
-        np.add.at(flat, slot * 2 + bit, weight)
+    for a in range(0, len(n), 1 << 17):
+        few = part.take(slice(a, a + (1 << 17)))
+        row, node, bit = decisions(few.gram, code)
+        weight = n[a : a + (1 << 17)][row].astype(np.uint32)
+        for slot in slots(few, row, node, code):
+            np.add.at(flat, slot * 2 + bit, weight)
 
 
 def packed(n: np.ndarray) -> np.ndarray:
@@ -346,26 +381,23 @@ def learn(mixer: Mixer, seen: np.ndarray, odds: np.ndarray, gate: np.ndarray, bi
 
 def train_mixer(table: np.ndarray, texts: list[bytes], code: Code) -> Mixer:
     """Mixer learned over ``texts``, which ``table`` (see ``packed``) counts."""
-    return learned(table, ([texts[i] for i in rows] for rows in _chunks(texts, MIX_CHUNK)), code)[0]
+    return learned(table, texts, code)[0]
 
 
-def learned(table: np.ndarray, chunks: Iterable[list[bytes]], code: Code) -> tuple[Mixer, np.ndarray, np.ndarray]:
-    """A mixer learned over chunks of texts, and how many decisions each gate and each refinement
-    bucket had.  Equal bytes with equal contexts of a chunk are one, with their number."""
+def learned(table: np.ndarray, texts: Iterable[bytes], code: Code) -> tuple[Mixer, np.ndarray, np.ndarray]:
+    """A mixer learned over texts, and how many decisions each gate and each refinement bucket had.
+    Equal bytes with equal contexts are one, with their number (see ``merged``)."""
     mixer = Mixer.new()
     seen = np.full(mixer.refine.shape, float(MIX_FIRST))
     gates, buckets = np.zeros(len(mixer.weights)), np.zeros(mixer.refine.shape)
-    for texts in chunks:
-        part, n = symbols(texts).distinct()
-        # dealt by a hash, so that a batch is a fair sample of the chunk
-        order = np.argsort(_mixed(part.gram ^ part.gram >> np.uint64(23) ^ part.word))
-        part, n = part.take(order), n[order].astype(np.float64)
-        least, done = np.zeros(len(gates)), 0
+    for part, n in merged(texts):
+        # they come by a hash, so that a run of every so many is a fair sample of them
+        n, least, done = n.astype(np.float64), np.zeros(len(gates)), 0
         for rows in np.array_split(np.arange(len(n)), min(MIX_BATCHES, -(-len(n) // 64))):
             few = part.take(slice(rows[0], rows[-1] + 1))
             row, node, bit = decisions(few.gram, code)
             odds, gate = inputs(table, few, row, node, bit, code)
-            weight = n[rows][row]
+            weight = n[rows[0] : rows[-1] + 1][row]
             buckets += learn(mixer, seen, odds, gate, bit.astype(np.float32), weight, least / max(1, done))
             had = np.bincount(gate, weight, len(gates))
             least, done, gates = least + had, done + 1, gates + had
@@ -378,21 +410,9 @@ def trained_mixer(training: DataFrame, model: Broadcast) -> Mixer:
     start = Mixer.new()
     sets, shape = len(start.weights), start.refine.shape
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(text.translate(LOWER))
-                size += len(text)
-                if size >= MIX_CHUNK:
-                    yield held
-                    held, size = [], 0
-        if held:
-            yield held
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, code = model.value
-        mixer, gates, buckets = learned(table, chunks(batches), code)
+        mixer, gates, buckets = learned(table, _lowered(batches), code)
         data = np.concatenate([x.ravel() for x in (mixer.weights * gates[:, None], gates, mixer.refine * buckets, buckets)]).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(data) % SALTS], pa.int32()), pa.array([data])], ["salt", "data"])
 
@@ -444,9 +464,11 @@ class Scorer:
         cost = self.cost[slot]
         miss = np.flatnonzero(self.key[slot] != key)
         if len(miss):
-            distinct, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            new = self.costs(part.take(miss[first]), trained)
-            cost[miss] = new[back]
+            order, first = _grouped(key[miss])
+            chosen = miss[order[first]]
+            new = self.costs(part.take(chosen), trained)
+            cost[miss[order]] = np.repeat(new, np.diff(np.append(first, len(order))))
+            distinct = key[chosen]
             at = self._slots(distinct)
             self.key[at] = distinct
             held = self.key[at] == distinct  # of several that share an entry one stays
@@ -459,6 +481,15 @@ class Scorer:
         return np.add.reduceat(self.each(part, trained), part.start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: Python workers live on between
+    stages, and what one stage has freed is then the next one's to take."""
+    import ctypes
+
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -471,11 +502,18 @@ def _scorer(name: str, model: Broadcast, mixer: Mixer) -> Scorer:
     return _SCORERS[name]
 
 
-def _chunks(texts: list[bytes], most: int) -> Iterator[list[int]]:
-    """Runs of row numbers of some ``most`` bytes."""
+def _lowered(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
+    """The texts (first column) of Arrow batches, A-Z lower-cased."""
+    for batch in batches:
+        for text in batch.column(0):
+            yield text.as_py().translate(LOWER)
+
+
+def _chunks(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
+    """Runs of texts of some ``most`` bytes."""
     held, size = [], 0
-    for i, t in enumerate(texts):
-        held.append(i)
+    for t in texts:
+        held.append(t)
         size += len(t)
         if size >= most:
             yield held
@@ -513,46 +551,28 @@ def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
     bounds = np.linspace(0, size, RANGES + 1).astype(np.int64)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _SCORERS.clear()  # of an earlier model
         table = np.zeros((size, 2), np.uint32)
-        held: list[tuple[Symbols, np.ndarray]] = []
         pack = zstandard.ZstdCompressor(1).compress
 
-        def settle() -> None:
-            """Count what chunks have in common once."""
-            every = Symbols(np.concatenate([p.gram for p, _ in held]), np.concatenate([p.word for p, _ in held]), np.empty(0, np.int64))
-            n = np.concatenate([n for _, n in held])
-            held.clear()
-            key = every.key()
-            order = np.argsort(key)
-            key = key[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            n = np.add.reduceat(n[order], first)
-            every = every.take(order[first])
-            for a in range(0, len(n), 1 << 18):
-                count_distinct(table, every.take(slice(a, a + (1 << 18))), n[a : a + (1 << 18)], code)
-
         def summed() -> pa.RecordBatch:
             blobs = [pack(table[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             salt = zlib.crc32(blobs[0]) % SALTS
             return pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([salt] * RANGES, pa.int32()), pa.array(blobs)], ["range", "salt", "data"])
 
         since = 0
-        for batch in batches:
-            texts = [t.translate(LOWER) for t in batch.column(0).to_pylist()]
-            for rows in _chunks(texts, COUNT_CHUNK):
-                held.append(symbols([texts[i] for i in rows]).distinct())
-                since += int(held[-1][1].sum())
-                full = since * len(code.node) >= FULL  # a byte adds at most its depth to one slot
-                if full or sum(len(n) for _, n in held) > HELD_GRAMS:
-                    settle()
-                if full:
-                    since = 0
-                    if table.max() >= FULL:
-                        yield summed()
-                        table[:] = 0
-        if held:
-            settle()
+        for symbols_, n in merged(_lowered(batches)):
+            most = int(n.sum()) * len(code.node)  # a symbol adds at most its depth to one slot
+            if since + most > FULL:
+                since = int(table.max())
+                if since + most > FULL:
+                    yield summed()
+                    since, table[:] = 0, 0
+            since += most
+            count_distinct(table, symbols_, n, code)
         yield summed()
+        del table
+        give_back()
 
     def total(blobs: pa.ChunkedArray, kind: type) -> np.ndarray:
         out = None
@@ -571,16 +591,11 @@ def count_tables(docs: DataFrame, code: Code) -> np.ndarray:
     parts = docs.select("text").mapInArrow(part, "range int, salt int, data binary")
     summed = parts.groupBy("range", "salt").applyInArrow(once, "range int, data binary").groupBy("range").applyInArrow(last, "range int, data binary")
     out = np.zeros(size, np.uint16)
-    for r in summed.toLocalIterator():  # two bytes a slot, 44 MB at most, whatever the corpus
+    for r in summed.toLocalIterator():  # two bytes a slot, 26 MB at most, whatever the corpus
         out[bounds[r["range"]] : bounds[r["range"] + 1]] = np.frombuffer(r["data"], np.uint16)
     return out
 
 
-def _token_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_digest
-    return np.frombuffer(b"".join(map(digest, words)), ">u8").astype(np.uint64)
-
-
 def _level(n: np.ndarray) -> np.ndarray:
     """Which of ``SEEN_LEVELS`` stands for having been seen ``n`` times (1 or more)."""
     return (n > 1).astype(np.int64) + (n > 2) + (n > 4)
@@ -594,15 +609,19 @@ def followers(part: Symbols) -> tuple[np.ndarray, np.ndarray]:
     return before, part.stretch & _LOW32
 
 
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (stretch before, stretch), sorted, and how often they occur; texts' first stretches
-    left out."""
-    befores, owns = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for rows in _chunks(texts, SCORE_CHUNK):
-        before, own = followers(symbols([texts[i] for i in rows], True))
+def _held(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes of the distinct words, how often each occurs, distinct (stretch before, stretch) with
+    counts) of texts; a text's first stretch is left out."""
+    words, befores, owns = ([np.empty(0, np.uint64)] for _ in range(3))
+    for chunk in _chunks(texts, SCORE_CHUNK):
+        part = symbols(chunk, True)
+        before, own = followers(part)
+        words.append(part.word[part.end])
         befores.append(before[before != 0])
         owns.append(own[before != 0])
-    return _summed(np.concatenate(befores), np.concatenate(owns), None)
+    every = np.sort(np.concatenate(words))
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+    return every[first], np.diff(np.append(first, len(every))), _summed(np.concatenate(befores), np.concatenate(owns), None)
 
 
 def _summed(key: np.ndarray, own: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -662,24 +681,17 @@ def word_table(base: DataFrame, buckets: int) -> DataFrame:
     cuts = np.array([b * (2**64 // buckets) for b in range(1, buckets)], np.uint64)
 
     def ask(t: pa.Table) -> pa.Table:
-        gc.disable()  # millions of words, no cycles
-        texts: tuple[list[bytes], list[bytes]] = ([], [])
-        for text, train in zip(t["text"].to_pylist(), t["train"].to_pylist(), strict=True):
-            texts[train].append(text.translate(LOWER))
-        held, trained = (b"\n".join(x).split() for x in texts)
-        trained = Counter(trained)
-        words = list(trained.keys() | set(held))
-        keys = _token_hashes(words)
-        counts = np.fromiter((trained[w] for w in words), np.uint64, len(words))
-        del words, held, trained
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        at = np.searchsorted(keys, cuts)
-        # a held-out text's stretches are asked about, but teach nothing
-        asked, own, n = _pairs(texts[True])
-        other = np.setdiff1d(_pairs(texts[False])[0], asked)
+        train = np.array(t["train"].to_pylist(), bool)
+        texts = lambda of: (t["text"][i].as_py().translate(LOWER) for i in np.flatnonzero(train == of).tolist())
+        keys, counts, (asked, own, n) = _held(texts(True))
+        # held-out texts ask about words and stretches, but teach nothing
+        more, _, (other, _, _) = _held(texts(False))
+        more, other = np.setdiff1d(more, keys), np.setdiff1d(other, asked)
+        place = np.searchsorted(keys, more)
+        keys, counts = np.insert(keys, place, more), np.insert(counts, place, 0)
         place = np.searchsorted(asked, other)
         asked, own, n = np.insert(asked, place, other), np.insert(own, place, np.uint64(0)), np.insert(n, place, 0)
+        at = np.searchsorted(keys, cuts)
         far = np.searchsorted(asked, cuts)
         cut = lambda x, kind, at: [p.astype(kind).tobytes() for p in np.split(x, at)]
         return pa.table(
@@ -730,8 +742,7 @@ def word_table(base: DataFrame, buckets: int) -> DataFrame:
             }
         )
 
-    asked = base.groupBy("shard").applyInArrow(ask, _SHARED)
-    return asked.groupBy("bucket").applyInArrow(answer, _SHARED)
+    return through_buckets(base.groupBy("shard").applyInArrow, ask, answer, _SHARED, buckets)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -747,11 +758,12 @@ def scored(docs: DataFrame) -> DataFrame:
     histogram = byte_counts(training)
     n_bytes, ends = text_bytes(base), int(histogram[0])
     code = Code.of(histogram)
-    model = spark.sparkContext.broadcast((count_tables(training, code), code))
+    model = spark.sparkContext.broadcast((count_tables(training, code), code))  # 26 MB at most
     mixer = trained_mixer(training, model)
-    base = base.withColumn("shard", shard_of("doc_id", shard_count(n_bytes, SHARD_BYTES)))
+    base = base.withColumn("shard", shard_of(shard_count(n_bytes, SHARD_BYTES), "doc_id", "text"))
     words = kept(word_table(base, shard_count(n_bytes, BUCKET_BYTES)), "lm-words")
-    sums = words.where("shard = -1").select("counts").toLocalIterator()  # ten numbers a bucket
+    sums = words.where("shard = -1")
+    sums = (sums.select(F.explode("parts.counts")) if "parts" in words.columns else sums.select("counts")).toLocalIterator()  # ten numbers a bucket
     sums = sum((np.frombuffer(r[0], np.uint64) for r in sums), np.zeros(2 + 2 * SEEN_LEVELS, np.uint64))
     n_tokens, n_distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
     table = sums[2:].reshape(SEEN_LEVELS, 2).astype(np.float64) + 1
@@ -760,29 +772,26 @@ def scored(docs: DataFrame) -> DataFrame:
     below = np.log10(n_tokens + n_distinct + 1)
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        gc.disable()  # millions of words, no cycles
-        texts = [t.translate(LOWER) for t in rows["text"].to_pylist()]
+        texts = [t.as_py().translate(LOWER) for t in rows["text"]]
+        told = flattened(told)
         order = np.argsort(told["bucket"].to_numpy(), kind="stable")
         joined = lambda c, kind: np.frombuffer(b"".join(told[c][i].as_py() for i in order.tolist()), kind)
         keys, counts = joined("keys", np.uint64), joined("counts", np.uint64)
-        lists = [t.split() for t in texts]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        every = list(set(chain.from_iterable(lists)))
-        c = counts[np.searchsorted(keys, _token_hashes(every))] if every else np.empty(0, np.uint64)
-        log_of = dict(zip(every, np.log10(c + 1.0).tolist(), strict=True))
-        logs = np.fromiter(map(log_of.__getitem__, chain.from_iterable(lists)), np.float64, int(size.sum()))
-        of = np.repeat(np.arange(len(size)), size)
-        known = np.bincount(of, logs > 0, len(size)).astype(np.int64) + (ends > 0)
-        base_score = np.bincount(of, logs, len(size)) + np.log10(ends + 1.0) - (size + 1) * below
-        del lists, every, log_of, logs, of, keys, counts
         befores = np.append(joined("befores", np.uint64), np.uint64(0))
         told = [np.append(joined(c, k), k(0)) for c, k in (("always", np.uint16), ("but", np.uint16), ("guesses", np.uint32))]
-        score, scorer = np.zeros(len(texts)), _scorer(name, model, mixer)
+        logs, keys = np.append(np.log10(counts + 1.0), 0.0), np.append(keys, np.iinfo(np.uint64).max)
+        size, known, base_score, score = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.float64, np.float64))
+        scorer = _scorer(name, model, mixer)
         train = np.array(rows["train"].to_pylist(), bool)
         for trained in (False, True):
-            chosen = np.flatnonzero(train == trained)
-            for chunk in _chunks([texts[i] for i in chosen], SCORE_CHUNK):
-                part = symbols([texts[i] for i in chosen[chunk]], True)
+            chosen, done = np.flatnonzero(train == trained), 0
+            for chunk in _chunks((texts[i] for i in chosen.tolist()), SCORE_CHUNK):
+                part = symbols(chunk, True)
+                mine, done = chosen[done : done + len(chunk)], done + len(chunk)
+                own = np.zeros(len(part.gram))
+                own[part.end] = logs[np.searchsorted(keys, part.word[part.end])]
+                for out, value in ((size, part.end.astype(np.int64)), (known, (own > 0).astype(np.int64)), (base_score, own)):
+                    out[mine] = np.add.reduceat(value, part.start)
                 cost = np.add.reduceat(scorer.each(part, trained), part.cut)
                 before, own = followers(part)
                 at = np.searchsorted(befores[:-1], before)
@@ -791,7 +800,10 @@ def scored(docs: DataFrame) -> DataFrame:
                 seen = np.where(before == 0, 0, seen)
                 level = _level(seen)
                 cost = np.where(seen > 0, np.where(hit, flag[level, 1], flag[level, 0] + cost), cost)
-                score[chosen[chunk]] = np.add.reduceat(cost, np.searchsorted(part.cut, part.start))
+                score[mine] = np.add.reduceat(cost, np.searchsorted(part.cut, part.start))
+        known += ends > 0
+        base_score += np.log10(ends + 1.0) - (size + 1) * below
+        give_back()
         return pa.table(
             {
                 "doc_id": rows["doc_id"],
