@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, lm, mixing, quality, simhash, sketch, suffix, urls, warc
+from . import bpe, cluster, lines, lm, mixing, quality, simhash, sketch, suffix, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector."""
+    found = cluster.clustered(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": op1_suffix,
     "op2_mixing": op2_mixing,
@@ -88,8 +94,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op12_clusters": op12_clusters,
 }
 
+
+def _cluster_rounds() -> str:
+    """Assignment and centroids of every round, each a common table expression of its own."""
+    parts = []
+    for r in range(cluster.ROUNDS + 1):
+        parts.append(f"""
+n{r} AS MATERIALIZED (
+  SELECT id, arg_min(struct_pack(c := c, d := d), d::HUGEINT * 1000 + c) AS m
+  FROM (SELECT id, c, list_sum(list_transform(list_zip(v, w), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, c{r}) GROUP BY id),
+a{r} AS MATERIALIZED (SELECT k.id, vec_id, v, m.c AS c, m.d AS d FROM k JOIN n{r} USING (id))""")
+        if r < cluster.ROUNDS:
+            parts.append(f"""
+s{r} AS (SELECT c, i, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(n.w, c{r}.w) AS w FROM c{r} LEFT JOIN (SELECT c, list(x ORDER BY i) AS w FROM s{r} GROUP BY c) n ON n.c = c{r}.c)""")
+    return ",".join(parts)
+
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -172,4 +195,16 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 3 * (n_words - lost) >= 2 * n_words AS kept
 FROM v""",
+    "op12_clusters": f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, x -> floor({cluster.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {cluster.DIMENSIONS} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w
+  FROM (SELECT sha256('{cluster.SEED}' || vec_id) AS h, v FROM k ORDER BY h, v LIMIT {cluster.CENTROIDS})),{_cluster_rounds()},
+p AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a{cluster.ROUNDS} GROUP BY c),
+q AS (SELECT c, sha256(array_to_string(w, ',')) AS centroid_sha256 FROM c{cluster.ROUNDS})
+SELECT vec_id, c::INT AS cluster, d AS distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM p)::BIGINT AS inertia, centroid_sha256
+FROM a{cluster.ROUNDS} JOIN p USING (c) JOIN q USING (c)""",
 }

@@ -12,4 +12,5 @@ def test_query(spark, name):
     if name in ORACLE_SQL:
         same_rows(df, ORACLE_SQL[name], SMALL)
     else:
-        assert df.count() == spark.read.parquet(f"{SMALL}/{'pages' if name in ('op5_urls', 'op7_warc') else 'documents'}.parquet").count()
+        table = {"op5_urls": "pages", "op7_warc": "pages", "op12_clusters": "embeddings"}.get(name, "documents")
+        assert df.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
