@@ -105,11 +105,11 @@ def _cluster_rounds() -> str:
         parts.append(f"""
 n{r} AS MATERIALIZED (
   SELECT id, arg_min(struct_pack(c := c, d := d), d::HUGEINT * 1000 + c) AS m
-  FROM (SELECT id, c, list_sum(list_transform(list_zip(v, w), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, c{r}) GROUP BY id),
+  FROM (SELECT id, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, c{r}) GROUP BY id),
 a{r} AS MATERIALIZED (SELECT k.id, vec_id, v, m.c AS c, m.d AS d FROM k JOIN n{r} USING (id))""")
         if r < cluster.ROUNDS:
             parts.append(f"""
-s{r} AS (SELECT c, i, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+s{r} AS (SELECT c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
 c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(n.w, c{r}.w) AS w FROM c{r} LEFT JOIN (SELECT c, list(x ORDER BY i) AS w FROM s{r} GROUP BY c) n ON n.c = c{r}.c)""")
     return ",".join(parts)
 
@@ -197,9 +197,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v""",
     "op12_clusters": f"""
 WITH k AS MATERIALIZED (
-  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, x -> floor({cluster.SCALE} * x::DOUBLE)::BIGINT) AS v
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({cluster.SCALE} * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
-  WHERE len(embedding) = {cluster.DIMENSIONS} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE len(embedding) = {cluster.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w
   FROM (SELECT sha256('{cluster.SEED}' || vec_id) AS h, v FROM k ORDER BY h, v LIMIT {cluster.CENTROIDS})),{_cluster_rounds()},
