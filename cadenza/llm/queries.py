@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cluster, lines, lm, mixing, quality, simhash, sketch, suffix, urls, warc
+from . import bpe, cluster, lines, lm, mixing, phrases, quality, simhash, sketch, suffix, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first collocations."""
+    found = phrases.collocations(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every whole vector."""
     found = cluster.clustered(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
     "op12_clusters": op12_clusters,
 }
 
@@ -195,6 +202,27 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 3 * (n_words - lost) >= 2 * n_words AS kept
 FROM v""",
+    "op11_phrases": rf"""
+WITH p AS (
+  SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(words) >= k),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= {phrases.LEAST}),
+x AS (
+  SELECT c.lang, c.phrase, c.a, j, lf.f AS l, rf.f AS r, (1000000::HUGEINT * c.a * c.a // (lf.f::HUGEINT * rf.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(ws[1:j], ' ') JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(ws[j + 1:], ' ')),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL),
+s AS (SELECT m.* FROM m LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {phrases.CONTAINED_PER_CENT} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}""",
     "op12_clusters": f"""
 WITH k AS MATERIALIZED (
   SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({cluster.SCALE} * x::DOUBLE)::BIGINT) AS v
