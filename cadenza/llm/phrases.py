@@ -33,15 +33,16 @@ LEAST, TOP, UNKNOWN = 10, 2000, "und"
 CONTAINED_PER_CENT = 50
 #: One document in ``SAMPLE_OF`` proposes; a phrase needs this many occurrences there.  Both only move
 #: work between the passes.
-SAMPLE_OF, SAMPLE_LEAST = 5, 2
+SAMPLE_OF, SAMPLE_LEAST = 10, 2
 #: Bits of a bitmap: some for each proposal, within bounds (16 MB at most reach every task).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
 #: Text that a task counts at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Parts of a language that are ranked apart before its first rows meet.
 PARTS = 64
 
-_COUNTS = "lang string, n_words int, phrase string, h long, known boolean, f long"
+_COUNTS = "lang string, n_words int, phrase string, f long"
+_NAMES = ["lang", "n_words", "phrase", "f"]
 _SPACES, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(_SPACES)], _CLASS[list(_BREAKS)] = 1, 2
@@ -71,9 +72,13 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, str]]]:
     """(text, language) of some ``BATCH_BYTES`` at a time.  Longer texts are cut after a break, so that
-    one piece is never parted."""
+    no piece is parted, however long it is."""
     held, size = [], 0
     for batch in batches:
         for text, lang in zip(batch.column("t"), batch.column("lang"), strict=True):
@@ -119,18 +124,18 @@ class _Words:
         numbers, self.at = np.unique(lang * (len(coded.dictionary) + 1) + word, return_inverse=True)
         self.lang = pa.array([str(x) for x in langs]).take(pa.array(numbers // (len(coded.dictionary) + 1)))
         self.word = coded.dictionary.take(pa.array(numbers % (len(coded.dictionary) + 1)))
-        seeds = [xxhash.xxh64_intdigest(str(x).encode()) for x in langs]
+        seeds = [_seed(str(x)) for x in langs]
         each = zip(self.word.to_pylist(), numbers // (len(coded.dictionary) + 1), strict=True)
         self.h = np.array([xxhash.xxh64_intdigest(w, seeds[k]) for w, k in each], np.uint64)
         self.tokens = np.bincount(lang, minlength=len(langs))
         self.langs = [str(x) for x in langs]
 
 
-def _rows(w: _Words, numbers: list[np.ndarray], h: np.ndarray, known: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+def _rows(w: _Words, numbers: list[np.ndarray], f: np.ndarray) -> pa.RecordBatch:
     parts = [w.word.take(pa.array(x)).cast(pa.string()) for x in numbers]
     phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
     kinds = pa.array(np.full(len(f), len(parts)), pa.int32())
-    return pa.RecordBatch.from_arrays([w.lang.take(pa.array(numbers[0])), kinds, phrase, pa.array(h.view(np.int64)), pa.array(known), pa.array(f)], [x.split()[0] for x in _COUNTS.split(", ")])
+    return pa.RecordBatch.from_arrays([w.lang.take(pa.array(numbers[0])), kinds, phrase, pa.array(f)], _NAMES)
 
 
 def _counter(before, now, longest: int, fresh: bool):
@@ -146,12 +151,9 @@ def _counter(before, now, longest: int, fresh: bool):
                 continue
             one, was = _holds(new.words, w.h), _holds(old.words, w.h)
             if fresh:
-                yield _rows(w, [np.arange(n)], w.h, one, np.bincount(w.at, minlength=n))
+                yield _rows(w, [np.arange(n)], np.bincount(w.at, minlength=n))
                 zeros = np.zeros(len(w.langs), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.langs), pa.array(zeros, pa.int32()), pa.array([""] * len(w.langs)), pa.array(zeros), pa.array(zeros > 0), pa.array(w.tokens.astype(np.int64))],
-                    [x.split()[0] for x in _COUNTS.split(", ")],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(w.langs), pa.array(zeros, pa.int32()), pa.array([""] * len(w.langs)), pa.array(w.tokens.astype(np.int64))], _NAMES)
             if longest < 2:
                 continue
             i = np.flatnonzero(w.joined)
@@ -165,12 +167,11 @@ def _counter(before, now, longest: int, fresh: bool):
                 key, f = np.unique(at * n + b[k + 1], return_counts=True)
                 if len(f):
                     ab, c = pair[key // n], key % n
-                    yield _rows(w, [ab // n, ab % n, c], np.zeros(len(f), np.uint64), np.ones(len(f), bool), f)
+                    yield _rows(w, [ab // n, ab % n, c], f)
             keep = one[a] & one[b] & ~(was[a] & was[b])
             key, f = np.unique(a[keep] * n + b[keep], return_counts=True)
             if len(f):
-                h = _mixed(w.h[key // n], w.h[key % n])
-                yield _rows(w, [key // n, key % n], h, _holds(new.pairs, h), f)
+                yield _rows(w, [key // n, key % n], f)
 
     return run
 
@@ -180,10 +181,29 @@ def _counts(texts: DataFrame, before: Border, now: Border, least: int, longest:
     out."""
     share = texts.sparkSession.sparkContext.broadcast
     rows = texts.mapInArrow(_counter(share(before), share(now), longest, fresh), _COUNTS)
-    whole = rows.groupBy("lang", "n_words", "phrase").agg(F.min("h").alias("h"), F.min("known").alias("known"), F.sum("f").alias("f"))
+    whole = rows.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
     return kept(whole.where((F.col("f") >= least) | (F.col("n_words") == 0)), name)
 
 
+def _unproposed(found: DataFrame, now: Border) -> DataFrame:
+    """(n_words, h) of the words and pairs of ``found`` that ``now`` does not hold."""
+    shared = found.sparkSession.sparkContext.broadcast(now)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds: dict[str, int] = {}
+        for batch in batches:
+            langs, phrases = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
+            seeds.update({x: _seed(x) for x in set(langs) - set(seeds)})
+            n = batch.column("n_words").to_numpy()
+            words = [p.encode().split(b" ") for p in phrases]
+            h, last = (np.array([xxhash.xxh64_intdigest(w[k], seeds[x]) for w, x in zip(words, langs, strict=True)], np.uint64) for k in (0, -1))
+            h = np.where(n == 1, h, _mixed(h, last))
+            new = ~np.where(n == 1, _holds(shared.value.words, h), _holds(shared.value.pairs, h))
+            yield pa.RecordBatch.from_arrays([pa.array(n[new], pa.int32()), pa.array(h[new].view(np.int64))], ["n_words", "h"])
+
+    return found.where("n_words IN (1, 2)").mapInArrow(run, "n_words int, h long")
+
+
 def _bits(found: DataFrame, size: int) -> np.ndarray:
     """Bitmap of ``size`` bits with two for each h of ``found``; a row for each used word of 64 bits
     reaches the driver."""
@@ -207,17 +227,17 @@ def frequent(docs: DataFrame, least: int = LEAST, sample_of: int = SAMPLE_OF, sa
     row = docs.select(text.alias("t"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.xxhash64("doc_id", text).alias("d"))
     sample, every = row.where(F.pmod("d", F.lit(sample_of)) == 0).select("t", "lang"), row.select("t", "lang")
     nothing = Border(None, None)
-    words = _counts(sample, nothing, nothing, sample_least, 1, True, "phrases-words").where("n_words = 1")
+    words = kept(_unproposed(_counts(sample, nothing, nothing, sample_least, 1, True, "phrases-words"), nothing), "phrases-sample")
     proposed = Border(_bits(words, _size(words.count())), None)
-    pairs = _counts(sample, nothing, proposed, sample_least, 2, False, "phrases-pairs").where("n_words = 2")
+    pairs = kept(_unproposed(_counts(sample, nothing, proposed, sample_least, 2, False, "phrases-pairs"), nothing), "phrases-sample")
     proposed = Border(proposed.words, _bits(pairs, _size(pairs.count())))
     before, found, passes = nothing, [], 0
     while True:
         counted = _counts(every, before, proposed, least, 3, passes == 0, "phrases")
         found.append(counted)
         passes += 1
-        failed = counted.where(~F.col("known"))
-        failures = {r["n_words"]: r["n"] for r in failed.where("n_words IN (1, 2)").groupBy("n_words").agg(F.count("*").alias("n")).collect()}
+        failed = kept(_unproposed(counted, proposed), "phrases-failed")
+        failures = {r["n_words"] for r in failed.select("n_words").distinct().collect()}
         if not failures:
             break
         more = [bits | _bits(failed.where(F.col("n_words") == k), len(bits) * 64) if k in failures else bits for k, bits in ((1, proposed.words), (2, proposed.pairs))]
