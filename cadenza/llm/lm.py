@@ -75,6 +75,9 @@ _UNROLL = np.uint64(pow(int(_ROLL), -1, 1 << 64))
 _LOW32 = np.uint64(0xFFFFFFFF)
 #: Marks the keys of training texts in the scorer's cache.
 _OWN = np.uint64(0x5851F42D4C957F2D)
+#: How texts are read: A-Z lower-cased, and NUL, which stands for the end of a text, as a byte that
+#: UTF-8 never has.
+READ = bytes([255]) + LOWER[1:]
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 #: The counts that a byte stands for: exact to 16, then in steps of 6 % up to 18 million.
 _LEVELS = np.concatenate((np.arange(17.0), 16 * 1.06 ** np.arange(1, 240)))
@@ -506,7 +509,7 @@ def _lowered(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
     """The texts (first column) of Arrow batches, A-Z lower-cased."""
     for batch in batches:
         for text in batch.column(0):
-            yield text.as_py().translate(LOWER)
+            yield text.as_py().translate(READ)
 
 
 def _chunks(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
@@ -523,13 +526,14 @@ def _chunks(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
 
 
 def byte_counts(docs: DataFrame) -> np.ndarray:
-    """How often each byte occurs in all texts (256 numbers; the first counts end marks)."""
+    """How often each byte occurs in all texts as they are read (256 numbers; the first counts end
+    marks, one for each row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                total += np.bincount(np.frombuffer(t.as_py(), np.uint8), minlength=256)
+                total += np.bincount(np.frombuffer(t.as_py().translate(READ), np.uint8), minlength=256)
             total[0] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["b", "n"])
 
@@ -537,7 +541,6 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
     out = np.zeros(256, np.int64)
     for b, n in rows:
         out[b] = n
-    out[65:91], out[97:123] = 0, out[97:123] + out[65:91]  # as if lower-cased
     return out
 
 
@@ -682,7 +685,7 @@ def word_table(base: DataFrame, buckets: int) -> DataFrame:
 
     def ask(t: pa.Table) -> pa.Table:
         train = np.array(t["train"].to_pylist(), bool)
-        texts = lambda of: (t["text"][i].as_py().translate(LOWER) for i in np.flatnonzero(train == of).tolist())
+        texts = lambda of: (t["text"][i].as_py().translate(READ) for i in np.flatnonzero(train == of).tolist())
         keys, counts, (asked, own, n) = _held(texts(True))
         # held-out texts ask about words and stretches, but teach nothing
         more, _, (other, _, _) = _held(texts(False))
@@ -772,7 +775,7 @@ def scored(docs: DataFrame) -> DataFrame:
     below = np.log10(n_tokens + n_distinct + 1)
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        texts = [t.as_py().translate(LOWER) for t in rows["text"]]
+        texts = [t.as_py().translate(READ) for t in rows["text"]]
         told = flattened(told)
         order = np.argsort(told["bucket"].to_numpy(), kind="stable")
         joined = lambda c, kind: np.frombuffer(b"".join(told[c][i].as_py() for i in order.tolist()), kind)

@@ -428,6 +428,23 @@ def test_lm_base_and_score(docs, empty):
     assert lm.scored(empty).count() == 0
 
 
+def test_lm_nul_characters_are_no_end_marks(spark):
+    import math
+    import zlib
+
+    rows = [(i, t) for i, t in enumerate(["a\0b \0 c", "\0\0\0", "A \0 B", "a", "", None, "x\0", "the \0cat", "\0", "c \0 c", "\0A", "b b \0", "end\0", "end"] * 4)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, [*WORD.findall((t or "").translate(LOW)), None]) for i, t in rows]
+    c = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = Counter((i, len(ws), sum(c[w] > 0 for w in ws), n, f"{sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws):.6f}") for i, ws in tokens)
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.6f}") for r in got) == want
+    histogram = lm.byte_counts(spark.createDataFrame([(b"A\0b\0",), (b"",)], "text binary"))
+    assert (histogram[0], histogram[97], histogram[98], histogram[255]) == (2, 1, 1, 2)
+    assert histogram.sum() == 6
+
+
 def counted(texts, slot_bits=None):
     """Code and counts of some texts, all of which train."""
     counts = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
