@@ -112,3 +112,38 @@ def of(converter: Callable[[DataFrame], DataFrame], entries: DataFrame, max_samp
     """``run`` for a converter, any function from entries to (entry_id, markup)."""
     chosen = first_entries(entries, max_samples)
     return run(chosen, converter(chosen))
+
+
+def guarded(convert: Callable[[str], str | None], entries: DataFrame, column: str = "transcript") -> DataFrame:
+    """(entry_id, markup, error) of a converter that takes one document at a time: a document on which
+    it raises has a null markup and says why, and the others go on.
+
+    A null document is not converted and says so; a converter that gives None has failed without a
+    reason of its own."""
+
+    @F.arrow_udf("markup string, error string")
+    def converted(documents: pa.Array) -> pa.Array:
+        markup, error = [], []
+        for document in documents.to_pylist():
+            made = why = None
+            if document is None:
+                why = "no document"
+            else:
+                try:
+                    made = convert(document)
+                    why = "nothing converted" if made is None else None
+                except Exception as problem:  # noqa: BLE001  whatever a converter raises is that document's failure
+                    why = f"{type(problem).__name__}: {problem}"
+            markup.append(made)
+            error.append(why)
+        return pa.StructArray.from_arrays([pa.array(markup, pa.string()), pa.array(error, pa.string())], ["markup", "error"])
+
+    return entries.select("entry_id", converted(column).alias("c")).select("entry_id", "c.markup", "c.error")
+
+
+def of_each(convert: Callable[[str], str | None], entries: DataFrame, column: str = "transcript", max_samples: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``run`` for a converter of single documents, and its failures (entry_id, error): they count in
+    num_failures and nowhere else.  What it made is written once, so that it runs once."""
+    chosen = tables.written(first_entries(entries, max_samples), "benchmark-chosen")
+    made = tables.written(guarded(convert, chosen, column), "benchmark-converted")
+    return run(chosen, made.where("markup IS NOT NULL").select("entry_id", "markup")), made.where("error IS NOT NULL").select("entry_id", "error")

@@ -63,9 +63,9 @@ def profile_issues(profiles: DataFrame) -> DataFrame:
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     whole = F.array_compact(
         F.array(
-            issue("P1", "error", text("profile_version '", F.coalesce("profile_version", F.lit("")), "' does not match semver format (X.Y.Z)"), version),
-            issue("P2", "error", F.lit("user_id must be a non-empty string"), F.coalesce("user_id", F.lit("")) == ""),
-            issue("P3", "error", F.lit("prosody_mappings must contain at least one mapping"), F.coalesce(F.size("prosody_mappings"), F.lit(0)) <= 0),
+            issue("P1", "error", text("not a version of three numbers: ", F.coalesce("profile_version", F.lit("nothing"))), version),
+            issue("P2", "error", F.lit("the profile names no user"), F.coalesce("user_id", F.lit("")) == ""),
+            issue("P3", "error", F.lit("the profile maps nothing"), F.coalesce(F.size("prosody_mappings"), F.lit(0)) <= 0),
         )
     )
     top = profiles.select("user_id", F.lit(-1).alias("mapping_idx"), F.explode(whole).alias("i"))
@@ -73,14 +73,14 @@ def profile_issues(profiles: DataFrame) -> DataFrame:
     domain = F.create_map(*[x for k, v in PATTERN_VALUES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     each = m.select("user_id", "mapping_idx", "at", F.explode("pattern").alias("key", "value")).withColumn("domain", F.try_element_at(domain, F.col("key")))
     keyed = F.coalesce(
-        issue("P5", "warning", text(F.col("at"), ".pattern has unknown key '", F.col("key"), "'"), F.col("domain").isNull()),
-        issue("P6", "warning", text(F.col("at"), ".pattern.", F.col("key"), "='", F.col("value"), "' is not a recognized value"), ~F.array_contains("domain", F.col("value"))),
+        issue("P5", "warning", text(F.col("at"), ": no such pattern key: ", F.col("key")), F.col("domain").isNull()),
+        issue("P6", "warning", text(F.col("at"), ": ", F.col("key"), " is never ", F.col("value")), ~F.array_contains("domain", F.col("value"))),
     )
     mapped = F.array_compact(
         F.array(
-            issue("P4", "error", text(F.col("at"), ".pattern must have at least one key"), F.coalesce(F.size("pattern"), F.lit(0)) <= 0),
-            issue("P7", "error", text(F.col("at"), ".interpretation.emotion must be non-empty"), F.coalesce("emotion", F.lit("")) == ""),
-            issue("P8", "error", text(F.col("at"), ".interpretation.confidence_boost=", F.col("boost").cast("string"), " must be between 0.0 and 1.0"), (F.col("boost") < 0) | (F.col("boost") > 1)),
+            issue("P4", "error", text(F.col("at"), ": the pattern asks for nothing"), F.coalesce(F.size("pattern"), F.lit(0)) <= 0),
+            issue("P7", "error", text(F.col("at"), ": no emotion is given"), F.coalesce("emotion", F.lit("")) == ""),
+            issue("P8", "error", text(F.col("at"), ": a boost outside 0 to 1: ", F.col("boost").cast("string")), (F.col("boost") < 0) | (F.col("boost") > 1)),
         )
     )
     rows = top.unionByName(m.select("user_id", "mapping_idx", F.explode(mapped).alias("i"))).unionByName(each.select("user_id", "mapping_idx", keyed.alias("i")).where("i IS NOT NULL"))
@@ -118,3 +118,31 @@ def ranked(observed: DataFrame, profile: DataFrame, keys: list[str]) -> DataFram
     out = observed.join(best, keys, "left")
     confidence = F.when(F.col("e").isNull(), F.col("base_confidence")).otherwise(F.least(F.lit(1.0), F.col("base_confidence") + F.col("boost")))
     return out.select(*keys, F.coalesce("e", "base_emotion").alias("emotion"), confidence.alias("confidence"), "mapping_idx")
+
+
+def applied_by_user(observed: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``applied`` with each row's own user: ``observed`` has user_id, ``profiles`` (user_id,
+    mapping_idx, pattern, emotion, boost) any number of users and mappings.
+
+    A pattern is contained in a row's labels only if its rarest label is, so each mapping is looked up
+    by that one (counted over ``observed`` by user), and the rest of its pattern is tested on the rows
+    found.  A label that all rows have is looked up only for patterns that have no other.  Rows
+    without a user, or whose user has no profile, keep their base; an empty pattern matches nothing;
+    of equal mappings the first counts.  Rows with equal ``keys`` are taken as one."""
+    labels = observed.select("user_id", F.explode("labels").alias("key", "value")).groupBy("user_id", "key", "value").agg(F.count("*").alias("n"))
+    each = profiles.select("user_id", "mapping_idx", "pattern", "emotion", "boost", F.explode("pattern").alias("key", "value"))
+    # a label that never occurs cannot match: the inner join drops it, and with it the mapping
+    counted = each.join(labels, ["user_id", "key", "value"])
+    whole = counted.groupBy("user_id", "mapping_idx").agg(
+        F.count("*").alias("found"), F.min(F.struct("n", "key", "value")).alias("rarest"), F.first("pattern").alias("pattern"), F.first("emotion").alias("emotion"), F.first("boost").alias("boost")
+    )
+    usable = whole.where(F.col("found") == F.size("pattern")).select("user_id", "mapping_idx", F.map_entries("pattern").alias("entries"), "emotion", "boost", "rarest.key", "rarest.value")
+    seen = observed.select("user_id", *keys, "labels", F.explode("labels").alias("key", "value"))
+    near = seen.join(usable, ["user_id", "key", "value"])
+    hit = near.where(F.forall("entries", lambda e: F.try_element_at(F.col("labels"), e["key"]).eqNullSafe(e["value"])))
+    best = hit.groupBy("user_id", *keys).agg(F.min(F.struct((-F.size("entries")).alias("rank"), "mapping_idx", "emotion", "boost")).alias("m"))
+    out = observed.join(best, ["user_id", *keys], "left")
+    return out.select(
+        "user_id", *keys, F.coalesce("m.emotion", "base_emotion").alias("emotion"),
+        F.when(F.col("m").isNull(), F.col("base_confidence")).otherwise(F.least(F.lit(1.0), F.col("base_confidence") + F.col("m.boost"))).alias("confidence"), F.col("m.mapping_idx").alias("mapping_idx"),
+    )

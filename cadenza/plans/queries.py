@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..operators import audio, benchmark, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
 from ..sources import shred, tables
+from ..streaming import assembly
 from ..streaming import sessions as streaming
 from . import adapters as A
 
@@ -163,6 +165,33 @@ z AS (
 SELECT doc_id, CASE WHEN count(*) = 1 THEN max(one) ELSE '<iml>' || string_agg(one, '' ORDER BY utt_idx) || '</iml>' END AS markup FROM z GROUP BY doc_id"""
 
 
+def _by_slope(spans: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """Rising pitch is joyful, falling sad: from the first measured word to the last."""
+    emotions, confidences = [], []
+    for utterance in spans.to_pylist():
+        heard = [w["f0_mean"] for w in utterance if w["f0_mean"] is not None]
+        rise = heard[-1] - heard[0] if heard else 0.0
+        emotions.append("joyful" if rise > 0 else "sad" if rise < 0 else "neutral")
+        confidences.append(0.5 if rise == 0 else 0.75)
+    return pa.array(emotions, pa.string()), pa.array(confidences, pa.float64())
+
+
+@query
+def assembled_by_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup whose emotions come from a classifier over the spans in order."""
+    return speech.assembled(_words(spark, sf_dir), classify=speech.by_spans(_by_slope))
+
+
+ORACLE_SQL["assembled_by_slope"] = ORACLE_SQL["assembled_markup"].replace(
+    _SCORED[len(_GROUPED):],
+    """,
+a AS (
+  SELECT doc_id, utt_idx, count(*) AS n_words, (arg_max(f0_mean, word_idx) FILTER (WHERE f0_mean IS NOT NULL) - arg_min(f0_mean, word_idx) FILTER (WHERE f0_mean IS NOT NULL)) AS rise
+  FROM u GROUP BY doc_id, utt_idx),
+e AS (SELECT doc_id, utt_idx, n_words, CASE WHEN rise > 0 THEN 'joyful' WHEN rise < 0 THEN 'sad' ELSE 'neutral' END AS emotion, CASE WHEN coalesce(rise, 0) = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence FROM a)""",
+)
+
+
 @query
 def assembled_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.assembled(_words(spark, sf_dir), extended=True)
@@ -250,6 +279,38 @@ UNION ALL SELECT 'P6', 'warning' FROM c WHERE k % 3 = 2 AND k % 11 <> 0 UNION AL
 UNION ALL SELECT 'P8', 'error' FROM c WHERE k % 4 = 3 AND k % 11 <> 0)
 SELECT rule, severity, count(*) AS n FROM r GROUP BY ALL"""
 
+_USER_PROFILES = """
+SELECT CAST(c_custkey AS BIGINT) AS user_id, i AS mapping_idx,
+       CASE (c_custkey + i) % 6 WHEN 0 THEN 'pitch=high' WHEN 1 THEN 'volume=loud;pitch=high' WHEN 2 THEN 'rate=fast;quality=tense'
+            WHEN 3 THEN 'volume=normal;rate=normal;quality=modal' WHEN 4 THEN 'pitch=odd;rate=normal' ELSE 'volume=quiet' END AS asks,
+       CASE i WHEN 0 THEN 'calm' WHEN 1 THEN 'excited' ELSE 'anxious' END AS emotion, (c_custkey % 4 + i) / 10.0 AS boost
+FROM {customer}, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) x"""
+
+
+@query
+def profile_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word under the profile of its customer."""
+    labels = ["pitch", "volume", "rate", "quality"]
+    words = spark.sql(_LABELLED, words=_words(spark, sf_dir))
+    users = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("long").alias("user_id"))
+    observed = words.join(users, "doc_id").select(
+        "user_id", "doc_id", "word_idx", F.create_map(*[x for k in labels for x in (F.lit(k), F.col(k))]).alias("labels"), F.lit("neutral").alias("base_emotion"), F.col("base_confidence").cast("double").alias("base_confidence")
+    )
+    rows = A.view(spark, _USER_PROFILES, sf_dir, "customer").select("user_id", "mapping_idx", F.str_to_map("asks", F.lit(";"), F.lit("=")).alias("pattern"), "emotion", F.col("boost").cast("double").alias("boost"))
+    out = profiles.applied_by_user(observed, rows, ["doc_id", "word_idx"])
+    return out.select("user_id", "doc_id", "word_idx", "emotion", F.round("confidence", 6).alias("confidence"), "mapping_idx")
+
+
+ORACLE_SQL["profile_by_user"] = f"""WITH {_GROUPED}, lb AS ({_LABELLED.replace('{words}', 'w')}),
+o AS (SELECT o_custkey::BIGINT AS user_id, lb.* FROM lb JOIN orders ON o_orderkey = doc_id),
+m AS ({A.duck(_USER_PROFILES)}),
+h AS (
+  SELECT o.user_id, doc_id, word_idx, base_confidence, mapping_idx, emotion, boost
+  FROM o LEFT JOIN m ON m.user_id = o.user_id AND len(list_filter(string_split(asks, ';'),
+    lambda x: NOT coalesce(x IN ('pitch=' || pitch, 'volume=' || volume, 'rate=' || rate, 'quality=' || quality), false))) = 0
+  QUALIFY row_number() OVER (PARTITION BY doc_id, word_idx ORDER BY len(string_split(asks, ';')) DESC NULLS LAST, mapping_idx) = 1)
+SELECT user_id, doc_id, word_idx, coalesce(emotion, 'neutral') AS emotion, round(least(1.0::DOUBLE, base_confidence::DOUBLE + coalesce(boost, 0)::DOUBLE), 6) AS confidence, mapping_idx FROM h"""
+
 _SESSION = f"""
 p AS ({A.duck(A.PHONEMES)}),
 f AS (
@@ -737,6 +798,43 @@ r AS (
 SELECT user_id AS client, max(n)::BIGINT AS n, max(n_ok)::BIGINT AS n_ok FROM r GROUP BY user_id"""
 
 
+def _shuffled(spark: SparkSession, rows: DataFrame, time: str, end: DataFrame) -> DataFrame:
+    """``rows`` as a stream of four files into which they are dealt by a hash, and last a file with
+    the row ``end``, whose ``time`` lets the watermark pass all others."""
+    path = tables.shared_path(spark, "shuffled")
+    rows.repartition(4, F.xxhash64(*rows.columns)).write.parquet(path)
+    end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def assembled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose words come as a stream, out of order; spoken on a day after the epoch, at which
+    watermarks begin."""
+    words = _words(spark, sf_dir)
+    words = words.select(*(F.col(c).cast("double") if k.startswith("decimal") else F.col(c) for c, k in words.dtypes), F.timestamp_millis(F.col("start_ms") + 1_600_000_000_000).alias("ts"))
+    end = spark.range(1).select(*(F.lit(None).cast(k).alias(c) for c, k in words.dtypes if c != "ts"), F.lit("2100-01-01").cast("timestamp").alias("ts"))
+    stream = _shuffled(spark, words, "ts", end.select(words.columns))
+    return assembly.assembled_into(stream, tables.shared_path(spark, "assembled"), late="1 day", buckets=4 * spark.sparkContext.defaultParallelism)[0]
+
+
+ORACLE_SQL["assembled_stream"] = ORACLE_SQL["assembled_markup"]
+
+
+@query
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limiter over requests that come as a stream, out of order."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    end = spark.range(1).select(F.lit(None).cast(rows.schema["client"].dataType).alias("client"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
+    with assembly.keyed_state(spark):
+        stream = assembly.ordered_limit(_shuffled(spark, rows, "ts", end), 2, 86_400.0, late="20000 days")
+        judged = streaming.collected(stream, tables.shared_path(spark, "limited"), "append")
+    return judged.groupBy("client").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+
+
+ORACLE_SQL["rate_limit_stream"] = ORACLE_SQL["rate_limit"]
+
+
 @query
 def ser_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _predictions(spark, sf_dir)
@@ -867,6 +965,32 @@ ORACLE_SQL["benchmark_report"] = _benchmark_sql("")
 ORACLE_SQL["benchmark_first"] = _benchmark_sql("LIMIT 100")
 
 
+def _converter(document: str) -> str:
+    """Raises on some documents and gives nothing for others, as converters do."""
+    if len(document) % 10 == 3:
+        raise ValueError("no speech")
+    return None if len(document) % 10 == 7 else f'<utterance emotion="calm" confidence="0.{len(document) % 10}">x</utterance>'
+
+
+@query
+def converter_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A converter that fails on some documents: the report counts them, the others are scored."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    entries = docs.select(F.col("doc_id").alias("entry_id"), F.expr(_FILE).alias("file_name"), F.lit("<utterance>x</utterance>").alias("markup"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'calm' ELSE 'sad' END").alias("emotion_label"), F.col("text").alias("transcript"))
+    report, failures = benchmark.of_each(_converter, entries)
+    kinds = failures.agg(F.count_if(F.col("error") == "ValueError: no speech").alias("n_raised"), F.count_if(F.col("error") == "nothing converted").alias("n_nothing"), F.count_if(F.col("error") == "no document").alias("n_missing"))
+    return report.select(F.round("emotion_accuracy", 6).alias("emotion_accuracy"), F.round("confidence_ece", 6).alias("confidence_ece"), F.round("validity_rate", 6).alias("validity_rate"), "num_samples", "num_failures").join(F.broadcast(kinds))
+
+
+ORACLE_SQL["converter_failures"] = """WITH d AS (SELECT doc_id, length(text) % 10 AS k, doc_id % 3 = 0 AS correct FROM documents),
+ok AS (SELECT * FROM d WHERE k NOT IN (3, 7)),
+b AS (SELECT j, count(*) AS n, avg(k / 10.0::DOUBLE) AS c, avg(correct::INT) AS a
+  FROM ok JOIN (SELECT j, j * 0.1::DOUBLE AS lo, (j + 1) * 0.1::DOUBLE AS hi FROM range(10) x(j)) ON k / 10.0::DOUBLE >= lo AND k / 10.0::DOUBLE < hi GROUP BY j)
+SELECT (SELECT round(avg(correct::INT), 6) FROM ok) AS emotion_accuracy, (SELECT round(sum(n * abs(a - c)) / (SELECT count(*) FROM ok), 6) FROM b) AS confidence_ece, 1.0::DOUBLE AS validity_rate,
+  (SELECT count(*) FROM ok) AS num_samples, (SELECT count(*) FROM d) - (SELECT count(*) FROM ok) AS num_failures,
+  (SELECT count(*) FROM d WHERE k = 3) AS n_raised, (SELECT count(*) FROM d WHERE k = 7) AS n_nothing, (SELECT count(*) FROM d WHERE k IS NULL) AS n_missing"""
+
+
 @query
 def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries written as a dataset and read back."""
