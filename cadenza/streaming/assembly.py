@@ -141,16 +141,18 @@ def assembled_into(
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()
-        own = [c for c in rows.columns if c not in ("late", time)]
-        speech.assembled(rows.where("NOT late").select(*own), classify=classify).write.mode("overwrite").parquet(f"{path}/markup/batch={batch}")
-        rows.where("late").write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+        own, there = [c for c in rows.columns if c not in ("late", time)], {r[0] for r in rows.select("late").distinct().collect()}
+        if False in there:
+            speech.assembled(rows.where("NOT late").select(*own), classify=classify).write.mode("overwrite").parquet(f"{path}/markup/batch={batch}")
+        if True in there:
+            rows.where("late").write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
         rows.unpersist()
 
     with keyed_state(spark):
         stream = finished_documents(words, time, late, idle_ms, keep_ms, buckets)
         query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = lambda part, kind: spark.read.schema(kind).parquet(f"{path}/{part}") if query.lastProgress or _there(spark, f"{path}/{part}") else spark.createDataFrame([], kind)
+    found = lambda part, kind: spark.read.schema(kind).parquet(f"{path}/{part}") if _there(spark, f"{path}/{part}") else spark.createDataFrame([], kind)
     return found("markup", "doc_id long, markup string").drop("batch"), found("late", stream.schema).drop("batch"), dropped_rows(query)
 
 
