@@ -131,5 +131,8 @@ def read_entries(spark: SparkSession, path: str, strict: bool = True, lines: boo
 
 
 def entry_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream over a dataset folder: each file that appears is read once."""
-    return spark.readStream.schema(ENTRY).option("multiLine", True).json(f"{path}/entries")
+    """Entries of a dataset folder as a stream: each file that appears is read once.  Fields are filled
+    and files named as by ``read_entries`` without ``strict``; ``entries.stream_into`` also keeps what
+    cannot be read."""
+    rows = spark.readStream.schema(ENTRY).option("multiLine", True).option("mode", "FAILFAST").json(f"{path}/entries").select("*", F.col("_metadata.file_name").alias("file_name"))
+    return rows.select("file_name", *(F.coalesce(f, F.lit("")).alias(f) for f in REQUIRED), "speaker_id", F.coalesce("consent", F.lit(False)).alias("consent"), "metadata")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
-from ..operators import audio, benchmark, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
+from ..operators import audio, benchmark, intervals, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
+from ..sources import entries as open_entries
 from ..sources import shred, tables
 from ..streaming import assembly
 from ..streaming import sessions as streaming
@@ -1046,3 +1047,64 @@ def rendered_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["rendered_wav"] = f"""SELECT doc_id, 44 + 2 * n_samples AS n_bytes FROM ({ORACLE_SQL["render_samples"].replace("v NOT IN (12, 13)", "v NOT IN (4, 12, 13)")})"""
+
+
+_MEASURED = """
+SELECT CAST(floor(vec_id / 10) AS BIGINT) AS path, CAST(vec_id % 10 * 64 + pos AS INT) AS frame,
+       CASE WHEN v > 0 THEN 100 + 500 * v END AS f0, CASE WHEN pos % 9 <> 4 THEN v * 100 - 40 END AS db
+FROM (SELECT vec_id, CAST(v AS DOUBLE) AS v, pos FROM {rows}) x"""
+_SPANS = """
+SELECT path, k, k * 131 + path % 7 AS start_ms, k * 131 + path % 7 + CASE k % 7 WHEN 0 THEN 30 WHEN 1 THEN 49 WHEN 2 THEN 210 WHEN 3 THEN 900 WHEN 4 THEN 3300 WHEN 5 THEN 7000 ELSE 0 END AS end_ms
+FROM (SELECT DISTINCT CAST(floor(vec_id / 10) AS BIGINT) AS path FROM {embeddings}) p, {numbers} n"""
+
+
+@query
+def span_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, ranges and rates of spans over measured frames."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    frames = spark.sql(_MEASURED, rows=vectors.select("vec_id", F.posexplode("embedding").alias("pos", "v")))
+    spans = spark.sql(_SPANS, embeddings=vectors, numbers=spark.range(50).withColumnRenamed("id", "k"))
+    out = intervals.span_statistics(spans, frames, ["k"])
+    return out.select("path", "k", *_six("f0_mean", "f0_low", "f0_high", "intensity_mean", "intensity_range", "speech_rate"))
+
+
+ORACLE_SQL["span_statistics"] = f"""WITH f AS ({_MEASURED.replace('{rows}', '(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)')}),
+s AS ({_SPANS.replace('{embeddings}', 'embeddings').replace('{numbers}', '(SELECT range AS k FROM range(50))')}),
+n AS (SELECT path, (max(frame) + 1) * 10 AS ms FROM f GROUP BY path),
+j AS (SELECT s.path, s.k, least(s.end_ms, n.ms) - s.start_ms AS len, f.frame, f.f0, f.db FROM s JOIN n USING (path) JOIN f ON f.path = s.path AND f.frame * 10 >= s.start_ms AND f.frame * 10 < s.end_ms),
+a AS (SELECT path, k, any_value(len) AS len, avg(f0) AS f0_mean, min(f0) AS f0_low, max(f0) AS f0_high, avg(db) AS intensity_mean, max(db) - min(db) AS intensity_range, count(db) AS n FROM j GROUP BY path, k),
+w AS (SELECT path, k, db, lag(db) OVER o AS p, lead(db) OVER o AS q FROM j WHERE db IS NOT NULL WINDOW o AS (PARTITION BY path, k ORDER BY frame)),
+c AS (SELECT path, k, count(*) AS peaks FROM w JOIN a USING (path, k) WHERE db > p AND db > q AND db > intensity_mean - 5 GROUP BY path, k)
+SELECT s.path, s.k, round(f0_mean, 6) AS f0_mean, round(f0_low, 6) AS f0_low, round(f0_high, 6) AS f0_high, round(intensity_mean, 6) AS intensity_mean, round(intensity_range, 6) AS intensity_range,
+       round(CASE WHEN len >= 50 AND n >= 3 THEN coalesce(peaks, 0) * 1000 / len END, 6) AS speech_rate
+FROM s LEFT JOIN a USING (path, k) LEFT JOIN c USING (path, k)"""
+
+
+#: Entry texts in shapes that files come in.
+_SHAPED = """CASE doc_id % 7
+    WHEN 0 THEN concat('{"id": 1', CAST(doc_id AS VARCHAR(20)), ', "audio_file": "a.wav", "transcript": "t", "iml": "<utterance/>", "emotion_label": "calm", "speaker_id": 7, "metadata": [1], "consent": "true"}')
+    WHEN 1 THEN concat('{"id": "', CAST(doc_id AS VARCHAR(20)), '", "audio_file": "a.wav", "transcript": "t", "iml": "<utterance/>", "emotion_label": "calm", "speaker_id": "s", "metadata": {"n": {"k": ', CAST(n_chars AS VARCHAR(20)), '}}, "consent": true}')
+    WHEN 2 THEN concat('{"id": "', CAST(doc_id AS VARCHAR(20)), '", "audio_file": "", "transcript": "t", "iml": null, "emotion_label": "calm"}')
+    WHEN 3 THEN concat('{"id": "', CAST(doc_id AS VARCHAR(20)), '", ')
+    WHEN 4 THEN concat('[', CAST(doc_id AS VARCHAR(20)), ']')
+    WHEN 5 THEN concat('{"id": "', CAST(doc_id AS VARCHAR(20)), '", "audio_file": "a.wav", "transcript": "t", "iml": "<utterance/>", "emotion_label": "calm", "metadata": {"n": {"k": "', CAST(n_chars AS VARCHAR(20)), '"}}, "consent": 1}')
+    ELSE concat('{"id": "', CAST(doc_id AS VARCHAR(20)), '", "audio_file": "a.wav", "transcript": "t", "iml": "<utterance/>", "emotion_label": "calm", "metadata": null, "consent": false}') END"""
+
+
+@query
+def entry_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry files of several shapes, written and read back: what becomes of each row."""
+    path = tables.shared_path(spark, "shapes")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr(_SHAPED.replace("VARCHAR(20)", "STRING"))).write.text(f"{path}/entries")
+    good, bad = open_entries.read(spark, path, lines=True)
+    nested = F.try_variant_get("metadata", "$.n.k", "variant")
+    kept = good.select(F.col("id").alias("what"), "speaker_id", "consent", F.schema_of_variant(nested).alias("nested_kind"), F.try_variant_get("metadata", "$.n.k", "string").alias("nested"), (F.schema_of_variant("metadata") == "OBJECT<>").alias("no_metadata"))
+    lost = bad.select(F.concat_ws(" | ", "reason", "raw").alias("what"), *(F.lit(None).cast(k).alias(c) for c, k in kept.dtypes[1:]))
+    return kept.unionByName(lost)
+
+
+ORACLE_SQL["entry_shapes"] = f"""WITH d AS (SELECT doc_id, doc_id % 7 AS k, n_chars, {_SHAPED} AS raw FROM documents)
+SELECT CASE k WHEN 2 THEN 'missing: audio_file, iml | ' || raw WHEN 3 THEN 'not JSON | ' || raw WHEN 4 THEN 'not an object | ' || raw WHEN 0 THEN '1' || doc_id ELSE doc_id::VARCHAR END AS what,
+       CASE WHEN k = 1 THEN 's' END AS speaker_id, CASE WHEN k IN (0, 1, 5, 6) THEN k = 1 END AS consent,
+       CASE k WHEN 1 THEN 'BIGINT' WHEN 5 THEN 'STRING' END AS nested_kind, CASE WHEN k IN (1, 5) THEN n_chars::VARCHAR END AS nested, CASE WHEN k IN (0, 1, 5, 6) THEN k IN (0, 6) END AS no_metadata
+FROM d"""
