@@ -20,16 +20,20 @@ F0_LOW, F0_HIGH = 75.0, 600.0
 WORD_S, GAP_S, FADE_S, UTTERANCE_S, EMPTY_S = 0.25, 0.05, 0.005, 0.3, 0.1
 
 
+@lru_cache(16)
+def _envelope(n: int) -> np.ndarray:
+    """Loudness of a tone of ``n`` samples: rising from silence at its start, falling to it at its end."""
+    from_end = np.minimum(np.arange(n), np.arange(n)[::-1])
+    ramp = min(round(SAMPLE_RATE * FADE_S), n // 2)
+    return np.minimum(from_end / max(1, ramp - 1), 1.0)
+
+
 @lru_cache(256)
 def tone(frequency: float, seconds: float, amplitude: float) -> np.ndarray:
-    """A sine with short fades at both ends.  Words of one voice share one array."""
-    n = int(SAMPLE_RATE * seconds)
-    out = amplitude * np.sin(2 * np.pi * frequency * np.arange(n) / SAMPLE_RATE)
-    fade = min(int(SAMPLE_RATE * FADE_S), n // 2)
-    if fade:
-        out[:fade] *= np.linspace(0, 1, fade)
-        out[-fade:] *= np.linspace(1, 0, fade)
-    out.flags.writeable = False
+    """A faded sine.  Words of one voice share one array."""
+    phase = np.arange(int(SAMPLE_RATE * seconds)) * (2 * np.pi * frequency / SAMPLE_RATE)
+    out = np.sin(phase) * _envelope(len(phase)) * amplitude
+    out.setflags(write=False)
     return out
 
 

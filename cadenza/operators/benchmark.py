@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -36,26 +35,6 @@ def predicted_utterances(entries: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.withColumn("correct", F.col("truth") == F.col("predicted"))
 
 
-def matched_in_order(predicted: list[int], truth: list[int], tolerance: int = metrics.TOLERANCE_MS) -> int:
-    """How many predicted pauses, in order, find an unmatched true one within ``tolerance``; each
-    takes the nearest, the earlier of equals.  Free truths are kept by length, so a step costs a
-    binary search, not a walk over all."""
-    free = sorted((t, k) for k, t in enumerate(truth))
-    found = 0
-    for p in predicted:
-        at = bisect.bisect_left(free, (p, -1))
-        best = free[at] if at < len(free) else None  # the earliest of the next length up
-        if at:
-            low = free[at - 1][0]
-            below = free[bisect.bisect_left(free, (low, -1))]
-            if best is None or (p - low, below[1]) < (best[0] - p, best[1]):
-                best = below
-        if best is not None and abs(best[0] - p) <= tolerance:
-            del free[bisect.bisect_left(free, best)]
-            found += 1
-    return found
-
-
 def whole_pause_f1(pauses: DataFrame) -> DataFrame:
     """One row (tp, n_predicted, n_truth, f1) over all entries' pauses (side 'p' or 't', file_name,
     entry_id, pre, ms), joined into two lists in the order of the files.
@@ -67,7 +46,7 @@ def whole_pause_f1(pauses: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("side", "file_name", "entry_id", "pre", "ms")), strict=True))
         p, t = ([r[-1] for r in rows if r[0] == side] for side in "pt")
-        return pa.table({"tp": pa.array([matched_in_order(p, t)], pa.int64()), "n_predicted": pa.array([len(p)], pa.int64()), "n_truth": pa.array([len(t)], pa.int64())})
+        return pa.table({"tp": pa.array([metrics.matched(p, t)], pa.int64()), "n_predicted": pa.array([len(p)], pa.int64()), "n_truth": pa.array([len(t)], pa.int64())})
 
     whole = pauses.select(F.lit(0).alias("all"), *pauses.columns)
     counted = whole.groupBy("all").applyInArrow(run, "tp long, n_predicted long, n_truth long")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import markup as M
+
 STEP_MS, BLOCK = 10, 64
 #: A span shorter than this, or with fewer values, has no rate; a peak is at most this
 #: far below the mean.
@@ -37,7 +39,7 @@ def _high(xs: Column, f: str) -> Column:
 def blocks(frames: DataFrame) -> DataFrame:
     """(path, block, xs, sums and counts before the block, its extremes, peaks): xs are its frames in
     order, peaks those whose db passes both neighbours that have one, with the neighbours' frames."""
-    each = frames.select("path", F.col("frame").cast("int").alias("frame"), F.col("f0").cast("double").alias("f0"), F.col("db").cast("double").alias("db"))
+    each = frames.select("path", F.col("frame").cast("int").alias("frame"), *(M.finite(F.col(f).cast("double")).alias(f) for f in _MEASURES))
     xs = each.groupBy("path", F.floor(F.col("frame") / BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("frame", "f0", "db"))).alias("xs"))
     order = Window.partitionBy("path").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +82,7 @@ def span_statistics(spans: DataFrame, frames: DataFrame, keys: list[str]) -> Dat
     """(path, keys, f0_mean, f0_low, f0_high, intensity_mean, intensity_range, speech_rate) of spans
     (path, keys, start_ms, end_ms): over the frames from start to before end, cut to the sound.
 
-    Nulls are measured nowhere; a span without frames, or of an unknown path, has nulls only.  Rates
+    Null, NaN and infinite values count as not measured; a span without frames, or of an unknown path, has nulls only.  Rates
     are peaks a second, null below ``LEAST_MS`` or ``LEAST_VALUES`` values.  ``keys`` tell a path's
     spans apart."""
     id_ = ["path", *keys]

@@ -72,14 +72,14 @@ def test_span_statistics_of_odd_spans(spark):
     import random
 
     rng = random.Random(3)
-    frames = [(p, k, rng.choice([None, rng.uniform(80, 300)]), None if p == "c" else rng.choice([None, rng.uniform(-60, 0)])) for p, n in (("a", 700), ("b", 64), ("c", 65), ("d", 1)) for k in range(n)]
+    frames = [(p, k, rng.choice([None, float("nan"), rng.uniform(80, 300)]), None if p == "c" else rng.choice([None, rng.uniform(-60, 0)])) for p, n in (("a", 700), ("b", 64), ("c", 65), ("d", 1)) for k in range(n)]
     spans = [(p, i, *x) for p in "abcdz" for i, x in enumerate([(0, 7000), (0, 10), (5, 9), (5, 640), (630, 650), (640, 1280), (-50, 30), (3, 99999), (7000, 7100), (50, 50), (60, 20), (0, 49), (0, 50), (1270, 6410)])]
     got = {(r["path"], r["k"]): tuple(r)[2:] for r in intervals.span_statistics(spark.createDataFrame(spans, "path string, k int, start_ms long, end_ms long"), spark.createDataFrame(frames, "path string, frame int, f0 double, db double").repartition(3), ["k"]).collect()}
     assert len(got) == len(spans)
     size = Counter(f[0] for f in frames)
     for p, k, start, end in spans:
         mine = [f for f in frames if f[0] == p and start <= f[1] * 10 < end]
-        f0, db = [f[2] for f in mine if f[2] is not None], [f[3] for f in mine if f[3] is not None]
+        f0, db = [f[2] for f in mine if f[2] is not None and f[2] == f[2]], [f[3] for f in mine if f[3] is not None]
         long = min(end, size[p] * 10) - max(start, 0)
         mean = sum(db) / len(db) if db else None
         peaks = sum(db[i] > db[i - 1] and db[i] > db[i + 1] and db[i] > mean - 5 for i in range(1, len(db) - 1))

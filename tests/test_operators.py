@@ -297,11 +297,22 @@ def test_profile_files(spark, tmp_path):
     assert profiles.mappings(rows).first()["boost"] == 0.0
 
 
+def walked(predicted, truth):
+    free = dict(enumerate(truth))
+    found = 0
+    for p in predicted:
+        near = [(abs(p - t), k) for k, t in free.items() if abs(p - t) <= metrics.TOLERANCE_MS]
+        if near:
+            found += 1
+            del free[min(near)[1]]
+    return found
+
+
 def test_whole_pause_match_equals_a_walk(spark):
     rng = np.random.default_rng(3)
     for _ in range(300):
         p, t = (rng.integers(0, 1500, rng.integers(0, 12)).tolist() for _ in range(2))
-        assert benchmark.matched_in_order(p, t) == metrics.matched(p, t)
+        assert metrics.matched(p, t) == walked(p, t)
     rows = [("t", "b.json", 2, 1, 500), ("t", "a.json", 1, 1, 900), ("p", "a.json", 1, 2, 600), ("p", "b.json", 2, 3, 2000)]
     frame = spark.createDataFrame(rows, "side string, file_name string, entry_id long, pre int, ms long")
     assert tuple(benchmark.whole_pause_f1(frame).first()) == (1, 2, 2, 0.5)
