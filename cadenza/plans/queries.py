@@ -1041,12 +1041,11 @@ SELECT path, count(*) FILTER (WHERE db > a AND db > b AND db > m - 5) AS n_peaks
 
 @query
 def rendered_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each document's sound; markup with a negative pause is left to ``render_samples``."""
-    made = shred.shredded(A.view(spark, A.MARKUP, sf_dir, "orders").where("variant NOT IN (4, 12, 13)"))
-    return audio.rendered(made).select("doc_id", F.octet_length("wav").cast("long").alias("n_bytes"))
+    """Bytes of each document's sound, in which a pause of negative length is none."""
+    return audio.rendered(_nodes(spark, sf_dir)).select("doc_id", F.octet_length("wav").cast("long").alias("n_bytes"))
 
 
-ORACLE_SQL["rendered_wav"] = f"""SELECT doc_id, 44 + 2 * n_samples AS n_bytes FROM ({ORACLE_SQL["render_samples"].replace("v NOT IN (12, 13)", "v NOT IN (4, 12, 13)")})"""
+ORACLE_SQL["rendered_wav"] = f"""SELECT doc_id, 44 + 2 * n_samples AS n_bytes FROM ({ORACLE_SQL["render_samples"].replace(" + floor(22050 * (-5 / 1000.0))::BIGINT", "")})"""
 
 
 _MEASURED = """
