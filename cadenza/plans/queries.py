@@ -603,6 +603,16 @@ ORACLE_SQL["node_shred"] = f"""WITH v(variant, kind, k) AS (VALUES {', '.join(f"
 d(kind, deepest) AS (VALUES {', '.join(f"('{k}', {n})" for k, n in _DEEPEST.items())})
 SELECT kind, sum(k)::BIGINT AS n, any_value(deepest)::INT AS deepest FROM orders JOIN v ON o_orderkey % 16 = variant JOIN d USING (kind) GROUP BY kind"""
 
+@query
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by SQL, with the shredder as a table function."""
+    shred.register(spark)
+    docs = A.view(spark, A.MARKUP, sf_dir, "orders")
+    return spark.sql("SELECT n.kind, count(*) AS n, max(n.depth) AS deepest FROM {docs} d, LATERAL shred_markup(d.doc_id, d.markup) n WHERE n.kind <> 'error' GROUP BY n.kind", docs=docs)
+
+
+ORACLE_SQL["node_table"] = ORACLE_SQL["node_shred"]
+
 _BROKEN = {
     2: ["V3"], 3: ["V4", "V15"], 4: ["V5", "V6", "V6"], 5: ["V7"], 6: ["V8", "V9"], 7: ["V13", "V14", "V10"], 8: ["V10", "V11"], 9: ["V12"], 10: ["V16"], 11: ["V17", "V18", "V2"], 12: ["V2"], 13: ["V1"], 15: ["V4"],
 }

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KNOWN = {"iml", "utterance", "prosody", "emphasis", "segment", "pause"}
@@ -147,6 +147,20 @@ def shredded(docs: DataFrame, key: str = "doc_id", column: str = "markup") -> Da
     return docs.select(F.col(key).cast("long").alias("doc_id"), column).mapInArrow(run, NODES)
 
 
+class _Table:
+    """The shredder as a table function."""
+
+    def eval(self, doc_id: int, markup: str) -> Iterator[tuple]:
+        for row in _Parser(doc_id).parse(markup or ""):
+            yield tuple(row[name] for name in _FIELDS)
+
+
+def register(spark: SparkSession, name: str = "shred_markup") -> None:
+    """Make the shredder a table function of SQL: ``FROM docs, LATERAL shred_markup(doc_id, markup)``
+    gives the nodes of every document, as ``shredded`` does, with no exchange."""
+    spark.udtf.register(name, F.udtf(_Table, returnType=NODES))
+
+
 _KINDS = [
     pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(),
     pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(),

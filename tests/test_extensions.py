@@ -6,12 +6,13 @@ from conftest import SMALL, same_rows
 
 from cadenza.operators import benchmark, profiles, speech
 from cadenza.plans.queries import ORACLE_SQL, QUERIES
+from cadenza.sources import shred
 
 OBSERVED = "user_id long, id long, labels map<string,string>, base_emotion string, base_confidence double"
 PROFILE = "user_id long, mapping_idx int, pattern map<string,string>, emotion string, boost double"
 
 
-@pytest.mark.parametrize("name", ["assembled_by_slope", "converter_failures", "profile_by_user", "assembled_stream"])
+@pytest.mark.parametrize("name", ["assembled_by_slope", "converter_failures", "profile_by_user", "node_table"])
 def test_queries_equal_their_sql(spark, name):
     same_rows(QUERIES[name](spark, SMALL), ORACLE_SQL[name], SMALL)
 
@@ -58,3 +59,14 @@ def test_profiles_by_user_equal_a_plain_search(spark):
     table = [(u, i, some(), f"e{u}{i}", rng.choice([0.1, 0.4])) for u in (0, 1, 2, 3, 7) for i in range(6)] + [(7, 6, {}, "never", 0.1), (7, 7, {"pitch": "odd"}, "never", 0.1)]
     got = profiles.applied_by_user(spark.createDataFrame(observed, OBSERVED).repartition(3), spark.createDataFrame(table, PROFILE), ["id"]).collect()
     assert {r["id"]: (r["emotion"], r["confidence"], r["mapping_idx"]) for r in got} == plain(observed, table)
+
+
+def test_the_table_function_gives_the_shredder_s_rows(spark):
+    texts = ["<utterance>a<pause/>b</utterance>", "<iml><utterance><prosody pitch='+5%'><emphasis level='strong'>x</emphasis></prosody></utterance><!--c--></iml>", "<a", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markup string")
+    shred.register(spark)
+    rows = spark.sql("SELECT n.* FROM {d} d, LATERAL shred_markup(d.doc_id, d.markup) n", d=docs)
+    plain = lambda df: sorted(str(r) for r in df.collect())
+    assert rows.schema.simpleString() == shred.shredded(docs).schema.simpleString()
+    assert plain(rows) == plain(shred.shredded(docs))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
