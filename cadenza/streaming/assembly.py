@@ -7,11 +7,13 @@ words that still come for it are told apart instead of beginning a second one.""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators import speech
 from .sessions import accepted as judged
 
+# the driver starts a worker of its own for stateful processors, which does not see shipped files
+for _module in (__name__, judged.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
