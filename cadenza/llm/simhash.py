@@ -17,7 +17,7 @@ too loosely, and finds its candidates by bands of least hashes with a stated rec
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,8 +228,11 @@ BANDS, BAND_ROWS = 36, 6
 SKETCH_WORDS, SKETCH_DISTANCE = 3, 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Candidate groups up to this size give all their pairs; of larger ones each member is paired with
-#: the first, and what that leaves apart is compared in blocks of some so many texts, or shingles.
+#: the first, and what that leaves apart is compared in blocks of some so many texts, or shingles,
+#: or by rare shingles.
 SMALL_GROUP, BLOCK_TEXTS, BLOCK_SHINGLES = 6, 512, 1 << 20
+#: Texts of a group that tell usual shingles from rare ones.
+SAMPLE_TEXTS = 256
 LAST_ID = (1 << 63) - 1
 
 
@@ -289,30 +292,111 @@ def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars.unionByName(small).distinct(), large.select(*ends).distinct()
 
 
-def left_apart(stars: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Cells (home, cell) of members (node, root, low) of larger groups that the first links left in
-    several components.  Members that stars join have one ``home``.  Its largest component needs no
-    comparison within; the others are cut in blocks, each compared with every block (``low`` tells
-    the two apart), so that every pair of different roots meets in a cell."""
-    home = components(stars).select("node", F.col("root").alias("home"))
-    rows = home.join(roots, "node", "left").join(sizes, "node").select("node", "home", F.coalesce("root", "node").alias("root"), "n_shingles")
-    rows = kept(rows, "near-homes")
-    weight = F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)
-    parts = rows.groupBy("home", "root").agg(F.count("*").alias("n"))
-    apart = parts.groupBy("home").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("k")).where("k > 1")
-    rows = rows.join(apart.select("home", "major"), "home").withColumn("minor", F.col("root") != F.col("major"))
-    blocks = rows.groupBy("home", "minor").agg(F.ceil(weight).cast("int").alias("b"))
-    blocks = blocks.groupBy("home").agg(F.sum(F.when(F.col("minor"), F.col("b"))).cast("int").alias("few"), F.sum("b").cast("int").alias("all"))
-    rows = rows.join(blocks, "home")
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("all") - F.col("few"))).cast("int")
+def divided(rows: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Groups (home) of rows (home, node, root, n_shingles) with several components, as rows with their
+    group's columns, and as one row a group: its largest component ``major``, which needs no
+    comparison within, texts ``n`` and ``few_n`` beside the largest, blocks ``b`` and ``few``; ``more`` are
+    further sums of a group."""
+    parts = rows.groupBy("home", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), *more)
+    names = parts.columns[4:]
+    top = parts.groupBy("home").agg(
+        F.max(F.struct("n", "root", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("k"), *(F.first(c).alias(c) for c in names)
+    )
+    few_n, few_w = F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK_TEXTS, w / BLOCK_SHINGLES)).cast("int")
+    few, rest = F.greatest(F.lit(1), blocks(few_n, few_w)), F.greatest(F.lit(1), blocks(F.col("top.n"), F.col("top.w")))
+    groups = top.where("k > 1").select("home", F.col("top.root").alias("major"), "n", few_n.alias("few_n"), few.alias("few"), (few + rest).alias("b"), *names)
+    return rows.join(groups, "home"), groups
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Cells (home, cell) of ``divided`` rows: the texts beside the largest component are cut in
+    blocks, each compared with every block (``low`` tells the two apart), so that every pair of different roots
+    meets in a cell."""
+    rows = rows.withColumn("minor", F.col("root") != F.col("major"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("b") - F.col("few"))).cast("int")
     rows = rows.withColumn("own", own + F.when(F.col("minor"), 0).otherwise(F.col("few")))
     # minor blocks 0 .. few - 1 meet all blocks, the others meet the minor ones
-    others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("all")).otherwise(F.col("few")) - 1)
+    others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("b")).otherwise(F.col("few")) - 1)
     met = rows.select("home", "node", "root", "own", F.explode(others).alias("other"))
     cell = F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other"))
     return met.select("home", cell.alias("cell"), "node", "root", (F.col("own") <= F.col("other")).alias("low"), (F.col("own") == F.col("other")).alias("same"))
 
 
+def _rarest(texts: pa.Table, usual: pa.Table) -> pa.Table:
+    """Of each text of a block the shingles that come first in its group's order, rare ones before
+    ``usual`` ones (each with a count): as many as a text of ``VERIFY_SIMILARITY`` cannot avoid."""
+    lists = texts["set"].combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    flat = lists.flatten().to_numpy()
+    count = np.zeros(len(flat), np.int64)
+    if usual.num_rows:
+        names, sums = (usual[c].combine_chunks().flatten().to_numpy() for c in "uc")
+        order = np.argsort(names)
+        names, sums = names[order], sums[order]
+        at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+        count = np.where(names[at] == flat, sums[at], 0)
+    of = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((flat, count, of))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    chosen = order[place < (size - np.ceil(VERIFY_SIMILARITY * size - 1e-9).astype(np.int64) + 1)[of]]
+    rows = texts.select(["home", "node", "root", "n_shingles"]).take(pa.array(of[chosen]))
+    return rows.append_column("shingle", pa.array(flat[chosen], pa.int64()))
+
+
+def rarest(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(home, node, root, n_shingles, shingle): the rarest shingles of each text of large groups.
+
+    Two texts of similarity s share s of the longer one's shingles, so whatever the order of shingles (the
+    same for a group), the first n - ceil(s n) + 1 of both have one in common.  The order sets those last that
+    several of some ``SAMPLE_TEXTS`` texts of the group hold: the sample decides how many candidates there
+    are, never whether a pair is one.  Texts are ordered in blocks; each block has its group's usual
+    shingles beside it, which are at most a third of a block."""
+    share = F.greatest(F.lit(1), F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / SAMPLE_TEXTS), F.col("b"))))
+    sampled = rows.where(F.pmod(F.xxhash64(F.lit(3), "node"), share) == 0).select("home", "node")
+    seen = sampled.join(sets, "node").select("home", F.explode("set").alias("shingle")).groupBy("home", "shingle").agg(F.count("*").alias("c")).where("c > 2")
+    lists = seen.groupBy("home").agg(F.collect_list(F.struct("shingle", "c")).alias("l")).select("home", F.col("l.shingle").alias("u"), F.col("l.c").alias("c"))
+    blocks = rows.select("home", "b").distinct().select("home", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("block"))
+    usual = blocks.join(lists, "home").select(F.col("home").alias("of"), "block", "u", "c")
+    dealt = rows.join(sets, "node").select("home", F.pmod(F.xxhash64("node"), F.col("b")).cast("int").alias("block"), "node", "root", "n_shingles", "set")
+    kinds = "home long, node long, root long, n_shingles int, shingle long"
+    return dealt.groupBy("home", "block").cogroup(usual.groupBy("of", "block")).applyInArrow(_rarest, kinds)
+
+
+def left_apart(stars: DataFrame, roots: DataFrame, sizes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """What is still to be compared of members (node, root) of larger groups that the first links left
+    in several components: cells, and pairs (u, v).
+
+    Members that stars join have one ``home``.  If the texts beside its largest component fill one block,
+    they meet all others there.  Else only texts that share one of their rarest shingles meet, in groups
+    of their own: few of them pairs, larger ones cells.  Where that would compare more texts than the home's
+    own blocks (near-copies without anything rare) the blocks stay."""
+    home = components(stars).select("node", F.col("root").alias("home"))
+    rows = home.join(roots, "node", "left").join(sizes, "node").select("home", "node", F.coalesce("root", "node").alias("root"), "n_shingles")
+    rows, groups = divided(kept(rows, "near-homes"))
+    groups = groups.where("few > 1")
+    if not groups.limit(1).count():
+        return kept(cells(rows), "near-cells"), None
+    large = kept(rows.where("few > 1"), "near-large")
+    first = kept(rarest(large, sets_of(large)), "near-rarest")
+    alone = F.xxhash64("home", "shingle")
+    shared = first.groupBy("home", "shingle").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("home", "shingle")
+    first = first.join(shared, ["home", "shingle"]).select(alone.alias("home"), F.col("home").alias("within"), "node", "root", "n_shingles")
+    first, parts = divided(kept(first, "near-shared"), F.min("within").alias("of"))
+    work = parts.groupBy(F.col("of").alias("home")).agg(F.sum(F.col("few_n") * F.col("n")).alias("work"))
+    plan = groups.join(work, "home", "left").select("home", (F.coalesce("work", F.lit(0)) <= F.col("few_n") * F.col("n")).alias("split"))
+    plan = kept(plan, "near-plan")
+    split, whole = plan.where("split").select(F.col("home").alias("within")), plan.where("NOT split").select("home")
+    first = kept(first.join(split, "within", "left_semi"), "near-split")
+    few = first.where(F.col("n") <= SMALL_GROUP).groupBy("home").agg(F.sort_array(F.collect_set(F.struct("node", "root"))).alias("g"))
+    both = F.expr("explode(flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(a AS a, b AS b)))))")
+    pairs = few.select(both.alias("p")).where("p.a.root <> p.b.root").select(F.col("p.a.node").alias("u"), F.col("p.b.node").alias("v")).distinct()
+    same = ["home", "node", "root", "major", "few", "b"]
+    todo = rows.where("few = 1").select(*same).unionByName(large.join(whole, "home", "left_semi").select(*same))
+    todo = todo.unionByName(first.where(F.col("n") > SMALL_GROUP).select(*same))
+    return kept(cells(todo), "near-cells"), kept(pairs, "near-more")
+
+
 def _compared(t: pa.Table) -> pa.Table:
     """Links of one cell: a forest of the similar pairs of different roots, found by exact shingle
     sets; a text is compared with all texts of the other side at once."""
@@ -400,18 +484,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = docs.select(*keys).join(chosen, ["id", "t"]).select("id", "t", "text", "node")
         return kept(found.mapInArrow(shingles, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of_nodes(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+        shared = F.size(F.array_intersect("x", "y"))
+        alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
+        return kept(both.where(alike).select("u", "v"), "near-links")
+
     pairs, stars = candidates(keyed)
     pairs, stars = kept(pairs, "near-pairs"), kept(stars, "near-stars")
-    sets = sets_of_nodes(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = shared >= VERIFY_SIMILARITY * (F.size("x") + F.size("y") - shared)
-    links_ = kept(both.where(alike).select("u", "v"), "near-links")
+    links_ = verified(pairs)
     roots = components(links_)
     if stars.limit(1).count():
-        cells = kept(left_apart(stars, roots, nodes.select("node", "n_shingles")), "near-cells")
-        more = cells.join(sets_of_nodes(cells), "node").groupBy("home", "cell").applyInArrow(_compared, "u long, v long")
-        roots = components(kept(links_.unionByName(more), "near-links"))
+        todo, pairs = left_apart(stars, roots, nodes.select("node", "n_shingles"), sets_of_nodes)
+        links_ = links_.unionByName(todo.join(sets_of_nodes(todo), "node").groupBy("home", "cell").applyInArrow(_compared, "u long, v long"))
+        if pairs is not None:
+            links_ = links_.unionByName(verified(pairs))
+        roots = components(kept(links_, "near-links"))
     rooted = nodes.join(roots, "node", "left").select("of", F.coalesce("root", "node").alias("root"))
     stay = kept(rooted.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__id"), F.col("of.t").alias("__t")), "near-stay")
     packed = docs.select(F.struct("*").alias("__row"), number.alias("__id"), F.xxhash64(content).alias("__t"))

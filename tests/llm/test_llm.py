@@ -323,6 +323,45 @@ def test_near_duplicates_of_large_groups_equal_brute_force(spark, monkeypatch, s
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(rows[k][0] for k in brute_stay(rows))
 
 
+def look_alikes(n, seed=8):
+    """Texts with 120 words in common and 60 of their own; every tenth has a near-copy, some a farther one."""
+    rng = np.random.default_rng(seed)
+    page = [f"p{k}" for k in range(120)]
+    rows = []
+    for k in range(n):
+        words = page + [f"o{k}w{j}" for j in range(60)]
+        rows.append((len(rows), " ".join(words)))
+        if k % 10 == 0:
+            for at in 120 + rng.choice(60, rng.integers(1, 6), replace=False):
+                words[at] = f"x{k}z{at}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_near_duplicates_among_look_alikes(spark, monkeypatch):
+    """No link is lost in a group of texts with much in common, and what is compared grows as the texts do."""
+    sizes = []
+
+    def counted(df, name):
+        out = kept_before(df, name)
+        if name in ("near-cells", "near-more", "near-split"):
+            sizes[-1] += out.count()
+        return out
+
+    kept_before = simhash.kept
+    monkeypatch.setattr(simhash, "kept", counted)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 50)
+    for n in (300, 900):
+        sizes.append(0)
+        rows = look_alikes(n)
+        left = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = sorted(r["doc_id"] for r in left.collect())
+        assert len(got) < len(rows)
+        if n == 300:
+            assert got == sorted(rows[k][0] for k in brute_stay(rows))
+    assert sizes[1] < 3.6 * sizes[0]
+
+
 def brute_parts(url):
     at = (url or "").find("://")
     if at < 0:
