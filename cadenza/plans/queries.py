@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..operators import audio, benchmark, intervals, learning, metrics, nodes, profiles, sessions, speech, split, text, validate
 from ..sources import entries as open_entries
-from ..sources import shred, tables
+from ..sources import folders, shred, tables
 from ..streaming import assembly
 from ..streaming import sessions as streaming
 from . import adapters as A
@@ -1117,3 +1117,18 @@ SELECT CASE k WHEN 2 THEN 'missing: audio_file, iml | ' || raw WHEN 3 THEN 'not
        CASE WHEN k = 1 THEN 's' END AS speaker_id, CASE WHEN k IN (0, 1, 5, 6) THEN k = 1 END AS consent,
        CASE k WHEN 1 THEN 'BIGINT' WHEN 5 THEN 'STRING' END AS nested_kind, CASE WHEN k IN (1, 5) THEN n_chars::VARCHAR END AS nested, CASE WHEN k IN (0, 1, 5, 6) THEN k IN (0, 6) END AS no_metadata
 FROM d"""
+
+
+@query
+def entry_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's entry as a file of its own in a dataset folder, read back with its type."""
+    path = tables.shared_path(spark, "folder")
+    said = F.concat(F.lit("- "), F.coalesce("transcript", F.lit("")))
+    rows = A.view(spark, A.ENTRY, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), said.alias("transcript"), "source", "audio_file", "iml", "emotion_label", "annotator", "consent")
+    folders.write(rows, path, title="folder")
+    size = tables.read_metadata(spark, path).select("size").scalar()
+    return folders.read(spark, path).select("file_name", "source", "annotator", "consent", F.length("transcript").cast("long").alias("n_chars"), "emotion_label").withColumn("size", size)
+
+
+ORACLE_SQL["entry_folder"] = f"""WITH e AS ({A.duck(A.ENTRY)})
+SELECT 'd' || doc_id || '.json' AS file_name, source, annotator, consent, length(coalesce(transcript, '')) + 2 AS n_chars, emotion_label, (SELECT count(*) FROM e) AS size FROM e"""
