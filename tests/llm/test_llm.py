@@ -351,7 +351,7 @@ def test_near_duplicates_among_look_alikes(spark, monkeypatch):
     kept_before = simhash.kept
     monkeypatch.setattr(simhash, "kept", counted)
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 50)
-    for n in (300, 900):
+    for n in (300, 600, 1200):
         sizes.append(0)
         rows = look_alikes(n)
         left = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -359,7 +359,7 @@ def test_near_duplicates_among_look_alikes(spark, monkeypatch):
         assert len(got) < len(rows)
         if n == 300:
             assert got == sorted(rows[k][0] for k in brute_stay(rows))
-    assert sizes[1] < 3.6 * sizes[0]
+    assert sizes[2] < 2.4 * sizes[1] < 5.8 * sizes[0]
 
 
 def brute_parts(url):
