@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 
 
+def _in_order(events: DataFrame) -> DataFrame:
+    """``events`` brought together by session in the order of seq, so that doubles are added in that
+    order however the input is split; a stream, or rows without seq, as they come."""
+    if "seq" not in events.columns or events.isStreaming:
+        return events
+    return events.repartition("session_id").sortWithinPartitions("session_id", "seq")
+
+
 def features(events: DataFrame, *keys: str) -> DataFrame:
     """Seven training features by session (or by ``keys``): mean_pitch, pitch_range, mean_volume,
     volume_range, mean_breathiness, speech_rate (events per second of sound) and vibrato_ratio."""
-    return events.groupBy(*(keys or ("session_id",))).agg(
+    rows = events if keys else _in_order(events)
+    return rows.groupBy(*(keys or ("session_id",))).agg(
         F.avg("pitch_hz").alias("mean_pitch"),
         (F.max("pitch_hz") - F.min("pitch_hz")).alias("pitch_range"),
         F.avg("volume").alias("mean_volume"),
@@ -45,7 +54,7 @@ def word_prosody(events: DataFrame, words: DataFrame) -> DataFrame:
     """Rows of ``words`` (session_id, word_idx, word, n_words) with pitch and volume of their events
     relative to the session, null where they hardly differ.  Each word gets an equal run of events;
     events left over belong to no word, words beyond the events get none."""
-    session = Window.partitionBy("session_id")
+    session = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = (
         events.withColumn("n_events", F.count("*").over(session))
         .withColumn("mean_pitch", F.avg("pitch_hz").over(session))
@@ -80,7 +89,8 @@ def session_markup(events: DataFrame, transcripts: DataFrame, compat: bool = Fal
     rows = word_prosody(events, words).withColumn("piece", piece)
     inner = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "piece"))).alias("p"))
     given = F.col("emotion_label") if "emotion_label" in transcripts.columns else F.lit(None).cast("string")
-    marked = features(events).withColumn("inferred", emotion()).withColumn("confidence", F.format_string("%.2f", confidence()))
+    # hundredths are rounded as binary numbers: format_string alone rounds the shortest decimal form
+    marked = features(events).withColumn("inferred", emotion()).withColumn("confidence", F.format_string("%.2f", F.round(confidence() * 100) / 100))
     both = marked.join(transcripts.select("session_id", given.alias("given")), "session_id").join(inner, "session_id", "left")
     both = both.withColumn("emotion", F.coalesce("given", "inferred"))
     body = F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), " "), F.lit(""))

@@ -164,6 +164,32 @@ def test_sessions(spark):
     assert markup["b"] == '<utterance emotion="calm" confidence="0.50"></utterance>'
 
 
+def test_sums_follow_the_order_of_events(spark):
+    kinds = "session_id string, seq long, duration_ms long, volume double, pitch_hz double, vibrato boolean, breathiness double"
+    events = [("a", k, 100, v, v, False, v) for k, v in enumerate((0.1, 0.2, 0.3))]
+    for rows in (events, events[::-1]):
+        for parts in (1, 3):
+            got = sessions.features(spark.createDataFrame(rows, kinds).repartition(parts)).first()
+            assert {got["mean_volume"], got["mean_pitch"], got["mean_breathiness"]} == {(0.1 + 0.2 + 0.3) / 3}
+
+
+def test_sums_follow_the_order_of_words(spark):
+    rows = [(1, 0, k, v, v) for k, v in enumerate((0.1, 0.2, 0.3))]
+    for given in (rows, rows[::-1]):
+        words = spark.createDataFrame(given, "doc_id long, utt_idx long, word_idx long, f0_mean double, intensity_mean double").coalesce(1)
+        got = speech.deviations(words).select("base_f0", "base_intensity").distinct().collect()
+        assert [tuple(r) for r in got] == [((0.1 + 0.2 + 0.3) / 3,) * 2]
+
+
+def test_confidence_is_rounded_as_its_sql(spark):
+    # 0.565 is a little less than it looks: 56.49999999999999 hundredths; 0.605 is 60.5 of them
+    kinds = "session_id string, seq long, duration_ms long, volume double, pitch_hz double, vibrato boolean, breathiness double"
+    rows = [(s, k, 100, 0.5, p * k, False, 0.1) for s, p in (("a", 32.5), ("b", 52.5), ("c", 37.5)) for k in (0, 1)]
+    texts = spark.createDataFrame([(s, "x") for s in "abc"], "session_id string, transcript string")
+    got = {r["session_id"]: r["markup"].split('confidence="')[1][:4] for r in sessions.session_markup(spark.createDataFrame(rows, kinds), texts).collect()}
+    assert got == {"a": "0.56", "b": "0.61", "c": "0.57"}
+
+
 def test_profiles(spark):
     table = spark.createDataFrame(adapters.PROFILE, "mapping_idx int, pattern map<string,string>, emotion string, boost double")
     seen = spark.createDataFrame([(1, {"pitch": "high", "volume": "loud"}, "neutral", 0.9), (2, {"pitch": "low", "quality": "tense", "rate": "fast"}, "neutral", 0.5), (3, {}, "sad", 0.4)], "k long, labels map<string,string>, base_emotion string, base_confidence double")
