@@ -37,47 +37,79 @@ def tone(frequency: float, seconds: float, amplitude: float) -> np.ndarray:
     return out
 
 
-def wav_bytes(samples: np.ndarray) -> bytes:
-    """Mono 16-bit RIFF."""
+def _pcm(samples: np.ndarray) -> bytes:
+    return (np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes()
+
+
+@lru_cache(256)
+def _spoken(frequency: float, amplitude: float) -> bytes:
+    return _pcm(tone(frequency, WORD_S, amplitude))
+
+
+def _still(seconds: float) -> bytes:
+    return bytes(2 * int(SAMPLE_RATE * seconds))
+
+
+def _riff(frames: bytes) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(SAMPLE_RATE)
-        w.writeframes((np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+        w.writeframes(frames)
     return out.getvalue()
 
 
+def wav_bytes(samples: np.ndarray) -> bytes:
+    """Mono 16-bit RIFF."""
+    return _riff(_pcm(samples))
+
+
+#: Bytes of sound after which a batch is handed on.
+_BATCH_BYTES = 8 << 20
+
+
 def rendered(nodes: DataFrame) -> DataFrame:
-    """(doc_id, wav): each document that parses as sound; its parts meet in one task, as they must in
-    its file.  A pause of negative length is none."""
+    """(doc_id, wav): each document that parses as sound; its parts meet by doc_id, as they must in
+    its file, and Python renders many documents a batch.  A pause of negative length is none."""
     still = F.when((F.col("kind") == "pause") & ~F.col("hidden"), F.greatest(pause_ms(), F.lit(0)))
     root = (F.col("depth") == 0) & F.col("kind").isin("iml", "utterance")
     heard = F.col("inside") & (F.col("kind").isin("text", "utterance") | still.isNotNull())
     rows = nodes.where(root | heard).withColumn("v", F.when(F.col("kind") == "text", voice()))
-    rows = rows.select("doc_id", "utt_idx", "pre", root.alias("root"), heard.alias("heard"), "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"), still.alias("ms"))
+    part = F.struct("utt_idx", "pre", still.alias("ms"), "text", F.col("v.f").alias("frequency"), F.col("v.a").alias("amplitude"))
+    docs = rows.select("doc_id", root.alias("root"), F.when(heard, part).alias("part")).groupBy("doc_id").agg(F.bool_or("root").alias("parses"), F.array_sort(F.collect_list("part")).alias("parts"))
 
-    def run(t: pa.Table) -> pa.Table:
+    def frames(parts: list[tuple]) -> bytes:
         out, last = [], None
-        parts = sorted(t.to_pylist(), key=lambda r: (r["utt_idx"], r["pre"]))
-        if not any(r["root"] for r in parts):
-            return pa.table({"doc_id": t["doc_id"][:0], "wav": pa.array([], pa.binary())})
-        for r in parts:
-            if not r["heard"]:
-                continue
-            if last is not None and r["utt_idx"] != last:
-                out.append(np.zeros(int(SAMPLE_RATE * UTTERANCE_S)))
-            last = r["utt_idx"]
-            if r["ms"] is not None:
-                out.append(np.zeros(int(SAMPLE_RATE * (r["ms"] / 1000.0))))
-            for k, _ in enumerate((r["text"] or "").split()):
+        for utterance, ms, text, frequency, amplitude in parts:
+            if last is not None and utterance != last:
+                out.append(_still(UTTERANCE_S))
+            last = utterance
+            if ms is not None:
+                out.append(_still(ms / 1000.0))
+            for k, _ in enumerate((text or "").split()):
                 if k:
-                    out.append(np.zeros(int(SAMPLE_RATE * GAP_S)))
-                out.append(tone(r["frequency"], WORD_S, r["amplitude"]))
-        samples = np.concatenate(out) if out and sum(map(len, out)) else np.zeros(int(SAMPLE_RATE * EMPTY_S))
-        return pa.table({"doc_id": t["doc_id"][:1], "wav": pa.array([wav_bytes(samples)], pa.binary())})
+                    out.append(_still(GAP_S))
+                out.append(_spoken(frequency, amplitude))
+        return b"".join(out) or _still(EMPTY_S)
 
-    return rows.groupBy("doc_id").applyInArrow(run, "doc_id long, wav binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda ids, wavs: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(wavs, pa.binary())], ["doc_id", "wav"])
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            parts = list(zip(*(flat.field(c).to_pylist() for c in ("utt_idx", "ms", "text", "frequency", "amplitude")), strict=True))
+            ids, wavs, held, at = [], [], 0, 0
+            for doc, n in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+                ids.append(doc)
+                wavs.append(_riff(frames(parts[at : at + n])))
+                at, held = at + n, held + len(wavs[-1])
+                if held >= _BATCH_BYTES:
+                    yield made(ids, wavs)
+                    ids, wavs, held = [], [], 0
+            yield made(ids, wavs)
+
+    return docs.where("parses").select("doc_id", "parts").mapInArrow(run, "doc_id long, wav binary")
 
 
 def write_wavs(sounds: DataFrame, folder: str) -> None:

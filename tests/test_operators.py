@@ -164,6 +164,43 @@ def test_sessions(spark):
     assert markup["b"] == '<utterance emotion="calm" confidence="0.50"></utterance>'
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_takes_many_groups_a_batch(spark):
+    pauses = spark.createDataFrame([("a", "t", 0, 100), ("a", "p", 1, 150), ("a", "p", 0, 900), ("b", "t", 0, 5), (None, "p", 0, 5)], "k string, side string, ord int, ms int")
+    scored = metrics.pause_scores(pauses, "k")
+    assert "FlatMapGroups" not in _plan(scored)
+    assert {r["k"]: tuple(r)[1:4] for r in scored.collect()} == {"a": (1, 2, 1), "b": (0, 0, 1), None: (0, 1, 0)}
+    assert "FlatMapGroups" not in _plan(audio.rendered(parsed(spark, "<utterance>a</utterance>")))
+
+
+def test_markup_is_dealt_to_tasks(spark):
+    docs = spark.createDataFrame([(k, "<utterance>a</utterance>") for k in range(8)], "doc_id long, markup string").coalesce(1)
+    assert "Exchange hashpartitioning(doc_id" in _plan(shred.shredded(docs))
+    assert shred.shredded(docs).count() == 16
+
+
+def test_cues_in_one_pass(spark):
+    made = parsed(spark, '<iml><utterance><pause duration="5"/><prosody pitch_contour="rise">x</prosody></utterance><utterance><pause duration="x"/></utterance></iml>', "<utterance>x</utterance>", '<utterance><prosody pitch_contour="">x</prosody><prosody pitch_contour="fall">y</prosody></utterance>')
+    assert sorted(tuple(r) for r in nodes.cues(made).collect()) == [(0, 2, 5, 1), (2, None, None, 1)]
+    assert _plan(nodes.cues(made)).count("MapInArrow") == 1
+
+
+def test_slope_of_many_utterances_at_once():
+    import pyarrow as pa
+
+    from cadenza.plans.queries import _by_slope
+
+    lists = [[1.0, None, 2.0], [None], [], [3.0, 1.0, None], [2.0, 9.0, 2.0]]
+    spans = pa.array([[{"f0_mean": v} for v in x] for x in lists], pa.list_(pa.struct([("f0_mean", pa.float64())])))
+    for cut in (spans, pa.concat_arrays([spans, spans]).slice(5)):
+        emotions, confidences = _by_slope(cut)
+        assert emotions.to_pylist() == ["joyful", "neutral", "neutral", "sad", "neutral"]
+        assert confidences.to_pylist() == [0.75, 0.5, 0.5, 0.75, 0.5]
+
+
 def test_sums_follow_the_order_of_events(spark):
     kinds = "session_id string, seq long, duration_ms long, volume double, pitch_hz double, vibrato boolean, breathiness double"
     events = [("a", k, 100, v, v, False, v) for k, v in enumerate((0.1, 0.2, 0.3))]
