@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,17 +104,21 @@ def matched(predicted: list[int], truth: list[int], tolerance: int = TOLERANCE_M
 def pause_scores(pauses: DataFrame, key: str) -> DataFrame:
     """(key, tp, n_predicted, n_truth, f1) of rows (key, side 'p' or 't', ord, ms).
 
-    The match is greedy in order, so the pauses of one key meet in one task; keys should be entries
-    or sessions, whose pauses are few."""
+    The match is greedy in order, so the pauses of one key meet in one row; keys should be entries or
+    sessions, whose pauses are few.  Python matches many keys a batch."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["side"].to_pylist(), table["ord"].to_pylist(), table["ms"].to_pylist(), strict=True))
-        p, t = ([ms for s, _, ms in rows if s == side] for side in "pt")
-        tp = matched(p, t)
-        return pa.table({key: table[key][:1], "tp": [tp], "n_predicted": [len(p)], "n_truth": [len(t)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [batch.column(k).to_pylist() for k in (1, 2)]
+            tp = [matched(p, t) for p, t in zip(*both, strict=True)]
+            sizes = [pa.array(map(len, x), pa.int64()) for x in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tp, pa.int64()), *sizes], [key, "tp", "n_predicted", "n_truth"])
 
     kind = pauses.schema[key].dataType.simpleString()
-    counted = pauses.select(key, "side", F.col("ord").cast("long"), F.col("ms").cast("long")).groupBy(key).applyInArrow(run, f"{key} {kind}, tp long, n_predicted long, n_truth long")
+    row = F.struct(F.col("ord").cast("long").alias("ord"), F.col("ms").cast("long").alias("ms"))
+    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, row))), lambda x: x["ms"]).alias(s)
+    lists = pauses.groupBy(key).agg(side("p"), side("t"))
+    counted = lists.mapInArrow(run, f"{key} {kind}, tp long, n_predicted long, n_truth long")
     return counted.withColumn("f1", f1_of(F.col("tp"), F.col("n_predicted"), F.col("n_truth")))
 
 
