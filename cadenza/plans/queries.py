@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,13 +169,13 @@ SELECT doc_id, CASE WHEN count(*) = 1 THEN max(one) ELSE '<iml>' || string_agg(o
 
 def _by_slope(spans: pa.ListArray) -> tuple[pa.Array, pa.Array]:
     """Rising pitch is joyful, falling sad: from the first measured word to the last."""
-    emotions, confidences = [], []
-    for utterance in spans.to_pylist():
-        heard = [w["f0_mean"] for w in utterance if w["f0_mean"] is not None]
-        rise = heard[-1] - heard[0] if heard else 0.0
-        emotions.append("joyful" if rise > 0 else "sad" if rise < 0 else "neutral")
-        confidences.append(0.5 if rise == 0 else 0.75)
-    return pa.array(emotions, pa.string()), pa.array(confidences, pa.float64())
+    f0, edges = spans.flatten().field("f0_mean"), np.concatenate([[0], np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))])
+    heard = np.flatnonzero(f0.is_valid().to_numpy(zero_copy_only=False))
+    values = np.append(f0.fill_null(0.0).to_numpy(zero_copy_only=False)[heard], 0.0)
+    first, end = (np.searchsorted(heard, x) for x in (edges[:-1], edges[1:]))
+    rise = np.where(end > first, values[end - 1] - values[first], 0.0)
+    emotions = np.where(rise > 0, "joyful", np.where(rise < 0, "sad", "neutral"))
+    return pa.array(emotions.tolist(), pa.string()), pa.array(np.where(rise == 0, 0.5, 0.75))
 
 
 @query
