@@ -143,6 +143,15 @@ def contours(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pre", _attr("pitch_contour").alias("label")).where("label <> ''")
 
 
+def cues(nodes: DataFrame) -> DataFrame:
+    """(doc_id, n_pauses, pause_ms, n_rises) of documents with ``pauses`` or ``contours``, null where
+    there are none, in one pass over the nodes."""
+    still = F.col("kind") == "pause"
+    told = nodes.where(F.col("inside") & ~F.col("hidden") & (still | ((F.col("kind") == "prosody") & (_attr("pitch_contour") != ""))))
+    none_as_null = lambda c: F.nullif(F.count_if(c), F.lit(0))
+    return told.groupBy("doc_id").agg(none_as_null(still).alias("n_pauses"), F.sum(F.when(still, pause_ms())).alias("pause_ms"), none_as_null(~still).alias("n_rises"))
+
+
 def voices(nodes: DataFrame) -> DataFrame:
     """(doc_id, pre, utt_idx, text, frequency, amplitude) of every text: pitch, volume and emphasis
     of its ancestors applied from the outside in."""

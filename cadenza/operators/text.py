@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import escape
+from ..sources.shred import dealt
 
 #: Lexicons of cue words.
 POSITIVE = """love happy wonderful fantastic amazing great excellent beautiful brilliant awesome delightful pleased glad
@@ -139,7 +140,8 @@ def predicted(docs: DataFrame, key: str = "doc_id", column: str = "text", model:
     """(key, markup) of every row; blank and null texts give one empty utterance."""
     if model != "rule-based":
         raise NotImplementedError(f"model {model!r} is not supported, only 'rule-based'")
-    parts = with_cues(spoken_parts(docs.select(key, column), column), "spoken").withColumn("inner", inner_markup(F.col("spoken")))
+    # dealt by key, by which a document's utterances meet: this exchange is the only one
+    parts = with_cues(spoken_parts(dealt(docs.select(key, column), key), column), "spoken").withColumn("inner", inner_markup(F.col("spoken")))
     parts = parts.withColumn("u", utterance_markup(F.col("spoken"), F.col("inner"), F.col("cues"), default_confidence))
     bodies = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sent_idx", "part_idx", "u"))).alias("us"))
     body = F.array_join(F.transform("us", lambda x: x["u"]), "")

@@ -608,7 +608,8 @@ SELECT kind, sum(k)::BIGINT AS n, any_value(deepest)::INT AS deepest FROM orders
 def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by SQL, with the shredder as a table function."""
     shred.register(spark)
-    docs = A.view(spark, A.MARKUP, sf_dir, "orders")
+    # dealt to tasks: a file of one row group would be parsed by one
+    docs = shred.dealt(A.view(spark, A.MARKUP, sf_dir, "orders"), "doc_id")
     return spark.sql("SELECT n.kind, count(*) AS n, max(n.depth) AS deepest FROM {docs} d, LATERAL shred_markup(d.doc_id, d.markup) n WHERE n.kind <> 'error' GROUP BY n.kind", docs=docs)
 
 
@@ -888,10 +889,7 @@ ORACLE_SQL["prosody_labels"] = f"WITH {_PRED} SELECT doc_id, {_case(learning.PRO
 
 @query
 def cue_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = shred.shredded(text.predicted(_cued(spark, sf_dir)))
-    pauses = nodes.pauses(made).groupBy("doc_id").agg(F.count("*").alias("n_pauses"), F.sum("ms").alias("pause_ms"))
-    rises = nodes.contours(made).groupBy("doc_id").agg(F.count("*").alias("n_rises"))
-    return pauses.join(rises, "doc_id", "full")
+    return nodes.cues(shred.shredded(text.predicted(_cued(spark, sf_dir))))
 
 
 _TIMES = lambda part: f"((length(markup) - length(replace(markup, '{part}', ''))) // {len(part)})"

@@ -180,6 +180,9 @@ def test_markup_is_dealt_to_tasks(spark):
     docs = spark.createDataFrame([(k, "<utterance>a</utterance>") for k in range(8)], "doc_id long, markup string").coalesce(1)
     assert "Exchange hashpartitioning(doc_id" in _plan(shred.shredded(docs))
     assert shred.shredded(docs).count() == 16
+    # so are texts before their sentences are told apart
+    made = text.predicted(docs.select("doc_id", F.lit("Well... yes!").alias("text")))
+    assert _plan(made).count("REPARTITION_BY_NUM") == 1
 
 
 def test_cues_in_one_pass(spark):
