@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, kept
+from .common import LOWER, give_back, kept
 
 LEAST, TOP, UNKNOWN = 10, 2000, "und"
 #: A candidate goes if a longer one around it has at least this per cent of its occurrences.
@@ -38,6 +38,8 @@ SAMPLE_OF, SAMPLE_LEAST = 10, 2
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
 #: Text that a task counts at a time.
 BATCH_BYTES = 4 << 20
+#: Rows that a task hands over at once: the JVM holds a batch outside its heap, twice while it reads it.
+BATCH_ROWS = 16_384
 #: Parts of a language that are ranked apart before its first rows meet.
 PARTS = 64
 
@@ -131,47 +133,54 @@ class _Words:
         self.langs = [str(x) for x in langs]
 
 
-def _rows(w: _Words, numbers: list[np.ndarray], f: np.ndarray) -> pa.RecordBatch:
-    parts = [w.word.take(pa.array(x)).cast(pa.string()) for x in numbers]
-    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
-    kinds = pa.array(np.full(len(f), len(parts)), pa.int32())
-    return pa.RecordBatch.from_arrays([w.lang.take(pa.array(numbers[0])), kinds, phrase, pa.array(f)], _NAMES)
+def _rows(w: _Words, numbers: list[np.ndarray], f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted phrases, given by the numbers of their words, made and handed over bit by bit."""
+    for at in range(0, len(f), BATCH_ROWS):
+        some = [pa.array(x[at : at + BATCH_ROWS]) for x in numbers]
+        parts = [w.word.take(x).cast(pa.string()) for x in some]
+        phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
+        kinds = pa.array(np.full(len(phrase), len(parts)), pa.int32())
+        yield pa.RecordBatch.from_arrays([w.lang.take(some[0]), kinds, phrase, pa.array(f[at : at + BATCH_ROWS])], _NAMES)
 
 
 def _counter(before, now, longest: int, fresh: bool):
     """Counts what ``now`` puts into the border and ``before`` did not (two broadcast Borders), up to
     ``longest`` words; if ``fresh`` also all words, and the number of words as an empty phrase."""
 
+    def portion(texts: list[tuple[bytes, str]], old: Border, new: Border) -> Iterator[pa.RecordBatch]:
+        w = _Words(texts)
+        n = len(w.word)
+        if n == 0:
+            return
+        one, was = _holds(new.words, w.h), _holds(old.words, w.h)
+        if fresh:
+            yield from _rows(w, [np.arange(n)], np.bincount(w.at, minlength=n))
+            zeros = np.zeros(len(w.langs), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w.langs), pa.array(zeros, pa.int32()), pa.array([""] * len(w.langs)), pa.array(w.tokens.astype(np.int64))], _NAMES)
+        if longest < 2:
+            return
+        i = np.flatnonzero(w.joined)
+        a, b = w.at[i], w.at[i + 1]
+        if longest > 2:
+            h = _mixed(w.h[a], w.h[b])
+            two, had = _holds(new.pairs, h), _holds(old.pairs, h)
+            # a pair beside the one that starts at its second word
+            k = np.flatnonzero((i[1:] == i[:-1] + 1) & two[1:] & two[:-1] & ~(had[1:] & had[:-1]))
+            pair, at = np.unique(a[k] * n + b[k], return_inverse=True)
+            key, f = np.unique(at * n + b[k + 1], return_counts=True)
+            if len(f):
+                ab, c = pair[key // n], key % n
+                yield from _rows(w, [ab // n, ab % n, c], f)
+        keep = one[a] & one[b] & ~(was[a] & was[b])
+        key, f = np.unique(a[keep] * n + b[keep], return_counts=True)
+        if len(f):
+            yield from _rows(w, [key // n, key % n], f)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, new = before.value, now.value
         for texts in _portions(batches):
-            w = _Words(texts)
-            n = len(w.word)
-            if n == 0:
-                continue
-            one, was = _holds(new.words, w.h), _holds(old.words, w.h)
-            if fresh:
-                yield _rows(w, [np.arange(n)], np.bincount(w.at, minlength=n))
-                zeros = np.zeros(len(w.langs), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w.langs), pa.array(zeros, pa.int32()), pa.array([""] * len(w.langs)), pa.array(w.tokens.astype(np.int64))], _NAMES)
-            if longest < 2:
-                continue
-            i = np.flatnonzero(w.joined)
-            a, b = w.at[i], w.at[i + 1]
-            if longest > 2:
-                h = _mixed(w.h[a], w.h[b])
-                two, had = _holds(new.pairs, h), _holds(old.pairs, h)
-                # a pair beside the one that starts at its second word
-                k = np.flatnonzero((i[1:] == i[:-1] + 1) & two[1:] & two[:-1] & ~(had[1:] & had[:-1]))
-                pair, at = np.unique(a[k] * n + b[k], return_inverse=True)
-                key, f = np.unique(at * n + b[k + 1], return_counts=True)
-                if len(f):
-                    ab, c = pair[key // n], key % n
-                    yield _rows(w, [ab // n, ab % n, c], f)
-            keep = one[a] & one[b] & ~(was[a] & was[b])
-            key, f = np.unique(a[keep] * n + b[keep], return_counts=True)
-            if len(f):
-                yield _rows(w, [key // n, key % n], f)
+            yield from portion(texts, old, new)
+            give_back()  # before the next portion is read
 
     return run
 

@@ -99,3 +99,20 @@ def test_empty_table(spark):
 
 def test_query_equals_its_sql(spark):
     same_rows(QUERIES["op11_phrases"](spark, SMALL), ORACLE_SQL["op11_phrases"], SMALL)
+
+
+def test_counted_phrases_are_handed_over_in_small_batches():
+    import pyarrow as pa
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    every = np.full(1 << 10, np.iinfo(np.uint64).max, np.uint64)
+    text = " ".join(f"w{k}" for k in range(3 * phrases.BATCH_ROWS))
+    batch = pa.record_batch([pa.array([text]), pa.array(["en"])], ["t", "lang"])
+    got = list(phrases._counter(Sent(phrases.Border(None, None)), Sent(phrases.Border(every, every)), 3, True)(iter([batch])))
+    assert max(b.num_rows for b in got) <= phrases.BATCH_ROWS
+    rows = Counter(p for b in got for p in b.column("phrase").to_pylist())
+    words = text.split()
+    assert rows == Counter([""] + [" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)])
