@@ -11,8 +11,9 @@ of its links, never its pairs.  A group above ``BLOCK`` members is first cut by
 rest of the fingerprint: two fingerprints within ``distance`` bits agree in one of
 ``distance + 1`` parts, so equal parts are compared instead of the whole group; nothing is lost.
 
-``near_duplicates`` decides by the similarity of shingle sets, which a fingerprint's distance bounds
-too loosely, and finds its candidates by bands of least hashes with a stated recall.
+``near_duplicates`` links by the similarity of shingle sets, which a fingerprint's distance bounds
+too loosely, and finds its candidates by bands of least hashes with a stated recall; with
+``by_fingerprint`` (as in the pipeline) all links of ``near_components`` count as well.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, kept
+from .common import LOWER, holds, kept, shared_bitmap
 from .components import components
 
 SEED = 42
@@ -440,9 +442,20 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Links (u, v) of nodes whose texts' fingerprints differ in at most ``DISTANCE`` bits, from rows
+    (node, fp): each node to the least one of its fingerprint, and these to one another."""
+    least = kept(prints.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints")
+    same = prints.join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    near = links(least, ["fp"], SEGMENTS, DISTANCE).distinct()
+    end = lambda side, name: least.select(F.col("fp").alias(side), F.col("least").alias(name))
+    return same.unionByName(near.join(end("a0", "u"), "a0").join(end("b0", "v"), "b0").select("u", "v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     """Rows of ``docs``, all columns, without near-duplicates: of each group linked by a word-shingle
-    similarity of ``VERIFY_SIMILARITY`` the smallest doc_id stays.
+    similarity of ``VERIFY_SIMILARITY`` the smallest doc_id stays.  With ``by_fingerprint`` texts whose
+    fingerprints are within ``DISTANCE`` bits (see ``near_components``) are linked too.
 
     Texts with the same set of shingles are one node and need no verification (null texts and those
     without a word have the empty set).  Candidates share a band of least hashes, see ``BANDS``, and
@@ -459,30 +472,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = sets_of(batch)
+            fp = fingerprints(batch.column(2).to_pylist()) if by_fingerprint else np.zeros(len(sets), np.uint64)
             node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))
             key, sketch = bands(least_hashes(sets))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             marks = [pa.array(np.ascontiguousarray(x)) for x in sketch.view(np.int64).T]
             counts = pa.array([len(x) for x in sets], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *marks, lists, counts], ["id", "t", "node", *_MARKS, "bands", "n_shingles"]
+                [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), *marks, lists, counts], ["id", "t", "node", "fp", *_MARKS, "bands", "n_shingles"]
             )
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x.view(np.int64) for x in sets_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+    def shingles(wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(holds(wanted.value, batch.column(3).to_numpy())))
+                sets = [x.view(np.int64) for x in sets_of(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "t", "set"])
+
+        return run
 
-    kinds = "id long, t long, node long, " + ", ".join(f"{m} long" for m in _MARKS) + ", bands array<long>, n_shingles int"
+    kinds = "id long, t long, node long, fp long, " + ", ".join(f"{m} long" for m in _MARKS) + ", bands array<long>, n_shingles int"
     rows = docs.select(*keys).mapInArrow(prints, kinds)
-    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "t")).alias("of"), *(F.first(c).alias(c) for c in [*_MARKS, "bands", "n_shingles"]))
-    nodes = kept(nodes, "near-nodes")
+    # texts of one set of shingles may differ in fingerprint, as that counts repeats
+    marked = [*_MARKS, "bands", "n_shingles"]
+    printed = rows.groupBy("node", "fp").agg(F.min(F.struct("id", "t")).alias("of"), *(F.first(c).alias(c) for c in marked))
+    printed = kept(printed, "near-nodes")
+    nodes = printed.groupBy("node").agg(F.min("of").alias("of"), *(F.first(c).alias(c) for c in marked)) if by_fingerprint else printed
     keyed = nodes.select("node", *_MARKS, F.explode("bands").alias("key"))
 
     def sets_of_nodes(wanted: DataFrame) -> DataFrame:
-        chosen = wanted.select("node").distinct().join(nodes, "node").select("of.*", "node")
-        found = docs.select(*keys).join(chosen, ["id", "t"]).select("id", "t", "text", "node")
-        return kept(found.mapInArrow(shingles, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+        # a bitmap of the wanted texts spares most others the way; what passes by chance is left by the join
+        chosen = kept(wanted.select("node").distinct().join(nodes, "node").select("of.*", "node"), "near-chosen")
+        found = docs.select(*keys).withColumn("h", F.xxhash64("id", "t"))
+        passed = shared_bitmap(chosen.select(F.xxhash64("id", "t").alias("h")))
+        sets = found.mapInArrow(shingles(passed), "id long, t long, set array<long>")
+        return kept(sets.join(chosen, ["id", "t"]).dropDuplicates(["id", "t"]).select("node", "set"), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = sets_of_nodes(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
@@ -494,6 +518,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs, stars = candidates(keyed)
     pairs, stars = kept(pairs, "near-pairs"), kept(stars, "near-stars")
     links_ = verified(pairs)
+    if by_fingerprint:
+        links_ = links_.unionByName(kept(fingerprint_links(printed.select("node", "fp")), "near-links"))
     roots = components(links_)
     if stars.limit(1).count():
         todo, pairs = left_apart(stars, roots, nodes.select("node", "n_shingles"), sets_of_nodes)

@@ -37,10 +37,12 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest doc_id, null after all others.
 
+    Texts are linked by op4's fingerprints and by the verified similarity of their shingles.
+
     Different texts under one doc_id, or without one, are judged each as its own; an empty table
     stays empty."""
     ship(spark)
-    return simhash.near_duplicates(docs)
+    return simhash.near_duplicates(docs, by_fingerprint=True)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,6 +323,31 @@ def test_near_duplicates_of_large_groups_equal_brute_force(spark, monkeypatch, s
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(rows[k][0] for k in brute_stay(rows))
 
 
+def test_near_duplicates_by_fingerprint_links_what_op4_links(spark):
+    """Texts within 3 bits of each other's fingerprint are near-duplicates in the pipeline, however few five-word shingles they share."""
+    import corpus_pipeline as P
+
+    base = [f"w{k}" for k in range(40)]
+    made = [" ".join(base)]
+    own = int(simhash.fingerprints([made[0].encode()])[0])
+    for k in range(4000):
+        words = list(base)
+        for at in (10 + k % 20, 3 + k % 7):
+            words[at] = f"x{k}"
+        text = " ".join(words)
+        if (int(simhash.fingerprints([text.encode()])[0]) ^ own).bit_count() <= 3:
+            made.append(text)
+            break
+    assert len(made) == 2 and not brute_alike(list(enumerate(made)))
+    made += [made[0] + " " + made[0], " ".join(f"o{k}" for k in range(40)), "", "\t"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(made)], "doc_id long, text string")
+    linked = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs).collect()}
+    assert linked[1] == 0
+    stay = {r["doc_id"] for r in P.no_near_duplicates(spark, docs, "").collect()}
+    assert stay <= set(linked.values()) and {0, 3, 4} <= stay
+    assert 1 in {r["doc_id"] for r in simhash.near_duplicates(docs).collect()}
+
+
 def look_alikes(n, seed=8):
     """Texts with 120 words in common and 60 of their own; every tenth has a near-copy, some a farther one."""
     rng = np.random.default_rng(seed)
