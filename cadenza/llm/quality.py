@@ -77,9 +77,9 @@ def _lines(docs: DataFrame, host: str) -> DataFrame:
     return part.withColumn("key", key).where("key <> ''").select("doc_id", "host", "digest", "pos", F.xxhash64("key").alias("line"), F.size(F.split("key", _WS)).alias("words"))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, digest, pos and words of every occurrence of a line that is boilerplate in its host,
-    outside the document that keeps it."""
+def _boilerplate(docs: DataFrame, host: str) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of often seen lines, and the lines (of, found) that are boilerplate in their host,
+    with the document that keeps them."""
     sizes = docs.groupBy(F.col(host).cast("string").alias("of")).agg(F.count("*").alias("n_docs"))
     above = lambda n: (F.col(n) > LEAST_TEXTS) & (100 * F.col(n) > MOST_PER_CENT * F.col("n_docs"))
     counted = _lines(docs, host).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_TEXTS)
@@ -89,11 +89,38 @@ def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     held = kept(held.select("doc_id", "host", "digest", "pos", "line", "words", "n_docs"), "lines-held")
     texts = held.groupBy("host", "line", "n_docs", "digest").agg(F.min("doc_id").alias("least"))
     over = texts.groupBy("host", "line", "n_docs").agg(F.count("*").alias("n"), F.min("least").alias("keeper")).where(above("n"))
-    over = over.select(F.col("host").alias("of"), F.col("line").alias("found"), "keeper")
+    return held, kept(over.select(F.col("host").alias("of"), F.col("line").alias("found"), "keeper"), "lines-over")
+
+
+def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, digest, pos and words of every occurrence of a line that is boilerplate in its host,
+    outside the document that keeps it."""
+    return _gone(*_boilerplate(docs, host))
+
+
+def _gone(held: DataFrame, over: DataFrame) -> DataFrame:
     gone = held.join(over, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("found")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.select("doc_id", "digest", "pos", "words").distinct()
 
 
+def _by_host(based: DataFrame, over: DataFrame, host: str) -> DataFrame:
+    """``based`` with __lost and cleaned, by the few lines of each host, which are broadcast: no text
+    is shuffled."""
+    lines = over.groupBy("of").agg(F.collect_list(F.struct("found", "keeper")).alias("__lines"))
+    both = based.join(F.broadcast(lines), F.col(host).cast("string").eqNullSafe(F.col("of")), "left")
+    raw = F.split(F.col("text").cast("string"), "\n")
+    key = lambda x: F.lower(F.btrim(x, F.lit(SPACE)))
+    others = F.transform(F.filter("__lines", lambda x: ~x["keeper"].eqNullSafe(F.col("doc_id").cast("long"))), lambda x: x["found"])
+    hashes = F.when(F.size("__lines") > 0, F.transform(raw, lambda x: F.when(key(x) != "", F.xxhash64(key(x)))))
+    step = both.withColumn("__h", hashes).withColumn("__gone", F.array_intersect("__h", others))
+    goes = lambda i: F.coalesce(F.array_contains("__gone", F.get("__h", i)), F.lit(False))
+    words = F.filter(F.transform(raw, lambda x, i: F.when(goes(i), F.size(F.split(key(x), _WS)))), lambda n: n.isNotNull())
+    cut = F.size("__gone") > 0
+    step = step.withColumn("__lost", F.when(cut, F.aggregate(words, F.lit(0), lambda a, b: a + b)))
+    left = F.array_join(F.filter(raw, lambda _, i: ~goes(i)), "\n")
+    return step.withColumn("cleaned", F.when(cut, left).otherwise(F.col("text").cast("string"))).drop("of", "__lines", "__h", "__gone")
+
+
 def judged(docs: DataFrame, host: str = "source", texts: bool = True) -> DataFrame:
     """``docs`` with the columns of ``base_rules``, n_left_words (words outside removed lines), kept
     and cleaned (the text without removed lines); without ``texts``, both ``text`` and ``cleaned``
@@ -103,17 +130,26 @@ def judged(docs: DataFrame, host: str = "source", texts: bool = True) -> DataFra
     the optimizer work them out anew.  A null host is a host of its own.  Rows with equal doc_id and
     text are judged alike; several null doc_ids count as one document.  A null text stays null.  An
     empty table gives no rows; columns of the names made here are replaced."""
-    gone = frequent_lines(docs, host).groupBy("doc_id", "digest")
-    lost = gone.agg(F.sum("words").alias("__lost"), F.collect_set("pos").alias("__pos") if texts else F.lit(None).alias("__pos"))
-    lost = kept(lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "__lost", "__pos"), "lines-lost")
+    held, over = _boilerplate(docs, host)
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     based = base_rules(docs.drop("cleaned", "kept", "n_left_words")).withColumn("__digest", digest)
     based = kept(based if texts else based.drop("text"), "quality-counts")
-    both = based.join(bound_broadcast(lost.drop("__pos"), BROADCAST_ROWS) if not texts else lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
+    id_ = F.col("doc_id").cast("long")
+    named = F.struct(F.col(host).cast("string").alias("h"))
+    # rows of one id and text in several hosts lose what is boilerplate in any of them
+    spread = based.groupBy(id_.alias("i"), "__digest").agg(F.min(named).alias("a"), F.max(named).alias("z")).where(~F.col("a").eqNullSafe(F.col("z")))
+    if texts and over.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and not spread.limit(1).count():
+        both = _by_host(based, over, host)
+    else:
+        gone = _gone(held, over).groupBy("doc_id", "digest")
+        lost = gone.agg(F.sum("words").alias("__lost"), F.collect_set("pos").alias("__pos") if texts else F.lit(None).alias("__pos"))
+        lost = kept(lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "__lost", "__pos"), "lines-lost")
+        both = based.join(bound_broadcast(lost.drop("__pos"), BROADCAST_ROWS) if not texts else lost, id_.eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
+        if texts:
+            lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda _, i: ~F.array_contains("__pos", i))
+            both = both.withColumn("cleaned", F.when(F.col("__pos").isNull(), F.col("text").cast("string")).otherwise(F.array_join(lines, "\n")))
+        both = both.drop("__id", "__of", "__pos")
     left = F.col("n_words") - F.coalesce("__lost", F.lit(0))
     few, of = KEEP_OF
     out = both.withColumn("n_left_words", left).withColumn("kept", ~F.col("base_failed") & (of * F.col("n_left_words") >= few * F.col("n_words")))
-    if texts:
-        lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda _, i: ~F.array_contains("__pos", i))
-        out = out.withColumn("cleaned", F.when(F.col("__pos").isNull(), F.col("text").cast("string")).otherwise(F.array_join(lines, "\n")))
-    return out.drop("__id", "__of", "__lost", "__pos", "__digest")
+    return out.drop("__lost", "__digest")

@@ -941,6 +941,17 @@ def test_frequent_lines_deplete_documents(spark):
     assert "text" not in small.columns and Counter((r["doc_id"], r["kept"]) for r in small.collect()) == Counter((x[0], x[2]) for x in got.elements())
 
 
+def test_lines_are_cleaned_without_a_shuffle_of_texts(spark):
+    """However many documents lose lines, only the few lines of each host travel to the texts."""
+    menu = "home news sport weather contact imprint login register help search archive"
+    made = [(k, f"{menu}\n" + " ".join(f"own{k}word{j}" for j in range(30)), "web") for k in range(3000)]
+    out = quality.judged(spark.createDataFrame(made, "doc_id long, text string, source string"))
+    assert out.where("cleaned <> text").count() == 2999
+    plan = out._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert not re.search("SortMergeJoin|hashpartitioning\\(doc_id", physical) and "BroadcastHashJoin" in physical
+
+
 @pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
 def test_quality_rejects_depleted_documents_of_the_tables(spark, table):
     out = quality.judged(spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "source", "text"), texts=False)
