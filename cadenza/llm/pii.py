@@ -11,10 +11,11 @@ span, overlaps it.
 All in DataFrame functions: one projection finds, scores and selects, without a shuffle.  Patterns are
 possessive or anchored, so that they are linear in the text and need no stack.
 
-The trees learn from weak labels on a sample with documented bounds: base spans and rewritten forms of
-them in their surroundings are positive; other windows over the same characters, forms with a wrong
-check digit or odd groups, and candidates of other text that break their kind's format are negative.
-A fourth of the sample does not train and sets the thresholds.
+The trees learn from weak labels on all documents: base spans and rewritten forms of them in their
+surroundings are positive; other windows over the same characters, forms with a wrong check digit or
+odd groups, and candidates of other text that break their kind's format are negative.  A fourth of
+them does not train and sets the thresholds.  Rows of equal features and label are one with a weight,
+so that training works on the kinds of candidates, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import kept
 
 #: The kinds in the order in which spans are listed.
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents that the sample is drawn from (about), base spans of a kind and other candidates in it.
-SAMPLE_DOCS, SAMPLE_SPANS, SAMPLE_OTHERS = 20_000, 300, 3_000
+#: Kinds of labelled candidates in one partition of the training.
+KINDS_EACH = 200_000
 #: Trees, their depth, and the share of right spans that a threshold must reach on held-out rows.
 TREES, DEPTH, PRECISION = 12, 4, 0.98
 #: Width and limit of the score bins of the calibration.
@@ -261,12 +262,9 @@ def _variants() -> Column:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """(kind_, ... features, label, aside) of the weakly labelled sample of (t, d), d a hash."""
-    total = docs.count()
-    part = docs if total <= SAMPLE_DOCS else docs.where(F.shiftrightunsigned("d", 11) / F.lit(float(1 << 53)) < SAMPLE_DOCS / total)
-    found = kept(proposed(part).select("d", "base", "cand"), "pii-sample")
-    spans = found.select("d", F.explode("base").alias("b")).select("d", "b.*").withColumn("o", F.xxhash64("d", "s", "m"))
-    chosen = reduce(DataFrame.unionByName, [spans.where(F.col("kind") == k).orderBy("o", "m").limit(SAMPLE_SPANS) for k in range(len(KINDS))])
+    """(o, kind_, ... features, label, aside) of the weak labels of all (t, d), d a hash."""
+    found = kept(proposed(docs).select("d", "base", "cand"), "pii-proposed")
+    chosen = found.select("d", F.explode("base").alias("b")).select("d", "b.*").withColumn("o", F.xxhash64("d", "s", "m"))
     forms = chosen.select("o", "kind", "before", "after", F.explode(_variants()).alias("f"))
     start = F.length("before")
     place = lambda s, e: F.struct(F.col("kind"), s.alias("s"), e.alias("e"))
@@ -278,7 +276,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     own = each.where(inside).select("o", "c.*", hit.cast("double").alias("label"))
     clear = lambda: ~F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (b["e"] > F.col("c.s")))
     others = found.select("d", "base", F.explode("cand").alias("c")).where((F.col("c.valid_") == 0) & clear())
-    others = others.select(F.xxhash64("d", "c.s", "c.e", "c.kind").alias("o"), "c.*").orderBy("o").limit(SAMPLE_OTHERS).withColumn("label", F.lit(0.0))
+    others = others.select(F.xxhash64("d", "c.s", "c.e", "c.kind").alias("o"), "c.*").withColumn("label", F.lit(0.0))
     both = own.unionByName(others)
     return both.select("o", *(f"{f}_" for f in FEATURES), "label", (F.pmod(F.xxhash64(F.lit(5), "o"), F.lit(4)) == 0).alias("aside"))
 
@@ -288,15 +286,17 @@ def fitted(sample: DataFrame) -> Judge:
     from which on ``PRECISION`` of a kind's candidates are right; none if a kind has too few."""
     never = [float("inf")] * len(KINDS)
     names = [f"{f}_" for f in FEATURES]
-    rows = kept(VectorAssembler(inputCols=names, outputCol="features").transform(sample.coalesce(1).sortWithinPartitions("o", *names, "label")), "pii-rows")
+    alike = sample.groupBy(*names, "label", "aside").agg(F.count("*").cast("double").alias("weight"))
+    rows = kept(VectorAssembler(inputCols=names, outputCol="features").transform(alike), "pii-rows")
     if {r[0] for r in rows.where("NOT aside").select("label").distinct().collect()} != {0.0, 1.0}:
         return Judge(None, never)
-    # one partition in one order: a sample of a bounded size, and the same trees on every run
-    train = rows.where("NOT aside").coalesce(1).sortWithinPartitions("o", *names, "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, cacheNodeIds=False, checkpointInterval=-1).fit(train.select("features", "label"))
+    # in one order, and in one partition as long as there are few kinds: the same trees on every run
+    train = rows.where("NOT aside")
+    train = train.repartition(1 + train.count() // KINDS_EACH, *names).sortWithinPartitions(*names, "label")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, cacheNodeIds=False, checkpointInterval=-1, weightCol="weight").fit(train.select("features", "label", "weight"))
     judge = Judge(model, never)
     score = F.least(F.lit(FARTHEST), F.greatest(F.lit(-FARTHEST), judge.score(lambda f: F.col(f"{f}_"))))
-    bins = rows.where("aside").groupBy(F.col("kind_").cast("int").alias("kind"), F.floor(score / BIN).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    bins = rows.where("aside").groupBy(F.col("kind_").cast("int").alias("kind"), F.floor(score / BIN).alias("bin")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect()
     edges = list(never)
     for k in range(len(KINDS)):
         good = n = 0

@@ -152,3 +152,12 @@ def test_query(spark):
         want = base_spans(rows[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(r["spans"].split(","))or not want
+
+
+def test_every_document_teaches(spark):
+    """No base span is left out of the labels."""
+    many = spark.createDataFrame([(f"call {k} +1 (743) 555-{1000 + k} today or 12.34.{k % 90}.999 there", k) for k in range(900)], "t string, d long")
+    labels = pii.labelled(many).select("o").distinct()
+    spans = pii.proposed(many).select(F.explode("base").alias("b"), "d").select("d", "b.s", "b.m")
+    assert spans.count() == 900
+    assert labels.join(spans.select(F.xxhash64("d", "s", "m").alias("o")), "o").count() == 900
