@@ -1070,3 +1070,26 @@ def test_pipeline_of_an_empty_table_and_more_columns(spark):
             assert docs.columns == [x.split()[0] for x in kinds.split(", ")]
         assert {(r["shard"], r["row"], r["node"], r["size"], r["hash"]) for r in docs.collect()} <= {(2, "r", 3, 4, 5)}
         assert P.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_lm_merges_symbols_in_little_memory():
+    import tracemalloc
+
+    from cadenza.llm import lm
+
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(3000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 3000, 400)) for _ in range(2500)]  # some 6 MB
+    want = sum(len(t) + 1 for t in texts)
+    tracemalloc.start()
+    total = sum(int(n.sum()) for _, n in lm.merged(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == want
+    assert peak < 128 << 20, peak >> 20  # 146 MB with chunks of 2 MB
+    # what repeats is one part, however long: a 32-bit sum is bounded by the depth of the code
+    again = list(lm.merged(texts[:50] * 120, 20))
+    assert len(again) == 1 and int(again[0][1].sum()) == 120 * sum(len(t) + 1 for t in texts[:50])
+    (once, n), (many, times) = next(lm.merged(texts[:50])), again[0]
+    assert np.array_equal(np.sort(once.key()), np.sort(many.key()))
+    assert np.array_equal((n * 120)[np.argsort(once.key())], times[np.argsort(many.key())])
