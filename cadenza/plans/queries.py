@@ -838,9 +838,10 @@ ORACLE_SQL["assembled_stream"] = ORACLE_SQL["assembled_markup"]
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limiter over requests that come as a stream, out of order."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    buckets = max(4 * spark.sparkContext.defaultParallelism, rows.count() // 100_000)  # what waits in one fits a task
     end = spark.range(1).select(F.lit(None).cast(rows.schema["client"].dataType).alias("client"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
     with assembly.keyed_state(spark):
-        stream = assembly.ordered_limit(_shuffled(spark, rows, "ts", end), 2, 86_400.0, late="20000 days")
+        stream = assembly.ordered_limit(_shuffled(spark, rows, "ts", end), 2, 86_400.0, late="20000 days", buckets=buckets)
         judged = streaming.collected(stream, tables.shared_path(spark, "limited"), "append")
     return judged.groupBy("client").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 

@@ -109,3 +109,23 @@ def test_ordered_limiter_judges_what_the_watermark_has_passed_only(spark, tmp_pa
 @pytest.mark.parametrize("name", ["assembled_stream", "rate_limit_stream"])
 def test_stream_queries_equal_their_sql(spark, name):
     same_rows(QUERIES[name](spark, SMALL), ORACLE_SQL[name], SMALL)
+
+
+def test_ordered_limiter_judges_many_clients_of_a_bucket_apart(spark, tmp_path):
+    rng = random.Random(4)
+    at = lambda: START + timedelta(microseconds=rng.randrange(0, 90_000_000))
+    clients = [None, *(2**60 + k for k in range(40))]  # doubles could not tell these apart
+    steps = [[(rng.choice(clients), at() + timedelta(seconds=60 * k)) for _ in range(150)] for k in range(4)]
+    frames = [spark.createDataFrame(s, "client long, ts timestamp") for s in steps]
+    files([*frames, spark.createDataFrame([(1, START + timedelta(days=9))], frames[0].schema)], f"{tmp_path}/in")
+    with assembly.keyed_state(spark):
+        stream = assembly.ordered_limit(as_stream(spark, f"{tmp_path}/in", frames[0].schema), 2, 25.0, late="90 seconds", buckets=2)
+        query = stream.writeStream.format("memory").queryName("limited_apart").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) <= 3 * 8  # buckets, not clients
+    got = sorted((str(r["client"]), r["ts"].replace(tzinfo=UTC), r["ok"]) for r in spark.table("limited_apart").collect())
+    want = []
+    for c in clients:
+        times = sorted(t for s in steps for x, t in s if x == c)
+        want += zip([str(c)] * len(times), times, sessions.accepted([t.timestamp() for t in times], [], 2, 25.0)[0])
+    assert got == sorted(want)
