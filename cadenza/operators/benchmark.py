@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,9 @@ def whole_pause_f1(pauses: DataFrame) -> DataFrame:
     in parallel."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("side", "file_name", "entry_id", "pre", "ms")), strict=True))
-        p, t = ([r[-1] for r in rows if r[0] == side] for side in "pt")
+        ordered = table["ms"].take(pc.sort_indices(table, [(c, "ascending") for c in ("side", "file_name", "entry_id", "pre", "ms")]))
+        n = pc.sum(pc.equal(table["side"], "p")).as_py() or 0
+        p, t = ordered[:n].to_pylist(), ordered[n:].to_pylist()
         return pa.table({"tp": pa.array([metrics.matched(p, t)], pa.int64()), "n_predicted": pa.array([len(p)], pa.int64()), "n_truth": pa.array([len(t)], pa.int64())})
 
     whole = pauses.select(F.lit(0).alias("all"), *pauses.columns)

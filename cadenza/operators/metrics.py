@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,24 +84,39 @@ def contour_pairs(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def matched(predicted: list[int], truth: list[int], tolerance: int = TOLERANCE_MS) -> int:
     """How many predicted pauses, in order, find an unmatched true one within ``tolerance``; each
-    takes the nearest, the earlier of equals.  Free truths are kept by length, so a step costs a
-    binary search, not a walk over all."""
-    free = sorted((t, k) for k, t in enumerate(truth))
+    takes the nearest, the earlier of equals.  Free truths wait by length, each length's in order, and
+    lengths that have none left are leapt over, so a step costs a binary search, neither a walk over
+    all nor a move of those behind."""
+    free: dict[int, deque[int]] = {}
+    for k, t in enumerate(truth):
+        free.setdefault(t, deque()).append(k)
+    lengths = sorted(free)
+    waiting = [free[t] for t in lengths]
+    # where the next length with free truths may lie, up and down; both ends stand for none
+    up, down = list(range(len(lengths) + 1)), list(range(len(lengths) + 1))
     found = 0
     for p in predicted:
-        at = bisect.bisect_left(free, (p, -1))
-        best = free[at] if at < len(free) else None  # the earliest of the next length up
-        if at:
-            low = free[at - 1][0]
-            below = free[bisect.bisect_left(free, (low, -1))]
-            if best is None or (p - low, below[1]) < (best[0] - p, best[1]):
-                best = below
-        if best is not None and abs(best[0] - p) <= tolerance:
-            del free[bisect.bisect_left(free, best)]
+        at = bisect.bisect_left(lengths, p)
+        high, low = _leapt(up, at), _leapt(down, at) - 1
+        best = high if high < len(lengths) else None
+        if low >= 0 and (best is None or (p - lengths[low], waiting[low][0]) < (lengths[high] - p, waiting[high][0])):
+            best = low
+        if best is not None and abs(lengths[best] - p) <= tolerance:
+            waiting[best].popleft()
             found += 1
+            if not waiting[best]:
+                up[best], down[best + 1] = best + 1, best
     return found
 
 
+def _leapt(to: list[int], at: int) -> int:
+    """Where the links from ``at`` end; those on the way are shortened."""
+    while to[at] != at:
+        to[at] = to[to[at]]
+        at = to[at]
+    return at
+
+
 def pause_scores(pauses: DataFrame, key: str) -> DataFrame:
     """(key, tp, n_predicted, n_truth, f1) of rows (key, side 'p' or 't', ord, ms).
 

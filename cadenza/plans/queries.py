@@ -929,7 +929,7 @@ _FILE = "concat('e', lpad(CAST(doc_id AS STRING), 12, '0'), '.json')"
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Entries whose markup comes from the text operator, and predictions that differ from it."""
-    rows = text.predicted(_cued(spark, sf_dir))
+    rows = tables.written(text.predicted(_cued(spark, sf_dir)), "benchmark-markup")
     entries = rows.select(F.col("doc_id").alias("entry_id"), F.expr(_FILE).alias("file_name"), "markup", F.expr(_FELT).alias("emotion_label"))
     return entries, rows.select(F.col("doc_id").alias("entry_id"), F.expr(_SAID).alias("markup"))
 

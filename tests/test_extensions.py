@@ -70,3 +70,15 @@ def test_the_table_function_gives_the_shredder_s_rows(spark):
     assert rows.schema.simpleString() == shred.shredded(docs).schema.simpleString()
     assert plain(rows) == plain(shred.shredded(docs))
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pauses_of_few_lengths_match_without_moving_the_rest():
+    import time
+
+    from cadenza.operators import metrics
+
+    n = 400_000
+    start = time.process_time()
+    assert metrics.matched([500] * n, [500] * n) == n
+    assert metrics.matched(list(range(0, n, 2)), list(range(n)), 0) == n // 2
+    assert time.process_time() - start < 10  # a list that closes up behind each match takes minutes
