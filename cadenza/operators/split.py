@@ -37,16 +37,30 @@ def exact_split(rows: DataFrame, order: str, train: float = 0.8, val: float = 0.
 def hashed_split(rows: DataFrame, key: str, train: float = 0.8, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
     """``rows`` with ``split`` of the same exact sizes, by the rank of a seeded hash of ``key``.
 
-    Ranks come in two steps, so that no task orders all rows: keys are counted by the first 16 bits
-    of their hash, and a row's rank is the count of smaller buckets plus its rank in its own."""
-    n = rows.count()
-    a, b = _sizes(n, train, val, test)
+    Keys are counted by the first 16 bits of their hash.  Whole buckets lie on one side; only the rows
+    of the two buckets through which a bound runs are ranked, so no more than these are shuffled.
+    ``rows`` is read several times: write it first if it is dear."""
     hashed = rows.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
     hashed = hashed.withColumn("__b", F.substring("__h", 1, 4))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows at most
-    counts = hashed.groupBy("__b").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    sizes = dict(hashed.groupBy("__b").count().collect())  # 65,536 rows at most, and one for null
+    n = sum(sizes.values())
+    a, b = _sizes(n, train, val, test)
+    side = lambda rank: F.when(rank < a, "train").when(rank < a + b, "val").otherwise("test")
+    bucket, cut, first, before = F.coalesce("__b", F.lit("")), {}, {}, 0
+    for name in sorted(sizes, key=lambda x: x or ""):
+        if any(before < bound < before + sizes[name] for bound in (a, a + b)):
+            cut[name or ""] = before
+        for part, bound in (("val", a), ("test", a + b)):
+            if before >= bound:
+                first.setdefault(part, name or "")
+        before += sizes[name]
+    whole = F.lit("train")
+    for part in ("val", "test"):
+        if part in first:
+            whole = F.when(bucket >= first[part], part).otherwise(whole)
+    if not cut:
+        return hashed.withColumn("split", whole).drop("__h", "__b")
     within = Window.partitionBy("__b").orderBy("__h", key)
-    ranked = hashed.join(F.broadcast(offsets), "__b").withColumn("__r", F.col("__o") + F.row_number().over(within) - 1)
-    side = F.when(F.col("__r") < a, "train").when(F.col("__r") < a + b, "val").otherwise("test")
-    return ranked.withColumn("split", side).drop("__h", "__b", "__o", "__r")
+    offset = F.try_element_at(F.create_map(*[F.lit(x) for item in cut.items() for x in item]), bucket)
+    ranked = hashed.where(bucket.isin(list(cut))).withColumn("split", side(offset + F.row_number().over(within) - 1))
+    return hashed.where(~bucket.isin(list(cut))).withColumn("split", whole).unionByName(ranked).drop("__h", "__b")

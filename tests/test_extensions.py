@@ -82,3 +82,20 @@ def test_pauses_of_few_lengths_match_without_moving_the_rest():
     assert metrics.matched([500] * n, [500] * n) == n
     assert metrics.matched(list(range(0, n, 2)), list(range(n)), 0) == n // 2
     assert time.process_time() - start < 10  # a list that closes up behind each match takes minutes
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 5000])
+def test_hashed_split_ranks_only_the_buckets_of_its_bounds(spark, n):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import split
+
+    rows = spark.range(n).withColumn("id", F.col("id") - F.col("id") % 2 * int(n > 9))  # pairs share a key
+    got = split.hashed_split(rows, "id", 0.6, 0.2, 0.2)
+    ids = sorted((hashlib.md5(f"{k - k % 2 * (n > 9)}:42".encode()).hexdigest(), k - k % 2 * (n > 9)) for k in range(n))
+    a, b = int(n * 0.6), int(n * 0.2)
+    want = sorted((k, "train" if i < a else "val" if i < a + b else "test") for i, (_, k) in enumerate(ids))
+    assert sorted(map(tuple, got.select("id", "split").collect())) == want
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
