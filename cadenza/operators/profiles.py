@@ -120,7 +120,36 @@ def ranked(observed: DataFrame, profile: DataFrame, keys: list[str]) -> DataFram
     return out.select(*keys, F.coalesce("e", "base_emotion").alias("emotion"), confidence.alias("confidence"), "mapping_idx")
 
 
+#: Mappings of a user that a row is tested against one by one; those of users with more are looked up.
+MOST_MAPPINGS = 32
+
+
 def applied_by_user(observed: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``applied`` with each row's own user: ``observed`` has user_id, ``profiles`` (user_id,
+    mapping_idx, pattern, emotion, boost) any number of users and mappings.  ``keys`` tell rows apart.
+
+    A user's mappings, up to ``MOST_MAPPINGS``, reach each of its rows as one array by one join.  Rows of
+    users with more go by ``looked_up_by_user``.  Rows without a user, or whose user has no profile, keep
+    their base; an empty pattern matches nothing; of equal mappings the first counts."""
+    usable = profiles.where(F.size("pattern") > 0)
+    many = usable.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_MAPPINGS).where("user_id IS NOT NULL").select("user_id")
+    some_have_many = not many.isEmpty()
+    few = usable.join(many, "user_id", "left_anti") if some_have_many else usable
+    each = F.struct((-F.size("pattern")).alias("rank"), "mapping_idx", "emotion", "boost", F.map_entries("pattern").alias("entries"))
+    listed = few.groupBy("user_id").agg(F.sort_array(F.collect_list(each)).alias("ms"))
+    rows = observed.join(many, "user_id", "left_anti") if some_have_many else observed
+    fits = F.filter("ms", lambda m: F.forall(m["entries"], lambda e: F.coalesce(F.try_element_at(F.col("labels"), e["key"]) == e["value"], F.lit(False))))
+    out = rows.join(listed, "user_id", "left").withColumn("m", F.get(fits, F.lit(0)))
+    out = out.select(
+        "user_id", *keys, F.coalesce("m.emotion", "base_emotion").alias("emotion"),
+        F.when(F.col("m").isNull(), F.col("base_confidence")).otherwise(F.least(F.lit(1.0), F.col("base_confidence") + F.col("m.boost"))).alias("confidence"), F.col("m.mapping_idx").alias("mapping_idx"),
+    )
+    if not some_have_many:
+        return out
+    return out.unionByName(looked_up_by_user(observed.join(many, "user_id", "left_semi"), usable.join(many, "user_id", "left_semi"), keys))
+
+
+def looked_up_by_user(observed: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFrame:
     """``applied`` with each row's own user: ``observed`` has user_id, ``profiles`` (user_id,
     mapping_idx, pattern, emotion, boost) any number of users and mappings.
 

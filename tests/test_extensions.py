@@ -99,3 +99,14 @@ def test_hashed_split_ranks_only_the_buckets_of_its_bounds(spark, n):
     want = sorted((k, "train" if i < a else "val" if i < a + b else "test") for i, (_, k) in enumerate(ids))
     assert sorted(map(tuple, got.select("id", "split").collect())) == want
     assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_users_with_few_and_with_many_mappings(spark, monkeypatch):
+    observed = [(u, 10 * u + k, {"pitch": "high", "rate": ["fast", "slow"][k % 2]}, "neutral", 0.2) for u in (1, 2) for k in range(4)] + [(None, 99, {"pitch": "high"}, "sad", 0.5)]
+    table = [(1, 0, {"pitch": "high"}, "a", 0.1), (1, 1, {"rate": "fast", "pitch": "high"}, "b", 0.4), *((2, i, {"rate": ["fast", "slow"][i % 2]}, f"c{i}", 0.9) for i in range(4)), (1, 2, {"pitch": None}, "never", 0.1)]
+    frames = spark.createDataFrame(observed, OBSERVED), spark.createDataFrame(table, PROFILE)
+    for most in (0, 3, 32):
+        monkeypatch.setattr(profiles, "MOST_MAPPINGS", most)
+        got = profiles.applied_by_user(*frames, ["id"])
+        assert {r["id"]: (r["emotion"], r["confidence"], r["mapping_idx"]) for r in got.collect()} == plain(observed, table)
+    assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString()  # a row is shuffled once, not once a label
