@@ -1093,3 +1093,37 @@ def test_lm_merges_symbols_in_little_memory():
     (once, n), (many, times) = next(lm.merged(texts[:50])), again[0]
     assert np.array_equal(np.sort(once.key()), np.sort(many.key()))
     assert np.array_equal((n * 120)[np.argsort(once.key())], times[np.argsort(many.key())])
+
+
+def test_lm_asks_once_for_what_is_alike_to_a_predictor(monkeypatch):
+    from cadenza.llm import lm
+
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 107, rng.integers(2, 9), np.uint8)) for _ in range(2000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 2000, 300)) for _ in range(300)]
+    code, raw = counted(texts)
+    table = lm.packed(raw)
+    # every decision counted for itself, and looked up for itself
+    plain, part = np.zeros(raw.shape, np.uint32), lm.symbols(texts)
+    row, at, begin = lm.decisions(part.gram, code)
+    for i in range(lm.PREDICTORS):
+        np.add.at(plain.reshape(-1), lm.slots_of(i, part, row, code.place[at], code) * 2 + code.bits[at], 1)
+    assert (raw == plain).all()
+    (part, n), asked = next(lm.merged(texts)), []
+    row, at, begin = lm.decisions(part.gram, code)
+    assert int(n.sum()) == sum(len(t) + 1 for t in texts)
+    slots_of = lm.slots_of
+    monkeypatch.setattr(lm, "slots_of", lambda i, part, row, *more: asked.append(len(row)) or slots_of(i, part, row, *more))
+    for trained in (False, True):
+        asked.clear()
+        odds, gate = lm.inputs(table, part, row, at, begin, trained, code)
+        # all predictors together ask for 2.7 slots a decision; each asked for its own, 5 in all
+        assert sum(asked) < 0.6 * lm.PREDICTORS * len(row), sum(asked) / len(row)
+        shift = (code.bits[at].astype(np.int64) + 1 << 16) * trained
+        want = np.zeros(len(row), np.int64)
+        for i in range(lm.PREDICTORS):
+            pair = table[slots_of(i, part, row, code.place[at], code)] + shift
+            assert (odds[i] == lm._ODDS[pair]).all()
+            known = lm._KNOWN[pair].astype(np.int64)
+            want = np.where(known > 0, (i + 1) * 25 + known * 5, want) if i < len(lm.ORDERS) else want + known
+        assert (gate == want).all()
